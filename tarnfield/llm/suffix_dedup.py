@@ -41,7 +41,7 @@ from tarnfield.llm.text import as_bytes
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 #: Text that is scanned at once, and text whose runs are built together.
-SCAN_BYTES, RUN_BYTES = 1 << 20, 1 << 26
+SCAN_BYTES, RUN_BYTES = 1 << 20, 1 << 23
 NULL_ID = -(1 << 63)
 
 
@@ -150,8 +150,25 @@ def _blobs(arrays: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "r" else pa.binary()) for k, v in arrays.items()], names=list(arrays))
 
 
+_PLACE = np.dtype([("key", "<i8"), ("at", "<i4")])
+
+
+def _split(rows: np.ndarray, by: str) -> tuple[pa.Array, list[np.ndarray]]:
+    """Keys of sorted rows, and the rows of each."""
+    cuts = np.nonzero(np.diff(rows[by]))[0] + 1
+    parts = np.split(rows, cuts) if len(rows) else []
+    return pa.array([int(p[by][0]) for p in parts], pa.int64()), parts
+
+
+def _dealt(rows: np.ndarray, by: str, ranges: int) -> pa.Table:
+    """Rows on their way back to their documents: one blob for each range of keys, so
+    that what is sent is a few blobs for each task however many rows there are."""
+    blobs = {r: own.tobytes() for r, (own,) in _by_range(_range_of(np.ascontiguousarray(rows[by]).view("<u8"), ranges), rows)}
+    return pa.table({"b": pa.array(list(blobs), pa.int32()), "rows": pa.array(list(blobs.values()), pa.binary())})
+
+
 def repeated_anchors(docs: DataFrame, key: str, text_col: str, ranges: int) -> DataFrame:
-    """(key, pos): for each key blobs of the positions of anchors that occur twice or more."""
+    """(key, pos): for each key the positions of anchors that occur twice or more."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in _gather(batches, 1, RUN_BYTES):
@@ -184,14 +201,15 @@ def repeated_anchors(docs: DataFrame, key: str, text_col: str, ranges: int) -> D
         again = order[again & (at[order] >= 0)]
         own = np.concatenate((own[again], read("ks", "<i8")))
         at = np.concatenate((at[again], read("ps", "<i4")))
-        order = np.argsort(own, kind="stable")
-        own, at = own[order], at[order]
-        cuts = np.nonzero(np.diff(own))[0] + 1
-        pieces = np.split(at, cuts) if len(own) else []
-        return pa.table({"key": pa.array(own[np.concatenate(([0], cuts))] if len(own) else [], pa.int64()), "pos": pa.array([p.tobytes() for p in pieces], pa.binary())})
+        return _dealt(np.rec.fromarrays((own, at), dtype=_PLACE), "key", ranges)
+
+    def positions(table: pa.Table) -> pa.Table:
+        places = np.unique(np.frombuffer(b"".join(table.column("rows").to_pylist()), _PLACE))
+        keys, parts = _split(places, "key")
+        return pa.table({"key": keys, "pos": pa.array([np.ascontiguousarray(p["at"]).tobytes() for p in parts], pa.binary())})
 
     sent = docs.select(key, text_col).mapInArrow(send, "r int, h binary, k binary, p binary, ks binary, ps binary")
-    return sent.groupBy("r").applyInArrow(count, "key long, pos binary").groupBy("key").agg(F.collect_list("pos").alias("pos"))
+    return sent.groupBy("r").applyInArrow(count, "b int, rows binary").groupBy("b").applyInArrow(positions, "key long, pos binary")
 
 
 # ---- runs -------------------------------------------------------------------
@@ -358,15 +376,15 @@ def merged_intervals(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[list[bytes] | None], ranges: int) -> dict[int, list]:
+def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | None], ranges: int) -> dict[int, list]:
     """For each range [run, intervals] of the suffixes at the given positions."""
     contexts: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
     settled: list[tuple[int, int, int, int]] = []
-    for key, raw, blobs in zip(keys.tolist(), texts, positions):
-        if not blobs:
+    for key, raw, places in zip(keys.tolist(), texts, positions):
+        if not places:
             continue
         text = xxhash.xxh64_intdigest(raw)
-        for at in np.unique(np.frombuffer(b"".join(blobs), "<i4")).tolist():
+        for at in np.frombuffer(places, "<i4").tolist():
             right = raw[at : at + WINDOW]
             if len(right) < GRAM:  # of another text with this key
                 continue
@@ -398,7 +416,7 @@ def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[list[bytes]
 
 
 def repeats(docs: DataFrame, key: str, text_col: str, keyed: DataFrame, ranges: int) -> DataFrame:
-    """(key, spans): for each key blobs of the intervals to remove. ``keyed`` are all
+    """(key, spans): for each key the intervals to remove. ``keyed`` are all
     columns of the documents, dealt by ``key``."""
     places = repeated_anchors(docs, key, text_col, ranges).withColumnRenamed("key", "_at")
     joined = keyed.join(places.hint("shuffle_hash"), F.col(key) == F.col("_at"), "left")
@@ -416,24 +434,27 @@ def repeats(docs: DataFrame, key: str, text_col: str, keyed: DataFrame, ranges:
         runs = [r for r in map(spread, table.column("run").to_pylist()) if r]
         found = np.array(merged_intervals(runs), _INTERVAL)
         known = np.frombuffer(b"".join(map(spread, table.column("settled").to_pylist())), _INTERVAL)
-        found = np.sort(np.concatenate((found, known)), order=["key"], kind="stable")
-        cuts = np.nonzero(np.diff(found["key"]))[0] + 1
-        pieces = np.split(found, cuts) if len(found) else []
-        return pa.table({"_key": pa.array([int(p["key"][0]) for p in pieces], pa.int64()), "_spans": pa.array([p.tobytes() for p in pieces], pa.binary())})
+        return _dealt(np.concatenate((found, known)), "key", ranges)
+
+    def unite(table: pa.Table) -> pa.Table:
+        """One row for each document: its maximal intervals."""
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), _INTERVAL)
+        rows = rows[np.lexsort((rows["begin"], rows["text"], rows["key"]))]
+        if len(rows):
+            same = np.concatenate(([False], (rows["key"][1:] == rows["key"][:-1]) & (rows["text"][1:] == rows["text"][:-1])))
+            # begins are shifted apart by document, so that one running maximum serves all
+            shift = np.cumsum(~same).astype(np.int64) << 33
+            reach = np.maximum.accumulate(rows["end"] + shift)
+            first = np.concatenate(([True], rows["begin"][1:] + shift[1:] > reach[:-1]))
+            ends = np.append(np.nonzero(first)[0][1:], len(rows)) - 1
+            upto = reach[ends] - shift[ends]
+            rows = rows[first]
+            rows["end"] = upto
+        keys, parts = _split(rows, "key")
+        return pa.table({"_key": keys, "_spans": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     runs = joined.mapInArrow(build, "r int, run binary, settled binary")
-    return runs.groupBy("r").applyInArrow(merge, "_key long, _spans binary").groupBy("_key").agg(F.collect_list("_spans").alias("_spans"))
-
-
-def union_of(spans: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of the union of [begin, end) intervals."""
-    out: list[list[int]] = []
-    for begin, end in sorted(zip(spans["begin"].tolist(), spans["end"].tolist())):
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([begin, end])
-    return [(a, b) for a, b in out]
+    return runs.groupBy("r").applyInArrow(merge, "b int, rows binary").groupBy("b").applyInArrow(unite, "_key long, _spans binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
@@ -459,11 +480,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts = [], []
-            for raw, blobs in zip(as_bytes(batch.column(text_at)), batch.column(spans_at).to_pylist()):
+            for raw, spans in zip(as_bytes(batch.column(text_at)), batch.column(spans_at).to_pylist()):
                 whole, gone = raw or b"", []
-                if blobs:
-                    table = np.frombuffer(b"".join(blobs), _INTERVAL)
-                    gone = union_of(table[table["text"] == xxhash.xxh64_intdigest(whole)])
+                if spans:
+                    table = np.frombuffer(spans, _INTERVAL)
+                    table = table[table["text"] == xxhash.xxh64_intdigest(whole)]
+                    gone = list(zip(table["begin"].tolist(), table["end"].tolist()))
                 kept, at = [], 0
                 for a, b in gone:
                     kept.append(whole[at:a])
