@@ -37,6 +37,8 @@ MARK = "\u2581".encode()
 ZIPF_SHIFT = 10
 #: Bytes of chunks that one suffix array indexes, and chunks a worker remembers.
 INDEX_BYTES, MEMO_CHUNKS = 1 << 18, 400_000
+#: Longest chunk, in bytes, that is relaxed side by side with others.
+TOGETHER = 64
 
 
 class PieceCodec:
@@ -73,33 +75,35 @@ class PieceCodec:
         lone = bytes(b for b in range(128) if b not in inside)  # ASCII that only byte pieces have
         # does any piece have a mark behind something else? then only whole texts are chunks
         crossing = any(not p.startswith(MARK * p.count(MARK)) for p in self.pieces)
-        self.chunker = None if crossing else re.compile(rb"(?:%s)+(?:(?!%s)[^%s])*|(?:(?!%s)[^%s])+|[%s]" % (MARK, MARK, re.escape(lone), MARK, re.escape(lone), re.escape(lone)))
+        stop = b" " + re.escape(lone.replace(b" ", b""))
+        self.chunker = None if crossing else re.compile(rb" +[^%s]*|[^%s]+|[%s]" % (stop, stop, stop))
         self.memo: dict[bytes, tuple[int, ...]] = {}
 
     def chunks(self, raw: bytes) -> list[bytes]:
+        """Runs that no piece reaches out of; spaces are still spaces, and a U+2581 of
+        the text itself is hidden as bytes that UTF-8 never has."""
         if not raw:
             return []
-        # a U+2581 of the text itself is hidden as bytes that UTF-8 never has
-        marked = b" " + raw
-        if MARK in marked:
-            marked = marked.replace(MARK, b"\xff\xfe\xfd")
-        marked = marked.replace(b" ", MARK)
-        return self.chunker.findall(marked) if self.chunker else [marked]
+        text = b" " + (raw.replace(MARK, b"\xff\xfe\xfd") if MARK in raw else raw)
+        return self.chunker.findall(text) if self.chunker else [text]
 
     def encode_chunks(self, chunks: list[bytes]) -> None:
-        """Encode into the memo, some INDEX_BYTES at a time."""
-        group, size = [], 0
-        for c in chunks:
-            group.append(c)
-            size += len(c) + 1
-            if size >= INDEX_BYTES:
-                self._index(group)
-                group, size = [], 0
-        if group:
-            self._index(group)
-
-    def _index(self, chunks: list[bytes]) -> None:
-        text = b"\x00".join(chunks) + b"\x00"
+        """Encode into the memo, some INDEX_BYTES at a time. Short chunks are relaxed
+        side by side, the others one position at a time."""
+        for relax, some in ((self._relax_together, [c for c in chunks if len(c) <= TOGETHER]), (self._relax, [c for c in chunks if len(c) > TOGETHER])):
+            group, size = [], 0
+            for c in some:
+                group.append(c)
+                size += len(c) + 1
+                if size >= INDEX_BYTES:
+                    self._index(group, relax)
+                    group, size = [], 0
+            if group:
+                self._index(group, relax)
+
+    def _index(self, chunks: list[bytes], relax) -> None:
+        marked = [c.replace(b" ", MARK) for c in chunks]
+        text = b"\x00".join(marked) + b"\x00"
         n, width = len(text), self.longest
         padded = np.frombuffer(text + b"\x00" * width, np.uint8)
         keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[:n]).view(f"S{width}")[:, 0]
@@ -113,15 +117,57 @@ class PieceCodec:
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         begin = suffixes[np.repeat(low[which], count) + nth]
         piece = np.repeat(which, count)
+        relax(text, chunks, marked, begin, piece)
+
+    def _relax_together(self, text: bytes, chunks: list[bytes], marked: list[bytes], begin: np.ndarray, piece: np.ndarray) -> None:
+        """All edges that begin at the same offset of their chunks are relaxed at once."""
+        raw = np.frombuffer(text, np.uint8)
+        size = np.fromiter(map(len, marked), np.int64, len(marked)) + 1
+        starts = np.cumsum(size) - size
+        head = np.nonzero((raw != 0) & ((raw & 0xC0) != 0x80))[0]  # where characters begin
+        first = raw[head]
+        width = np.where((first < 0x80) | (first >= 0xFD), 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
+        begin = np.concatenate((begin, head))
+        end = begin + np.concatenate((self.lengths[piece], width))
+        cost = np.concatenate((self.name_cost[piece], self.byte_cost * width))
+        ids = np.concatenate((self.name_id[piece], np.full(len(head), -1)))
+        offset = begin - np.repeat(starts, size)[begin]
+        order = np.lexsort((begin - end, offset))
+        begin, end, cost, ids = begin[order], end[order], cost[order], ids[order]
+        best = np.full(len(raw) + 1, np.inf)
+        best[starts] = 0.0
+        back, via = np.zeros(len(raw) + 1, np.int64), np.full(len(raw) + 1, -1)
+        cuts = np.searchsorted(offset[order], np.arange(TOGETHER * len(MARK) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a == b:
+                continue
+            here, to = best[begin[a:b]] + cost[a:b], end[a:b]
+            old = best[to]
+            np.minimum.at(best, to, here)
+            won = (here == best[to]) & (here < old)
+            back[to[won]], via[to[won]] = begin[a:b][won], ids[a:b][won]
+        back, via, byte_ids = back.tolist(), via.tolist(), self.byte_ids
+        for start, c, m in zip(starts.tolist(), chunks, marked):
+            out, q = [], start + len(m)
+            while q > start:
+                p = back[q]
+                if via[q] >= 0:
+                    out.append(via[q])
+                else:
+                    out += [byte_ids[_HIDDEN.get(b, b)] for b in reversed(text[p:q])]
+                q = p
+            out.reverse()
+            self.memo[c] = tuple(out)
+
+    def _relax(self, text: bytes, chunks: list[bytes], marked: list[bytes], begin: np.ndarray, piece: np.ndarray) -> None:
+        """The same from left to right over the edges sorted by position."""
         order = np.lexsort((-self.lengths[piece], begin))
         begin, piece = begin[order], piece[order]
-        self._relax(text, chunks, begin.tolist(), (begin + self.lengths[piece]).tolist(), self.name_cost[piece].tolist(), self.name_id[piece].tolist())
-
-    def _relax(self, text: bytes, chunks: list[bytes], begin: list, end: list, cost: list, ids: list) -> None:
+        begin, end, cost, ids = begin.tolist(), (begin + self.lengths[piece]).tolist(), self.name_cost[piece].tolist(), self.name_id[piece].tolist()
         n = len(text)
         best, back, via = [math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         starts, at = [], 0
-        for c in chunks:
+        for c in marked:
             starts.append(at)
             best[at] = 0.0
             at += len(c) + 1
@@ -144,8 +190,8 @@ class PieceCodec:
             total = here + byte_cost * size
             if q <= n and total < best[q]:
                 best[q], back[q], via[q] = total, p, -1
-        for start, c in zip(starts, chunks):
-            out, q = [], start + len(c)
+        for start, c, m in zip(starts, chunks, marked):
+            out, q = [], start + len(m)
             while q > start:
                 p = back[q]
                 out += [via[q]] if via[q] >= 0 else [self.byte_ids[_HIDDEN.get(b, b)] for b in reversed(text[p:q])]
