@@ -35,8 +35,9 @@ from tarnfield.llm.text import as_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581".encode()
 ZIPF_SHIFT = 10
-#: Bytes of chunks that one suffix array indexes, and chunks a worker remembers.
-INDEX_BYTES, MEMO_CHUNKS = 1 << 18, 400_000
+#: Bytes of text that are chunked at once, bytes of chunks that one suffix array
+#: indexes, and chunks a worker remembers.
+TEXT_BYTES, INDEX_BYTES, MEMO_CHUNKS = 1 << 22, 1 << 18, 300_000
 #: Longest chunk, in bytes, that is relaxed side by side with others.
 TOGETHER = 64
 
@@ -199,8 +200,19 @@ class PieceCodec:
             self.memo[c] = tuple(reversed(out))
 
     def encode_batch(self, texts: list[bytes | None]) -> list[array]:
-        """Piece ids of each text (none for null or empty)."""
-        split = [self.chunks(t or b"") for t in texts]
+        """Piece ids of each text (none for null or empty), some TEXT_BYTES at a time."""
+        out: list[array] = []
+        group, size = [], 0
+        for t in texts:
+            group.append(t or b"")
+            size += len(group[-1])
+            if size >= TEXT_BYTES:
+                out += self._encode(group)
+                group, size = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[bytes]) -> list[array]:
+        split = list(map(self.chunks, texts))
         if len(self.memo) > MEMO_CHUNKS:
             self.memo.clear()
         new = dict.fromkeys(c for cs in split for c in cs if c not in self.memo)
