@@ -139,14 +139,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
 
 def take_mixed(docs: DataFrame) -> DataFrame:
     """The mixture: each document as often as it is taken, columns as they are."""
-    n, md5, nth, copies = fresh(["nth", "text_md5", "nth_in", "copies"], docs.columns)
+    n, md5, p_id, p_md5, p_nth, p_copies, p_epoch = fresh(["nth", "text_md5", "plan_id", "plan_md5", "plan_nth", "plan_copies", "plan_epoch"], docs.columns)
     plan = mix(docs).filter(F.col("copies") > 0)
     plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.desc("copies"))))
-    plan = plan.select(F.col("doc_id").alias("_p_id"), F.col("text_md5").alias("_p_md5"), F.col("nth").alias("_p_nth"), F.col("copies").alias("_p_copies"))
+    plan = plan.select(F.col("doc_id").alias(p_id), F.col("text_md5").alias(p_md5), F.col("nth").alias(p_nth), F.col("copies").alias(p_copies))
     rows = docs.withColumn(md5, text_md5(F.col("text")))
     rows = rows.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", md5).orderBy(md5)))
-    on = F.col("doc_id").eqNullSafe(F.col("_p_id")) & (F.col(md5) == F.col("_p_md5")) & (F.col(n) == F.col("_p_nth"))
-    out = rows.join(plan, on).withColumn("_p_epoch", F.explode(F.sequence(F.lit(1), F.col("_p_copies"))))
+    on = F.col("doc_id").eqNullSafe(F.col(p_id)) & (F.col(md5) == F.col(p_md5)) & (F.col(n) == F.col(p_nth))
+    out = rows.join(plan, on).withColumn(p_epoch, F.explode(F.sequence(F.lit(1), F.col(p_copies))))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -107,25 +107,28 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < MIN_WORDS) | (F.lit(100) * n_repeat > F.lit(MAX_REPEAT_PERCENT) * n_words)
 
 
-def attach(rows: DataFrame, params: DataFrame, n_groups: int, lang: Column, source: Column) -> DataFrame:
-    """Left join of the groups' estimates. Few groups are broadcast; beyond
-    BROADCAST_GROUPS both sides are salted, so that no group meets one task."""
-    params = params.withColumnsRenamed({"lang": "_g_lang", "source": "_g_source"})
-    on = lang.eqNullSafe(F.col("_g_lang")) & source.eqNullSafe(F.col("_g_source"))
+def attach(rows: DataFrame, params: DataFrame, n_groups: int, lang: str, source: str, vector: list[str] = VECTOR) -> tuple[DataFrame, str]:
+    """Left join of the groups' estimates, as one struct column whose name is returned.
+
+    Few groups are broadcast; beyond BROADCAST_GROUPS both sides are salted, so that
+    no group meets one task."""
+    own, g_lang, g_source, salt, salt_to = fresh(["group", "g_lang", "g_source", "salt", "salt_to"], rows.columns)
+    params = params.select(F.col("lang").alias(g_lang), F.col("source").alias(g_source), F.struct(*(c for c in params.columns if c not in ("lang", "source"))).alias(own))
+    on = F.col(f"`{lang}`").eqNullSafe(F.col(g_lang)) & F.col(f"`{source}`").eqNullSafe(F.col(g_source))
     if n_groups <= BROADCAST_GROUPS:
         params = F.broadcast(params)
     else:
-        rows = rows.withColumn("_g_salt", F.pmod(F.xxhash64(*VECTOR), F.lit(SALTS)))
-        params = params.withColumn("_g_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        on = on & (F.col("_g_salt") == F.col("_g_salt2"))
-    return rows.join(params, on, "left")
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(*vector), F.lit(SALTS)))
+        params = params.withColumn(salt_to, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        on = on & (F.col(salt) == F.col(salt_to))
+    return rows.join(params, on, "left").drop(g_lang, g_source, salt, salt_to), own
 
 
-def squared_distance(names: list[str] = VECTOR) -> Column:
-    d = [F.col(c) - F.col(f"m{i}") for i, c in enumerate(names)]
+def squared_distance(group: str, names: list[str] = VECTOR) -> Column:
+    d = [F.col(c) - F.col(f"{group}.m{i}") for i, c in enumerate(names)]
     total = F.lit(0.0)
     for i, j in _PAIRS:
-        total = total + d[i] * d[j] * F.col(f"a{i}{j}") * (1.0 if i == j else 2.0)
+        total = total + d[i] * d[j] * F.col(f"{group}.a{i}{j}") * (1.0 if i == j else 2.0)
     return total
 
 
@@ -176,8 +179,9 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     params = materialise(hist.groupBy("lang", "source").applyInPandas(_first, _PARAM_SCHEMA).filter(F.col("n_fit") >= MIN_GROUP))
     n_groups = params.count()
     for _ in range(STEPS):
-        near = attach(rows, params, n_groups, F.col("lang"), F.col("source")).filter(F.col("n_fit").isNotNull())
-        near = near.withColumn("bin", F.floor(16 * F.log2(F.greatest(squared_distance(), F.lit(1e-3)))).cast("int"))
+        near, group = attach(rows, params, n_groups, "lang", "source")
+        near = near.filter(F.col(group).isNotNull())
+        near = near.withColumn("bin", F.floor(16 * F.log2(F.greatest(squared_distance(group), F.lit(1e-3)))).cast("int"))
         sums = [F.sum(f"v{i}").alias(f"s{i}") for i in range(5)] + [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
         binned = near.groupBy("lang", "source", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
         last, params = params, materialise(binned.groupBy("lang", "source").applyInPandas(_next, _PARAM_SCHEMA))
@@ -188,9 +192,10 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
 def judged(rows: DataFrame, params: DataFrame, n_groups: int, lang: str = "lang", source: str = "source", named: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with base_failed, distance (null: no estimate) and kept."""
     named = named or {c: c for c in (*BASE, *VECTOR)}
+    vector = [named[c] for c in VECTOR]
     failed = base_failed(F.col(named["n_words"]), F.col(named["n_repeat_words"]))
-    out = attach(rows, params, n_groups, F.col(lang), F.col(source))
-    distance = F.sqrt(F.greatest(squared_distance([named[c] for c in VECTOR]), F.lit(0.0)))
+    out, group = attach(rows, params, n_groups, lang, source, vector)
+    distance = F.when(F.col(group).isNotNull(), F.sqrt(F.greatest(squared_distance(group, vector), F.lit(0.0))))
     far = F.coalesce(distance > CUTOFF**0.5, F.lit(False))
     new = fresh(["base_failed", "distance", "kept"], rows.columns)
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), failed.alias(new[0]), F.round(distance, 6).alias(new[1]), (~failed & ~far).alias(new[2]))
@@ -215,12 +220,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The statistics are computed twice (once to fit, once beside the text), which
     costs less than moving every text through a join."""
-    stats, _ = with_statistics(docs, "text", ["lang", "source"])
+    stats, _ = with_statistics(docs.select(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text"), "text", ["lang", "source"])
     slim = materialise(stats)
     params, n_groups = fit(slim)
     whole, named = with_statistics(docs, "text", docs.columns)
-    if any(named[c] != c for c in VECTOR):
-        raise ValueError("documents must not have columns named v0 to v4")
     out = judged(whole, params, n_groups, named=named)
     return out.filter(F.col(out.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -105,20 +105,28 @@ class PieceCodec:
     def _index(self, chunks: list[bytes], relax) -> None:
         marked = [c.replace(b" ", MARK) for c in chunks]
         text = b"\x00".join(marked) + b"\x00"
+        begins, pieces, most = [], [], 2 * INDEX_BYTES
+        for at in range(0, len(text), most):  # one part, unless a chunk is very long
+            begin, piece = self._occurrences(text[at : at + most + self.longest])
+            own = begin < most
+            begins.append(begin[own] + at)
+            pieces.append(piece[own])
+        begin, piece = np.concatenate(begins), np.concatenate(pieces)
+        relax(text, chunks, marked, begin, piece)
+
+    def _occurrences(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where every piece occurs in a text: the suffixes it begins are neighbours in the suffix array."""
         n, width = len(text), self.longest
         padded = np.frombuffer(text + b"\x00" * width, np.uint8)
         keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[:n]).view(f"S{width}")[:, 0]
         suffixes = np.argsort(keys, kind="stable")
         ordered = keys[suffixes]
         low = np.searchsorted(ordered, self.names, "left")
-        high = np.searchsorted(ordered, self.behind, "right")
-        count = high - low
+        count = np.searchsorted(ordered, self.behind, "right") - low
         which = np.nonzero(count)[0]
-        count = count[which]
+        low, count = low[which], count[which]
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        begin = suffixes[np.repeat(low[which], count) + nth]
-        piece = np.repeat(which, count)
-        relax(text, chunks, marked, begin, piece)
+        return suffixes[np.repeat(low, count) + nth], np.repeat(which, count)
 
     def _relax_together(self, text: bytes, chunks: list[bytes], marked: list[bytes], begin: np.ndarray, piece: np.ndarray) -> None:
         """All edges that begin at the same offset of their chunks are relaxed at once."""

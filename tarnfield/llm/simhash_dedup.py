@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.tables import drop, fresh, materialise, shuffle_partitions
@@ -200,14 +200,13 @@ def least_reachable(edges: DataFrame) -> DataFrame:
 
 
 def class_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id): component_id is the least doc_id of all whose fingerprints are connected.
-
-    ``fps`` has doc_id and fp."""
+    """(fp, root, component_id): root is the component's least fingerprint, component_id
+    the least doc_id of all whose fingerprints are connected. ``fps`` has doc_id and fp."""
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     stars = least_reachable(links(nodes, radius))
     root = nodes.join(stars.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "least_id", F.coalesce("v", "fp").alias("root"))
     least = root.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return root.join(least, "root").select("fp", "component_id")
+    return root.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -219,28 +218,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result. Fingerprints are compared in full, no bucket is capped.
     """
     fps = materialise(fingerprints(docs, [id_col], text_col, "fp").withColumnRenamed(id_col, "doc_id"))
-    found = class_components(fps, radius).withColumnRenamed("fp", "_fp")
+    found = class_components(fps, radius).select(F.col("fp").alias("_fp"), "component_id")
     out = fps.join(found, F.col("fp") == F.col("_fp"))
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component (its least doc_id), columns as they are.
-
-    Texts do not move: fingerprints are computed once more beside them, and the
-    few fingerprints whose component is another document's decide by a join on
-    the id that stays."""
-    fp, nth = fresh(["fp_in", "nth_in"], docs.columns)
-    slim = materialise(fingerprints(docs, ["doc_id"], "text", "fp"))
-    found = class_components(slim).select("component_id").distinct()
-    keep = found.withColumnRenamed("component_id", "_stay")
-    # a row stays if its id is its component's least; rows that repeat an id are told apart by text
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    repeated = slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    if repeated:
-        from pyspark.sql import Window
-
-        rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(nth) == 1)
+    """One document of each component, columns as they are: its least doc_id (null
+    last), of rows with equal ids the least MD5 of the text, of equal rows one.
+
+    Only ids and digests are sorted out; the texts meet the rows that stay once."""
+    md5, stay_id, stay_md5, nth = fresh(["text_md5", "stay_id", "stay_md5", "nth"], docs.columns)
+    own_md5 = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    slim = materialise(fingerprints(docs.select("doc_id", own_md5.alias("digest"), "text"), ["doc_id", "digest"], "text", "fp"))
+    found = class_components(slim).select(F.col("fp").alias("_fp"), "root")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    stay = slim.join(found, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min(place).alias("p"))
+    stay = stay.select(F.col("p.doc_id").alias(stay_id), F.col("p.digest").alias(stay_md5))
+    rows = docs.withColumn(md5, own_md5)
+    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col(stay_id)) & (F.col(md5) == F.col(stay_md5)), "left_semi")
+    if slim.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", md5).orderBy(md5))).filter(F.col(nth) == 1)
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

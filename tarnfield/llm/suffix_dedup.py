@@ -418,9 +418,10 @@ def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | Non
 def repeats(docs: DataFrame, key: str, text_col: str, keyed: DataFrame, ranges: int) -> DataFrame:
     """(key, spans): for each key the intervals to remove. ``keyed`` are all
     columns of the documents, dealt by ``key``."""
-    places = repeated_anchors(docs, key, text_col, ranges).withColumnRenamed("key", "_at")
-    joined = keyed.join(places.hint("shuffle_hash"), F.col(key) == F.col("_at"), "left")
-    key_at, text_at, pos_at = joined.columns.index(key), joined.columns.index(text_col), joined.columns.index("pos")
+    place_key, pos = fresh(["place_key", "pos"], keyed.columns)
+    places = repeated_anchors(docs, key, text_col, ranges).withColumnsRenamed({"key": place_key, "pos": pos})
+    joined = keyed.join(places.hint("shuffle_hash"), F.col(key) == F.col(place_key), "left")
+    key_at, text_at, pos_at = joined.columns.index(key), joined.columns.index(text_col), joined.columns.index(pos)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -468,14 +469,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document, and each gets its result.
     """
     ranges = shuffle_partitions(docs.sparkSession)
-    key, *new = fresh(["_k", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [*docs.columns, "_at", "pos", "_key", "_spans"])
+    key, span_key, span_col, *new = fresh(["k", "span_key", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"], docs.columns)
     named = dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), new))
     with_key = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)))
     keyed = with_key.repartition(ranges, key)  # the texts' one exchange, used by both joins
-    spans = repeats(with_key, key, text_col, keyed, ranges)
-    joined = keyed.join(spans.hint("shuffle_hash"), F.col(key) == F.col("_key"), "left")
+    spans = repeats(with_key, key, text_col, keyed, ranges).withColumnsRenamed({"_key": span_key, "_spans": span_col})
+    joined = keyed.join(spans.hint("shuffle_hash"), F.col(key) == F.col(span_key), "left")
     names = docs.columns
-    text_at, spans_at, n = joined.columns.index(text_col), joined.columns.index("_spans"), len(names)
+    text_at, spans_at, n = joined.columns.index(text_col), joined.columns.index(span_col), len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
