@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import domain, evidence, features, inject, metrics, protocol, quality, ranking
+from tarnfield.operators import domain, evidence, explain, features, inject, metrics, models, protocol, quality, ranking
 from tarnfield.plans import search
 from tarnfield.schema import BANDS, IS_GALACTIC, KNOWN, POPULATIONS, taxonomy
 from tarnfield.sources import alerts, views
@@ -624,6 +624,72 @@ def alert_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _alert_sql = f"WITH {PHOTOMETRY_SQL}, i AS (SELECT *, ('0x' || substr(sha256(object_id::VARCHAR), 1, 8))::BIGINT % 2147483647 AS id FROM phot WHERE passband IN (1, 2, 3)) SELECT id AS object_id, passband::BIGINT AS passband, count(*)::BIGINT AS n_obs, round(sum(flux) + {NUDGE}, 4) + 0.0 AS flux_sum, sum(detected_bool)::BIGINT AS n_det FROM i GROUP BY id, passband"
 
 
+# ---- models and explanations -------------------------------------------------
+
+
+def standardised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return rounded(models.standardised(v, models.standardiser(v.filter("object_id % 2 = 0"), _FEATS)))
+
+
+_standard_sql = "WITH v AS (SELECT vec_id AS object_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {f}" for i, f in enumerate(_FEATS)) + " FROM embeddings), s AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}, quantile_cont({f}, {models.SIGMA_HIGH}) - quantile_cont({f}, {models.SIGMA_LOW}) AS w_{f}" for f in _FEATS) + " FROM v WHERE object_id % 2 = 0) SELECT object_id, label::BIGINT AS label, " + ", ".join(_r(f"({f} - m_{f}) / w_{f}", f) for f in _FEATS) + " FROM v, s"
+
+
+def anomaly_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return rounded(models.AnomalyEnsemble(_FEATS).fit(v.filter("object_id % 2 = 0")).distances(v).select("object_id", "mahalanobis", "pca_residual"))
+
+
+def known_class_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.Prior(_FEATS).fit(_vectors(spark, sf_dir)).accuracy()
+
+
+def predictive_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return models.bootstrap_uncertainty(v.filter("object_id % 2 = 0"), v, _FEATS)
+
+
+def density_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return models.density_ratio_weights(v.filter("label < 5"), v.filter("label >= 5"), _FEATS)
+
+
+def adversarial_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return models.adversarial_validation(v.filter("label < 5"), v.filter("label >= 5"), _FEATS)
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _evidence(spark, sf_dir).withColumn("error", F.col("y").cast("double"))
+    return rounded(models.calibration_cells(e, "best_fit_prob", "quality", "error"))
+
+
+_calibration_sql = f"WITH {_EVIDENCE_SQL}, e AS (SELECT quantile_cont(best_fit_prob, [0.2, 0.4, 0.6, 0.8]) AS a, quantile_cont(quality, [0.2, 0.4, 0.6, 0.8]) AS b FROM ev) SELECT len(list_filter(a, lambda x: x <= best_fit_prob))::BIGINT AS c_bin, len(list_filter(b, lambda x: x <= quality))::BIGINT AS n_bin, count(*)::BIGINT AS n, {_r('avg(y)', 'mean_error')}, count(*) < 40 AS thin FROM ev, e GROUP BY ALL"
+
+
+def feature_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    rows = v.withColumn("best_fit_code", F.pmod(F.col("label") + 1, F.lit(10)))
+    return rounded(explain.feature_deviations(rows, evidence.class_statistics(v, _FEATS), _FEATS, 1.5))
+
+
+_deviation_sql = f"WITH {_LONG_SQL}, z AS (SELECT object_id, lf.feature, v AS value, (v - mean) / sd AS z FROM lf JOIN cs ON cs.label = (lf.label + 1) % 10 AND cs.feature = lf.feature AND sd > 1e-12), k AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY abs(z) DESC, feature) AS rank FROM z WHERE abs(z) >= 1.5) SELECT object_id, feature, {_r('value')}, {_r('z')}, rank::BIGINT AS rank FROM k WHERE rank <= 5"
+
+
+def analogue_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(explain.analogues(_near(spark, sf_dir)))
+
+
+_analogue_sql = f"WITH {_KNN_SQL}, c AS (SELECT query_id, label, count(*) AS n FROM near WHERE distance <= 12 GROUP BY ALL) SELECT query_id AS object_id, sum(n)::BIGINT AS n_analogues, first(label ORDER BY n DESC, label)::BIGINT AS dominant, {_r('max(n) / sum(n)', 'purity')}, sum(n) >= 3 AS reliable FROM c GROUP BY query_id"
+
+
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(explain.contributions(_evidence(spark, sf_dir), ranking.BASELINE).drop("summary"))
+
+
+_explain_sql = f"WITH {_EVIDENCE_SQL}, p AS (SELECT object_id, unnest([{', '.join(repr(c) for c in _W)}]) AS driver, unnest([{', '.join(f'{c} * {w!r}::DOUBLE' for c, w in _W.items())}]) AS share FROM ev) SELECT object_id, first(driver ORDER BY share DESC, driver DESC) AS driver, {_r('max(share)', 'share')} FROM p GROUP BY object_id"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, gate and queue: the twenty brightest objects of good quality."""
     obs = views.photometry(spark, sf_dir)
@@ -641,7 +707,9 @@ _ALL = {
     review_queue: _queue_sql, queue_page: _page_sql, queue_summary: _summary_sql, abstention_policy: _policy_sql,
     auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql, per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: None, weight_search: _search_sql(), ablation: _ablation_sql(),
     drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: None,
-    object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), alert_round_trip: _alert_sql, flagship: _flagship_sql,
+    object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), alert_round_trip: _alert_sql,
+    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql,
+    flagship: _flagship_sql,
 }
 
 
