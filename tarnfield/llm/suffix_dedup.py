@@ -19,8 +19,13 @@ suffixes that start at anchors need sorting.
    offset o left of the anchor is equal where the merged common prefix reaches
    WINDOW - o and the o bytes to the left agree; all but the earliest are marked.
 
-Everything that is sent is blocks of bytes per (task, range), so no group of rows
-of one anchor is ever collected: a task sends each distinct context once.
+Everything that is sent is blocks of bytes per (task, range), and a task sends each
+distinct context once. An anchor in very many places (a short line that a third
+of all documents have, say) would still gather its contexts in one range: anchors
+beyond a share of 1 / HOT_MOST of all, and HOT_LEAST places, are split. Their
+windows, 69 for each suffix, are dealt by a 128-bit hash of the window itself, each
+task sending each distinct window once, so nothing of a hot anchor meets in one
+place but equal windows of different tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.tables import fresh, shuffle_partitions
+from tarnfield.llm.tables import fresh, materialise, shuffle_partitions
 from tarnfield.llm.text import as_bytes
 
 WINDOW, GRAM = 100, 32
@@ -43,6 +48,9 @@ SPAN = WINDOW - GRAM + 1
 #: Text that is scanned at once, and text whose runs are built together.
 SCAN_BYTES, RUN_BYTES = 1 << 20, 1 << 23
 NULL_ID = -(1 << 63)
+#: An anchor is hot from this many places on, and at most HOT_MOST anchors are: as
+#: all places together are the total, that many hashes (8 MB) bound what is broadcast.
+HOT_LEAST, HOT_MOST = 100_000, 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -151,6 +159,7 @@ def _blobs(arrays: dict[str, list]) -> pa.RecordBatch:
 
 
 _PLACE = np.dtype([("key", "<i8"), ("at", "<i4")])
+_COUNT = np.dtype([("hash", "<u8"), ("n", "<i8")])
 
 
 def _split(rows: np.ndarray, by: str) -> tuple[pa.Array, list[np.ndarray]]:
@@ -167,8 +176,9 @@ def _dealt(rows: np.ndarray, by: str, ranges: int) -> pa.Table:
     return pa.table({"b": pa.array(list(blobs), pa.int32()), "rows": pa.array(list(blobs.values()), pa.binary())})
 
 
-def repeated_anchors(docs: DataFrame, key: str, text_col: str, ranges: int) -> DataFrame:
-    """(key, pos): for each key the positions of anchors that occur twice or more."""
+def repeated_anchors(docs: DataFrame, key: str, text_col: str, ranges: int) -> tuple[DataFrame, np.ndarray]:
+    """(key, pos), for each key the positions of anchors that occur twice or more, and
+    the hashes of hot anchors."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in _gather(batches, 1, RUN_BYTES):
@@ -182,34 +192,95 @@ def repeated_anchors(docs: DataFrame, key: str, text_col: str, ranges: int) -> D
             again[:-1] |= ~first[1:]  # repeated in this task: settled, only one goes on to be counted
             rows: dict[int, list[bytes]] = {}
             send_at = np.where(again, np.int32(-1), at)
-            for r, (a, b, c) in _by_range(_range_of(h[first], ranges), h[first], own[first], send_at[first]):
-                rows[r] = [a.tobytes(), b.tobytes(), c.tobytes(), b"", b""]
-            for r, (b, c) in _by_range(_range_of(own[again].view(np.uint64), ranges), own[again], at[again]):
-                rows.setdefault(r, [b"", b"", b"", b"", b""])[3:] = [b.tobytes(), c.tobytes()]
-            yield _blobs({"r": list(rows)} | {n: [v[k] for v in rows.values()] for k, n in enumerate(("h", "k", "p", "ks", "ps"))})
+            times = np.diff(np.append(np.nonzero(first)[0], len(h))).astype(np.int32)
+            for r, cols in _by_range(_range_of(h[first], ranges), h[first], own[first], send_at[first], times):
+                rows[r] = [c.tobytes() for c in cols] + [b"", b""]
+            for r, cols in _by_range(_range_of(own[again].view(np.uint64), ranges), own[again], at[again]):
+                rows.setdefault(r, [b""] * 6)[4:] = [c.tobytes() for c in cols]
+            yield _blobs({"r": list(rows)} | {n: [v[k] for v in rows.values()] for k, n in enumerate(("h", "k", "p", "n", "ks", "ps"))})
 
     def count(table: pa.Table) -> pa.Table:
         def read(name: str, kind: str) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-        h, own, at = read("h", "<u8"), read("k", "<i8"), read("p", "<i4")
+        h, own, at, times = read("h", "<u8"), read("k", "<i8"), read("p", "<i4"), read("n", "<i4").astype(np.int64)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
+        first = np.nonzero(np.concatenate(([True], ~same)))[0] if len(h) else np.zeros(0, np.int64)
+        places = np.add.reduceat(times[order], first) if len(h) else times
+        many = places >= HOT_LEAST
+        often = np.rec.fromarrays((h[order][first[many]], places[many]), dtype=_COUNT)
         again = np.zeros(len(h), bool)
         again[1:] |= same
         again[:-1] |= same
         again = order[again & (at[order] >= 0)]
         own = np.concatenate((own[again], read("ks", "<i8")))
         at = np.concatenate((at[again], read("ps", "<i4")))
-        return _dealt(np.rec.fromarrays((own, at), dtype=_PLACE), "key", ranges)
+        back = _dealt(np.rec.fromarrays((own, at), dtype=_PLACE), "key", ranges)
+        back = pa.concat_tables([back, pa.table({"b": pa.array([-1], pa.int32()), "rows": pa.array([often.tobytes()], pa.binary())})])
+        total = [0] * (back.num_rows - 1) + [int(times.sum())]
+        return back.append_column("total", pa.array(total, pa.int64()))
 
     def positions(table: pa.Table) -> pa.Table:
         places = np.unique(np.frombuffer(b"".join(table.column("rows").to_pylist()), _PLACE))
         keys, parts = _split(places, "key")
         return pa.table({"key": keys, "pos": pa.array([np.ascontiguousarray(p["at"]).tobytes() for p in parts], pa.binary())})
 
-    sent = docs.select(key, text_col).mapInArrow(send, "r int, h binary, k binary, p binary, ks binary, ps binary")
-    return sent.groupBy("r").applyInArrow(count, "b int, rows binary").groupBy("b").applyInArrow(positions, "key long, pos binary")
+    sent = docs.select(key, text_col).mapInArrow(send, "r int, h binary, k binary, p binary, n binary, ks binary, ps binary")
+    counted = materialise(sent.groupBy("r").applyInArrow(count, "b int, rows binary, total long"))
+    least = max(HOT_LEAST, (counted.agg(F.sum("total")).first()[0] or 0) // HOT_MOST)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), _COUNT)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["hash"][rows["n"] >= least].view(np.int64))], names=["hash"])
+
+    found = counted.filter("b = -1").select("rows").mapInArrow(hashes, "hash long").collect()  # HOT_MOST at most
+    hot = np.sort(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
+    places = counted.filter("b >= 0").select("b", "rows").groupBy("b").applyInArrow(positions, "key long, pos binary")
+    return places, hot
+
+
+# ---- windows of hot anchors
+
+
+_WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("text", "<u8"), ("at", "<i4")])
+
+
+def window_blobs(contexts: list[tuple[bytes, bytes, tuple[int, int, int]]], ranges: int) -> tuple[dict[int, bytes], list[tuple[int, int, int, int]]]:
+    """By range the distinct windows of the contexts at their earliest places, and
+    the intervals that are settled here."""
+    best: dict[bytes, tuple[int, int, int]] = {}
+    settled = []
+    for right, left, (key, text, at) in contexts:
+        for o in range(max(0, WINDOW - len(right)), min(SPAN - 1, len(left)) + 1):
+            digest = xxhash.xxh3_128_digest(left[len(left) - o :] + right[: WINDOW - o])
+            place = (key, text, at - o)
+            first = best.setdefault(digest, place)
+            if first == place:
+                continue
+            if first > place:
+                best[digest], place = place, first
+            settled.append((*place, place[2] + WINDOW))
+    table = np.zeros(len(best), _WINDOW)
+    table["high"], table["low"] = np.frombuffer(b"".join(best), "<u8").reshape(-1, 2).T
+    for k, name in enumerate(("key", "text", "at")):
+        table[name] = np.array([p[k] for p in best.values()], table.dtype[name])
+    return {r: own.tobytes() for r, (own,) in _by_range(table["high"] % np.uint64(ranges), table)}, settled
+
+
+def repeated_windows(blobs: list[bytes]) -> np.ndarray:
+    """Intervals of all windows but the earliest of each kind."""
+    rows = np.frombuffer(b"".join(blobs), _WINDOW)
+    rows = rows[np.lexsort((rows["at"], rows["text"], rows["key"], rows["low"], rows["high"]))]
+    same = (rows["high"][1:] == rows["high"][:-1]) & (rows["low"][1:] == rows["low"][:-1])
+    again = np.concatenate(([False], same)) if len(rows) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(rows)))) if len(rows) else np.zeros(0, np.int64)
+    lead = rows[head]
+    again &= (rows["key"] != lead["key"]) | (rows["text"] != lead["text"]) | (rows["at"] != lead["at"])
+    out = np.zeros(int(again.sum()), _INTERVAL)
+    out["key"], out["text"], out["begin"], out["end"] = rows["key"][again], rows["text"][again], rows["at"][again], rows["at"][again] + WINDOW
+    return out
 
 
 # ---- runs -------------------------------------------------------------------
@@ -376,8 +447,8 @@ def merged_intervals(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | None], ranges: int) -> dict[int, list]:
-    """For each range [run, intervals] of the suffixes at the given positions."""
+def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | None], ranges: int, hot: np.ndarray) -> dict[int, list]:
+    """For each range [run, intervals, windows] of the suffixes at the given positions."""
     contexts: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
     settled: list[tuple[int, int, int, int]] = []
     for key, raw, places in zip(keys.tolist(), texts, positions):
@@ -399,6 +470,15 @@ def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | Non
             if len(left) + len(right) >= WINDOW:
                 settled.append((key_, text_, at_ - len(left), at_ + len(right)))
     rows: dict[int, list] = {}
+    if len(hot) and contexts:
+        grams = np.frombuffer(b"".join(c[0][:GRAM] for c in contexts), np.uint8)
+        split = np.isin(gram_hashes(grams)[::GRAM], hot)
+        apart = [(*c, contexts[c]) for c, x in zip(list(contexts), split.tolist()) if x]
+        for c in apart:
+            del contexts[c[0], c[1]]
+        windows, more = window_blobs(apart, ranges)
+        rows = {r: [b"", b"", w] for r, w in windows.items()}
+        settled += more
     order = sorted((xxhash.xxh32_intdigest(c[0][:GRAM]) % ranges, *c) for c in contexts)
     begin = 0
     while begin < len(order):
@@ -406,12 +486,12 @@ def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | Non
         while end < len(order) and order[end][0] == r:
             end += 1
         own = order[begin:end]
-        rows[r] = [encode_run([o[1] for o in own], [o[2] for o in own], [contexts[o[1], o[2]] for o in own]), b""]
+        rows.setdefault(r, [b"", b"", b""])[0] = encode_run([o[1] for o in own], [o[2] for o in own], [contexts[o[1], o[2]] for o in own])
         begin = end
     if settled:
         table = np.array(settled, _INTERVAL)
         for r, (piece,) in _by_range(_range_of(table["key"].view("<u8"), ranges), table):
-            rows.setdefault(r, [b"", b""])[1] = piece.tobytes()
+            rows.setdefault(r, [b"", b"", b""])[1] = piece.tobytes()
     return rows
 
 
@@ -419,7 +499,8 @@ def repeats(docs: DataFrame, key: str, text_col: str, keyed: DataFrame, ranges:
     """(key, spans): for each key the intervals to remove. ``keyed`` are all
     columns of the documents, dealt by ``key``."""
     place_key, pos = fresh(["place_key", "pos"], keyed.columns)
-    places = repeated_anchors(docs, key, text_col, ranges).withColumnsRenamed({"key": place_key, "pos": pos})
+    places, hot = repeated_anchors(docs, key, text_col, ranges)
+    places = places.withColumnsRenamed({"key": place_key, "pos": pos})
     joined = keyed.join(places.hint("shuffle_hash"), F.col(key) == F.col(place_key), "left")
     key_at, text_at, pos_at = joined.columns.index(key), joined.columns.index(text_col), joined.columns.index(pos)
 
@@ -427,15 +508,16 @@ def repeats(docs: DataFrame, key: str, text_col: str, keyed: DataFrame, ranges:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for held, texts in _gather(batches, text_at, RUN_BYTES):
             positions = [p for b in held for p in b.column(pos_at).to_pylist()]
-            rows = build_runs(_column(held, key_at), texts, positions, ranges)
-            yield _blobs({"r": list(rows), "run": [squeeze(v[0]) for v in rows.values()], "settled": [squeeze(v[1]) for v in rows.values()]})
+            rows = build_runs(_column(held, key_at), texts, positions, ranges, hot)
+            yield _blobs({"r": list(rows)} | {n: [squeeze(v[k]) for v in rows.values()] for k, n in enumerate(("run", "settled", "windows"))})
 
     def merge(table: pa.Table) -> pa.Table:
         spread = zstandard.ZstdDecompressor().decompress
         runs = [r for r in map(spread, table.column("run").to_pylist()) if r]
         found = np.array(merged_intervals(runs), _INTERVAL)
         known = np.frombuffer(b"".join(map(spread, table.column("settled").to_pylist())), _INTERVAL)
-        return _dealt(np.concatenate((found, known)), "key", ranges)
+        windows = repeated_windows(list(map(spread, table.column("windows").to_pylist())))
+        return _dealt(np.concatenate((found, known, windows)), "key", ranges)
 
     def unite(table: pa.Table) -> pa.Table:
         """One row for each document: its maximal intervals."""
@@ -454,7 +536,7 @@ def repeats(docs: DataFrame, key: str, text_col: str, keyed: DataFrame, ranges:
         keys, parts = _split(rows, "key")
         return pa.table({"_key": keys, "_spans": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    runs = joined.mapInArrow(build, "r int, run binary, settled binary")
+    runs = joined.mapInArrow(build, "r int, run binary, settled binary, windows binary")
     return runs.groupBy("r").applyInArrow(merge, "b int, rows binary").groupBy("b").applyInArrow(unite, "_key long, _spans binary")
 
 

@@ -170,11 +170,16 @@ def cut_by_force(rows):
     return out
 
 
-def test_suffix_dedup_equals_brute_force(spark, odd, empty):
+@pytest.mark.parametrize("hot_from", [100_000, 6, 1])
+def test_suffix_dedup_equals_brute_force(spark, odd, empty, monkeypatch, hot_from):
+    """Whatever anchors count as hot, the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", hot_from)
     shared = prose(40, 99)
     rows = [(i, t, None, None, None) for i, t, *_ in odd] + [(100 + i, prose(30, 200 + i) + shared + prose(10 + i, 300 + i), None, None, None) for i in range(12)]
     rows += [(200, "ab" * 400, None, None, None), (201, "xx" + "ab" * 300, None, None, None)]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3).select("doc_id", "text"))[0].collect()
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).select("doc_id", "text")
+    got = suffix_dedup.remove_repeats(docs)[0].collect()
+    assert bool(len(suffix_dedup.repeated_anchors(docs.na.fill(0, ["doc_id"]), "doc_id", "text", 4)[1])) == (hot_from < 100)
     expect = cut_by_force([(r[0], r[1]) for r in rows])
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(
