@@ -37,7 +37,7 @@ MARK = "\u2581".encode()
 ZIPF_SHIFT = 10
 #: Bytes of text that are chunked at once, bytes of chunks that one suffix array
 #: indexes, and chunks a worker remembers.
-TEXT_BYTES, INDEX_BYTES, MEMO_CHUNKS = 1 << 22, 1 << 18, 300_000
+TEXT_BYTES, INDEX_BYTES, MEMO_CHUNKS = 1 << 21, 1 << 16, 150_000
 #: Longest chunk, in bytes, that is relaxed side by side with others.
 TOGETHER = 64
 
