@@ -37,7 +37,7 @@ MARK = "\u2581".encode()
 ZIPF_SHIFT = 10
 #: Bytes of text that are chunked at once, bytes of chunks that one suffix array
 #: indexes, and chunks a worker remembers.
-TEXT_BYTES, INDEX_BYTES, MEMO_CHUNKS = 1 << 21, 1 << 16, 150_000
+TEXT_BYTES, INDEX_BYTES, MEMO_CHUNKS = 1 << 22, 1 << 17, 300_000
 #: Longest chunk, in bytes, that is relaxed side by side with others.
 TOGETHER = 64
 
@@ -79,6 +79,7 @@ class PieceCodec:
         stop = b" " + re.escape(lone.replace(b" ", b""))
         self.chunker = None if crossing else re.compile(rb" +[^%s]*|[^%s]+|[%s]" % (stop, stop, stop))
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def chunks(self, raw: bytes) -> list[bytes]:
         """Runs that no piece reaches out of; spaces are still spaces, and a U+2581 of
@@ -221,9 +222,13 @@ class PieceCodec:
 
     def _encode(self, texts: list[bytes]) -> list[array]:
         split = list(map(self.chunks, texts))
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        new = dict.fromkeys(c for cs in split for c in cs if c not in self.memo)
+        if len(self.memo) > MEMO_CHUNKS // 2:  # two generations: what is in use moves on
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = dict.fromkeys(c for cs in split for c in cs if c not in memo)
+        for c in [c for c in new if c in older]:
+            memo[c] = older[c]
+            del new[c]
         # a NUL separates chunks in the index, so one of the text's own is encoded by itself
         self.memo[b"\x00"] = (self.byte_ids[0],)
         new.pop(b"\x00", None)
