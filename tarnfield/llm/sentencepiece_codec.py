@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.llm.tables import fresh
-from tarnfield.llm.text import as_bytes
+from tarnfield.llm.text import as_bytes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581".encode()
@@ -264,10 +264,11 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            ids = own.encode_batch(as_bytes(batch.column(at)))
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = pa.array(np.frombuffer(b"".join(i.tobytes() for i in ids), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*names, out])
+            for part in slices(batch, at, TEXT_BYTES):
+                ids = own.encode_batch(as_bytes(part.column(at)))
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = pa.array(np.frombuffer(b"".join(i.tobytes() for i in ids), np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*names, out])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns]
     return docs.mapInArrow(run, ", ".join([*kinds, f"`{out}` array<int>"]))
@@ -296,10 +297,11 @@ def encoding_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
             rows = []
-            for raw, ids in zip(texts, own.encode_batch(texts)):
-                rows.append((len(ids), len(raw or b""), hashlib.sha256(ids.tobytes()).hexdigest(), own.decode(ids) == (raw or b"")))
+            for part in slices(batch, 1, TEXT_BYTES):
+                texts = as_bytes(part.column(1))
+                for raw, ids in zip(texts, own.encode_batch(texts)):
+                    rows.append((len(ids), len(raw or b""), hashlib.sha256(ids.tobytes()).hexdigest(), own.decode(ids) == (raw or b"")))
             cols = list(zip(*rows)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_pieces", "n_bytes", "ids_sha256", "round_trip"])
