@@ -13,6 +13,7 @@ from tarnfield.schema import clip
 # Cosmology, zero point, extinction ratios by band, galactic pole in degrees.
 H0, OMEGA_M, LIGHT_KM_S, ZERO_POINT, R_V = 70.0, 0.3, 299792.458, 27.5, 3.1
 EXTINCTION = (1.579, 1.180, 0.859, 0.661, 0.493, 0.394)
+WAVELENGTH_NM = (367.0, 482.5, 622.2, 754.5, 869.1, 971.0)
 POLE_RA, POLE_DEC, POLE_L = 192.85948, 27.12825, 122.93192
 Z_MAX, GRID_STEPS = 10.0, 1024
 DRAWS = 24
@@ -56,6 +57,18 @@ def extinction(mwebv: Column, band: int) -> Column:
     return mwebv * R_V * EXTINCTION[band]
 
 
+def k_correction(z: Column, band: Column, slopes: tuple[float, ...] | None = None) -> Column:
+    """Linear in redshift, steeper in bluer bands (1.6 at 400 nm) unless slopes are given."""
+    table = F.array(*(F.lit(float(s)) for s in slopes or [640.0 / nm for nm in WAVELENGTH_NM]))
+    return z * F.element_at(table, band.cast("int") + 1)
+
+
+def absolute_magnitude(apparent: Column, modulus: Column, absorbed: Column, k: Column | None = None) -> Column:
+    """Apparent less distance modulus and extinction, and less the K-correction where one is given."""
+    out = apparent - modulus - absorbed
+    return out if k is None else out - k
+
+
 def magnitude(flux: Column) -> Column:
     return F.when(flux > 0, -2.5 * F.log10(flux) + ZERO_POINT)
 

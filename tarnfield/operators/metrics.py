@@ -56,6 +56,26 @@ def stress(rows: DataFrame, targets: tuple[float, ...], ks: tuple[int, ...]) ->
     return grid.select("target", "k", w.alias("negative_weight"), (F.col("pos") / (F.col("pos") + w * F.col("neg"))).alias("precision"))
 
 
+def review_budget(rows: DataFrame, target: float, budgets: tuple[int, ...] = (10, 50, 100, 500, 1000)) -> DataFrame:
+    """What each budget of reviews brings at a lower base rate: weighted mass, positives, precision and lift.
+
+    A budget beyond the rows takes all of them. Only max(budgets) rows are ordered."""
+    total = rows.agg(F.avg("y").alias("base"))
+    top = rows.orderBy(F.desc("score"), "object_id").limit(max(budgets)).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "object_id")))
+    own = top.select("y", "rank", F.explode(F.array(*map(F.lit, budgets))).alias("budget")).filter(F.col("rank") <= F.col("budget"))
+    mass = own.groupBy("budget").agg(F.sum("y").cast("double").alias("recovered"), F.sum(1 - F.col("y")).cast("double").alias("others")).join(F.broadcast(total))
+    reviews = F.col("recovered") + F.col("others") * negative_weight(F.col("base"), target)
+    precision = F.when(reviews > 0, F.col("recovered") / reviews)
+    return mass.select("budget", reviews.alias("expected_reviews"), F.col("recovered").alias("expected_recovered"), precision.alias("precision"), (precision / target).alias("lift"))
+
+
+def audit(ranked: DataFrame, k: int = 100, low: float = 0.5) -> DataFrame:
+    """The queue's top k in one row: counts, quality, uncertainty, abstentions and false positives."""
+    top = ranked.filter(F.col("rank") <= k)
+    tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in ("critical", "high", "moderate", "routine")]
+    return top.agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("mean_quality"), F.min("quality").alias("min_quality"), F.count_if(F.col("quality") < low).alias("n_low_quality"), F.avg("uncertainty").alias("mean_uncertainty"), F.count_if("abstain").alias("n_abstained"), F.count_if(F.col("y") == 0).alias("n_false_positives"), *tiers)
+
+
 def per_class(rows: DataFrame, k: int, min_n: int = 30) -> DataFrame:
     """How often each group is among the top k, against its share."""
     n = rows.agg(F.count(F.lit(1)).alias("total"))

@@ -119,6 +119,32 @@ class Prior:
         return self.out_of_fold.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
+class GatedPrior(Prior):
+    """A prior whose probabilities are half its own and half those reweighed by a
+    two-way model of the family (``first_family``: labels of one of the two)."""
+
+    def __init__(self, features: list[str], first_family: tuple[int, ...], n_folds: int = 3, trees: int = 30, seed: int = 42) -> None:
+        super().__init__(features, n_folds, trees, seed)
+        self.first_family = first_family
+
+    def fit(self, rows: DataFrame) -> GatedPrior:
+        gated = rows.withColumn("label", F.col("label").isin(*self.first_family).cast("int"))
+        if gated.select("label").distinct().count() < 2:
+            raise ValueError("both families need rows")
+        self.gate = self._fit(gated)
+        super().fit(rows)
+        return self
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        gate = self.gate.transform(assembled(rows, self.features)).select("object_id", vector_to_array("probability")[1].alias("g"))
+        both = super().probabilities(rows).join(gate, "object_id")
+        side = F.transform("p", lambda v, i: v * F.when(i.isin(*self.first_family), F.col("g")).otherwise(1 - F.col("g")))
+        both = both.withColumn("q", side).withColumn("t", F.greatest(F.aggregate("q", F.lit(0.0), lambda a, v: a + v), F.lit(1e-12)))
+        both = both.withColumn("p", F.zip_with("p", "q", lambda a, b: 0.5 * a + 0.5 * b / F.col("t")))
+        total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
+        return both.withColumn("t", F.greatest(total, F.lit(1e-12))).select("object_id", F.transform("p", lambda v: v / F.col("t")).alias("p"))
+
+
 def bootstrap_uncertainty(train: DataFrame, rows: DataFrame, features: list[str], models: int = 3, share: float = 0.75, seed: int = 42) -> DataFrame:
     """object_id, uncertainty: 0.7 (1 - greatest mean probability) + 0.3 (1 - share of the leading vote)."""
     out = assembled(rows, features).select("object_id", "x")

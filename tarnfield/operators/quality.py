@@ -37,3 +37,11 @@ def quality(stats: DataFrame) -> DataFrame:
 def artifact_adjusted(quality_col: Column, score: Column) -> Column:
     """Quality times an external real/bogus score; a missing score changes nothing."""
     return quality_col * clip(F.coalesce(score, F.lit(1.0)), 0.0, 1.0)
+
+
+def with_survey_score(rows: DataFrame, column: str = "realbogus") -> DataFrame:
+    """Quality times the survey's own score held to 0 to 1; a missing score or column changes nothing."""
+    if column not in rows.columns:
+        return rows
+    own = F.when(F.isnan(F.col(column).cast("double")), None).otherwise(F.col(column).cast("double"))
+    return rows.withColumn("quality", clip(F.col("quality") * clip(F.coalesce(own, F.lit(1.0)), 0.0, 1.0), 0.0, 1.0))

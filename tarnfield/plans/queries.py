@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import domain, evidence, explain, features, inject, metrics, models, protocol, quality, ranking
+from tarnfield.operators import detectors, domain, evidence, explain, features, inject, metrics, models, protocol, quality, ranking
 from tarnfield.plans import search
 from tarnfield.schema import BANDS, IS_GALACTIC, KNOWN, POPULATIONS, taxonomy
 from tarnfield.sources import alerts, views
@@ -27,6 +27,10 @@ def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
     return df.select(*((F.round(F.col(c) + NUDGE, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t in ("int", "tinyint", "smallint", "bigint") else F.col(c) for c, t in df.dtypes))
 
 
+def _draw_sql(seed: str, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
+
+
 def _r(expr: str, name: str | None = None) -> str:
     return f"round(({expr})::DOUBLE + {NUDGE}, {PLACES}) + 0.0 AS {name or expr}"
 
@@ -466,6 +470,82 @@ def _ablation_sql() -> str:
     return f"WITH {_EVIDENCE_SQL}, v AS ({' UNION ALL '.join(parts)}), {_auc_sql('v', 'variant')} SELECT variant, {_AUC_OUT} FROM auc"
 
 
+def weight_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.compare(_evidence(spark, sf_dir), _VARIANTS))
+
+
+_VARIANTS = {"baseline": ranking.BASELINE, "entropy": {"taxonomy_gap": 1.0, "prior_entropy": 0.25}, "gap only": {"taxonomy_gap": 1.0}}
+_variants_sql = f"WITH {_EVIDENCE_SQL}, v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, y, round({' + '.join(f'{c} * {x / sum(w.values())!r}::DOUBLE' for c, x in w.items())}, 9) AS score FROM ev" for n, w in _VARIANTS.items()) + f"), {_auc_sql('v', 'variant')} SELECT variant, {_AUC_OUT} FROM auc"
+_NESTED = {c: search.GRID[c] for c in ("taxonomy_gap", "simplex_novelty", "novelty_gap", "prior_entropy")}
+_SEEDS = (0, 1, 2, 3, 4)
+
+
+def weight_optimism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.optimism(_evidence(spark, sf_dir), _NESTED, _SEEDS))
+
+
+def _optimism_sql() -> str:
+    from itertools import product
+
+    rows = [(k, *(x / sum(v) for x in v)) for k, v in enumerate(product(*_NESTED.values()))]
+    values = ", ".join(f"({r[0]}, {', '.join(f'{x!r}::DOUBLE' for x in r[1:])})" for r in rows)
+    score = " + ".join(f"{c} * w_{c}" for c in _NESTED)
+    halves = " UNION ALL ".join(f"SELECT *, {s} AS seed, {_draw_sql(f'optimism-{s}', 'object_id')} < 0.5 AS selects FROM ev" for s in _SEEDS)
+    return f"""WITH {_EVIDENCE_SQL}, combos AS (SELECT * FROM (VALUES {values}) t(combo, {', '.join(f'w_{c}' for c in _NESTED)})), half AS ({halves}),
+sc AS (SELECT seed, selects, combo, y, round({score}, 9) AS score FROM half, combos), {_auc_sql('sc', 'seed, selects, combo')},
+b AS (SELECT seed, combo, round(average_precision, 9) AS ap_select FROM auc WHERE selects AND average_precision IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round(average_precision, 9) DESC, combo) = 1)
+SELECT b.seed::BIGINT AS seed, b.combo::BIGINT AS combo, {_r('ap_select')}, {_r('round(average_precision, 9)', 'ap_report')}, {_r('ap_select - round(average_precision, 9)', 'optimism')} FROM b JOIN auc ON b.seed = auc.seed AND b.combo = auc.combo AND NOT auc.selects AND average_precision IS NOT NULL"""
+
+
+def review_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.review_budget(views.scored(spark, sf_dir), 0.01, _KS), 4)
+
+
+_budget_sql = f"""WITH {_TOP_SQL}, h AS (SELECT k AS budget, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM rk, (SELECT unnest({list(_KS)}) AS k) WHERE rank <= k GROUP BY k),
+w AS (SELECT budget, h.pos, h.pos + neg * (base / (1 - base)) * (0.99::DOUBLE / 0.01::DOUBLE) AS mass FROM h, tot)
+SELECT budget::BIGINT AS budget, round(mass + {NUDGE}, 4) AS expected_reviews, round(pos + {NUDGE}, 4) AS expected_recovered, round(pos / mass + {NUDGE}, 4) AS precision, round(pos / mass / 0.01::DOUBLE + {NUDGE}, 4) AS lift FROM w"""
+
+
+def queue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.audit(_ranked(spark, sf_dir)))
+
+
+_audit_sql = f"WITH {_RANK_SQL} SELECT count(*)::BIGINT AS n, {_r('avg(quality)', 'mean_quality')}, {_r('min(quality)', 'min_quality')}, count_if(quality < 0.5)::BIGINT AS n_low_quality, {_r('avg(uncertainty)', 'mean_uncertainty')}, count_if(abstain)::BIGINT AS n_abstained, count_if(y = 0)::BIGINT AS n_false_positives, " + ", ".join(f"count_if(tier = '{t}')::BIGINT AS n_{t}" for t in ("critical", "high", "moderate", "routine")) + " FROM ranked WHERE rank <= 100"
+
+
+def early_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the greatest signal-to-noise ratio finds withheld populations in shortened views (0 days: all)."""
+    obs, truth = views.photometry(spark, sf_dir), views.metadata(spark, sf_dir).select("object_id", (~F.col("code").isin(*KNOWN)).cast("int").alias("y"))
+    sides = {}
+    for days in (15, 30, 60, 120, 0):
+        view = features.early_window(obs, float(days)) if days else obs
+        sides[f"{days} days"] = view.groupBy("object_id").agg(F.round(F.max(F.col("flux") / F.col("flux_err")), 6).alias("score")).join(truth, "object_id")
+    return rounded(search.side_by_side(sides))
+
+
+_detection_sql = f"""WITH {PHOTOMETRY_SQL}, {METADATA_SQL}, f AS (SELECT *, min(mjd) OVER (PARTITION BY object_id) AS m FROM phot),
+v AS (SELECT f.object_id, days || ' days' AS side, round(max(flux / flux_err), 6) AS score, max((NOT (code IN {KNOWN}))::INT) AS y FROM f JOIN meta ON f.object_id = meta.object_id, (SELECT unnest([15, 30, 60, 120, 0]) AS days) WHERE days = 0 OR mjd <= m + days GROUP BY f.object_id, days),
+{_auc_sql('v', 'side')} SELECT side, {_AUC_OUT} FROM auc"""
+
+
+def survey_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with a survey's score, which some objects lack."""
+    q = quality.quality(features.quality_features(views.photometry(spark, sf_dir))).select("object_id", "quality")
+    own = F.when(F.col("object_id") % 4 != 0, (F.col("object_id") % 13) / 10.0)
+    return rounded(quality.with_survey_score(q.withColumn("realbogus", own)).select("object_id", "quality"))
+
+
+_survey_sql = f"WITH {_QUALITY_SQL} SELECT object_id, {_r('quality * CASE WHEN object_id % 4 <> 0 THEN least((object_id % 13)::DOUBLE / 10, 1.0) ELSE 1.0 END', 'quality')} FROM qual"
+
+
+def k_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's correction in every band."""
+    bands = F.explode(F.array(*map(F.lit, range(len(BANDS)))))
+    return rounded(views.metadata(spark, sf_dir).select("object_id", "hostgal_photoz", bands.alias("band")).select("object_id", "band", physics.k_correction(F.col("hostgal_photoz"), F.col("band")).alias("k")))
+
+
+_kcorr_sql = f"WITH {METADATA_SQL} SELECT object_id, band::BIGINT AS band, {_r(f'hostgal_photoz * 640.0::DOUBLE / ({list(physics.WAVELENGTH_NM)}::DOUBLE[])[band + 1]', 'k')} FROM meta, (SELECT unnest(range({len(BANDS)})) AS band)"
+
 # ---- drift -------------------------------------------------------------------
 
 _COV = ["n_chars", "words"]
@@ -533,10 +613,6 @@ def effective_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FRACTIONS = {"fit": 0.6, "validation": 0.2, "test": 0.2}
 
 
-def _draw_sql(seed: str, key: str) -> str:
-    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
-
-
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.split(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("object_id"), F.col("label").cast("int").alias("label")), _FRACTIONS, "s1")
 
@@ -644,6 +720,20 @@ def known_class_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.Prior(_FEATS).fit(_vectors(spark, sf_dir)).accuracy()
 
 
+def gated_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of labels that the family-gated prior finds in vectors that it was not fitted on."""
+    v = _vectors(spark, sf_dir)
+    model = models.GatedPrior(_FEATS, (0, 1, 2, 3, 4), n_folds=2, trees=15).fit(v.filter("object_id % 2 = 0"))
+    rest = v.filter("object_id % 2 = 1")
+    hit = F.array_position("p", F.array_max("p")) - 1 == F.col("label")
+    return model.probabilities(rest).join(rest.select("object_id", "label"), "object_id").agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return rounded(detectors.DetectorEnsemble(_FEATS).fit(v.filter("object_id % 2 = 0")).score(v))
+
+
 def predictive_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return models.bootstrap_uncertainty(v.filter("object_id % 2 = 0"), v, _FEATS)
@@ -705,10 +795,10 @@ _ALL = {
     band_features: _band_features_sql, band_matrix: _band_matrix_sql, global_features: _global_sql, quality_features: _quality_features_sql, quality_gate: _quality_gate_sql, colour_features: _colour_sql, physics_features: _physics_sql(), early_window: _early_sql, part_statistics: _part_sql, population_lookup: _lookup_sql,
     simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
     review_queue: _queue_sql, queue_page: _page_sql, queue_summary: _summary_sql, abstention_policy: _policy_sql,
-    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql, per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: None, weight_search: _search_sql(), ablation: _ablation_sql(),
+    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql, per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: None, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
     drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: None,
     object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), alert_round_trip: _alert_sql,
-    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql,
+    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, gated_prior: None, anomaly_scores: None, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql,
     flagship: _flagship_sql,
 }
 

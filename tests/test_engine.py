@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import domain, evidence, features, inject, metrics, models, protocol, quality, ranking
+from tarnfield.operators import detectors, domain, evidence, features, inject, metrics, models, protocol, quality, ranking
 from tarnfield.plans import search, serve
 from tarnfield.sources import alerts, simulate, tables
 
@@ -258,3 +258,68 @@ def test_search_and_models(spark):
     same = one(models.adversarial_validation(v.filter("object_id % 2 = 0"), v.filter("object_id % 2 = 1"), ["b"]))
     far = one(models.adversarial_validation(v.filter("label = 0"), v.filter("label = 2"), ["a"]))
     assert same.roc_auc < 0.65 and far.roc_auc > 0.95
+
+
+def test_detectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "object_id long, a double, b double, c double")
+    fitted = detectors.DetectorEnsemble(["a", "b", "c"], sample_rows=300, k=5).fit(v)
+    odd = spark.createDataFrame([(999, 20.0, -20.0, 20.0), (1000, None, None, None)], v.schema)
+    got = {r.object_id: r for r in fitted.score(v.unionByName(odd)).collect()}
+    assert len(got) == 402 and all(0 <= r.anomaly_score <= 1 for r in got.values())
+    assert max(got.values(), key=lambda r: r.anomaly_score).object_id == 999 and got[1000].anomaly_score < 0.5
+    alone = one(fitted.score(v.filter("object_id = 7")))  # a row's score does not depend on its batch
+    assert abs(alone.anomaly_score - got[7].anomaly_score) < 1e-9
+    z = fitted.sample
+    brute = np.sort(np.sqrt(((z[:1] - z) ** 2).sum(axis=1)))[:5].mean()
+    assert abs(detectors.neighbour_distance(z[:1], z, 5)[0] - brute) < 1e-6
+    net = detectors.Autoencoder(hidden=(4,), epochs=0).fit(z[:20])
+    slopes, step = net._slopes(z[:20]), 1e-6
+    for k, (i, j) in ((0, (1, 2)), (1, (0, 1)), (1, (4, 0))):  # against differences
+        loss = []
+        for sign in (1, -1):
+            net.layers[k][i, j] += sign * step
+            loss.append(((net._through(z[:20])[1] - z[:20]) ** 2).sum() / 20)
+            net.layers[k][i, j] -= sign * step
+        assert abs((loss[0] - loss[1]) / (2 * step) - slopes[k][i, j]) < 1e-4
+    with pytest.raises(ValueError):
+        detectors.DetectorEnsemble(["a"]).fit(v.filter("false"))
+
+
+def test_gated_prior(spark):
+    v = spark.range(400).select(F.col("id").alias("object_id"), (F.col("id") % 4).cast("int").alias("label"), ((F.col("id") % 4) * 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"))
+    m = models.GatedPrior(["a", "b"], (0, 1), n_folds=2, trees=8).fit(v)
+    got = m.probabilities(v).join(v, "object_id").collect()
+    assert len(got) == 400 and all(abs(sum(r.p) - 1) < 1e-9 for r in got)
+    assert sum(max(range(4), key=lambda i: r.p[i]) == r.label for r in got) > 380
+    flat = {r.object_id: r.p for r in models.Prior.probabilities(m, v).collect()}
+    assert sum(sum(r.p[:2]) if r.label < 2 else sum(r.p[2:]) for r in got) >= sum(sum(flat[r.object_id][:2]) if r.label < 2 else sum(flat[r.object_id][2:]) for r in got)
+    with pytest.raises(ValueError):
+        m.fit(v.filter("label < 2"))
+
+
+def test_optimism_and_budgets(spark):
+    rows = [(i, int(i % 7 == 0), (i % 7 == 0) * 0.5 + (i * 37 % 50) / 100, (i * 5 % 31) / 31) for i in range(300)]
+    e = spark.createDataFrame(rows, "object_id long, y int, taxonomy_gap double, novelty_gap double")
+    grid = {"taxonomy_gap": (1.0,), "novelty_gap": (0.0, 0.5)}
+    got = search.optimism(e, grid).collect()
+    assert len(got) == 5 and all(r.combo == 0 and abs(r.optimism - (r.ap_select - r.ap_report)) < 1e-12 for r in got)
+    assert search.optimism(e.filter("y = 0"), grid).count() == 0
+    s = e.select("object_id", "y", F.col("taxonomy_gap").alias("score"))
+    b = {r.budget: r for r in metrics.review_budget(s, 0.01, (10, 1000)).collect()}
+    assert abs(b[1000].precision - 0.01) < 1e-9 and abs(b[1000].lift - 1) < 1e-6 and b[10].precision > b[1000].precision
+    q = spark.createDataFrame([(1, 0.8, 0.5), (2, 0.8, None), (3, 0.8, 7.0), (4, 0.8, float("nan"))], "object_id long, quality double, realbogus double")
+    assert [r.quality for r in quality.with_survey_score(q).orderBy("object_id").collect()] == [0.4, 0.8, 0.8, 0.8]
+    assert quality.with_survey_score(q.drop("realbogus")).columns == ["object_id", "quality"]
+
+
+def test_k_correction(spark):
+    k = physics.k_correction(F.col("z"), F.col("b"))
+    r = spark.createDataFrame([(0.5, 0), (0.5, 5), (0.0, 2)], "z double, b int").select(k.alias("k")).collect()
+    assert abs(r[0].k - 0.5 * 640 / 367) < 1e-12 and r[1].k < r[0].k and r[2].k == 0
+    m = physics.absolute_magnitude(F.lit(20.0), F.lit(15.0), F.lit(0.5), F.lit(0.25))
+    assert one(spark.range(1).select(m.alias("m"))).m == 4.25
