@@ -78,8 +78,10 @@ class PieceCodec:
         crossing = any(not p.startswith(MARK * p.count(MARK)) for p in self.pieces)
         stop = b" " + re.escape(lone.replace(b" ", b""))
         self.chunker = None if crossing else re.compile(rb" +[^%s]*|[^%s]+|[%s]" % (stop, stop, stop))
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.byte_table = np.array([self.byte_ids[_HIDDEN.get(b, b)] for b in range(256)])
+        #: ids of each chunk as packed 32-bit integers
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def chunks(self, raw: bytes) -> list[bytes]:
         """Runs that no piece reaches out of; spaces are still spaces, and a U+2581 of
@@ -156,18 +158,26 @@ class PieceCodec:
             np.minimum.at(best, to, here)
             won = (here == best[to]) & (here < old)
             back[to[won]], via[to[won]] = begin[a:b][won], ids[a:b][won]
-        back, via, byte_ids = back.tolist(), via.tolist(), self.byte_ids
-        for start, c, m in zip(starts.tolist(), chunks, marked):
-            out, q = [], start + len(m)
-            while q > start:
-                p = back[q]
-                if via[q] >= 0:
-                    out.append(via[q])
-                else:
-                    out += [byte_ids[_HIDDEN.get(b, b)] for b in reversed(text[p:q])]
-                q = p
-            out.reverse()
-            self.memo[c] = tuple(out)
+        # all chunks walk back from their ends at once, one piece a round
+        who, q, walked = np.arange(len(chunks)), starts + size - 1, []
+        while len(who):
+            p = back[q]
+            walked.append((who, p, q, via[q]))
+            left = p > starts[who]
+            who, q = who[left], p[left]
+        who, p, q, ids = (np.concatenate(x) for x in zip(*walked))
+        order = np.lexsort((p, who))
+        who, p, q, ids = who[order], p[order], q[order], ids[order]
+        width = np.where(ids >= 0, 1, q - p)  # a character without a piece takes one for each byte
+        flat = np.repeat(ids, width)
+        lone = np.nonzero(ids < 0)[0]
+        if len(lone):
+            w = width[lone]
+            nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            flat[np.repeat((np.cumsum(width) - width)[lone], w) + nth] = self.byte_table[raw[np.repeat(p[lone], w) + nth]]
+        packed = flat.astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(who, width, len(chunks)).astype(np.int64))).tolist()
+        self.memo.update(zip(chunks, map(packed.__getitem__, map(slice, [0, *ends], ends))))
 
     def _relax(self, text: bytes, chunks: list[bytes], marked: list[bytes], begin: np.ndarray, piece: np.ndarray) -> None:
         """The same from left to right over the edges sorted by position."""
@@ -206,7 +216,7 @@ class PieceCodec:
                 p = back[q]
                 out += [via[q]] if via[q] >= 0 else [self.byte_ids[_HIDDEN.get(b, b)] for b in reversed(text[p:q])]
                 q = p
-            self.memo[c] = tuple(reversed(out))
+            self.memo[c] = array("i", out[::-1]).tobytes()
 
     def encode_batch(self, texts: list[bytes | None]) -> list[array]:
         """Piece ids of each text (none for null or empty), some TEXT_BYTES at a time."""
@@ -225,16 +235,19 @@ class PieceCodec:
         if len(self.memo) > MEMO_CHUNKS // 2:  # two generations: what is in use moves on
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
-        new = dict.fromkeys(c for cs in split for c in cs if c not in memo)
-        for c in [c for c in new if c in older]:
-            memo[c] = older[c]
-            del new[c]
+        new = {}
+        for c in dict.fromkeys(chain.from_iterable(split)):
+            if c not in memo:
+                if (ids := older.get(c)) is not None:
+                    memo[c] = ids
+                else:
+                    new[c] = None
         # a NUL separates chunks in the index, so one of the text's own is encoded by itself
-        self.memo[b"\x00"] = (self.byte_ids[0],)
+        self.memo[b"\x00"] = array("i", [self.byte_ids[0]]).tobytes()
         new.pop(b"\x00", None)
         self.encode_chunks(list(new))
         get = self.memo.__getitem__
-        return [array("i", chain.from_iterable(map(get, cs))) for cs in split]
+        return [array("i", b"".join(map(get, cs))) for cs in split]
 
     def decode(self, ids: array) -> bytes:
         return b"".join(map(self.shown.__getitem__, ids))[1:]
