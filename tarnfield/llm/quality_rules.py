@@ -33,13 +33,17 @@ STEPS = 5
 #: Consistency factor at the normal for CORE and five variables:
 #: CORE / P(chi2 with 7 degrees <= 0.75 quantile of chi2 with 5 degrees).
 CONSISTENCY = 1.412
-#: Squared distance beyond which a document goes: the 1 - 1e-9 quantile of chi2 with 5 degrees.
-CUTOFF = 50.8
+#: Squared distance beyond which a document goes, set between the clean and the junk
+#: documents of the labels tables (figures in the README): shares of repeats have long
+#: tails among the clean, so that a quantile of chi2 with 5 degrees would reject them.
+CUTOFF = 40.0
 #: Groups of fewer passing documents have no estimate; their documents are kept.
 MIN_GROUP = 30
 #: Least standard deviation of each variable: log word length, then square roots
 #: of the symbols', repeated lines' and repeated words' shares, then log words.
-FLOORS = (0.12, 0.045, 0.22, 0.16, 0.75)
+#: Most clean texts repeat nothing, so these stand in for a scatter of 0; each share
+#: can exceed CUTOFF by itself (0.4 repeated lines or words, 0.036 symbols).
+FLOORS = (0.06, 0.03, 0.1, 0.1, 0.2)
 #: Groups whose estimates may be broadcast (at 200 bytes each, 2 MB).
 BROADCAST_GROUPS = 10_000
 SALTS = 64

@@ -140,6 +140,24 @@ def test_quality_estimate_is_robust_and_equals_single_node(spark):
     assert np.allclose(d, [got[r[0]].distance for r in rows], rtol=1e-4)
 
 
+def test_quality_rejects_each_kind_of_outlier(spark):
+    """Texts that pass the base rules and are odd in one variable alone."""
+    rows = [(i, prose(random.Random(i).randint(60, 400), i), "en", "s", 0) for i in range(100)]
+    once = list(dict.fromkeys(prose(3000, 900).split()))
+    again = prose(96, 901)
+    odd = {
+        1000: "\n".join(f"home\nhome\n{w}" for w in once[:100]),
+        1001: f"{again} {prose(208, 902)} {again}",
+        1002: " | ".join(prose(3, 910 + i) for i in range(80)),
+    }
+    rows += [(i, t, "en", "s", 0) for i, t in odd.items()]
+    got = {r.doc_id: r for r in quality_rules.quality_table(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i].kept for i in range(100))
+    assert got[1000].n_dup_lines > 150 and got[1000].n_repeat_words == 0
+    assert got[1001].n_repeat_words >= 192 and got[1001].n_dup_lines == 0
+    assert not any(got[i].base_failed or got[i].kept for i in odd)
+
+
 def test_quality_stage_keeps_columns(clashing):
     out = quality_rules.keep_good(clashing)
     assert out.columns == clashing.columns
