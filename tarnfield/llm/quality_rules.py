@@ -2,11 +2,13 @@
 
 Per language and source a minimum-covariance-determinant estimate of centre and
 scatter is fitted to transformed statistics of the documents that pass the base
-rules, and documents far from it by Mahalanobis distance are rejected.
+rules, and documents far from it by Mahalanobis distance are rejected. The same is
+fitted per language and to the whole table; groups too small for an estimate of
+their own take their language's, and small languages the table's.
 
 The estimate is distributed. Every concentration step is one aggregation: rows
 are binned by their distance to the current estimate, counts and moments are
-summed per (language, source, bin), and each group's next estimate is taken from
+summed per (group, bin), and each group's next estimate is taken from
 the nearest bins that hold the share ``CORE`` of its rows. Nothing is sampled, and
 a group's task sees its bins (a few hundred at most), never its rows.
 """
@@ -37,7 +39,8 @@ CONSISTENCY = 1.412
 #: documents of the labels tables (figures in the README): shares of repeats have long
 #: tails among the clean, so that a quantile of chi2 with 5 degrees would reject them.
 CUTOFF = 40.0
-#: Groups of fewer passing documents have no estimate; their documents are kept.
+#: Groups of fewer passing documents take their language's estimate, languages of
+#: fewer the whole table's, which needs no least number.
 MIN_GROUP = 30
 #: Least standard deviation of each variable: log word length, then square roots
 #: of the symbols', repeated lines' and repeated words' shares, then log words.
@@ -111,21 +114,25 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < MIN_WORDS) | (F.lit(100) * n_repeat > F.lit(MAX_REPEAT_PERCENT) * n_words)
 
 
-def attach(rows: DataFrame, params: DataFrame, n_groups: int, lang: str, source: str, vector: list[str] = VECTOR) -> tuple[DataFrame, str]:
+def attach(rows: DataFrame, params: DataFrame, n_groups: int, keys: tuple[str, ...], vector: list[str] = VECTOR) -> tuple[DataFrame, str]:
     """Left join of the groups' estimates, as one struct column whose name is returned.
 
+    ``keys`` name the columns of ``rows`` that stand for those of _KEY that ``params`` has.
     Few groups are broadcast; beyond BROADCAST_GROUPS both sides are salted, so that
     no group meets one task."""
-    own, g_lang, g_source, salt, salt_to = fresh(["group", "g_lang", "g_source", "salt", "salt_to"], rows.columns)
-    params = params.select(F.col("lang").alias(g_lang), F.col("source").alias(g_source), F.struct(*(c for c in params.columns if c not in ("lang", "source"))).alias(own))
-    on = F.col(f"`{lang}`").eqNullSafe(F.col(g_lang)) & F.col(f"`{source}`").eqNullSafe(F.col(g_source))
+    theirs = [c for c in _KEY if c in params.columns]
+    own, salt, salt_to, *g_keys = fresh(["group", "salt", "salt_to", *(f"g_{c}" for c in theirs)], rows.columns)
+    params = params.select(*(F.col(c).alias(g) for c, g in zip(theirs, g_keys)), F.struct(*(c for c in params.columns if c not in _KEY)).alias(own))
+    on = F.lit(True)
+    for c, g in zip(keys, g_keys):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(g))
     if n_groups <= BROADCAST_GROUPS:
         params = F.broadcast(params)
     else:
         rows = rows.withColumn(salt, F.pmod(F.xxhash64(*vector), F.lit(SALTS)))
         params = params.withColumn(salt_to, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         on = on & (F.col(salt) == F.col(salt_to))
-    return rows.join(params, on, "left").drop(g_lang, g_source, salt, salt_to), own
+    return rows.join(params, on, "left").drop(*g_keys, salt, salt_to), own
 
 
 def squared_distance(group: str, names: list[str] = VECTOR) -> Column:
@@ -136,18 +143,20 @@ def squared_distance(group: str, names: list[str] = VECTOR) -> Column:
     return total
 
 
-_PARAM_SCHEMA = "lang string, source string, n_fit long, " + ", ".join([f"m{i} double" for i in range(5)] + [f"a{i}{j} double" for i, j in _PAIRS])
+#: Level 0 is (lang, source), 1 a language (source is null), 2 the table (both are null).
+_KEY = ("level", "lang", "source")
+_PARAM_SCHEMA = "level int, lang string, source string, n_fit long, " + ", ".join([f"m{i} double" for i in range(5)] + [f"a{i}{j} double" for i, j in _PAIRS])
 
 
-def _estimate(lang, source, n: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+def _estimate(key: dict, n: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
     inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
-    row = {"lang": lang, "source": source, "n_fit": n} | {f"m{i}": round(mean[i], 9) for i in range(5)}
+    row = key | {"n_fit": n} | {f"m{i}": round(mean[i], 9) for i in range(5)}
     return pd.DataFrame([row | {f"a{i}{j}": inverse[i, j] for i, j in _PAIRS}])
 
 
 def _first(pdf: pd.DataFrame) -> pd.DataFrame:
     """The start: medians, and quartile ranges as a diagonal scatter."""
-    lang, source = pdf["lang"].iloc[0], pdf["source"].iloc[0]
+    key = {c: pdf[c].iloc[0] for c in _KEY}
     mean, sd, n = np.zeros(5), np.zeros(5), 0
     for i, (lo, hi) in enumerate(_GRID):
         own = pdf[pdf["dim"] == i].sort_values("cell")
@@ -155,12 +164,12 @@ def _first(pdf: pd.DataFrame) -> pd.DataFrame:
         q = [own["cell"].to_numpy()[np.searchsorted(cum, np.ceil(p * n))] for p in (0.25, 0.5, 0.75)]
         width = (hi - lo) / _CELLS
         mean[i], sd[i] = lo + (q[1] + 0.5) * width, (q[2] - q[0]) * width / 1.349
-    return _estimate(lang, source, n, mean, np.diag(sd**2))
+    return _estimate(key, n, mean, np.diag(sd**2))
 
 
 def _next(pdf: pd.DataFrame) -> pd.DataFrame:
     """The nearest bins that hold CORE of the rows, and their moments."""
-    lang, source = pdf["lang"].iloc[0], pdf["source"].iloc[0]
+    key = {c: pdf[c].iloc[0] for c in _KEY}
     pdf = pdf.sort_values("bin")
     cum, total = pdf["n"].cumsum().to_numpy(), int(pdf["n"].sum())
     core = pdf.iloc[: int(np.searchsorted(cum, np.ceil(CORE * total))) + 1]
@@ -169,36 +178,59 @@ def _next(pdf: pd.DataFrame) -> pd.DataFrame:
     cov = np.zeros((5, 5))
     for i, j in _PAIRS:
         cov[i, j] = cov[j, i] = core[f"p{i}{j}"].sum() / n - mean[i] * mean[j]
-    return _estimate(lang, source, total, mean, CONSISTENCY * cov)
+    return _estimate(key, total, mean, CONSISTENCY * cov)
+
+
+def levels(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Each row once for each level that it counts in, with _KEY and ``keep``."""
+    none = F.lit(None).cast("string")
+    keys = [(0, F.col("lang"), F.col("source")), (1, F.col("lang"), none), (2, none, none)]
+    each = F.array(*(F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, lang, source in keys))
+    return df.select(F.explode(each).alias("key"), *keep).select("key.*", *keep)
+
+
+def resolved(stats: DataFrame, params: DataFrame) -> DataFrame:
+    """One estimate for each (lang, source) of ``stats``: its own, else its language's, else the table's."""
+    groups = stats.select("lang", "source").distinct()
+    packed = params.select(*_KEY, F.struct(*(c for c in params.columns if c not in _KEY)).alias("own"))
+    group, lang, table = (packed.filter(F.col("level") == k).select(F.col("lang").alias(f"lang{k}"), F.col("source").alias(f"source{k}"), F.col("own").alias(f"own{k}")) for k in range(3))
+    out = groups.join(group, F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
+    out = out.join(lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").crossJoin(F.broadcast(table))
+    return out.select("lang", "source", F.coalesce("own0", "own1", "own2").alias("own")).select("lang", "source", "own.*")
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
-    """Estimates of each (lang, source) with MIN_GROUP passing rows or more, and how many.
+    """An estimate for each (lang, source), and how many; none where no row passes the base rules.
 
-    ``stats`` has lang, source, BASE and VECTOR, and is read STEPS + 1 times.
+    ``stats`` has lang, source, BASE and VECTOR, and is read STEPS + 2 times.
     """
     rows = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("lang", "source", *VECTOR)
     cells = [F.struct(F.lit(i).alias("dim"), F.greatest(F.lit(0), F.least(F.lit(_CELLS - 1), F.floor((F.col(f"v{i}") - lo) / ((hi - lo) / _CELLS)))).cast("int").alias("cell")) for i, (lo, hi) in enumerate(_GRID)]
     hist = rows.select("lang", "source", F.explode(F.array(*cells)).alias("x")).groupBy("lang", "source", "x.dim", "x.cell").agg(F.count(F.lit(1)).alias("n"))
-    params = materialise(hist.groupBy("lang", "source").applyInPandas(_first, _PARAM_SCHEMA).filter(F.col("n_fit") >= MIN_GROUP))
+    hist = levels(hist, ["dim", "cell", "n"]).groupBy(*_KEY, "dim", "cell").agg(F.sum("n").alias("n"))
+    enough = (F.col("level") == 2) | (F.col("n_fit") >= MIN_GROUP)
+    params = materialise(hist.groupBy(*_KEY).applyInPandas(_first, _PARAM_SCHEMA).filter(enough))
     n_groups = params.count()
+    each = levels(rows, list(VECTOR))
     for _ in range(STEPS):
-        near, group = attach(rows, params, n_groups, "lang", "source")
+        near, group = attach(each, params, n_groups, _KEY)
         near = near.filter(F.col(group).isNotNull())
         near = near.withColumn("bin", F.floor(16 * F.log2(F.greatest(squared_distance(group), F.lit(1e-3)))).cast("int"))
         sums = [F.sum(f"v{i}").alias(f"s{i}") for i in range(5)] + [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
-        binned = near.groupBy("lang", "source", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        last, params = params, materialise(binned.groupBy("lang", "source").applyInPandas(_next, _PARAM_SCHEMA))
+        binned = near.groupBy(*_KEY, "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+        last, params = params, materialise(binned.groupBy(*_KEY).applyInPandas(_next, _PARAM_SCHEMA))
         drop(last)
-    return params, n_groups
+    last, params = params, materialise(resolved(stats, params))
+    drop(last)
+    return params, params.count()
 
 
 def judged(rows: DataFrame, params: DataFrame, n_groups: int, lang: str = "lang", source: str = "source", named: dict[str, str] | None = None) -> DataFrame:
-    """``rows`` with base_failed, distance (null: no estimate) and kept."""
+    """``rows`` with base_failed, distance (null: no row of the table passes the base rules) and kept."""
     named = named or {c: c for c in (*BASE, *VECTOR)}
     vector = [named[c] for c in VECTOR]
     failed = base_failed(F.col(named["n_words"]), F.col(named["n_repeat_words"]))
-    out, group = attach(rows, params, n_groups, lang, source, vector)
+    out, group = attach(rows, params, n_groups, (lang, source), vector)
     distance = F.when(F.col(group).isNotNull(), F.sqrt(F.greatest(squared_distance(group, vector), F.lit(0.0))))
     far = F.coalesce(distance > CUTOFF**0.5, F.lit(False))
     new = fresh(["base_failed", "distance", "kept"], rows.columns)
@@ -209,8 +241,7 @@ def quality_table(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, BASE, base_failed, distance, kept.
 
     A null text has no words and fails. Null languages and sources form groups of
-    their own. Documents in groups without an estimate are judged by the base
-    rules alone. Repeated rows are judged each (and counted each in the fit); an
+    their own. Every document has a distance, if any of the table passes. Repeated rows are judged each (and counted each in the fit); an
     empty table gives an empty result; further columns are ignored.
     """
     stats, _ = with_statistics(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")), "text", ["doc_id", "lang", "source"])

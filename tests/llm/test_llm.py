@@ -158,6 +158,23 @@ def test_quality_rejects_each_kind_of_outlier(spark):
     assert not any(got[i].base_failed or got[i].kept for i in odd)
 
 
+@pytest.mark.parametrize("langs", [["en"], ["en", None, "de", "fr"]])
+def test_quality_small_groups_are_judged(spark, langs):
+    """One row to a source: the language's estimate, or the table's where the language is small."""
+    n = 36
+    rows = [(i, prose(random.Random(i).randint(60, 400), i), langs[i % len(langs)], f"s{i}", 0) for i in range(n)]
+    rows += [(1000 + i, " | ".join(prose(3, 910 + i + k) for k in range(80)), lang, "only", 0) for i, lang in enumerate(langs)]
+    rows += [(2000, "too short", "es", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality_rules.quality_table(docs).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert all(got[i].kept for i in range(n)) and not any(got[1000 + i].kept for i in range(len(langs)))
+    pooled = quality_rules.quality_table(docs.selectExpr("doc_id", "text", "'x' AS lang", "'y' AS source", "n_chars")).collect()
+    assert all(abs(r.distance - got[r.doc_id].distance) < 1e-5 for r in pooled)
+    kept = quality_rules.keep_good(docs).collect()
+    assert {r.doc_id for r in kept} == set(range(n))
+
+
 def test_quality_stage_keeps_columns(clashing):
     out = quality_rules.keep_good(clashing)
     assert out.columns == clashing.columns
