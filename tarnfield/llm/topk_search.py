@@ -21,8 +21,13 @@ from pyspark.sql import functions as F
 from tarnfield.llm.tables import drop, materialise
 
 K, SCALE, QUERY_EVERY = 20, 64.0, 20
-#: Bins of a round; vectors of a block.
-BINS, QUERY_BLOCK, ROW_BLOCK = 64, 256, 4096
+#: Bits of a score that a round settles, with a bin for each of their values; vectors of a block.
+STEP_BITS, QUERY_BLOCK, ROW_BLOCK = 6, 256, 4096
+BINS = 1 << STEP_BITS
+#: Added to a score, it gives an unsigned number in the same order.
+_SIGN = np.uint64(1 << 63)
+#: What a block's components are kept as: the first that holds all of them exactly.
+_KINDS = ("<i1", "<i2", "<i4", "<f8")
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -52,39 +57,43 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vs": [b"".join(pdf["v"])]})
+        v = np.frombuffer(b"".join(pdf["v"]), "<f8")
+        kind = next(k for k, t in enumerate(_KINDS) if t == "<f8" or np.abs(v).max(initial=0) <= np.iinfo(t).max)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vs": [bytes([kind]) + v.astype(_KINDS[kind]).tobytes()]})
 
     return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, vs binary")
 
 
 def _matrix(ids: bytes, vs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(vs, "<f8").reshape(-1, dim)
+    return np.frombuffer(ids, "<i8"), np.frombuffer(vs, _KINDS[vs[0]], offset=1).reshape(-1, dim).astype(np.float64)
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products: exact in floating point while sums stay below its
-    mantissa, in Python's integers (held to the range of a long) beyond."""
+    mantissa, in Python's integers beyond. One that no long holds raises OverflowError."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if top < 2**24:
         return (q.astype(np.float32) @ x.T.astype(np.float32)).astype(np.int64)
     if top < 2**53:
         return (q @ x.T).astype(np.int64)
     exact = np.array([[int(c) for c in r] for r in q], object) @ np.array([[int(c) for c in r] for r in x], object).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    if exact.size and not -(1 << 63) <= exact.min() <= exact.max() < 1 << 63:
+        raise OverflowError("an inner product does not fit a 64-bit integer")
+    return exact.astype(np.int64)
 
 
-def _pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+def _pairs(queries: DataFrame, candidates: DataFrame, n_blocks: int) -> DataFrame:
     """Every query block beside every candidate block of its dimension.
 
-    The query set is the stated one; blocks, not rows, are paired, over the block
-    numbers of the candidates as an equi-join key."""
-    numbers = candidates.select("dim", F.col("block").alias("c_block"))
-    sent = queries.join(numbers, "dim")
+    The query set is the stated one; blocks, not rows, are paired. Each query block
+    is sent to every block number, so that a candidate block is a key of its own."""
+    numbers = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    sent = queries.withColumn("c_block", F.explode(numbers))
     right = candidates.select(F.col("dim").alias("c_dim"), F.col("block").alias("c_no"), F.col("ids").alias("c_ids"), F.col("vs").alias("c_vs"))
     return sent.join(right, (F.col("dim") == F.col("c_dim")) & (F.col("c_block") == F.col("c_no")))
 
 
-_STATE = "dim int, block int, ids binary, vs binary, lo binary, width binary, above binary, found boolean"
+_STATE = "dim int, block int, ids binary, vs binary, lo binary, shift binary, above binary, found boolean"
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -93,37 +102,44 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     ``queries`` are rows of the same columns. A query's own row (equal id) is no
     candidate; ties go to the smaller id. Vectors that are null, empty or hold null
     or non-finite components take no part; vectors of different lengths have no
-    score with each other. Fewer candidates than k: all. Repeated rows count each.
+    score with each other. Fewer candidates than k: all. Repeated rows count each;
+    other columns are ignored, whatever their names. Every score that a long holds is
+    found; one beyond it raises. A vector's cost is its length times the queries, and
+    a block holds ROW_BLOCK vectors, so very long ones need memory for that many.
     """
     cand = materialise(blocks(quantised(rows, id_col, vector_col), ROW_BLOCK))
+    n_blocks = 1 + (cand.agg(F.max("block")).first()[0] or 0)
     ask = materialise(blocks(quantised(queries, id_col, vector_col), QUERY_BLOCK))
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cauchy's bound gives each query's first interval, of BINS equal bins from lo."""
+        """Cauchy's bound gives each query's first interval, of BINS equal bins from lo;
+        no score lies outside it."""
         for pdf in batches:
             out = pdf.copy()
-            for c in ("lo", "width", "above"):
+            for c in ("lo", "shift", "above"):
                 out[c] = None
             for r in out.index:
                 ids, q = _matrix(out.at[r, "ids"], out.at[r, "vs"], out.at[r, "dim"])
-                bound = np.ceil(np.sqrt((q**2).sum(axis=1)) * longest[int(out.at[r, "dim"])]) + 1
-                bound = np.minimum(bound, 2.0**58).astype(np.int64)
-                out.at[r, "lo"] = (-bound).astype("<i8").tobytes()
-                width = np.ones(len(ids), np.int64)
-                while (short := width * (BINS // 2) < bound + 1).any():  # powers of BINS, so that bins divide evenly
-                    width[short] *= BINS
-                out.at[r, "width"] = width.astype("<i8").tobytes()
+                with np.errstate(over="ignore"):
+                    bound = np.ceil(np.sqrt((q**2).sum(axis=1)) * longest[int(out.at[r, "dim"])] * (1 + 1e-9)) + 1
+                bound = np.minimum(bound, 2.0**63).astype(np.uint64)
+                out.at[r, "lo"] = (_SIGN - bound).astype("<u8").tobytes()
+                shift = np.zeros(len(ids), np.int64)
+                for _ in range(64 // STEP_BITS):  # until BINS bins hold 2 * bound + 1 values
+                    shift[(bound >> shift.astype(np.uint64)) >= BINS // 2 - 1] += STEP_BITS
+                out.at[r, "shift"] = shift.astype("<i8").tobytes()
                 out.at[r, "above"] = np.zeros(len(ids), "<i8").tobytes()
             out["found"] = False
             yield out
 
     def norms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            tops = [float(np.sqrt((_matrix(i, v, d)[1] ** 2).sum(axis=1)).max()) for i, v, d in zip(pdf["ids"], pdf["vs"], pdf["dim"])]
-            yield pd.DataFrame({"dim": pdf["dim"], "top": tops, "n": [len(i) // 8 for i in pdf["ids"]]})
+            with np.errstate(over="ignore"):
+                tops = [float(np.sqrt((_matrix(i, v, d)[1] ** 2).sum(axis=1)).max()) for i, v, d in zip(pdf["ids"], pdf["vs"], pdf["dim"])]
+            yield pd.DataFrame({"dim": pdf["dim"], "top": tops})
 
     # a row for each dimension that vectors have
-    longest = {r["dim"]: r["top"] for r in cand.mapInPandas(norms, "dim int, top double, n long").groupBy("dim").agg(F.max("top").alias("top")).collect()}
+    longest = {r["dim"]: r["top"] for r in cand.mapInPandas(norms, "dim int, top double").groupBy("dim").agg(F.max("top").alias("top")).collect()}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Histograms of a partition's pairs, summed per query block."""
@@ -134,11 +150,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
                     continue
                 ids, q = _matrix(r.ids, r.vs, r.dim)
                 c_ids, x = _matrix(r.c_ids, r.c_vs, r.dim)
-                lo, width = np.frombuffer(r.lo, "<i8"), np.frombuffer(r.width, "<i8")
-                s = scores(q, x)
-                bin_ = (s - lo[:, None]) // np.maximum(width, 1)[:, None]
-                inside = (bin_ >= 0) & (bin_ < BINS) & (ids[:, None] != c_ids[None, :])
-                at = (np.arange(len(ids))[:, None] * BINS + bin_)[inside]
+                lo, shift = np.frombuffer(r.lo, "<u8"), np.frombuffer(r.shift, "<i8")
+                # what lies below lo wraps round to a number beyond all bins
+                place = (scores(q, x).view(np.uint64) ^ _SIGN) - lo[:, None]
+                bin_ = place >> np.maximum(shift, 0).astype(np.uint64)[:, None]
+                inside = (bin_ < BINS) & (shift >= 0)[:, None] & (ids[:, None] != c_ids[None, :])
+                at = (np.arange(len(ids))[:, None] * BINS + bin_.astype(np.int64))[inside]
                 h = np.bincount(at, minlength=len(ids) * BINS)
                 key = (r.dim, r.block)
                 sums[key] = sums[key] + h if key in sums else h
@@ -155,23 +172,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
                 if pdf.at[r, "found"] or pdf.at[r, "h"] is None:
                     out.at[r, "found"] = True
                     continue
-                lo, width, above = (np.frombuffer(pdf.at[r, c], "<i8").copy() for c in ("lo", "width", "above"))
+                lo = np.frombuffer(pdf.at[r, "lo"], "<u8").copy()
+                shift, above = (np.frombuffer(pdf.at[r, c], "<i8").copy() for c in ("shift", "above"))
                 h = np.frombuffer(pdf.at[r, "h"], "<i8").reshape(-1, BINS)
                 down = h[:, ::-1].cumsum(axis=1)
                 enough = down + above[:, None] >= k
                 bin_ = np.where(enough.any(axis=1), BINS - 1 - enough.argmax(axis=1), 0)  # too few: all
                 row = np.arange(len(lo))
-                above += down[row, BINS - 1 - bin_] - h[row, bin_]
-                open_ = width > 0  # 0: the kth score is known
-                lo = np.where(open_, lo + bin_ * width, lo)
-                width = width // BINS
-                out.at[r, "lo"], out.at[r, "width"], out.at[r, "above"] = (x.astype("<i8").tobytes() for x in (lo, width, above))
-                out.at[r, "found"] = not width.any()
+                open_ = shift >= 0  # below 0: the kth score is known
+                above += np.where(open_, down[row, BINS - 1 - bin_] - h[row, bin_], 0)
+                lo += np.where(open_, bin_.astype(np.uint64) << np.maximum(shift, 0).astype(np.uint64), np.uint64(0))
+                shift -= STEP_BITS
+                out.at[r, "lo"], out.at[r, "shift"], out.at[r, "above"] = lo.astype("<u8").tobytes(), shift.astype("<i8").tobytes(), above.astype("<i8").tobytes()
+                out.at[r, "found"] = not (shift >= 0).any()
             yield out
 
     state = materialise(ask.mapInPandas(begin, _STATE))
     while not state.agg(F.coalesce(F.bool_and("found"), F.lit(True))).first()[0]:
-        hist = _pairs(state.filter("not found"), cand).mapInPandas(count, "dim int, block int, h binary").groupBy("dim", "block").applyInPandas(add, "dim int, block int, h binary")
+        hist = _pairs(state.filter("not found"), cand, n_blocks).mapInPandas(count, "dim int, block int, h binary").groupBy("dim", "block").applyInPandas(add, "dim int, block int, h binary")
         last, state = state, materialise(state.join(hist, ["dim", "block"], "left").mapInPandas(narrow, _STATE))
         drop(last)
 
@@ -180,7 +198,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
             for r in pdf.itertuples():
                 ids, q = _matrix(r.ids, r.vs, r.dim)
                 c_ids, x = _matrix(r.c_ids, r.c_vs, r.dim)
-                kth = np.frombuffer(r.lo, "<i8")
+                kth = (np.frombuffer(r.lo, "<u8") ^ _SIGN).view(np.int64)
                 s = scores(q, x)
                 other = ids[:, None] != c_ids[None, :]
                 i, j = np.nonzero((s > kth[:, None]) & other)
@@ -192,7 +210,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
                 i, j = np.concatenate((i, ti)), np.concatenate((j, tj))
                 yield pd.DataFrame({"query_id": ids[i], "vec_id": c_ids[j], "score": s[i, j]})
 
-    found = _pairs(state, cand).mapInPandas(emit, "query_id long, vec_id long, score long")
+    found = _pairs(state, cand, n_blocks).mapInPandas(emit, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -318,6 +318,27 @@ def test_topk_against_brute_force(spark):
     assert topk_search.search(none, none).count() == 0
 
 
+def test_topk_finds_every_score_that_a_long_holds(spark):
+    rows = [(20, [1e7] * 4)] + [(i, [-1e7 - i] * 4) for i in range(1, 5)] + [(6, [3e7] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x.rank, x.vec_id, x.score) for x in topk_search.search(df, df.filter("vec_id = 20"), 5).collect()]
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    expect = sorted((-sum(a * b for a, b in zip(whole[20], v)), i) for i, v in whole.items() if i != 20)
+    assert sorted(got) == [(k + 1, i, -s) for k, (s, i) in enumerate(expect)]
+    edge = spark.createDataFrame([(0, [2.0**25, 0.0]), (1, [-(2.0**26), 0.0]), (2, [2.0**25, 0.0])], df.schema)  # 2^31 times -2^32 is the least long
+    assert [(x.vec_id, x.score) for x in topk_search.search(edge, edge.filter("vec_id = 0"), 5).orderBy("rank").collect()] == [(2, 1 << 62), (1, -(1 << 63))]
+    far = spark.createDataFrame([(0, [1e18]), (1, [1e18])], df.schema)
+    with pytest.raises(Exception, match="does not fit"):
+        topk_search.search(far, far, 5).collect()
+
+
+def test_topk_counts_repeated_rows_and_ignores_other_columns(spark):
+    rows = [(0, [1.0, 2.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame([(*r, "x", "x") for r in rows], "vec_id long, embedding array<double>, block string, score string")
+    got = sorted((x.rank, x.vec_id, x.score) for x in topk_search.search(df, df.filter("vec_id = 0"), 3).collect())
+    assert got == [(1, 5, 3 * 4096), (2, 5, 3 * 4096), (3, 7, 3 * 4096)]
+
+
 # ---- mixing
 
 
