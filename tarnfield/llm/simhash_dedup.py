@@ -9,8 +9,12 @@ one of the 2^(RADIUS+1) - 1 tables, with certainty.
 
 Equal fingerprints are one node from the start, so copies cost nothing after the
 scan. Buckets are walked in sorted order; a bucket emits the spanning stars of
-its own components, never its pairs. Components over all buckets come from
-alternating large-star and small-star steps, which are grouped minima and joins.
+its own components, never its pairs. A bucket of more than LARGE fingerprints is
+not compared as it is: the same masks, laid over the bits that its own mask leaves
+free, deal it into smaller buckets in which its pairs meet again, and what is still
+large then is cut into sub-blocks whose pairs are dealt over the tasks. Components
+over all buckets come from alternating large-star and small-star steps, which are
+grouped minima and joins.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 PIECE = 1 << 16
 #: Rows of a bucket that are compared with the rest at once.
 BLOCK = 256
+#: Fingerprints that a bucket, and later a sub-block of one, has at most when it is
+#: compared, and overfull buckets that may be broadcast (at some 40 bytes each, 4 MB).
+LARGE, BROADCAST_BUCKETS = 4096, 100_000
+SALTS = 64
 _UINT64 = (1 << 64) - 1
 
 
@@ -120,55 +128,145 @@ def bucket_stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return signed[own], root[own]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v), u > v, that connect whatever links within the radius. ``nodes`` has distinct fp."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
-    keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)]
-    rows = nodes.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.t", "k.key", "fp")
-    rows = rows.repartition(shuffle_partitions(nodes.sparkSession), "t", "key").sortWithinPartitions("t", "key")
+def nested_masks(radius: int = RADIUS) -> list[int]:
+    """For each covering mask all covering masks of the bits that it leaves free."""
+    out = []
+    for m in covering_masks(radius):
+        free = [i for i in range(64) if not m >> i & 1]
+        out += [sum(1 << free[i] for i in range(len(free)) if own >> i & 1) for own in covering_masks(radius, len(free))]
+    return out
+
+
+def _signed(masks: list[int]) -> list[int]:
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+#: What names a bucket: its table and masked bits, and those of the level below (or -1, 0).
+_BUCKET = ("t", "key", "t2", "key2")
+
+
+def _walk(rows: DataFrame, radius: int) -> DataFrame:
+    """Rows (u, v, n) of the buckets: links with n = 0, and for an overfull bucket one
+    row with its _BUCKET and n, the number of its fingerprints; of those only counts are held."""
+    names = [*_BUCKET, "u", "v", "n"]
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), *_BUCKET).sortWithinPartitions(*_BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        beyond = 0  # rows of the open bucket that were let go
+
+        def found(u: np.ndarray, v: np.ndarray, over: list[tuple]) -> pa.RecordBatch:
+            keys = np.concatenate((np.zeros((len(u), 4), np.int64), np.array([o[:4] for o in over], np.int64).reshape(-1, 4)))
+            u, v = (np.concatenate((x, np.zeros(len(over), np.int64))) for x in (u, v))
+            n = np.concatenate((np.zeros(len(u) - len(over), np.int64), np.array([o[4] for o in over], np.int64)))
+            return pa.RecordBatch.from_arrays([*(pa.array(keys[:, k]) for k in range(4)), pa.array(u), pa.array(v), pa.array(n)], names=names)
 
         def whole(table: np.ndarray) -> pa.RecordBatch:
             """All buckets of a sorted piece: small ones by shifted comparison at once, others block by block."""
-            t, key, fp = table
-            fp = np.ascontiguousarray(fp).view(np.uint64)
-            first = np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])))
-            begin = np.nonzero(first)[0]
-            count = np.diff(np.append(begin, len(t)))
-            us, vs = [], []
+            fp = np.ascontiguousarray(table[4]).view(np.uint64)
+            begin = np.nonzero(np.concatenate(([True], (table[:4, 1:] != table[:4, :-1]).any(axis=0))))[0]
+            count = np.diff(np.append(begin, len(fp)))
+            us, vs, over = [], [], []
             pair = begin[count == 2]
             if len(pair):
                 x, y = fp[pair].view(np.int64), fp[pair + 1].view(np.int64)
                 near = np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= radius
                 us.append(np.maximum(x, y)[near])
                 vs.append(np.minimum(x, y)[near])
-            for b, c in zip(begin[count > 2], count[count > 2]):
+            for b, c in zip(begin[count > 2].tolist(), count[count > 2].tolist()):
+                if c > LARGE:
+                    over.append((*table[:4, b].tolist(), c))
+                    continue
                 u, v = bucket_stars(np.ascontiguousarray(fp[b : b + c]), radius)
                 us.append(u)
                 vs.append(v)
             u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            return found(u, v, over)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, beyond
+            if held:
+                table = np.concatenate(held, axis=1)
+                if beyond:
+                    yield found(np.zeros(0, np.int64), np.zeros(0, np.int64), [(*table[:4, 0].tolist(), beyond + table.shape[1])])
+                else:
+                    yield whole(table)
+            held, beyond = [], 0
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.stack([batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)])
-            same = (table[0] == table[0, -1]) & (table[1] == table[1, -1])
-            last = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
-            if last:  # what came before the last bucket is complete
-                yield whole(np.concatenate([*held, table[:, :last]], axis=1))
-                held = [table[:, last:]]
-            elif held and (held[-1][0, -1] != table[0, 0] or held[-1][1, -1] != table[1, 0]):
-                yield whole(np.concatenate(held, axis=1))
-                held = [table]
-            else:
-                held.append(table)
-        if held:
-            yield whole(np.concatenate(held, axis=1))
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
+            table = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
+            last = int(np.argmax((table[:4] == table[:4, -1:]).all(axis=0)))  # where the last bucket begins
+            if held and (held[0][:4, 0] == table[:4, 0]).all():  # the open bucket goes on
+                first = int(np.argmin(np.append((table[:4] == table[:4, :1]).all(axis=0), False)))
+                held.append(table[:, :first])
+                if beyond + sum(h.shape[1] for h in held) > LARGE:
+                    beyond += sum(h.shape[1] for h in held[1:])
+                    del held[1:]
+                if first == table.shape[1]:
+                    continue
+                table, last = table[:, first:], last - first
+            yield from close()
+            if last:
+                yield whole(table[:, :last])
+            held = [table[:, last:]]
+        yield from close()
+
+    return rows.mapInArrow(run, "t long, key long, t2 long, key2 long, u long, v long, n long")
+
+
+def _of_buckets(rows: DataFrame, over: DataFrame, few: bool) -> DataFrame:
+    """The rows of the overfull buckets, with n. Few buckets are broadcast; of many
+    both sides are salted, so that no bucket meets one task."""
+    over = over.select(*(F.col(c).alias(f"o_{c}") for c in _BUCKET), "n")
+    on = [F.col(c) == F.col(f"o_{c}") for c in _BUCKET]
+    if few:
+        over = F.broadcast(over)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+        over = over.withColumn("o_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        on.append(F.col("salt") == F.col("o_salt"))
+    return rows.join(over, on).select(*_BUCKET, "fp", "n")
+
+
+def _by_sub_blocks(rows: DataFrame, radius: int) -> DataFrame:
+    """(u, v) of overfull buckets: a hash deals each into sub-blocks, and every pair of these is a row."""
+    parts = F.ceil(F.col("n") / (LARGE / 2)).cast("long")
+    packed = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")))
+    packed = materialise(packed.groupBy(*_BUCKET, "parts", "part").agg(F.collect_list("fp").alias("fps")))
+    left = packed.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)))
+    right = packed.select(*(F.col(c).alias(f"r_{c}") for c in _BUCKET), F.col("part").alias("r_part"), F.col("fps").alias("r_fps"))
+    pairs = left.join(right, [*(F.col(c) == F.col(f"r_{c}") for c in _BUCKET), F.col("other") == F.col("r_part")]).select("fps", "r_fps")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                fps = np.unique(np.concatenate([batch.column(c)[k].values.to_numpy() for c in range(2)]))
+                u, v = bucket_stars(fps.view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return pairs.repartition(shuffle_partitions(rows.sparkSession)).mapInArrow(compare, "u long, v long")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (u, v), u > v, that connect whatever links within the radius. ``nodes`` has distinct fp."""
+    none = [F.lit(-1).cast("long").alias("t2"), F.lit(0).cast("long").alias("key2")]
+    keys = [F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_signed(covering_masks(radius)))]
+    rows = nodes.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.t", "k.key", *none, "fp")
+    walked = materialise(_walk(rows, radius))
+    out, over = walked.filter("n = 0").select("u", "v"), walked.filter("n > 0")
+    if n_over := over.count():
+        n_masks = (1 << (radius + 1)) - 1
+        inner = F.array(*(F.lit(m) for m in _signed(nested_masks(radius))))
+        deep = _of_buckets(rows, over, n_over <= BROADCAST_BUCKETS)
+        deep = deep.select("t", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_masks - 1).cast("long"))).alias("t2"), "fp")
+        deep = deep.withColumn("key2", F.col("fp").bitwiseAND(F.element_at(inner, (F.col("t") * n_masks + F.col("t2") + 1).cast("int")))).select(*_BUCKET, "fp")
+        walked = materialise(_walk(deep, radius))
+        out, over = out.unionByName(walked.filter("n = 0").select("u", "v")), walked.filter("n > 0")
+        if n_over := over.count():
+            out = out.unionByName(_by_sub_blocks(_of_buckets(deep, over, n_over <= BROADCAST_BUCKETS), radius))
+    return out.distinct()
 
 
 def least_reachable(edges: DataFrame) -> DataFrame:
@@ -215,7 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null text or one without words has fingerprint 0 and links like any other.
     Rows with the same id stand for themselves; null ids take part but name no
     component (one of null ids only has a null component_id). Empty table: empty
-    result. Fingerprints are compared in full, no bucket is capped.
+    result; other columns are ignored. Fingerprints are compared in full, no bucket is
+    capped. A very long text is hashed in pieces and costs its length.
     """
     fps = materialise(fingerprints(docs, [id_col], text_col, "fp").withColumnRenamed(id_col, "doc_id"))
     found = class_components(fps, radius).select(F.col("fp").alias("_fp"), "component_id")

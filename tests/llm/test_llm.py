@@ -492,6 +492,45 @@ def test_links_and_components_against_brute_force(spark):
     assert got == {f: find(i) + 10 for i, f in enumerate(signed)}
 
 
+@pytest.mark.parametrize("large,few", [(40, 100_000), (3, -1)])
+def test_overfull_buckets_lose_no_link(spark, monkeypatch, large, few):
+    """A third of all fingerprints in one bucket: nested masks, then pairs of sub-blocks."""
+    monkeypatch.setattr(simhash_dedup, "LARGE", large)
+    monkeypatch.setattr(simhash_dedup, "BROADCAST_BUCKETS", few)
+    r = random.Random(4)
+    free = [i for i in range(64) if not simhash_dedup.covering_masks()[3] >> i & 1]
+    fps = {r.getrandbits(64) for _ in range(100)}
+    for _ in range(60):
+        f = sum(1 << i for i in free if r.random() < 0.5)
+        fps.add(f)
+        for _ in range(2):
+            for i in r.sample(free, r.randint(1, 3)):
+                f ^= 1 << i
+            fps.add(f)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    got = {x.fp % (1 << 64): x.component_id for x in simhash_dedup.class_components(df).collect()}
+    label = list(range(len(fps)))
+    for _ in fps:
+        for i in range(len(fps)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 3 and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+        if all(label[i] == label[j] for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3):
+            break
+    assert got == {f: label[i] for i, f in enumerate(fps)}
+
+
+def test_nested_masks_cover_every_pair_of_a_bucket():
+    from itertools import combinations
+
+    nested = simhash_dedup.nested_masks()
+    for t, m in enumerate(simhash_dedup.covering_masks()):
+        free, own = [i for i in range(64) if not m >> i & 1], nested[15 * t : 15 * t + 15]
+        assert all(x & m == 0 for x in own)
+        assert all(any(sum(1 << b for b in bits) & x == 0 for x in own) for bits in combinations(free[::4], 3))
+
+
 def test_near_duplicates_on_odd_rows(frame, odd, empty, clashing):
     got = simhash_dedup.near_duplicates(frame).collect()
     assert len(got) == len(odd)
