@@ -1,11 +1,18 @@
 """License scans by a positional rare-token index.
 
-Templates (short license notices, and the base phrases) are indexed by word with
-their positions. Document frequencies of the templates' words over the whole
-corpus give each template its rarest words. A file is looked up by those words
-only: every hit proposes the place where the template would begin, the places
-that most hits agree on are checked against the template's other words, and the
-template's key phrases must stand there word by word.
+Templates (license notices, and the base phrases) are indexed by word with their
+positions; document frequencies of their words over the whole corpus give each word
+its IDF. A file is looked up by its own highest-IDF license words: for each template
+whose key phrases' words it has, by the rarest of the template's words that are in
+the file, as many as no match could do without. A hit at file position i and
+template position p proposes that the template begins at i - p. The postings are
+intersected by these relative positions: only places that two template positions
+propose, to within DRIFT inserted or missing words, are checked. There the
+mandatory key phrases must stand in order, and the words that stand in order within
+DRIFT of their places must make up LEAST_SHARE of the notice by IDF.
+
+As the words looked up are chosen by weight, every place that reaches the share
+is proposed: the index finds what a scan of all places would find.
 """
 
 from __future__ import annotations
@@ -34,104 +41,183 @@ PHRASES = {
 
 @dataclass(frozen=True)
 class Template:
-    """``keys`` are phrases of the notice that must stand where it is found."""
+    """``keys`` are phrases of the notice that must stand where it is found, in this order."""
 
     label: str
     notice: str
     keys: tuple[str, ...]
 
 
-#: Notices as license texts and file headers have them.
+_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+
+
+def _gnu(label: str, name: str, version: str) -> Template:
+    return Template(label, _GNU.format(name, version), (f"gnu {name}", f"version {version} of the license"))
+
+
+def _creative(label: str, name: str) -> Template:
+    return Template(label, f"this work is licensed under a creative commons {name} 4 0 international license", (f"creative commons {name} 4 0",))
+
+
+# Notices as license texts and file headers have them.
 TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "associated documentation files")),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
-    Template("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "version 2")),
-    Template("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
-    Template("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work", ("waived all copyright",)),
-    Template("proprietary", "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher", ("all rights reserved", "prior written permission")),
+    Template("mit", _GRANT + " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission is hereby granted", "associated documentation files", "sublicense")),
+    Template("mit", _GRANT.partition(" the software")[0], ("permission is hereby granted", "associated documentation files")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    Template("bsd", _BSD, ("source and binary forms",)),
+    Template("bsd-2", f"{_BSD} 1 {_BSD_SOURCE} 2 {_BSD_BINARY}", ("source and binary forms", "redistributions of source code", "redistributions in binary form")),
+    Template("bsd-3", f"{_BSD} 1 {_BSD_SOURCE} 2 {_BSD_BINARY} 3 {_BSD_NAMES}", ("source and binary forms", "redistributions in binary form", "endorse or promote products")),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("will the authors be held liable", "alter it and redistribute it freely")),
+    Template("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("person or organization", "covered by this license")),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software", "public domain")),
+    Template("wtfpl", "do what the fuck you want to public license", ("what the fuck you want",)),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license version 2", "except in compliance with the license")),
+    Template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("applicable law or agreed to in writing", "without warranties or conditions of any kind")),
+    _gnu("gpl-2", "general public license", "2"),
+    _gnu("gpl-3", "general public license", "3"),
+    _gnu("lgpl-2.1", "lesser general public license", "2 1"),
+    _gnu("lgpl-3", "lesser general public license", "3"),
+    _gnu("agpl-3", "affero general public license", "3"),
+    Template("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    Template("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("source code form is subject to", "mozilla public license v 2 0")),
+    Template("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
+    Template("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ("common development and distribution license",)),
+    Template("eupl", "licensed under the eupl you may not use this work except in compliance with the licence", ("eupl", "in compliance with the licence")),
+    Template("artistic-2", "you may redistribute it and or modify it under the terms of the artistic license 2 0", ("artistic license 2 0",)),
+    Template("ofl", "this font software is licensed under the sil open font license version 1 1", ("sil open font license",)),
+    Template("python", "this license agreement is between the python software foundation psf and the individual or organization licensee", ("python software foundation", "licensee")),
+    _creative("cc-by", "attribution"),
+    _creative("cc-by-sa", "attribution sharealike"),
+    _creative("cc-by-nd", "attribution noderivatives"),
+    _creative("cc-by-nc", "attribution noncommercial"),
+    _creative("cc-by-nc-sa", "attribution noncommercial sharealike"),
+    _creative("cc-by-nc-nd", "attribution noncommercial noderivatives"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("to the extent possible under law", "waived all copyright")),
+    Template("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", ("all rights reserved", "no part of this publication", "prior written permission")),
+    *(Template(label, f"spdx license identifier {words}", (f"license identifier {words}",)) for label, words in (("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("isc", "isc"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("epl-2", "epl 2 0"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense"), ("zlib", "zlib"))),
 )
-#: Rarest words that a template is looked up by, and the share of its words (by
-#: IDF weight) that must stand in their places.
-RARE_WORDS, LEAST_SHARE = 4, 0.6
+#: Share of a notice's words (by IDF weight) that must stand near their places, and
+#: how far from these they may be.
+LEAST_SHARE, DRIFT = 0.6, 5
 
 
 def fold(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(FOLD).split()
 
 
-def vocabulary() -> list[bytes]:
-    return sorted({w for t in (*PHRASES, *(t.notice for t in TEMPLATES)) for w in fold(t.encode())})
+def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> list[bytes]:
+    return sorted({w for t in (*PHRASES, *(t.notice for t in templates)) for w in fold(t.encode())})
+
+
+def keys_stand(words: list[bytes], keys: list[list[bytes]], lo: int, hi: int) -> bool:
+    """Whether the key phrases stand in words[lo:hi], each behind the one before."""
+    at = max(lo, 0)
+    for key in keys:
+        at = next((i for i in range(at, min(hi, len(words)) - len(key) + 1) if words[i] == key[0] and words[i : i + len(key)] == key), -1)
+        if at < 0:
+            return False
+        at += len(key)
+    return True
+
+
+def share_at(words: list[bytes], notice: list[bytes], weight: list[float], start: int) -> float:
+    """Greatest weight of notice words that stand in order, each within DRIFT of its
+    place from ``start`` on, over the whole weight."""
+    chains: list[tuple[int, float]] = []  # where a chain of words in order ends, and its weight
+    for p, (word, x) in enumerate(zip(notice, weight)):
+        band = range(max(start + p - DRIFT, 0), min(start + p + DRIFT + 1, len(words)))
+        chains += [(i, x + max((v for j, v in chains if j < i), default=0.0)) for i in band if words[i] == word]
+    return max((v for _, v in chains), default=0.0) / sum(weight)
 
 
 class RareTokenIndex:
-    """Postings (entry, position) of each entry's rarest words.
-
-    Entries are the phrases first, then the notices."""
-
-    def __init__(self, df: dict[bytes, int], n_docs: int) -> None:
-        self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1.0 for w in vocabulary()}
-        self.entries = [fold(p.encode()) for p in PHRASES] + [fold(t.notice.encode()) for t in TEMPLATES]
-        self.keys = [[] for _ in PHRASES] + [self._key_places(t) for t in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for e, words in enumerate(self.entries):
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[: 1 if e < len(PHRASES) else RARE_WORDS]
-            for w in rare:
-                for p, own in enumerate(words):
-                    if own == w:
-                        self.postings[w].append((e, p))
-        self.labels = [*PHRASES.values(), *(t.label for t in TEMPLATES)]
-
-    @staticmethod
-    def _key_places(t: Template) -> list[tuple[int, list[bytes]]]:
-        words, out = fold(t.notice.encode()), []
-        for key in t.keys:
-            k = fold(key.encode())
-            at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
-            out.append((at, k))
+    """Postings of template words by template, and the checks of a proposed place."""
+
+    def __init__(self, df: dict[bytes, int], n_docs: int, templates: tuple[Template, ...] = TEMPLATES) -> None:
+        self.vocabulary = frozenset(vocabulary(templates))
+        self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1.0 for w in self.vocabulary}
+        self.phrases = [(fold(p.encode()), label) for p, label in PHRASES.items()]
+        # a phrase is looked up by its rarest word
+        self.rarest = [max(range(len(p)), key=lambda k: (self.idf[p[k]], -k)) for p, _ in self.phrases]
+        self.notices = [(t.label, fold(t.notice.encode()), [fold(k.encode()) for k in t.keys]) for t in templates]
+        self.weights = [[self.idf[w] for w in notice] for _, notice, _ in self.notices]
+        self.needed = [frozenset(w for k in keys for w in k) for _, _, keys in self.notices]
+        self.postings = []
+        for _, notice, _ in self.notices:
+            places: dict[bytes, list[int]] = defaultdict(list)
+            for k, w in enumerate(notice):
+                places[w].append(k)
+            self.postings.append(dict(places))
+
+    def looked_up(self, e: int, present: set[bytes]) -> list[bytes]:
+        """The file's rarest words of a template. What is left over, without the heaviest
+        looked-up place, weighs too little for a match, so that a match has two of them."""
+        whole = sum(self.weights[e])
+        own = sorted((w for w in self.postings[e] if w in present), key=lambda w: (-self.idf[w], w))
+        left = sum(self.idf[w] * len(self.postings[e][w]) for w in own)
+        out = []
+        for w in own:
+            if left + self.idf[own[0]] < LEAST_SHARE * whole * (1 - 1e-9):
+                break
+            out.append(w)
+            left -= self.idf[w] * len(self.postings[e][w])
         return out
 
+    def starts(self, e: int, chosen: list[bytes], where: dict[bytes, list[int]]) -> list[int]:
+        """Where template ``e`` may begin: within DRIFT of the proposals of two of its places."""
+        votes = sorted((i - p, p) for w in chosen for p in self.postings[e][w] for i in where.get(w, ()))
+        out = set()
+        for (low, p), (high, q) in zip(votes, votes[1:]):
+            if p != q and high - low <= 2 * DRIFT:
+                out.update(range(high - DRIFT, low + DRIFT + 1))
+        return sorted(out)
+
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, list[str], list[str], float]:
         """n_base, first_word, last_word, base labels, all labels, score."""
-        hits = [(i, w) for i, w in enumerate(words) if w in self.postings]
-        votes: list[Counter] = [Counter() for _ in self.entries]
-        for i, w in hits:
-            for e, p in self.postings[w]:
-                votes[e][i - p] += 1
+        present = self.vocabulary.intersection(words)
+        where: dict[bytes, list[int]] = defaultdict(list)
+        phrases = [k for k, (phrase, _) in enumerate(self.phrases) if present.issuperset(phrase)]
+        chosen = {e: self.looked_up(e, present) for e, need in enumerate(self.needed) if need <= present}
+        asked = {self.phrases[k][0][self.rarest[k]] for k in phrases}.union(*chosen.values())
+        if asked:
+            for i, w in enumerate(words):
+                if w in asked:
+                    where[w].append(i)
         starts, base, more, score = [], set(), set(), 0.0
-        for e, places in enumerate(votes):
-            entry = self.entries[e]
-            if e < len(PHRASES):  # a phrase stands where all its words do, as often as it does
-                found = [s for s in places if s >= 0 and words[s : s + len(entry)] == entry]
-                if found:
-                    starts += found
-                    base.add(self.labels[e])
-                    score = 1.0
-                continue
-            whole = sum(self.idf[w] for w in entry)
-            for s in places:
-                if not all(s + at >= 0 and words[s + at : s + at + len(k)] == k for at, k in self.keys[e]):
-                    continue
-                lo = max(0, -s)
-                share = sum(self.idf[w] for w, x in zip(entry[lo:], words[s + lo : s + len(entry)]) if w == x) / whole
-                if share >= LEAST_SHARE:
-                    more.add(self.labels[e])
-                    score = max(score, share)
+        for k in phrases:
+            phrase, label = self.phrases[k]
+            at = self.rarest[k]
+            found = [i - at for i in where[phrase[at]] if i >= at and words[i - at : i - at + len(phrase)] == phrase]
+            if found:
+                starts += found
+                base.add(label)
+                score = 1.0
+        for e, own in chosen.items():
+            label, notice, keys = self.notices[e]
+            best = 0.0
+            for s in self.starts(e, own, where):
+                if keys_stand(words, keys, s - DRIFT, s + len(notice) + DRIFT):
+                    best = max(best, share_at(words, notice, self.weights[e], s))
+            if best >= LEAST_SHARE:
+                more.add(label)
+                score = max(score, best)
         return len(starts), min(starts, default=None), max(starts, default=None), sorted(base), sorted(base | more), round(min(score, 1.0), 6)
 
 
-def word_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], int]:
+def word_frequencies(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> tuple[dict[bytes, int], int]:
     """Documents of the whole corpus that hold each template word, and how many
     documents there are. The vocabulary is fixed, so a partition sends one row for
     each of its words at most."""
-    words = vocabulary()
+    words = vocabulary(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts, n = set(words), Counter(), 0
+        own, counts, n = frozenset(words), Counter(), 0
         for batch in batches:
             for raw in as_bytes(batch.column(0)):
                 n += 1
@@ -143,18 +229,19 @@ def word_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[byte
     return df, df.pop(b"", 0)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Two passes over the texts and no shuffle of them. A null or empty text has no
     words, no places, empty label strings and score 0. Places may overlap and all
-    count. ``score`` is the greatest share of a notice that stands in place, 1
-    where a base phrase does. Repeated rows are scanned each.
+    count; several notices at one place give a label each. ``score`` is the greatest
+    share of a notice that stands in place, 1 where a base phrase does. Repeated rows
+    are scanned each; a very long text is held as a list of its words.
     """
-    df, n_docs = word_frequencies(docs, text_col)
+    df, n_docs = word_frequencies(docs, text_col, templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RareTokenIndex(df, n_docs)
+        index = RareTokenIndex(df, n_docs, templates)
         for batch in batches:
             rows = []
             for raw in as_bytes(batch.column(1)):
