@@ -4,12 +4,14 @@ The distinct chunks of a batch (runs that no piece reaches out of) are laid one
 behind the other and indexed by a suffix array. Every piece of the vocabulary is
 looked up by binary search, which gives the range of suffixes it begins, that is
 all its occurrences at once. The resulting edges are sorted by position and
-relaxed from left to right: the cheapest path through each chunk is its encoding.
+relaxed from left to right.
 
-Costs: a unigram model's scores are log probabilities and are used as they are.
-A merge-rank (BPE) file only ranks its pieces; the nth is then given Zipf's
-probability, so its cost is log(n + ZIPF_SHIFT). This is the model file's vocabulary
-under best-path segmentation, not a replay of its merges.
+The model merges neighbours, best rank first and leftmost of equals. Of a text
+encoded so, every prefix that ends where a piece ends is encoded by its own pieces,
+so each position has one last piece, and an edge relaxes its end if its piece can
+stand behind the last piece of its begin: if merging the two side by side never
+crosses between them. That is read from how each of both came about (``Merges``),
+for many pairs at once. What is left at the end is the model's own encoding.
 
 Spaces become U+2581 with one more in front; characters that no piece has, and a
 U+2581 in the text itself, go through the byte pieces, so decoding is exact.
@@ -18,7 +20,6 @@ U+2581 in the text itself, go through the byte pieces, so decoding is exact.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -34,16 +35,88 @@ from tarnfield.llm.text import as_bytes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581".encode()
-ZIPF_SHIFT = 10
 #: Bytes of text that are chunked at once, bytes of chunks that one suffix array
-#: indexes, and chunks a worker remembers.
-TEXT_BYTES, INDEX_BYTES, MEMO_CHUNKS = 1 << 22, 1 << 17, 300_000
-#: Longest chunk, in bytes, that is relaxed side by side with others.
-TOGETHER = 64
+#: indexes, and bytes of chunks and ids that a worker remembers.
+TEXT_BYTES, INDEX_BYTES, MEMO_BYTES = 1 << 22, 1 << 17, 1 << 26
+#: What an entry of the memo takes besides its contents.
+ENTRY_BYTES = 150
+#: Longest chunk, in bytes, that is relaxed side by side with others; pairs of
+#: pieces whose fit is remembered for the longer ones.
+TOGETHER, MEMO_PAIRS = 64, 1 << 18
+NEVER = 1 << 40
+
+
+class Merges:
+    """How each piece comes about, and which pieces can stand side by side.
+
+    Pieces are numbered; ``count`` stands for a character without a piece and
+    ``count + 1`` for the begin of a chunk, which merge with nothing."""
+
+    def __init__(self, pieces: list[bytes], ranks: list[int]) -> None:
+        rank = dict(zip(pieces, ranks))
+        number = {p: k for k, p in enumerate(pieces)}
+        n = self.count = len(pieces)
+        self.left, self.right = (np.full(n + 2, -1, np.int64) for _ in range(2))
+        self.time = np.full(n + 2, -1, np.int64)  # when a piece is there at the earliest; characters always
+        self.reached = np.zeros(n, bool)
+        pairs: dict[int, int] = {}
+        for p in sorted(pieces, key=lambda x: (len(x), x)):
+            k, chars = number[p], [c.encode() for c in p.decode()]
+            parts, last = chars[:], None
+            while len(parts) > 1:
+                r, at = min((rank.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if r == NEVER:
+                    break
+                last = parts[at], parts[at + 1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.reached[k] = len(parts) == 1
+            if last and self.reached[k]:
+                self.left[k], self.right[k] = (number[x] for x in last)
+                self.time[k] = max(rank[p], self.time[self.left[k]], self.time[self.right[k]])
+            at = 0
+            for c in chars[:-1]:
+                at += len(c)
+                if p[:at] in number and p[at:] in number:
+                    pairs[number[p[:at]] * (n + 2) + number[p[at:]]] = rank[p]
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.pair_rank = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.known: dict[int, bool] = {}
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether b can stand behind a. Both are taken apart again, what came last first;
+        all that stood side by side at some time must have been taken away before it could merge."""
+        out = np.ones(len(a), bool)
+        if not len(self.keys):
+            return out
+        at, x, y = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64)
+        until_x, until_y = (np.full(len(a), NEVER, np.int64) for _ in range(2))
+        while len(at):
+            key = x * (self.count + 2) + y
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            r = np.where(self.keys[place] == key, self.pair_rank[place], NEVER)
+            crossed = (r < until_x) & (r <= until_y)
+            out[at[crossed]] = False
+            tx, ty = self.time[x], self.time[y]
+            undo_x = tx > ty
+            until_x, until_y = np.where(undo_x, tx, until_x), np.where(undo_x, until_y, ty)
+            goes_on = ~crossed & (np.maximum(tx, ty) >= 0)
+            x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
+            at, x, y, until_x, until_y = (v[goes_on] for v in (at, x, y, until_x, until_y))
+        return out
+
+    def fits(self, a: int, b: int) -> bool:
+        """The same for one pair, remembered."""
+        key = a * (self.count + 2) + b
+        known = self.known.get(key)
+        if known is None:
+            if len(self.known) >= MEMO_PAIRS:
+                self.known.clear()
+            known = self.known[key] = bool(self.fit(np.array([a]), np.array([b]))[0])
+        return known
 
 
 class PieceCodec:
-    """Vocabulary of a model file with costs, an encoder and a decoder."""
+    """Vocabulary and merge ranks of a model file, an encoder and a decoder."""
 
     def __init__(self, path: str = MODEL) -> None:
         import sentencepiece
@@ -62,16 +135,22 @@ class PieceCodec:
                 self.shown.append(piece.encode().replace(MARK, b" "))
         if len(self.byte_ids) != 256:
             raise ValueError("the model needs byte pieces, or decoding cannot be exact")
-        by_rank = all(float(s).is_integer() for _, _, s in normal)
-        self.pieces = {p: (math.log(-s + ZIPF_SHIFT) if by_rank else -s, i) for p, i, s in normal}
-        self.byte_cost = 2 * max(c for c, _ in self.pieces.values()) + 1
+        if not all(float(s).is_integer() for _, _, s in normal):
+            raise ValueError("the model's scores must be merge ranks")
+        normal.sort()
+        merges = self.merges = Merges([p for p, _, _ in normal], [int(-s) for _, _, s in normal])
+        self.pieces = {p: i for p, i, _ in normal}
+        if not all(c.encode() in self.pieces for p in self.pieces for c in p.decode()):
+            raise ValueError("each character of a piece must be a piece")
         self.longest = max(map(len, self.pieces))
-        names = sorted(self.pieces)
+        #: pieces that can be met, in order; ids by number, and -1 for a character without a piece
+        self.number = np.nonzero(merges.reached)[0]
+        names = [normal[k][0] for k in self.number]
         self.names = np.array(names, f"S{self.longest}")
         self.behind = np.array([n + b"\xff" * (self.longest - len(n)) for n in names], f"S{self.longest}")
         self.lengths = np.array([len(n) for n in names])
-        self.name_cost = np.array([self.pieces[n][0] for n in names])
-        self.name_id = np.array([self.pieces[n][1] for n in names])
+        self.single = np.array([len(n.decode()) == 1 for n in names])
+        self.id_of = np.array([*(i for _, i, _ in normal), -1, -1])
         inside = {c for p in self.pieces for c in p}
         lone = bytes(b for b in range(128) if b not in inside)  # ASCII that only byte pieces have
         # does any piece have a mark behind something else? then only whole texts are chunks
@@ -82,6 +161,7 @@ class PieceCodec:
         #: ids of each chunk as packed 32-bit integers
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def chunks(self, raw: bytes) -> list[bytes]:
         """Runs that no piece reaches out of; spaces are still spaces, and a U+2581 of
@@ -131,33 +211,44 @@ class PieceCodec:
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return suffixes[np.repeat(low, count) + nth], np.repeat(which, count)
 
-    def _relax_together(self, text: bytes, chunks: list[bytes], marked: list[bytes], begin: np.ndarray, piece: np.ndarray) -> None:
-        """All edges that begin at the same offset of their chunks are relaxed at once."""
+    def _edges(self, text: bytes, begin: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and number of all edges: the pieces' and one for each character without a piece."""
         raw = np.frombuffer(text, np.uint8)
-        size = np.fromiter(map(len, marked), np.int64, len(marked)) + 1
-        starts = np.cumsum(size) - size
         head = np.nonzero((raw != 0) & ((raw & 0xC0) != 0x80))[0]  # where characters begin
         first = raw[head]
         width = np.where((first < 0x80) | (first >= 0xFD), 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
-        begin = np.concatenate((begin, head))
-        end = begin + np.concatenate((self.lengths[piece], width))
-        cost = np.concatenate((self.name_cost[piece], self.byte_cost * width))
-        ids = np.concatenate((self.name_id[piece], np.full(len(head), -1)))
-        offset = begin - np.repeat(starts, size)[begin]
-        order = np.lexsort((begin - end, offset))
-        begin, end, cost, ids = begin[order], end[order], cost[order], ids[order]
-        best = np.full(len(raw) + 1, np.inf)
-        best[starts] = 0.0
-        back, via = np.zeros(len(raw) + 1, np.int64), np.full(len(raw) + 1, -1)
-        cuts = np.searchsorted(offset[order], np.arange(TOGETHER * len(MARK) + 2))
+        known = np.zeros(len(raw) + 1, bool)
+        known[begin[self.single[piece]]] = True
+        lone = ~known[head]
+        head, width = head[lone], width[lone]
+        begin, number = np.concatenate((begin, head)), np.concatenate((self.number[piece], np.full(len(head), self.merges.count)))
+        return begin, np.concatenate((begin[: len(piece)] + self.lengths[piece], head + width)), number
+
+    def _relax_together(self, text: bytes, chunks: list[bytes], marked: list[bytes], begin: np.ndarray, piece: np.ndarray) -> None:
+        """All edges that end at the same offset of their chunks are relaxed at once."""
+        raw = np.frombuffer(text, np.uint8)
+        size = np.fromiter(map(len, marked), np.int64, len(marked)) + 1
+        starts = np.cumsum(size) - size
+        begin, end, number = self._edges(text, begin, piece)
+        offset = end - np.repeat(starts, size)[begin]
+        order = np.lexsort((begin, end, offset))
+        begin, end, number, offset = begin[order], end[order], number[order], offset[order]
+        final = np.append(end[1:] != end[:-1], True)  # an end's last edge needs no test: one of them fits
+        last = np.full(len(raw) + 1, self.merges.count + 1)
+        back = np.zeros(len(raw) + 1, np.int64)
+        cuts = np.searchsorted(offset, np.arange(TOGETHER * len(MARK) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if a == b:
                 continue
-            here, to = best[begin[a:b]] + cost[a:b], end[a:b]
-            old = best[to]
-            np.minimum.at(best, to, here)
-            won = (here == best[to]) & (here < old)
-            back[to[won]], via[to[won]] = begin[a:b][won], ids[a:b][won]
+            k = np.concatenate(([a], a + 1 + np.nonzero(final[a : b - 1])[0]))  # each end's longest edge, then the next
+            while len(k):
+                good = final[k]
+                test = np.nonzero(~good)[0]
+                good[test] = self.merges.fit(last[begin[k[test]]], number[k[test]])
+                won = k[good]
+                last[end[won]], back[end[won]] = number[won], begin[won]
+                k = k[~good] + 1
+        via = np.where(last <= self.merges.count, self.id_of[last], -1)
         # all chunks walk back from their ends at once, one piece a round
         who, q, walked = np.arange(len(chunks)), starts + size - 1, []
         while len(who):
@@ -178,45 +269,37 @@ class PieceCodec:
         packed = flat.astype(np.int32).tobytes()
         ends = (4 * np.cumsum(np.bincount(who, width, len(chunks)).astype(np.int64))).tolist()
         self.memo.update(zip(chunks, map(packed.__getitem__, map(slice, [0, *ends], ends))))
+        self.held += len(packed) + sum(map(len, chunks)) + ENTRY_BYTES * len(chunks)
 
     def _relax(self, text: bytes, chunks: list[bytes], marked: list[bytes], begin: np.ndarray, piece: np.ndarray) -> None:
-        """The same from left to right over the edges sorted by position."""
-        order = np.lexsort((-self.lengths[piece], begin))
-        begin, piece = begin[order], piece[order]
-        begin, end, cost, ids = begin.tolist(), (begin + self.lengths[piece]).tolist(), self.name_cost[piece].tolist(), self.name_id[piece].tolist()
-        n = len(text)
-        best, back, via = [math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        starts, at = [], 0
-        for c in marked:
-            starts.append(at)
-            best[at] = 0.0
-            at += len(c) + 1
-        e, m, byte_cost = 0, len(begin), self.byte_cost
-        for p in range(n):
-            here = best[p]
-            first = text[p]
-            if here == math.inf or first == 0:  # inside a character, or between chunks
-                while e < m and begin[e] == p:
-                    e += 1
-                continue
-            while e < m and begin[e] == p:
-                q = end[e]
-                total = here + cost[e]
-                if total < best[q]:
-                    best[q], back[q], via[q] = total, p, ids[e]
-                e += 1
-            size = 1 if first < 0x80 or first >= 0xFD else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-            q = p + size
-            total = here + byte_cost * size
-            if q <= n and total < best[q]:
-                best[q], back[q], via[q] = total, p, -1
-        for start, c, m in zip(starts, chunks, marked):
-            out, q = [], start + len(m)
-            while q > start:
+        """The same from left to right, one end after the other."""
+        begin, end, number = self._edges(text, begin, piece)
+        order = np.lexsort((begin, end))
+        begin, end, number = begin[order].tolist(), end[order].tolist(), number[order].tolist()
+        n, fits, none = len(text), self.merges.fits, self.merges.count + 1
+        last, back = [none] * (n + 1), [0] * (n + 1)
+        e, m = 0, len(end)
+        while e < m:
+            q = end[e]
+            until = e + 1
+            while until < m and end[until] == q:
+                until += 1
+            for k in range(e, until):
+                if k == until - 1 or fits(last[begin[k]], number[k]):
+                    last[q], back[q] = number[k], begin[k]
+                    break
+            e = until
+        at = 0
+        for c, m in zip(chunks, marked):
+            out, q = [], at + len(m)
+            while q > at:
                 p = back[q]
-                out += [via[q]] if via[q] >= 0 else [self.byte_ids[_HIDDEN.get(b, b)] for b in reversed(text[p:q])]
+                i = int(self.id_of[last[q]])
+                out += [i] if i >= 0 else [self.byte_ids[_HIDDEN.get(b, b)] for b in reversed(text[p:q])]
                 q = p
             self.memo[c] = array("i", out[::-1]).tobytes()
+            self.held += len(c) + 4 * len(out) + ENTRY_BYTES
+            at += len(m) + 1
 
     def encode_batch(self, texts: list[bytes | None]) -> list[array]:
         """Piece ids of each text (none for null or empty), some TEXT_BYTES at a time."""
@@ -232,14 +315,15 @@ class PieceCodec:
 
     def _encode(self, texts: list[bytes]) -> list[array]:
         split = list(map(self.chunks, texts))
-        if len(self.memo) > MEMO_CHUNKS // 2:  # two generations: what is in use moves on
-            self.memo, self.older = {}, self.memo
+        if self.held > MEMO_BYTES // 2:  # two generations: what is in use moves on
+            self.memo, self.older, self.held = {}, self.memo, 0
         memo, older = self.memo, self.older
         new = {}
         for c in dict.fromkeys(chain.from_iterable(split)):
             if c not in memo:
                 if (ids := older.get(c)) is not None:
                     memo[c] = ids
+                    self.held += len(c) + len(ids) + ENTRY_BYTES
                 else:
                     new[c] = None
         # a NUL separates chunks in the index, so one of the text's own is encoded by itself
