@@ -2,26 +2,34 @@
 
 Per language and source a minimum-covariance-determinant estimate of centre and
 scatter is fitted to transformed statistics of the documents that pass the base
-rules, and documents far from it by Mahalanobis distance are rejected. The same is
-fitted per language and to the whole table; groups too small for an estimate of
-their own take their language's, and small languages the table's.
-
-The estimate is distributed. Every concentration step is one aggregation: rows
-are binned by their distance to the current estimate, counts and moments are
-summed per (group, bin), and each group's next estimate is taken from
-the nearest bins that hold the share ``CORE`` of its rows. Nothing is sampled, and
-a group's task sees its bins (a few hundred at most), never its rows.
+rules, and documents far from it by Mahalanobis distance are rejected.
+
+The search is distributed. Each group begins from four robust or plain starts; a
+concentration step takes the CORE of its rows that is nearest to the current
+estimate and their mean and covariance as the next one. After TRIALS steps the
+start with the least determinant goes on, and steps are taken until its determinant
+stops falling. The rows near to the result by the usual quantile give the reweighted
+estimate. The same is done per language and for the whole table, and each group's
+estimate is shrunk towards its language's, and that towards the table's, as if these
+were PRIOR_ROWS rows of its own: a large group keeps its own, a group of one row has
+its language's, and every document is judged by one rule at every size.
+
+A step is one aggregation: rows are binned by distance, counts and moments are summed
+per (group, bin) as integers, so that reruns agree, and of the bin that the core ends
+in its share is taken. Nothing is sampled, and a group's task sees its bins (a few
+hundred at most), never its rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.tables import drop, fresh, materialise
@@ -29,30 +37,31 @@ from tarnfield.llm.text import SPACES, as_bytes, code_points
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Share of a group's rows that an estimate rests on.
-CORE = 0.75
-STEPS = 5
-#: Consistency factor at the normal for CORE and five variables:
-#: CORE / P(chi2 with 7 degrees <= 0.75 quantile of chi2 with 5 degrees).
-CONSISTENCY = 1.412
+#: Share of a group's rows that an estimate rests on, steps with all starts, and most steps in all.
+CORE, TRIALS, MOST_STEPS = 0.75, 2, 30
+#: Fall of the log determinant below which a search ends.
+LEAST_FALL = 1e-3
+#: Share of a normal's rows that the reweighted estimate rests on.
+NEAR = 0.975
+#: Rows that a language counts for in its groups' estimates, and the table in its languages'.
+PRIOR_ROWS = 100
 #: Squared distance beyond which a document goes, set between the clean and the junk
 #: documents of the labels tables (figures in the README): shares of repeats have long
 #: tails among the clean, so that a quantile of chi2 with 5 degrees would reject them.
 CUTOFF = 40.0
-#: Groups of fewer passing documents take their language's estimate, languages of
-#: fewer the whole table's, which needs no least number.
-MIN_GROUP = 30
 #: Least standard deviation of each variable: log word length, then square roots
 #: of the symbols', repeated lines' and repeated words' shares, then log words.
 #: Most clean texts repeat nothing, so these stand in for a scatter of 0; each share
 #: can exceed CUTOFF by itself (0.4 repeated lines or words, 0.036 symbols).
 FLOORS = (0.06, 0.03, 0.1, 0.1, 0.2)
-#: Groups whose estimates may be broadcast (at 200 bytes each, 2 MB).
+#: Estimates that may be broadcast (at 200 bytes each, 2 MB).
 BROADCAST_GROUPS = 10_000
 SALTS = 64
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = tuple(f"v{i}" for i in range(5))
 _PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
+#: Statistics are whole numbers of this part; products are summed in two parts of SPLIT bits.
+UNIT, SPLIT = 1e-6, 20
 #: Fixed grids for the start's medians and quartiles.
 _GRID = ((-1.0, 9.0), (0.0, 1.0), (0.0, 1.0), (0.0, 1.0), (0.0, 20.0))
 _CELLS = 1000
@@ -88,7 +97,7 @@ def text_statistics(raw: bytes | None) -> tuple:
         np.sqrt(n_repeat / (n_words + 20.0)),
         np.log(n_words + 1.0),
     )
-    return (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, *(round(float(x), 9) for x in vector))
+    return (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, *(round(float(x), 6) for x in vector))
 
 
 def with_statistics(df: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -145,40 +154,136 @@ def squared_distance(group: str, names: list[str] = VECTOR) -> Column:
 
 #: Level 0 is (lang, source), 1 a language (source is null), 2 the table (both are null).
 _KEY = ("level", "lang", "source")
-_PARAM_SCHEMA = "level int, lang string, source string, n_fit long, " + ", ".join([f"m{i} double" for i in range(5)] + [f"a{i}{j} double" for i, j in _PAIRS])
-
-
-def _estimate(key: dict, n: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
-    row = key | {"n_fit": n} | {f"m{i}": round(mean[i], 9) for i in range(5)}
-    return pd.DataFrame([row | {f"a{i}{j}": inverse[i, j] for i, j in _PAIRS}])
-
-
-def _first(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The start: medians, and quartile ranges as a diagonal scatter."""
-    key = {c: pdf[c].iloc[0] for c in _KEY}
-    mean, sd, n = np.zeros(5), np.zeros(5), 0
-    for i, (lo, hi) in enumerate(_GRID):
-        own = pdf[pdf["dim"] == i].sort_values("cell")
-        cum, n = own["n"].cumsum().to_numpy(), int(own["n"].sum())
-        q = [own["cell"].to_numpy()[np.searchsorted(cum, np.ceil(p * n))] for p in (0.25, 0.5, 0.75)]
-        width = (hi - lo) / _CELLS
-        mean[i], sd[i] = lo + (q[1] + 0.5) * width, (q[2] - q[0]) * width / 1.349
-    return _estimate(key, n, mean, np.diag(sd**2))
-
-
-def _next(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The nearest bins that hold CORE of the rows, and their moments."""
-    key = {c: pdf[c].iloc[0] for c in _KEY}
-    pdf = pdf.sort_values("bin")
-    cum, total = pdf["n"].cumsum().to_numpy(), int(pdf["n"].sum())
-    core = pdf.iloc[: int(np.searchsorted(cum, np.ceil(CORE * total))) + 1]
-    n = core["n"].sum()
-    mean = np.array([core[f"s{i}"].sum() / n for i in range(5)])
-    cov = np.zeros((5, 5))
+_PARAM = [*(f"m{i}" for i in range(5)), *(f"a{i}{j}" for i, j in _PAIRS)]
+_PARAM_SCHEMA = "level int, lang string, source string, start int, n_fit long, logdet double, " + ", ".join(f"{c} double" for c in _PARAM)
+
+
+_SUMS = [*(f"s{i}" for i in range(5)), *(f"{x}{i}{j}" for i, j in _PAIRS for x in "hl")]
+
+
+def chi2_share(x: float, degrees: int) -> float:
+    """P(chi2 <= x) for an odd number of degrees."""
+    out = math.erf(math.sqrt(x / 2))
+    for k in range(1, degrees, 2):
+        out -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return out
+
+
+def chi2_quantile(share: float, degrees: int) -> float:
+    lo, hi = 0.0, 200.0
+    while hi - lo > 1e-9:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_share(mid, degrees) < share else (lo, mid)
+    return hi
+
+
+def consistency(share: float) -> float:
+    """What the covariance of a normal's nearest ``share`` is multiplied by to be that of all."""
+    return share / chi2_share(chi2_quantile(share, 5), 7)
+
+
+def _table(keys: pd.DataFrame, start: np.ndarray | int, n: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """Estimates of many groups: the covariances, their floors added, as inverses and log determinants."""
+    lifted = cov + np.diag(np.square(FLOORS))
+    inverse = np.linalg.inv(lifted)
+    out = keys[list(_KEY)].reset_index(drop=True)
+    out["start"], out["n_fit"], out["logdet"] = start, np.asarray(n, np.int64), np.round(np.linalg.slogdet(lifted)[1], 9)
+    for i in range(5):
+        out[f"m{i}"] = np.round(mean[:, i], 9)
+    for i, j in _PAIRS:
+        out[f"a{i}{j}"] = [float(f"{v:.9e}") for v in inverse[:, i, j]]
+    return out
+
+
+def moment_sums(columns: str = "q", name: str = "") -> list[Column]:
+    """Exact sums of five columns of whole numbers and of their products."""
+    out = [F.sum(f"{columns}{i}").alias(f"{name}s{i}") for i in range(5)]
+    for i, j in _PAIRS:
+        product = F.col(f"{columns}{i}") * F.col(f"{columns}{j}")
+        out += [F.sum(F.shiftright(product, SPLIT)).alias(f"{name}h{i}{j}"), F.sum(product.bitwiseAND(F.lit((1 << SPLIT) - 1))).alias(f"{name}l{i}{j}")]
+    return out
+
+
+def moments(pdf: pd.DataFrame, parts: dict[str, np.ndarray | float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, means and covariances of many groups from the sums under each prefix of ``parts``, weighted."""
+    def total(name: str) -> np.ndarray:
+        return sum(pdf[f"{p}{name}"].to_numpy(np.float64) * w for p, w in parts.items())
+
+    n = total("n")
+    mean = np.stack([total(f"s{i}") for i in range(5)], axis=1) / n[:, None] * UNIT
+    cov = np.zeros((len(pdf), 5, 5))
     for i, j in _PAIRS:
-        cov[i, j] = cov[j, i] = core[f"p{i}{j}"].sum() / n - mean[i] * mean[j]
-    return _estimate(key, total, mean, CONSISTENCY * cov)
+        square = (total(f"h{i}{j}") * 2.0**SPLIT + total(f"l{i}{j}")) / n * UNIT**2
+        cov[:, i, j] = cov[:, j, i] = square - mean[:, i] * mean[:, j]
+    return n, mean, cov
+
+
+def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Medians, and quartile ranges as diagonal scatters, from the quartiles' cells."""
+    for pdf in batches:
+        width = np.array([(hi - lo) / _CELLS for lo, hi in _GRID])
+        low, mid, high = (pdf[[f"{q}{i}" for i in range(5)]].to_numpy(np.float64) for q in "abc")
+        sd = (high - low) * width / 1.349
+        yield _table(pdf, 0, pdf["n"], np.array([lo for lo, _ in _GRID]) + (mid + 0.5) * width, sd[:, :, None] ** 2 * np.eye(5))
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Four starts of each group: its medians with the diagonal scatter, with the
+    correlation of hyperbolic tangents, and with that of the spatial signs, and the
+    plain moments of all its rows."""
+    for pdf in batches:
+        centre = pdf[[f"m{i}" for i in range(5)]].to_numpy(np.float64)
+        scale = pdf[[f"a{i}{i}" for i in range(5)]].to_numpy(np.float64) ** -0.5
+        n, mean, cov = moments(pdf, {"": 1.0})
+        out = [_table(pdf, 0, n, centre, (scale**2 - np.square(FLOORS))[:, :, None] * np.eye(5)), _table(pdf, 3, n, mean, cov)]
+        for k, name in ((1, "t"), (2, "u")):
+            _, _, cov = moments(pdf.rename(columns={"n": f"{name}n"}), {name: 1.0})
+            sd = np.sqrt(np.maximum(np.einsum("gii->gi", cov), 1e-12))
+            out.append(_table(pdf, k, n, centre, cov * (scale / sd)[:, :, None] * (scale / sd)[:, None, :]))
+        yield pd.concat(out)
+
+
+def _next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The moments of the nearest CORE of the rows; of the bin that it ends in, its share."""
+    for pdf in batches:
+        _, mean, cov = moments(pdf, {"f_": 1.0, "e_": pdf["share"].to_numpy(np.float64)})
+        yield _table(pdf, pdf["start"].to_numpy(), pdf["n"], mean, consistency(CORE) * cov)
+
+
+def _reweighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mean and covariance of the rows near the estimate, which _blend shrinks."""
+    for pdf in batches:
+        n, mean, cov = moments(pdf, {"": 1.0})
+        out = pdf[list(_KEY)].reset_index(drop=True)
+        out["n_fit"] = n.astype(np.int64)
+        for i in range(5):
+            out[f"m{i}"] = mean[:, i]
+        for i, j in _PAIRS:
+            out[f"a{i}{j}"] = consistency(NEAR) * cov[:, i, j]
+        yield out
+
+
+def _blend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each group's estimate: the table's, moved towards its language's and then its own."""
+    for pdf in batches:
+        means, covs, counts = [], [], []
+        for r in pdf.itertuples():
+            mean = cov = None
+            for own in (r.own2, r.own1, r.own0):
+                if own is None:
+                    continue
+                n, m = own["n_fit"], np.array([own[f"m{i}"] for i in range(5)])
+                c = np.zeros((5, 5))
+                for i, j in _PAIRS:
+                    c[i, j] = c[j, i] = own[f"a{i}{j}"]
+                if mean is not None:  # scatters are within groups only, or a lone outlier would hide itself
+                    m, c = ((n * x + PRIOR_ROWS * y) / (n + PRIOR_ROWS) for x, y in ((m, mean), (c, cov)))
+                mean, cov = m, c
+            means.append(mean)
+            covs.append(cov)
+            counts.append(r.own0["n_fit"] if r.own0 is not None else 0)
+        if means:
+            yield _table(pdf.assign(level=0), 0, np.array(counts), np.array(means), np.array(covs))
 
 
 def levels(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -190,39 +295,88 @@ def levels(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def resolved(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """One estimate for each (lang, source) of ``stats``: its own, else its language's, else the table's."""
+    """One estimate for each (lang, source) of ``stats``; none if no row passed."""
     groups = stats.select("lang", "source").distinct()
     packed = params.select(*_KEY, F.struct(*(c for c in params.columns if c not in _KEY)).alias("own"))
     group, lang, table = (packed.filter(F.col("level") == k).select(F.col("lang").alias(f"lang{k}"), F.col("source").alias(f"source{k}"), F.col("own").alias(f"own{k}")) for k in range(3))
     out = groups.join(group, F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
-    out = out.join(lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").crossJoin(F.broadcast(table))
-    return out.select("lang", "source", F.coalesce("own0", "own1", "own2").alias("own")).select("lang", "source", "own.*")
+    out = out.join(lang, F.col("lang").eqNullSafe(F.col("lang1")), "left").join(F.broadcast(table))  # the table's is one row
+    return out.select("lang", "source", "own0", "own1", "own2").mapInPandas(_blend, _PARAM_SCHEMA)
+
+
+def whole(value: Column) -> Column:
+    return F.round(value / UNIT).cast("long")
+
+
+def concentrate(each: DataFrame, params: DataFrame, n_params: int) -> DataFrame:
+    """One concentration step of every estimate of ``params``."""
+    near, own = attach(each, params, n_params, _KEY)
+    near = near.filter(F.col(own).isNotNull())
+    near = near.withColumn("bin", F.floor(16 * F.log2(F.greatest(squared_distance(own), F.lit(1e-3)))).cast("int"))
+    binned = near.groupBy(*_KEY, F.col(f"{own}.start").alias("start"), "bin").agg(F.count(F.lit(1)).alias("n"), *moment_sums())
+    group = Window.partitionBy(*_KEY, "start")
+    binned = binned.withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n")).withColumn("core", F.ceil(CORE * F.sum("n").over(group)))
+    full, edge = F.col("before") + F.col("n") <= F.col("core"), (F.col("before") < F.col("core")) & (F.col("before") + F.col("n") > F.col("core"))
+    sums = [F.coalesce(F.sum(F.when(here, F.col(c))), F.lit(0)).alias(f"{name}{c}") for name, here in (("f_", full), ("e_", edge)) for c in ("n", *_SUMS)]
+    share = F.coalesce(F.max(F.when(edge, (F.col("core") - F.col("before")) / F.col("n"))), F.lit(0.0))
+    return binned.groupBy(*_KEY, "start").agg(F.sum("n").alias("n"), share.alias("share"), *sums).mapInPandas(_next, _PARAM_SCHEMA)
 
 
 def fit(stats: DataFrame) -> tuple[DataFrame, int]:
     """An estimate for each (lang, source), and how many; none where no row passes the base rules.
 
-    ``stats`` has lang, source, BASE and VECTOR, and is read STEPS + 2 times.
+    ``stats`` has lang, source, BASE and VECTOR, and is read once for each step.
     """
-    rows = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("lang", "source", *VECTOR)
+    rows = stats.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("lang", "source", *VECTOR, *(whole(F.col(v)).alias(f"q{i}") for i, v in enumerate(VECTOR)))
     cells = [F.struct(F.lit(i).alias("dim"), F.greatest(F.lit(0), F.least(F.lit(_CELLS - 1), F.floor((F.col(f"v{i}") - lo) / ((hi - lo) / _CELLS)))).cast("int").alias("cell")) for i, (lo, hi) in enumerate(_GRID)]
     hist = rows.select("lang", "source", F.explode(F.array(*cells)).alias("x")).groupBy("lang", "source", "x.dim", "x.cell").agg(F.count(F.lit(1)).alias("n"))
     hist = levels(hist, ["dim", "cell", "n"]).groupBy(*_KEY, "dim", "cell").agg(F.sum("n").alias("n"))
-    enough = (F.col("level") == 2) | (F.col("n_fit") >= MIN_GROUP)
-    params = materialise(hist.groupBy(*_KEY).applyInPandas(_first, _PARAM_SCHEMA).filter(enough))
-    n_groups = params.count()
-    each = levels(rows, list(VECTOR))
-    for _ in range(STEPS):
-        near, group = attach(each, params, n_groups, _KEY)
-        near = near.filter(F.col(group).isNotNull())
-        near = near.withColumn("bin", F.floor(16 * F.log2(F.greatest(squared_distance(group), F.lit(1e-3)))).cast("int"))
-        sums = [F.sum(f"v{i}").alias(f"s{i}") for i in range(5)] + [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
-        binned = near.groupBy(*_KEY, "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        last, params = params, materialise(binned.groupBy(*_KEY).applyInPandas(_next, _PARAM_SCHEMA))
+    column = Window.partitionBy(*_KEY, "dim")
+    hist = hist.withColumn("upto", F.sum("n").over(column.orderBy("cell"))).withColumn("all", F.sum("n").over(column))
+    quartiles = [F.min(F.when((F.col("dim") == i) & (F.col("upto") >= F.ceil(F.col("all") * p)), F.col("cell"))).alias(f"{q}{i}") for i in range(5) for q, p in zip("abc", (0.25, 0.5, 0.75))]
+    middle = materialise(hist.groupBy(*_KEY).agg(F.max("all").alias("n"), *quartiles).mapInPandas(_first, _PARAM_SCHEMA))
+    n_groups = middle.count()
+    each = levels(rows, [*VECTOR, *(f"q{i}" for i in range(5))])
+
+    # all starts, of which the one with the least determinant goes on
+    near, own = attach(each, middle, n_groups, _KEY)
+    near = near.withColumns({f"z{i}": (F.col(v) - F.col(f"{own}.m{i}")) * F.sqrt(f"{own}.a{i}{i}") for i, v in enumerate(VECTOR)})
+    near = near.withColumn("length", F.greatest(F.sqrt(sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(5))), F.lit(1e-9)))
+    near = near.withColumns({f"t{i}": whole(F.tanh(f"z{i}")) for i in range(5)} | {f"u{i}": whole(F.col(f"z{i}") / F.col("length")) for i in range(5)})
+    sums = moment_sums() + moment_sums("t", "t") + moment_sums("u", "u")
+    firsts = [F.first(f"{own}.{c}").alias(c) for c in _PARAM]
+    begun = near.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), *firsts, *sums)
+    params = materialise(begun.mapInPandas(_starts, _PARAM_SCHEMA))
+    drop(middle)
+    for _ in range(TRIALS):
+        last, params = params, materialise(concentrate(each, params, 4 * n_groups))
         drop(last)
-    last, params = params, materialise(resolved(stats, params))
+    columns = [c for c in params.columns if c not in _KEY]
+    least = params.groupBy(*_KEY).agg(F.min(F.struct("logdet", *(c for c in columns if c != "logdet"))).alias("p"))
+    last, params = params, materialise(least.select(*_KEY, *(F.col(f"p.{c}") for c in columns)).withColumn("done", F.lit(False)))
     drop(last)
-    return params, params.count()
+
+    # until determinants stop falling
+    for _ in range(MOST_STEPS - TRIALS):
+        moving = params.filter("not done").drop("done")
+        n_moving = moving.count()
+        if not n_moving:
+            break
+        step = concentrate(each, moving, n_moving)
+        step = step.select(*(F.col(c).alias(f"n_{c}") for c in _KEY), F.struct(*columns).alias("new"))
+        both = params.join(step, [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in _KEY], "left")
+        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - LEAST_FALL, F.lit(False))
+        both = both.select(*_KEY, *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in columns), (~falls).alias("done"))
+        last, params = params, materialise(both)
+        drop(last)
+
+    near, own = attach(each, params.drop("done"), n_groups, _KEY)
+    near = near.filter(squared_distance(own) <= chi2_quantile(NEAR, 5))
+    summed = near.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), *moment_sums())
+    kind = "level int, lang string, source string, n_fit long, " + ", ".join(f"{c} double" for c in _PARAM)
+    out = materialise(resolved(stats, summed.mapInPandas(_reweighted, kind)).drop("level", "start", "logdet"))
+    drop(params)
+    return out, out.count()
 
 
 def judged(rows: DataFrame, params: DataFrame, n_groups: int, lang: str = "lang", source: str = "source", named: dict[str, str] | None = None) -> DataFrame:
