@@ -20,12 +20,15 @@ suffixes that start at anchors need sorting.
    WINDOW - o and the o bytes to the left agree; all but the earliest are marked.
 
 Everything that is sent is blocks of bytes per (task, range), and a task sends each
-distinct context once. An anchor in very many places (a short line that a third
-of all documents have, say) would still gather its contexts in one range: anchors
-beyond a share of 1 / HOT_MOST of all, and HOT_LEAST places, are split. Their
-windows, 69 for each suffix, are dealt by a 128-bit hash of the window itself, each
-task sending each distinct window once, so nothing of a hot anchor meets in one
-place but equal windows of different tasks.
+distinct context once. How many ranges there are follows the size of the texts.
+
+An anchor in very many places (a short line that a third of all documents have, say)
+would still gather its contexts in one range: anchors beyond a share of 1 / HOT_MOST
+of all, and HOT_LEAST places, are split. Their suffixes are cut into the windows that
+hold the anchor, 69 each, which are sorted, front-coded and merged by the same loser
+tree, dealt over the ranges by a hash of the window; two are equal where the merged
+common prefix is the whole window. Each task sends each distinct window once, so
+nothing of a hot anchor meets in one place but equal windows of different tasks.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ SPAN = WINDOW - GRAM + 1
 #: Text that is scanned at once, and text whose runs are built together.
 SCAN_BYTES, RUN_BYTES = 1 << 20, 1 << 23
 NULL_ID = -(1 << 63)
+#: Bytes of text that a range of the merge stands for.
+RANGE_BYTES = 1 << 25
 #: An anchor is hot from this many places on, and at most HOT_MOST anchors are: as
 #: all places together are the total, that many hashes (8 MB) bound what is broadcast.
 HOT_LEAST, HOT_MOST = 100_000, 1_000_000
@@ -241,48 +246,6 @@ def repeated_anchors(docs: DataFrame, key: str, text_col: str, ranges: int) -> t
     return places, hot
 
 
-# ---- windows of hot anchors
-
-
-_WINDOW = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("text", "<u8"), ("at", "<i4")])
-
-
-def window_blobs(contexts: list[tuple[bytes, bytes, tuple[int, int, int]]], ranges: int) -> tuple[dict[int, bytes], list[tuple[int, int, int, int]]]:
-    """By range the distinct windows of the contexts at their earliest places, and
-    the intervals that are settled here."""
-    best: dict[bytes, tuple[int, int, int]] = {}
-    settled = []
-    for right, left, (key, text, at) in contexts:
-        for o in range(max(0, WINDOW - len(right)), min(SPAN - 1, len(left)) + 1):
-            digest = xxhash.xxh3_128_digest(left[len(left) - o :] + right[: WINDOW - o])
-            place = (key, text, at - o)
-            first = best.setdefault(digest, place)
-            if first == place:
-                continue
-            if first > place:
-                best[digest], place = place, first
-            settled.append((*place, place[2] + WINDOW))
-    table = np.zeros(len(best), _WINDOW)
-    table["high"], table["low"] = np.frombuffer(b"".join(best), "<u8").reshape(-1, 2).T
-    for k, name in enumerate(("key", "text", "at")):
-        table[name] = np.array([p[k] for p in best.values()], table.dtype[name])
-    return {r: own.tobytes() for r, (own,) in _by_range(table["high"] % np.uint64(ranges), table)}, settled
-
-
-def repeated_windows(blobs: list[bytes]) -> np.ndarray:
-    """Intervals of all windows but the earliest of each kind."""
-    rows = np.frombuffer(b"".join(blobs), _WINDOW)
-    rows = rows[np.lexsort((rows["at"], rows["text"], rows["key"], rows["low"], rows["high"]))]
-    same = (rows["high"][1:] == rows["high"][:-1]) & (rows["low"][1:] == rows["low"][:-1])
-    again = np.concatenate(([False], same)) if len(rows) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(rows)))) if len(rows) else np.zeros(0, np.int64)
-    lead = rows[head]
-    again &= (rows["key"] != lead["key"]) | (rows["text"] != lead["text"]) | (rows["at"] != lead["at"])
-    out = np.zeros(int(again.sum()), _INTERVAL)
-    out["key"], out["text"], out["begin"], out["end"] = rows["key"][again], rows["text"][again], rows["at"][again], rows["at"][again] + WINDOW
-    return out
-
-
 # ---- runs -------------------------------------------------------------------
 
 _INTERVAL = np.dtype([("key", "<i8"), ("text", "<u8"), ("begin", "<i4"), ("end", "<i4")])
@@ -447,6 +410,39 @@ def merged_intervals(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def window_runs(contexts: list[tuple[bytes, bytes, tuple[int, int, int]]], ranges: int) -> tuple[dict[int, bytes], list[tuple[int, int, int, int]]]:
+    """By range a run of the contexts' distinct windows at their earliest places, and
+    the intervals that are settled here."""
+    best: dict[bytes, tuple[int, int, int]] = {}
+    settled = []
+    for right, left, (key, text, at) in contexts:
+        for o in range(max(0, WINDOW - len(right)), min(SPAN - 1, len(left)) + 1):
+            window, place = left[len(left) - o :] + right[: WINDOW - o], (key, text, at - o)
+            first = best.setdefault(window, place)
+            if first == place:
+                continue
+            if first > place:
+                best[window], place = place, first
+            settled.append((*place, place[2] + WINDOW))
+    rows: dict[int, list[bytes]] = {}
+    for w in sorted(best):
+        rows.setdefault(xxhash.xxh32_intdigest(w, 1) % ranges, []).append(w)
+    return {r: encode_run(own, [b""] * len(own), [best[w] for w in own]) for r, own in rows.items()}, settled
+
+
+def repeated_windows(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """Intervals of all places of a window but the earliest, from the merged runs."""
+    out: list[tuple[int, int, int, int]] = []
+    first = (0, 0, 0)
+    for lcp, _, _, place in LoserTree([decode_run(b) for b in blobs]):
+        if lcp < WINDOW:
+            first = place
+        elif place != first:
+            first, place = min(first, place), max(first, place)
+            out.append((*place, place[2] + WINDOW))
+    return out
+
+
 def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | None], ranges: int, hot: np.ndarray) -> dict[int, list]:
     """For each range [run, intervals, windows] of the suffixes at the given positions."""
     contexts: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
@@ -476,7 +472,7 @@ def build_runs(keys: np.ndarray, texts: list[bytes], positions: list[bytes | Non
         apart = [(*c, contexts[c]) for c, x in zip(list(contexts), split.tolist()) if x]
         for c in apart:
             del contexts[c[0], c[1]]
-        windows, more = window_blobs(apart, ranges)
+        windows, more = window_runs(apart, ranges)
         rows = {r: [b"", b"", w] for r, w in windows.items()}
         settled += more
     order = sorted((xxhash.xxh32_intdigest(c[0][:GRAM]) % ranges, *c) for c in contexts)
@@ -516,8 +512,9 @@ def repeats(docs: DataFrame, key: str, text_col: str, keyed: DataFrame, ranges:
         runs = [r for r in map(spread, table.column("run").to_pylist()) if r]
         found = np.array(merged_intervals(runs), _INTERVAL)
         known = np.frombuffer(b"".join(map(spread, table.column("settled").to_pylist())), _INTERVAL)
-        windows = repeated_windows(list(map(spread, table.column("windows").to_pylist())))
-        return _dealt(np.concatenate((found, known, windows)), "key", ranges)
+        windows = [w for w in map(spread, table.column("windows").to_pylist()) if w]
+        found = np.concatenate((found, np.array(repeated_windows(windows), _INTERVAL)))
+        return _dealt(np.concatenate((found, known)), "key", ranges)
 
     def unite(table: pa.Table) -> pa.Table:
         """One row for each document: its maximal intervals."""
@@ -550,7 +547,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts are ordered by a hash of the text; rows equal in both count as one
     document, and each gets its result.
     """
-    ranges = shuffle_partitions(docs.sparkSession)
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    ranges = max(shuffle_partitions(docs.sparkSession), -(-n_bytes // RANGE_BYTES))
     key, span_key, span_col, *new = fresh(["k", "span_key", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"], docs.columns)
     named = dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), new))
     with_key = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)))

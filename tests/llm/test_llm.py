@@ -296,6 +296,25 @@ def test_loser_tree_sorts_without_comparing_known_prefixes():
     assert tree.compared < 40 * len(strings)  # plain comparison would look at 90 bytes and more for half of them
 
 
+def test_windows_of_several_runs_are_marked_but_the_earliest():
+    r = random.Random(2)
+    windows = [bytes(r.choice(b"ab") for _ in range(100)) for _ in range(30)]
+    contexts = [[(w, b"", (r.randrange(90), 0, i)) for i, w in enumerate(r.sample(windows, 12))] for _ in range(6)]
+    runs, got = defaultdict(list), []
+    for own in contexts:
+        by_range, settled = suffix_dedup.window_runs(own, 3)
+        got += settled
+        for k, blob in by_range.items():
+            runs[k].append(blob)
+    for blobs in runs.values():
+        got += suffix_dedup.repeated_windows(blobs)
+    places = defaultdict(set)
+    for own in contexts:
+        for w, _, place in own:
+            places[w].add(place)
+    assert set(got) == {(*p, p[2] + 100) for own in places.values() for p in sorted(own)[1:]}
+
+
 def test_anchors_meet_in_every_window():
     text = prose(400, 8).encode()
     _, at, _ = suffix_dedup.anchors([text, b"short", text[:150]])
