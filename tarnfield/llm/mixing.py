@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Within each source documents are shuffled by a hash; a document's virtual finish
+Within each source documents are shuffled by a hash of id and text; a document's virtual finish
 time is the cumulative size of its source up to and with it, divided by the
 source's target. A source can be gone through twice, so each document stands in
 line two times. All copies are then range-sorted by finish time over all sources
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     side in line. An empty table gives an empty result.
     """
     slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), text_md5(F.col("text")).alias("text_md5"))
-    slim = materialise(slim.withColumn("shuffle", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
+    slim = materialise(slim.withColumn("shuffle", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_md5")))))
     ranges = max(1, min(1 << 20, slim.count() // RANGE_ROWS))
     # one row per source: all windows of targets() run over these
     share = materialise(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_share))
@@ -160,7 +160,7 @@ def oracle_sql() -> str:
     weight = "CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 " + " ".join(f"WHEN {i} THEN {w}.0::DOUBLE" for i, w in enumerate(WEIGHTS)) + " END"
     return f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  md5(coalesce(text, '')) AS h, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS shuffle FROM documents),
+  md5(coalesce(text, '')) AS h, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS shuffle FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, {weight} AS weight FROM s),
 r AS (SELECT *, (source_size * {EPOCHS})::DOUBLE AS cap, (source_size * {EPOCHS})::DOUBLE / weight AS ratio,
