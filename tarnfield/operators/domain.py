@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.operators import ordered
+
 EPSILON = 1e-6
 # PSI at which a domain is matched, and at which it abstains.
 MATCHED, ABSTAIN = 0.10, 0.25
@@ -17,9 +19,12 @@ def long_form(rows: DataFrame, covariates: list[str], side: str) -> DataFrame:
 
 def psi(long: DataFrame, bins: int = 10) -> DataFrame:
     """Per covariate, over bins at the reference's quantiles; 0 with fewer than 3 distinct edges."""
-    edges = long.filter("side = 'reference'").groupBy("covariate").agg(F.array_distinct(F.percentile("v", F.array(*(F.lit(i / bins) for i in range(bins + 1))))).alias("edges"))
+    covariates = [r[0] for r in long.select("covariate").distinct().collect()]  # a few names
+    reference = long.filter("side = 'reference'").select(*(F.when(F.col("covariate") == c, F.col("v")).alias(c) for c in covariates))
+    found = ordered.quantiles(reference, covariates, [i / bins for i in range(bins + 1)])
+    edges = long.sparkSession.createDataFrame([(c, list(dict.fromkeys(e))) for c, e in found.items()], "covariate string, edges array<double>")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    j = long.join(F.broadcast(edges.withColumn("inner", inner)), "covariate").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("v"))))
+    j = long.join(edges.withColumn("inner", inner), "covariate").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("v"))))
     counts = j.groupBy("covariate", "bin").agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "target").alias("t"), F.first(F.size("edges")).alias("n_edges"))
     w = Window.partitionBy("covariate")
     p = F.greatest(F.col("r") / F.sum("r").over(w), F.lit(EPSILON))
@@ -30,11 +35,10 @@ def psi(long: DataFrame, bins: int = 10) -> DataFrame:
 
 def ks(long: DataFrame) -> DataFrame:
     """Greatest distance of the two distribution functions per covariate, over distinct values."""
-    c = long.groupBy("covariate", "v").agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "target").alias("t"))
-    whole = Window.partitionBy("covariate")
-    upto = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    d = F.abs(F.sum("r").over(upto) / F.sum("r").over(whole) - F.sum("t").over(upto) / F.sum("t").over(whole))
-    return c.select("covariate", d.alias("d")).groupBy("covariate").agg(F.max("d").alias("ks"))
+    c = ordered.by_ranges(long, F.col("v"), "covariate").groupBy("covariate", "_range", "v").agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "target").alias("t"))
+    c = ordered.running(c, [F.col("v")], {"upto_r": F.col("r"), "upto_t": F.col("t")}, ["covariate"], totals=True)
+    d = F.abs(F.col("upto_r") / F.col("all_upto_r") - F.col("upto_t") / F.col("all_upto_t"))
+    return c.groupBy("covariate").agg(F.max(d).alias("ks"))
 
 
 def match(psis: DataFrame) -> DataFrame:
@@ -47,21 +51,21 @@ def match(psis: DataFrame) -> DataFrame:
 
 def outside_range(reference: DataFrame, target: DataFrame, covariates: list[str]) -> DataFrame:
     """Share of the target outside the reference's 0.5 to 99.5 % range, per covariate."""
-    r = long_form(reference, covariates, "reference").groupBy("covariate").agg(F.percentile("v", F.lit(0.005)).alias("lo"), F.percentile("v", F.lit(0.995)).alias("hi"))
-    t = long_form(target, covariates, "target").join(F.broadcast(r), "covariate")
+    found = ordered.quantiles(reference, covariates, [0.005, 0.995])
+    r = reference.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], "covariate string, lo double, hi double")
+    t = long_form(target, covariates, "target").join(r, "covariate")
     return t.groupBy("covariate").agg(F.avg(((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).cast("double")).alias("outside_fraction"))
 
 
 def stratified_weights(reference: DataFrame, target: DataFrame, covariates: list[str], bins: int = 4, cap: float = 5.0) -> DataFrame:
     """Weight per reference object: share of its stratum in the target over that in the reference, clipped last."""
-    edges = reference.agg(*(F.percentile(c, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias(f"_e_{c}") for c in covariates))
+    edges = ordered.quantiles(reference, covariates, [i / bins for i in range(1, bins)])
 
     def cell(c: str) -> Column:
-        return F.size(F.filter(f"_e_{c}", lambda e: e <= F.col(c))).cast("string")
+        return sum((F.col(c) >= e).cast("int") for e in edges.get(c, [0.0])).cast("string")
 
     def strata(rows: DataFrame) -> DataFrame:
-        j = rows.join(F.broadcast(edges))
-        return j.withColumn("stratum", F.concat_ws("-", *map(cell, covariates))).drop(*(f"_e_{c}" for c in covariates))
+        return rows.withColumn("stratum", F.concat_ws("-", *map(cell, covariates)))
 
     r, t = strata(reference), strata(target)
     rs = r.groupBy("stratum").agg(F.count(F.lit(1)).alias("nr"))
@@ -69,7 +73,7 @@ def stratified_weights(reference: DataFrame, target: DataFrame, covariates: list
     w = rs.join(ts, "stratum", "left").withColumn("r", F.sum("nr").over(Window.partitionBy(F.lit(0))))
     n_t = t.agg(F.count(F.lit(1)).alias("n_t"))
     w = w.join(F.broadcast(n_t)).select("stratum", ((F.coalesce("nt", F.lit(0)) / F.col("n_t")) / (F.col("nr") / F.col("r"))).alias("ratio"))
-    return r.join(F.broadcast(w), "stratum").withColumn("weight", F.least(F.greatest(F.col("ratio"), F.lit(1.0 / cap)), F.lit(cap))).drop("ratio")
+    return r.join(w, "stratum").withColumn("weight", F.least(F.greatest(F.col("ratio"), F.lit(1.0 / cap)), F.lit(cap))).drop("ratio")
 
 
 def effective_size(weights: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.operators import ordered
 from tarnfield.schema import IS_GALACTIC, KNOWN
 
 
@@ -101,14 +102,13 @@ def physics_gap(rows: DataFrame, stats: DataFrame, features: list[str]) -> DataF
     return chi.groupBy("object_id").agg(F.min("chi2").alias("physics_gap"), F.min_by("class", F.struct("chi2", "class")).alias("nearest_class"))
 
 
-def quantile_map(values: DataFrame, reference: DataFrame, col: str, bins: int = 1024) -> DataFrame:
+def quantile_map(values: DataFrame, reference: DataFrame, col: str) -> DataFrame:
     """Mid-rank of ``col`` in the reference: (below + ties/2) / N.
 
-    Reference and values are united and ranked by ranges of equal values' counts,
-    with the running sum over distinct values only."""
+    Reference and values are united; equal values are counted, and their counts are
+    summed along the order by ranges."""
     ref = reference.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("same"))
     both = ref.unionByName(values.select(F.col(col).alias("v")).distinct().withColumn("same", F.lit(0))).groupBy("v").agg(F.sum("same").alias("same"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = both.withColumn("upto", F.sum("same").over(upto)).withColumn("n", F.sum("same").over(Window.partitionBy(F.lit(0))))
-    mapped = cum.select("v", ((F.col("upto") - F.col("same") / 2) / F.col("n")).alias("mapped"))
+    cum = ordered.running(ordered.by_ranges(both, F.col("v")), [F.col("v")], {"upto": F.col("same")}, totals=True)
+    mapped = cum.select("v", ((F.col("upto") - F.col("same") / 2) / F.col("all_upto")).alias("mapped"))
     return values.join(mapped, F.col(col) == F.col("v")).drop("v")

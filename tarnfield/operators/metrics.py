@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.operators import ordered
+
 
 def tie_blocks(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """Weight of positives and negatives at each score, and of all above it."""
     w = weight if weight is not None else F.lit(1.0)
-    b = rows.groupBy(*by, "score").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0.0)).alias("neg"))
-    above = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above)})
+    b = ordered.by_ranges(rows, -F.col("score")).groupBy(*by, "score", "_range").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0.0)).alias("neg"))
+    return ordered.running(b, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
 
 
 def auc_and_ap(rows: DataFrame, by: list[str] = [], weight: Column | None = None) -> DataFrame:  # noqa: B006
@@ -71,7 +72,7 @@ def review_budget(rows: DataFrame, target: float, budgets: tuple[int, ...] = (10
 
 def audit(ranked: DataFrame, k: int = 100, low: float = 0.5) -> DataFrame:
     """The queue's top k in one row: counts, quality, uncertainty, abstentions and false positives."""
-    top = ranked.filter(F.col("rank") <= k)
+    top = ranked.orderBy(F.desc("score"), "object_id").limit(k)
     tiers = [F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in ("critical", "high", "moderate", "routine")]
     return top.agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("mean_quality"), F.min("quality").alias("min_quality"), F.count_if(F.col("quality") < low).alias("n_low_quality"), F.avg("uncertainty").alias("mean_uncertainty"), F.count_if("abstain").alias("n_abstained"), F.count_if(F.col("y") == 0).alias("n_false_positives"), *tiers)
 

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.operators import metrics, protocol
+from tarnfield.operators import metrics, ordered, protocol
 from tarnfield.schema import clip
 
 SIGMA_LOW, SIGMA_HIGH = 0.158655254, 0.841344746
@@ -21,10 +21,10 @@ SIGMA_LOW, SIGMA_HIGH = 0.158655254, 0.841344746
 
 def standardiser(reference: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """(centre, scale) of each feature: median and one-sigma range, else the standard deviation, else 1."""
-    row = reference.agg(*(F.percentile(f, F.array(F.lit(SIGMA_LOW), F.lit(0.5), F.lit(SIGMA_HIGH))).alias(f"q_{f}") for f in features), *(F.stddev_samp(f).alias(f"s_{f}") for f in features)).first()
-    out = {}
+    row = reference.agg(*(F.stddev_samp(f).alias(f"s_{f}") for f in features)).first()
+    found, out = ordered.quantiles(reference, features, [SIGMA_LOW, 0.5, SIGMA_HIGH]), {}
     for f in features:
-        q, s = row[f"q_{f}"], row[f"s_{f}"]
+        q, s = found.get(f), row[f"s_{f}"]
         width = q[2] - q[0] if q else 0.0
         out[f] = (q[1] if q else 0.0, width if width > 1e-9 else s if s and s > 1e-9 else 1.0)
     return out
@@ -91,7 +91,7 @@ class Prior:
     def _fit(self, rows: DataFrame) -> RandomForestClassifier:
         weights = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
         weights = weights.withColumn("w", F.sum("_n").over(Window.partitionBy(F.lit(0))) / F.col("_n"))
-        rows = assembled(rows, self.features).join(F.broadcast(weights.select("label", "w")), "label")
+        rows = assembled(rows, self.features).join(weights.select("label", "w"), "label")
         return RandomForestClassifier(labelCol="label", featuresCol="x", weightCol="w", numTrees=self.trees, maxDepth=6, seed=self.seed).fit(rows)
 
     def fit(self, rows: DataFrame) -> Prior:
@@ -192,10 +192,10 @@ def adversarial_validation(reference: DataFrame, target: DataFrame, covariates:
 
 def calibration_cells(rows: DataFrame, confidence: str, nuisance: str, error: str, bins: int = 5, least: int = 40) -> DataFrame:
     """Mean error by quantile bins of confidence and nuisance; thin cells are flagged."""
-    edges = rows.agg(*(F.percentile(c, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias(f"_e{k}") for k, c in enumerate((confidence, nuisance))))
+    edges = ordered.quantiles(rows, [confidence, nuisance], [i / bins for i in range(1, bins)])
 
-    def bin_of(k: int, c: str) -> Column:
-        return F.size(F.filter(f"_e{k}", lambda e: e <= F.col(c)))
+    def bin_of(c: str) -> Column:
+        return sum((F.col(c) >= e).cast("int") for e in edges.get(c, [0.0]))
 
-    j = rows.join(F.broadcast(edges)).withColumns({"c_bin": bin_of(0, confidence), "n_bin": bin_of(1, nuisance)})
+    j = rows.withColumns({"c_bin": bin_of(confidence), "n_bin": bin_of(nuisance)})
     return j.groupBy("c_bin", "n_bin").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_error")).withColumn("thin", F.col("n") < least)

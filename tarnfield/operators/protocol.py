@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.operators import ordered
+
 
 def draw(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the key alone: the same in any batch and order."""
@@ -29,8 +31,8 @@ def split(objects: DataFrame, fractions: dict[str, float], seed: str, key: str =
 
 def folds(rows: DataFrame, label: str, n: int, seed: str, key: str = "object_id") -> DataFrame:
     """Adds ``fold``: each label's rows dealt in turn, in hash order."""
-    w = Window.partitionBy(label).orderBy(draw(F.col(key), seed), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(n)))
+    dealt = ordered.dealt(rows, draw(F.col(key), seed), [F.col(key)], [label], "_nth")
+    return dealt.withColumn("fold", F.pmod(F.col("_nth") - 1, F.lit(n)).cast("int")).drop("_nth")
 
 
 def rare_preserving(rows: DataFrame, label: str, budget: int, rare_cap: int, seed: str, key: str = "object_id") -> DataFrame:
@@ -41,8 +43,7 @@ def rare_preserving(rows: DataFrame, label: str, budget: int, rare_cap: int, see
     left = F.greatest(F.lit(budget) - F.coalesce(F.sum(F.when(rare, F.col("_n"))).over(one), F.lit(0)), F.lit(0))
     common = F.sum(F.when(~rare, F.col("_n"))).over(one)
     n = n.withColumn("_quota", F.when(rare, F.col("_n")).otherwise(F.greatest(F.lit(1), F.floor(left * F.col("_n") / common))))
-    w = Window.partitionBy(label).orderBy(draw(F.col(key), seed), key)
-    out = rows.withColumn("_nth", F.row_number().over(w)).join(F.broadcast(n), label)
+    out = ordered.dealt(rows, draw(F.col(key), seed), [F.col(key)], [label], "_nth").join(n, label)
     return out.filter(F.col("_nth") <= F.col("_quota")).drop("_nth", "_quota", "_n")
 
 

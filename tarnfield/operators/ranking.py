@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.operators import ordered
 from tarnfield.schema import clip
 
 CHANNELS = ("taxonomy_gap", "prior_entropy", "simplex_novelty", "novelty_gap", "neighbor_entropy", "family_misfit", "physics_gap", "cc_weighted", "anomaly_score")
@@ -52,22 +53,23 @@ def scores(evidence: DataFrame, weights: dict[str, float] = BASELINE, domain_mat
 def rank(scored: DataFrame, reference_max: float | None = None, uncertainty_cut: float | None = None) -> DataFrame:
     """Adds normalised score, rank (ties by object_id), tier, abstain and reason.
 
-    The batch's greatest score and its uncertainty quantile are one aggregate row,
-    broadcast; frozen values can be given instead, as a stream needs. Ranking a
-    whole batch needs one global order; use top() for a page of it.
+    The batch's greatest score and its uncertainty quantile are read first; frozen
+    values can be given instead, as a stream needs. Rows are ranked by ranges of the
+    score; use top() for a page of the queue.
     """
-    scalars = scored.agg(F.max("score").alias("_max"), F.percentile("uncertainty", F.lit(ABSTAIN_QUANTILE)).alias("_cut"))
-    s = scored.join(F.broadcast(scalars))
-    top = F.lit(reference_max) if reference_max is not None else F.col("_max")
-    cut = F.lit(uncertainty_cut) if uncertainty_cut is not None else F.col("_cut")
-    s = s.withColumn("normalised_score", F.col("score") / F.greatest(top, F.lit(1e-12)))
+    if reference_max is None:
+        reference_max = scored.agg(F.max("score")).first()[0]
+    if uncertainty_cut is None:
+        uncertainty_cut = ordered.quantiles(scored, ["uncertainty"], [ABSTAIN_QUANTILE]).get("uncertainty", [None])[0]
+    top, cut = F.lit(reference_max).cast("double"), F.lit(uncertainty_cut).cast("double")
+    s = scored.withColumn("normalised_score", F.col("score") / F.greatest(top, F.lit(1e-12)))
     tier = F.lit("routine")
     for name, least in reversed(TIERS):
         tier = F.when(F.col("normalised_score") >= least, name).otherwise(tier)
     reason = F.when(F.col("quality") < ABSTAIN_QUALITY, "low data quality").when(F.col("uncertainty") > cut, "high predictive uncertainty").when(F.col("reliability") < ABSTAIN_RELIABILITY, "no reliable distance information")
     s = s.withColumns({"tier": tier, "reason": reason})
     s = s.withColumns({"abstain": F.col("reason").isNotNull(), "abstain_reason": F.when(F.col("reason").isNull(), "").when(F.col("normalised_score") > 0.5, F.concat("reason", F.lit(" (would otherwise rank highly)"))).otherwise(F.col("reason"))})
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "object_id"))).drop("_max", "_cut", "reason")
+    return ordered.numbered(s.drop("reason"), -F.col("score"), [F.desc("score"), F.col("object_id")], "rank")
 
 
 def top(scored: DataFrame, n: int, offset: int = 0) -> DataFrame:

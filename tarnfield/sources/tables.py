@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfield.operators import ordered
 from tarnfield.schema import METADATA, PHOTOMETRY, finite
 
 
@@ -57,8 +58,8 @@ def write_features(features: DataFrame, out: str) -> None:
 def learn_fill(reference: DataFrame) -> dict[str, float]:
     """Medians of the reference's double columns; one row comes to the driver."""
     names = [c for c, t in reference.dtypes if t in ("double", "float")]
-    row = reference.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in names)).first()
-    return {c: row[c] if row[c] is not None else 0.0 for c in names}
+    found = ordered.quantiles(_nulls(reference), names, [0.5])
+    return {c: found.get(c, [0.0])[0] for c in names}
 
 
 def fill(features: DataFrame, medians: dict[str, float]) -> DataFrame:
