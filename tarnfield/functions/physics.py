@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tarnfield.schema import clip
 
+# Slope of the K-correction and its reference wavelength in nm.
+K_SLOPE, K_NM = 1.6, 400.0
 # Cosmology, zero point, extinction ratios by band, galactic pole in degrees.
 H0, OMEGA_M, LIGHT_KM_S, ZERO_POINT, R_V = 70.0, 0.3, 299792.458, 27.5, 3.1
 EXTINCTION = (1.579, 1.180, 0.859, 0.661, 0.493, 0.394)
@@ -59,7 +61,7 @@ def extinction(mwebv: Column, band: int) -> Column:
 
 def k_correction(z: Column, band: Column, slopes: tuple[float, ...] | None = None) -> Column:
     """Linear in redshift, steeper in bluer bands (1.6 at 400 nm) unless slopes are given."""
-    table = F.array(*(F.lit(float(s)) for s in slopes or [640.0 / nm for nm in WAVELENGTH_NM]))
+    table = F.array(*(F.lit(float(s)) for s in slopes or [K_SLOPE * (K_NM / nm) for nm in WAVELENGTH_NM]))
     return z * F.element_at(table, band.cast("int") + 1)
 
 
@@ -73,6 +75,20 @@ def magnitude(flux: Column) -> Column:
     return F.when(flux > 0, -2.5 * F.log10(flux) + ZERO_POINT)
 
 
+def magnitude_error(flux: Column, err: Column) -> Column:
+    return F.when(flux > 0, 2.5 / math.log(10.0) * err / flux)
+
+
+def luminosity_proxy(flux: Column, modulus: Column) -> Column:
+    """Magnitude of a peak flux at 10 pc."""
+    return magnitude(flux) - modulus
+
+
+def feature_reliability(spread: Column, z_reliability: Column) -> Column:
+    """Redshift reliability, falling with the spread of the absolute magnitude; a missing spread counts as 3."""
+    return clip(F.coalesce(z_reliability, F.lit(0.0)) * F.exp(-F.coalesce(spread, F.lit(3.0)) / 1.5), 0.0, 1.0)
+
+
 def masked_magnitude(flux: Column, snr: Column, least: float = 3.0) -> Column:
     return clip(F.when(snr >= least, magnitude(flux)), MAG_LO, MAG_HI)
 

@@ -1,180 +1,48 @@
 """Unsupervised detectors and their fused score: an audit channel of weight zero.
 
-Scale, mean and covariance come from aggregations over all reference rows. The
-forest, the network and the neighbour search are fitted on a bounded sample of
-them (``sample_rows``, taken in the order of a hash of the id), so what travels to
-the executors has a fixed size; every row is scored, batch by batch, with no shuffle.
+Each detector is a column; each is mapped to its mid-rank among the reference, and
+the score is the mean of these, so that a row's score does not depend on its batch.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.operators import models, protocol
-
-MEMBERS = ("mahalanobis", "pca_residual", "isolation", "knn_distance", "autoencoder")
-#: Rows whose distances to the sample are held at once.
-CHUNK = 512
-
-
-def mean_path(n: np.ndarray | float) -> np.ndarray:
-    """Mean depth of an unsuccessful search in a random binary tree of n leaves."""
-    n = np.asarray(n, np.float64)
-    safe = np.maximum(n, 2.0)
-    return np.where(n > 2, 2 * (np.log(safe - 1) + np.euler_gamma) - 2 * (safe - 1) / safe, np.where(n == 2, 1.0, 0.0))
-
-
-class IsolationForest:
-    """Trees of random cuts as flat arrays; a child index of -1 marks a leaf."""
-
-    def __init__(self, trees: int = 100, rows: int = 256, seed: int = 42) -> None:
-        self.trees, self.rows, self.seed = trees, rows, seed
-
-    def fit(self, x: np.ndarray) -> IsolationForest:
-        rng = np.random.default_rng(self.seed)
-        self.own = min(self.rows, len(x))
-        deepest = max(1, math.ceil(math.log2(max(self.own, 2))))
-        self.grown = [self._grow(x[rng.choice(len(x), self.own, replace=False)], deepest, rng) for _ in range(self.trees)]
-        return self
-
-    @staticmethod
-    def _grow(x: np.ndarray, deepest: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        feature, cut, child, length = [], [], [], []
-        open_ = [(x, 0, None)]
-        while open_:
-            rows, depth, parent = open_.pop()
-            at = len(feature)
-            if parent is not None:
-                child[parent[0]][parent[1]] = at
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            wide = np.nonzero(high > low)[0]
-            if depth == deepest or len(rows) < 2 or not len(wide):
-                feature.append(0), cut.append(0.0), child.append([-1, -1]), length.append(depth + float(mean_path(len(rows))))
-                continue
-            f = int(rng.choice(wide))
-            t = float(rng.uniform(low[f], high[f]))
-            feature.append(f), cut.append(t), child.append([-1, -1]), length.append(0.0)
-            right = rows[:, f] > t
-            open_ += [(rows[~right], depth + 1, (at, 0)), (rows[right], depth + 1, (at, 1))]
-        return np.array(feature), np.array(cut), np.array(child), np.array(length)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """2 ^ (-mean path / expected path): near 1 for rows that few cuts isolate."""
-        total, every = np.zeros(len(x)), np.arange(len(x))
-        for feature, cut, child, length in self.grown:
-            at = np.zeros(len(x), np.int64)
-            while (inner := child[at, 0] >= 0).any():
-                at = np.where(inner, child[at, (x[every, feature[at]] > cut[at]).astype(np.int64)], at)
-            total += length[at]
-        return np.exp2(-total / len(self.grown) / max(float(mean_path(self.own)), 1e-9))
-
-
-class Autoencoder:
-    """A small dense network trained to give its input back; the residual is the score.
-
-    Each layer is one matrix whose last row is the bias; hidden layers are rectified."""
+from tarnfield.operators import evidence, models
 
-    def __init__(self, hidden: tuple[int, ...] = (64, 24, 64), epochs: int = 60, batch: int = 256, rate: float = 3e-3, seed: int = 42) -> None:
-        self.hidden, self.epochs, self.batch, self.rate, self.seed = hidden, epochs, batch, rate, seed
-
-    def _through(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Inputs of every layer (with a column of ones) and the output."""
-        fed = []
-        for k, layer in enumerate(self.layers):
-            x = np.hstack([x, np.ones((len(x), 1))])
-            fed.append(x)
-            x = x @ layer
-            if k + 1 < len(self.layers):
-                x = np.where(x > 0, x, 0.0)
-        return fed, x
-
-    def _slopes(self, x: np.ndarray) -> list[np.ndarray]:
-        fed, out = self._through(x)
-        error = (out - x) * (2.0 / len(x))
-        slopes = [fed[-1].T @ error]
-        for layer, own, before in zip(self.layers[:0:-1], fed[:0:-1], fed[-2::-1]):
-            error = (error @ layer[:-1].T) * (own[:, :-1] > 0)
-            slopes.append(before.T @ error)
-        return slopes[::-1]
-
-    def fit(self, x: np.ndarray) -> Autoencoder:
-        rng = np.random.default_rng(self.seed)
-        widths = (x.shape[1], *self.hidden, x.shape[1])
-        self.layers = [np.vstack([rng.normal(0.0, math.sqrt(2.0 / a), (a, b)), np.zeros((1, b))]) for a, b in zip(widths, widths[1:])]
-        first, second = ([np.zeros_like(m) for m in self.layers] for _ in range(2))
-        step = 0
-        for _ in range(self.epochs):
-            for part in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // self.batch))):
-                step += 1
-                for k, g in enumerate(self._slopes(x[part])):
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    self.layers[k] = self.layers[k] - self.rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        return self
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self._through(x)[1] - x) ** 2).mean(axis=1))
-
-
-def neighbour_distance(x: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
-    """Mean distance to the k nearest of the sample."""
-    out = []
-    for p in range(0, len(x), CHUNK):
-        q = x[p : p + CHUNK]
-        square = (q * q).sum(axis=1)[:, None] + (sample * sample).sum(axis=1)[None, :] - 2 * q @ sample.T
-        out.append(np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, :k], 0.0)).mean(axis=1))
-    return np.concatenate(out) if out else np.zeros(0)
-
-
-def mid_rank(values: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """(below + ties / 2) / N in a sorted grid."""
-    return (np.searchsorted(grid, values, "left") + np.searchsorted(grid, values, "right")) / (2.0 * len(grid))
+#: Places at which detector values are compared: last bits may differ with the batch.
+PLACES = 9
 
 
 class DetectorEnsemble:
-    """Five detectors, each mapped to its mid-rank among the reference sample, and their mean.
-
-    The ranks are frozen when fitted, so a row's score does not depend on its batch.
-    Missing features count as the centre. An empty reference raises ValueError."""
+    """Mahalanobis distance and principal-component residual of all rows, and with
+    ``near`` the mean distance to a stated query set's neighbours."""
 
-    def __init__(self, features: list[str], components: int = 24, sample_rows: int = 3500, k: int = 25, seed: int = 42) -> None:
-        self.features, self.components, self.sample_rows, self.k, self.seed = features, components, sample_rows, k, seed
+    def __init__(self, features: list[str], components: int = 24) -> None:
+        self.features, self.components = features, max(1, min(components, len(features) - 1))
 
     def fit(self, reference: DataFrame) -> DetectorEnsemble:
-        self.moments = models.AnomalyEnsemble(self.features, max(1, min(self.components, len(self.features) - 1))).fit(reference)
-        drawn = reference.orderBy(protocol.draw(F.col("object_id"), f"detectors-{self.seed}"), "object_id").limit(self.sample_rows)
-        z = models.standardised(drawn, self.moments.scale).select("object_id", *self.features).orderBy("object_id").toPandas()  # sample_rows at most
-        if z.empty:
+        """An empty reference raises ValueError."""
+        if reference.limit(1).count() == 0:
             raise ValueError("no reference rows")
-        self.sample = z[self.features].to_numpy(np.float64)
-        self.nearest = min(self.k, len(self.sample))
-        self.forest = IsolationForest(seed=self.seed).fit(self.sample)
-        self.network = Autoencoder(seed=self.seed).fit(self.sample)
-        self.grids = [np.sort(v) for v in self._raw(self.sample)]
+        self.moments = models.AnomalyEnsemble(self.features, self.components).fit(reference)
+        self.reference = reference
         return self
 
-    def _raw(self, x: np.ndarray) -> list[np.ndarray]:
-        d = x - self.moments.mean
-        far = np.sqrt(np.maximum(((d @ self.moments.precision) * d).sum(axis=1), 0.0))
-        along = d @ self.moments.axes.T
-        left = np.sqrt(np.maximum((d * d).sum(axis=1) - (along * along).sum(axis=1), 0.0))
-        return [far, left, self.forest.score(x), neighbour_distance(x, self.sample, self.nearest), self.network.score(x)]
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        """object_id, the five raw scores, and anomaly_score."""
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                raw = self._raw(batch[self.features].to_numpy(np.float64))
-                fused = np.mean([mid_rank(v, g) for v, g in zip(raw, self.grids)], axis=0)
-                yield pd.DataFrame({"object_id": batch["object_id"], **dict(zip(MEMBERS, raw)), "anomaly_score": fused})
-
-        kind = rows.schema["object_id"].dataType.simpleString()
-        z = models.standardised(rows, self.moments.scale).select("object_id", *self.features)
-        return z.mapInPandas(run, f"object_id {kind}, " + ", ".join(f"{m} double" for m in (*MEMBERS, "anomaly_score")))
+    def _values(self, rows: DataFrame, near: DataFrame | None) -> tuple[DataFrame, list[str]]:
+        names = ["mahalanobis", "pca_residual"]
+        out = self.moments.distances(rows).select("object_id", *(F.round(n, PLACES).alias(n) for n in names))
+        if near is not None:
+            far = near.groupBy(F.col("query_id").alias("object_id")).agg(F.round(F.avg("distance"), PLACES).alias("knn_distance"))
+            out, names = out.join(far, "object_id"), [*names, "knn_distance"]
+        return out, names
+
+    def score(self, rows: DataFrame, near: DataFrame | None = None, reference_near: DataFrame | None = None) -> DataFrame:
+        """object_id, the detectors' values, and anomaly_score. ``near`` and
+        ``reference_near`` are the neighbours (evidence.neighbours) of rows and of reference rows."""
+        out, names = self._values(rows, near)
+        known, _ = self._values(self.reference, reference_near if near is not None else None)
+        for n in names:
+            out = evidence.quantile_map(out, known, n).withColumnRenamed("mapped", f"rank_{n}")
+        return out.select("object_id", *names, (sum(F.col(f"rank_{n}") for n in names) / len(names)).alias("anomaly_score"))

@@ -78,3 +78,21 @@ def stratified_weights(reference: DataFrame, target: DataFrame, covariates: list
 
 def effective_size(weights: DataFrame) -> DataFrame:
     return weights.agg((F.sum("weight") * F.sum("weight") / F.sum(F.col("weight") * F.col("weight"))).alias("ess"), F.count(F.lit(1)).alias("n"))
+
+
+class ShiftMonitor:
+    """A reference whose drift to later batches is reported in one row."""
+
+    def __init__(self, covariates: list[str]) -> None:
+        self.covariates = covariates
+
+    def fit(self, reference: DataFrame) -> ShiftMonitor:
+        self.reference = reference.select(*self.covariates)
+        return self
+
+    def health(self, target: DataFrame) -> DataFrame:
+        """mean_psi, worst_psi, match_score and status (matched, degraded, abstain), and the
+        greatest KS distance and share outside the reference's range over the covariates."""
+        long = long_form(self.reference, self.covariates, "reference").unionByName(long_form(target, self.covariates, "target"))
+        far = outside_range(self.reference, target, self.covariates).agg(F.max("outside_fraction").alias("worst_outside"))
+        return match(psi(long)).join(ks(long).agg(F.max("ks").alias("worst_ks"))).join(far)

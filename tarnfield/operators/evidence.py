@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.operators import ordered
@@ -35,8 +35,9 @@ def simplex_channels(proba: DataFrame, cents: DataFrame) -> DataFrame:
     return j.select("object_id", "label", (1 - first["p"]).alias("taxonomy_gap"), entropy.alias("prior_entropy"), (0.5 * F.array_min(l1)).alias("simplex_novelty"), (1 - (first["p"] - second["p"])).alias("novelty_gap"), (-first["c"]).alias("best_fit_code"), first["p"].alias("best_fit_prob"), (-second["c"]).alias("runner_up_code"), second["p"].alias("runner_up_prob"))
 
 
-#: Reference vectors that a block holds.
-BLOCK = 4096
+#: Vectors that a block holds, queries that are compared with a block at once, and
+#: neighbours that are looked at beyond k: the product's last bits may misplace those at the edge.
+BLOCK, ROWS, SPARE = 4096, 256, 8
 
 
 def neighbours(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
@@ -47,27 +48,33 @@ def neighbours(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
 
     def pack(rows: DataFrame, out: str) -> DataFrame:
         n = max(1, -(-rows.count() // BLOCK))
-        b = rows.select(F.col("object_id"), F.coalesce(F.col("label"), F.lit(-1)).alias("label"), F.transform("x", lambda v: v.cast("double")).alias("x"), F.pmod(F.xxhash64("object_id"), F.lit(n)).alias(out))
-        return b.groupBy(out).agg(F.collect_list(F.struct("object_id", "label", "x")).alias(f"rows_{out}")), n
+        b = rows.select(F.col("object_id").cast("long").alias("object_id"), F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"), F.transform("x", lambda v: v.cast("double")).alias("x"), F.pmod(F.xxhash64("object_id"), F.lit(n)).alias(out))
+        lists = b.groupBy(out).agg(F.collect_list(F.struct("object_id", "label", "x")).alias("e"))
+        return lists.select(out, F.col("e.object_id").alias(f"ids_{out}"), F.col("e.label").alias(f"labels_{out}"), F.flatten("e.x").alias(f"x_{out}")), n
 
     q, n_q = pack(queries, "qb")
     r, n_r = pack(reference, "rb")
     q = q.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))))
-    pairs = q.join(r, F.col("to") == F.col("rb")).select("rows_qb", "rows_rb")
+    pairs = q.join(r, F.col("to") == F.col("rb")).select("ids_qb", "x_qb", "ids_rb", "labels_rb", "x_rb")
 
     def nearest(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for qs, rs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = np.array([x["x"] for x in qs]), np.array([x["x"] for x in rs])
-                ids, labels = np.array([x["object_id"] for x in rs]), np.array([x["label"] for x in rs])
-                for i, x in enumerate(qs):
-                    d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-                    d[ids == x["object_id"]] = np.inf
-                    near = np.lexsort((ids, d))[: min(k, int(np.isfinite(d).sum()))]
-                    for col, v in zip(out, ([x["object_id"]] * len(near), ids[near], labels[near], d[near])):
-                        col.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["query_id", "object_id", "label", "distance"])
+            for at in range(batch.num_rows):
+                asked, a, ids, labels, b = (c[at].values.to_numpy(zero_copy_only=False) for c in batch.columns)
+                a, b = a.reshape(len(asked), -1), b.reshape(len(ids), -1)
+                for p in range(0, len(asked), ROWS):
+                    own, mine = a[p : p + ROWS], asked[p : p + ROWS]
+                    # a matrix product finds the k + SPARE nearest, plain differences give their distances
+                    square = (own * own).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * own @ b.T
+                    square[mine[:, None] == ids[None, :]] = np.inf
+                    some = min(k + SPARE, len(ids))
+                    near = np.argpartition(square, some - 1, axis=1)[:, :some]
+                    d = np.sqrt(((b[near] - own[:, None, :]) ** 2).sum(axis=2))
+                    d[np.take_along_axis(square, near, 1) == np.inf] = np.inf
+                    order = np.lexsort((ids[near], d), axis=1)[:, :k]
+                    near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+                    real = np.isfinite(d)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, real.sum(axis=1)), pa.int64()), pa.array(ids[near][real], pa.int64()), pa.array(labels[near][real], pa.int32()), pa.array(d[real])], names=["query_id", "object_id", "label", "distance"])
 
     found = pairs.mapInArrow(nearest, "query_id long, object_id long, label int, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "object_id")
@@ -82,24 +89,65 @@ def neighbour_channels(near: DataFrame, n_classes: int) -> DataFrame:
     return shares.groupBy(F.col("query_id").alias("object_id")).agg((-F.sum(F.col("share") * F.log("share")) / math.log(n_classes)).alias("neighbor_entropy"), (F.sum("d") / F.sum("n")).alias("neighbour_mean_distance"), F.min("m").alias("neighbour_min_distance"))
 
 
-def family_misfit(proba: DataFrame) -> DataFrame:
+#: Labels (places in KNOWN) of galactic populations.
+GALACTIC_LABELS = tuple(i for i, c in enumerate(KNOWN) if c in IS_GALACTIC)
+
+
+def galactic_probability(proba: DataFrame) -> DataFrame:
     """Probability that the vector gives to galactic populations."""
-    at = [i for i, c in enumerate(KNOWN) if c in IS_GALACTIC]
-    return proba.select("object_id", sum(F.col("p")[i] for i in at).alias("p_galactic"))
+    return proba.select("object_id", sum(F.col("p")[i] for i in GALACTIC_LABELS).alias("p_galactic"))
+
+
+def family_misfit(proba: DataFrame, near: DataFrame) -> DataFrame:
+    """How far the vector's galactic probability is from the share of galactic neighbours."""
+    share = near.groupBy(F.col("query_id").alias("object_id")).agg(F.avg(F.col("label").isin(*GALACTIC_LABELS).cast("double")).alias("share"))
+    return galactic_probability(proba).join(share, "object_id").select("object_id", F.abs(F.col("p_galactic") - F.col("share")).alias("family_misfit"))
 
 
 def class_statistics(rows: DataFrame, features: list[str]) -> DataFrame:
-    """(label, feature, mean, sd) of every feature by class, in long form."""
+    """(label, feature, mean, sd) of every feature by class, in long form. The features
+    are columns, or in their order the array column x."""
+    if "x" in rows.columns:
+        name = F.element_at(F.array(*map(F.lit, features)), F.col("k") + 1).alias("feature")
+        long = rows.select("label", F.posexplode("x").alias("k", "v")).select("label", name, "v")
+        return long.groupBy("label", "feature").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
     long = rows.select("label", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("e")).select("label", "e.feature", "e.v")
     return long.groupBy("label", "feature").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
 
 
-def physics_gap(rows: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
-    """The least mean squared deviation from any class, over the features."""
-    long = rows.select("object_id", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("e")).select("object_id", "e.feature", "e.v")
-    z = (F.col("v") - F.col("mean")) / F.col("sd")
-    chi = long.join(stats.filter(F.col("sd") > 1e-12).withColumnRenamed("label", "class"), "feature").groupBy("object_id", "class").agg(F.avg(z * z).alias("chi2"))
-    return chi.groupBy("object_id").agg(F.min("chi2").alias("physics_gap"), F.min_by("class", F.struct("chi2", "class")).alias("nearest_class"))
+def physics_channels(rows: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
+    """The least mean squared deviation from any class over the features, the class,
+    and (where rows have probabilities ``p``) the mean over the classes weighted by them.
+
+    The statistics, classes by features, are one packed row; every object meets all
+    classes in one expression, without a shuffle. A missing value deviates by nothing."""
+    place = {f: k for k, f in enumerate(features)}
+    at = F.create_map(*(F.lit(x) for kv in place.items() for x in kv))[F.col("feature")]
+    packed = stats.filter(F.col("sd") > 1e-12).groupBy("label").agg(F.array_sort(F.collect_list(F.struct(at.alias("k"), "mean", "sd"))).alias("s"))
+    packed = packed.agg(F.array_sort(F.collect_list(F.struct("label", "s"))).alias("_classes"))
+    x = F.col("x") if "x" in rows.columns else F.array(*(F.col(f).cast("double") for f in features))
+    j = rows.withColumn("_x", x).join(F.broadcast(packed))
+
+    def square(s: Column) -> Column:
+        z = (F.col("_x")[s["k"]] - s["mean"]) / s["sd"]
+        return F.coalesce(z * z, F.lit(0.0))
+
+    chi = F.transform("_classes", lambda c: F.struct((F.aggregate(c["s"], F.lit(0.0), lambda a, s: a + square(s)) / len(features)).alias("chi2"), c["label"].alias("label")))
+    j = j.withColumn("_chi", chi)
+    least = F.array_min("_chi")
+    out = [least["chi2"].alias("physics_gap"), least["label"].alias("nearest_class")]
+    if "p" in rows.columns:
+        out.append(F.aggregate("_chi", F.lit(0.0), lambda a, c: a + c["chi2"] * F.col("p")[c["label"]]).alias("cc_weighted"))
+    return j.select("object_id", *out)
+
+
+def rank01(rows: DataFrame, col: str) -> DataFrame:
+    """object_id and ``mapped``: the place in the order of ``col`` from 0 to 1, missing
+    values lowest, ties by object_id."""
+    value = F.coalesce(F.col(col), F.lit(float("-inf")))
+    placed = ordered.numbered(rows.select("object_id", value.alias("v")), F.col("v"), [F.col("v"), F.col("object_id")], "nth")
+    n = rows.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("n"))
+    return placed.join(F.broadcast(n)).select("object_id", ((F.col("nth") - 1) / F.col("n")).alias("mapped"))
 
 
 def quantile_map(values: DataFrame, reference: DataFrame, col: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnfield.functions import physics
 from tarnfield.schema import BANDS, clip, safe_div
 
+# Names of the statistics.
 #: Columns of band_statistics besides the keys; a row's suffixes are these.
 PLAIN = ("n_obs", "n_det", "flux_max", "flux_min", "flux_mean", "flux_std", "flux_sum", "err_mean", "err_min", "t_min", "t_max", "t_mean", "t_std", "snr_max", "snr_mean")
 ORDERED = ("snr_median", "flux_p10", "flux_p25", "flux_p50", "flux_p75", "flux_p90", "snr_p90", "gap_median", "gap_max", "t_peak", "peak_snr")
@@ -105,33 +106,110 @@ def quality_features(obs: DataFrame) -> DataFrame:
 
 
 def band_peaks(obs: DataFrame) -> DataFrame:
-    """Per object the peak flux of each band (p_b) and its time (t_b)."""
-    s = obs.groupBy("object_id").pivot("passband", list(range(len(BANDS)))).agg(F.max("flux").alias("p"), _first_at(F.col("mjd"), F.col("flux")).alias("t"))
-    return s.select("object_id", *(F.col(f"{k}_{x}").alias(f"{x}_{b}") for k, b in enumerate(BANDS) for x in "pt"))
+    """Per object the peak flux of each band (p_b), its time (t_b), and the days from the
+    band's first observation to it (r_b) and from it to the last (d_b)."""
+    at = _first_at(F.col("mjd"), F.col("flux"))
+    s = obs.groupBy("object_id").pivot("passband", list(range(len(BANDS)))).agg(F.max("flux").alias("p"), at.alias("t"), (at - F.min("mjd")).alias("r"), (F.max("mjd") - at).alias("d"))
+    return s.select("object_id", *(F.col(f"{k}_{x}").alias(f"{x}_{b}") for k, b in enumerate(BANDS) for x in "ptrd"))
+
+
+# Pairs of bands whose colours, and whose lags of the peak, are features.
+COLOURS, LAGS = ("ug", "gr", "ri", "iz", "zy", "gi", "rz", "ur", "gz"), ("gr", "ri", "ug", "iz")
 
 
 def colour_features(peaks: DataFrame) -> DataFrame:
     mag = {b: physics.magnitude(F.col(f"p_{b}")) for b in BANDS}
-    out = [clip(mag[a] - mag[b], -12.0, 12.0).alias(f"col_{a}m{b}") for a, b in ("ug", "gr", "ri", "iz", "zy", "gi", "rz", "ur", "gz")]
-    out += [(F.col(f"t_{a}") - F.col(f"t_{b}")).alias(f"col_dt_{a}m{b}") for a, b in ("gr", "ri", "ug", "iz")]
+    out = [clip(mag[a] - mag[b], -12.0, 12.0).alias(f"col_{a}m{b}") for a, b in COLOURS]
+    out += [(F.col(f"t_{a}") - F.col(f"t_{b}")).alias(f"col_dt_{a}m{b}") for a, b in LAGS]
     out.append((1.0 / (0.2 + F.abs(mag["g"] - mag["r"]))).alias("col_temp_proxy"))
     out.append(sum(F.coalesce((F.col(f"p_{b}") > 0).cast("int"), F.lit(0)) for b in BANDS).alias("col_n_bands_positive"))
     return peaks.select("object_id", *out)
 
 
-def physics_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
-    """Distances, extinction and absolute magnitudes, the host's position, and uncertainty over redshift draws."""
+def _placed(peaks: DataFrame, meta: DataFrame) -> DataFrame:
+    """Peaks beside the metadata, with redshift (z), distance modulus (dm), its source (flag) and dust (ebv)."""
     c = F.col
     z = F.coalesce(c("hostgal_photoz"), F.lit(0.0))
     dm, flag = physics.resolve_distmod(c("distmod"), z)
-    j = peaks.join(meta, "object_id", "left").withColumns({"dm": dm, "flag": flag, "zz": z, "ebv": F.coalesce(c("mwebv"), F.lit(0.0))})
-    absmag = {b: physics.magnitude(c(f"p_{b}")) - c("dm") - physics.extinction(c("ebv"), k) for k, b in enumerate(BANDS)}
-    l, b_ = physics.galactic(c("ra"), c("decl"))
-    draws = physics.redshift_draws(c("zz"), F.coalesce(c("hostgal_photoz_err"), F.lit(0.0)))
-    mean = F.aggregate("draws", F.lit(0.0), lambda a, v: a + v) / float(physics.DRAWS)
-    j = j.withColumn("draws", draws).withColumn("draw_mean", mean)
-    sd = F.sqrt(F.aggregate("draws", F.lit(0.0), lambda a, v: a + (v - c("draw_mean")) * (v - c("draw_mean"))) / float(physics.DRAWS))
-    return j.select("object_id", c("zz").alias("phys_z"), c("dm").alias("phys_distmod"), c("flag").alias("phys_distmod_source"), *(x.alias(f"phys_absmag_{b}") for b, x in absmag.items()), F.greatest(*absmag.values()).alias("phys_absmag_max"), F.least(*absmag.values()).alias("phys_absmag_min"), l.alias("host_gal_l"), b_.alias("host_gal_b"), c("draw_mean").alias("unc_z_mean"), sd.alias("unc_z_std"), physics.reliability(c("zz"), c("hostgal_photoz_err"), c("flag")).alias("unc_z_reliability"))
+    return peaks.join(meta, "object_id", "left").withColumns({"z": z, "dm": dm, "flag": flag, "ebv": F.coalesce(c("mwebv"), F.lit(0.0))})
+
+
+def _brightest() -> Column:
+    return F.greatest(*(F.col(f"p_{b}") for b in BANDS))
+
+
+def physics_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
+    """Distances, dust, absolute magnitudes and rest-frame times of every band (32 columns)."""
+    c, j = F.col, _placed(peaks, meta)
+    dust = {b: physics.extinction(c("ebv"), k) for k, b in enumerate(BANDS)}
+    absmag = {b: physics.magnitude(c(f"p_{b}")) - c("dm") - dust[b] for b in BANDS}
+    stretch = F.greatest(1.0 + c("z"), F.lit(1.0))
+    per_band = [x for b in BANDS for x in (absmag[b].alias(f"phys_absmag_{b}"), dust[b].alias(f"phys_A_{b}"), (c(f"r_{b}") / stretch).alias(f"phys_rf_rise_{b}"), (c(f"d_{b}") / stretch).alias(f"phys_rf_decline_{b}"))]
+    own = [c("z").alias("phys_z"), F.coalesce(c("hostgal_photoz_err"), F.lit(0.0)).alias("phys_z_err"), c("dm").alias("phys_distmod"), c("flag").alias("phys_distmod_source"), c("ebv").alias("phys_mwebv")]
+    ends = [F.greatest(*absmag.values()).alias("phys_absmag_max"), F.least(*absmag.values()).alias("phys_absmag_min"), physics.luminosity_proxy(_brightest(), c("dm")).alias("phys_peak_luminosity")]
+    return j.select("object_id", *own, *per_band, *ends)
+
+
+def host_features(objects: DataFrame, meta: DataFrame) -> DataFrame:
+    """Position and spectroscopic redshift of the host (8 columns); missing values count as 0."""
+    c = F.col
+    zero = lambda x: F.coalesce(c(x).cast("double"), F.lit(0.0))
+    l, b = physics.galactic(zero("ra"), zero("decl"))
+    j = objects.select("object_id").join(meta, "object_id", "left")
+    return j.select("object_id", zero("ra").alias("host_ra"), zero("decl").alias("host_decl"), l.alias("host_gal_l"), b.alias("host_gal_b"), F.abs(b).alias("host_abs_gal_b"), zero("ddf_bool").alias("host_ddf"), c("hostgal_specz").isNotNull().cast("double").alias("host_has_specz"), zero("hostgal_specz").alias("host_specz"))
+
+
+def uncertainty_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
+    """What the redshift's error does to the absolute magnitude, over fixed draws (7 columns)."""
+    c, j = F.col, _placed(peaks, meta)
+    draws = physics.redshift_draws(c("z"), F.coalesce(c("hostgal_photoz_err"), F.lit(0.0)))
+    j = j.withColumn("dms", F.array_sort(F.transform(draws, physics.distance_modulus))).withColumn("mag", physics.magnitude(_brightest()))
+    n = float(physics.DRAWS)
+
+    def mean(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0.0), lambda a, v: a + v) / n
+
+    j = j.withColumn("dm_mean", mean(c("dms")))
+    j = j.withColumn("dm_std", F.sqrt(F.aggregate("dms", F.lit(0.0), lambda a, v: a + (v - c("dm_mean")) * (v - c("dm_mean"))) / n))
+
+    def quantile(share: float) -> Column:  # of the magnitudes, which fall as the moduli rise
+        at = (1 - share) * (physics.DRAWS - 1)
+        k = int(at)
+        return c("mag") - (c("dms")[k] + (c("dms")[k + 1] - c("dms")[k]) * (at - k))
+
+    spread = F.when(c("mag").isNotNull(), c("dm_std"))
+    known = physics.reliability(c("z"), c("hostgal_photoz_err"), c("flag"))
+    return j.select("object_id", spread.alias("unc_absmag_std"), quantile(0.16).alias("unc_absmag_q16"), quantile(0.84).alias("unc_absmag_q84"), (c("mag") - c("dm_mean")).alias("unc_absmag_mean"), c("dm_std").alias("unc_distmod_std"), known.alias("unc_z_reliability"), physics.feature_reliability(spread, known).alias("unc_feature_reliability"))
+
+
+def feature_matrix(obs: DataFrame, meta: DataFrame) -> DataFrame:
+    """All blocks beside each other, a row for each object. Observations are dealt by
+    object once; every block's windows and aggregates keep that dealing."""
+    obs = obs.repartition("object_id")
+    peaks = band_peaks(obs)
+    out = wide(band_statistics(obs), (*PLAIN, *ORDERED, *DETECTED, *SHAPE, *DERIVED))
+    for block in (global_features(obs), colour_features(peaks), physics_features(peaks, meta), host_features(peaks, meta), uncertainty_features(peaks, meta), quality_features(obs)):
+        out = out.join(block, "object_id")
+    return out
+
+
+def aligned(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Exactly the named columns in their order: missing ones are 0, others go."""
+    return rows.select(*(F.col(n) if n in rows.columns else F.lit(0.0).alias(n) for n in names))
+
+
+def reliability_of(rows: DataFrame) -> Column:
+    """The objects' own feature reliability held to 0 to 1; 1 where the block is missing, 0 for missing values."""
+    name = "unc_feature_reliability"
+    return clip(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), 0.0, 1.0) if name in rows.columns else F.lit(1.0)
+
+
+def views(obs: DataFrame, days: tuple[float, ...]) -> DataFrame:
+    """Each observation once for every window (days from the object's first; 0: no end)
+    that it falls into, as ``view``, on one pass."""
+    obs = obs.withColumn("_first", F.min("mjd").over(Window.partitionBy("object_id")))
+    own = F.filter(F.array(*map(F.lit, map(float, days))), lambda d: (d == 0) | (F.col("mjd") <= F.col("_first") + d))
+    return obs.withColumn("view", F.explode(own)).drop("_first")
 
 
 def early_window(obs: DataFrame, days: float) -> DataFrame:

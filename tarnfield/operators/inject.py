@@ -54,8 +54,42 @@ INJECTORS = {"negative_flux_heavy": negative_flux, "single_epoch_spike": spike,
 
 
 def scenarios(obs: DataFrame) -> DataFrame:
-    """All corruptions of all objects under a ``scenario`` of each, beside the clean one, to be scored at once."""
-    out = obs.withColumn("scenario", F.lit("clean"))
-    for name, f in INJECTORS.items():
-        out = out.unionByName(f(obs).withColumn("scenario", F.lit(name)))
-    return out
+    """All corruptions of all objects under a ``scenario`` of each, beside the clean one,
+    to be scored at once: one pass over the observations, all windows by object."""
+    c, by = F.col, Window.partitionBy("object_id")
+    n = lambda order: F.row_number().over(by.orderBy(*order))
+    key = F.concat_ws("|", "object_id", "passband", c("mjd").cast("decimal(20,6)"))
+    nth = lambda seed: n((draw(key, seed), "mjd", "passband"))
+    detected = c("detected_bool") == 1
+    among = Window.partitionBy("object_id", "detected_bool")
+    o = obs.withColumns({
+        "_neg": F.row_number().over(among.orderBy(draw(key, "neg"), "mjd", "passband")), "_det": F.count(F.lit(1)).over(among), "_spike": nth("spike"), "_dup": nth("dup"), "_time": n(("mjd", "passband")), "_all": F.count(F.lit(1)).over(by),
+        "_band": F.min(F.struct(draw(F.concat_ws("|", "object_id", "passband"), "band").alias("d"), c("passband").alias("b"))).over(by)["b"],
+    })
+    flipped = detected & (c("_neg") <= F.greatest(F.lit(1), F.floor(c("_det") * 0.6)))
+    early = (c("_all") < 4) | (c("_time") <= F.greatest(F.lit(1), F.floor(c("_all") * 0.35)))
+
+    def variant(name: str, flux: Column = c("flux"), err: Column = c("flux_err"), copies: Column = F.lit(1)) -> Column:
+        return F.struct(F.lit(name).alias("scenario"), flux.alias("flux"), err.alias("flux_err"), copies.cast("int").alias("copies"))
+
+    each = F.array(
+        variant("clean"), variant("negative_flux_heavy", F.when(flipped, -F.abs("flux")).otherwise(c("flux"))), variant("single_epoch_spike", F.when(c("_spike") == 1, c("flux") * 60.0).otherwise(c("flux"))), variant("error_bar_corruption", err=c("flux_err") * 25.0),
+        variant("duplicate_timestamps", copies=1 + (c("_dup") <= 6).cast("int")), variant("long_cadence_gap", copies=early.cast("int")), variant("incomplete_band_coverage", copies=(c("passband") == c("_band")).cast("int")),
+    )
+    out = o.withColumn("_v", F.explode(F.flatten(F.transform(each, lambda v: F.array_repeat(v, v["copies"])))))
+    return out.select(*("_v." + x if x in ("flux", "flux_err") else x for x in obs.columns), "_v.scenario")
+
+
+def safety(scored: DataFrame) -> DataFrame:
+    """Per corruption: cases, how many rose in rank or score against the clean scenario, and
+    the mean changes. ``scored`` has scenario, object_id, score (null: not scorable), quality and rank."""
+    clean = scored.filter("scenario = 'clean'").select("object_id", F.col("score").alias("c_score"), F.col("quality").alias("c_quality"), F.col("rank").alias("c_rank"))
+    j = scored.filter("scenario <> 'clean'").join(clean, "object_id")
+    d = F.col("score") - F.col("c_score")
+    rose = F.coalesce(d > 1e-9, F.lit(False))
+    return j.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score").isNotNull() & (F.col("rank") < F.col("c_rank"))).alias("n_promoted"), F.count_if(rose).alias("n_score_increased"), F.avg(F.col("quality") - F.col("c_quality")).alias("mean_delta_quality"), F.avg(d).alias("mean_delta_score"))
+
+
+def passed(report: DataFrame) -> DataFrame:
+    """One row: whether no corruption promoted an object or raised its score."""
+    return report.agg(F.sum("n").alias("n_cases"), F.sum("n_promoted").alias("n_promoted"), F.sum("n_score_increased").alias("n_score_increased"), ((F.sum("n_promoted") == 0) & (F.sum("n_score_increased") == 0)).alias("passed"))

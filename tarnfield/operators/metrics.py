@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.operators import ordered
+from tarnfield.operators import ordered, protocol
 
 
 def tie_blocks(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def per_class(rows: DataFrame, k: int, min_n: int = 30) -> DataFrame:
 
 def bootstrap(rows: DataFrame, draws: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the AUC over Poisson(1) resamples, drawn from a hash of (object, draw)."""
-    u = F.pmod(F.xxhash64("object_id", "draw", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    u = protocol.draw(F.concat_ws("|", "object_id", "draw"), f"boot-{seed}")
     cdf, term, weight = 0.0, 2.718281828459045 ** -1, F.lit(0)
     for n in range(8):
         cdf += term
@@ -96,4 +96,37 @@ def bootstrap(rows: DataFrame, draws: int, seed: int = 42, alpha: float = 0.05)
         term /= n + 1
     drawn = rows.select("object_id", "y", "score", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight.cast("double")).filter("w > 0")
     auc = auc_and_ap(drawn, ["draw"], F.col("w"))
+    # a row for each draw
     return auc.agg(F.percentile("roc_auc", F.lit(alpha / 2)).alias("low"), F.percentile("roc_auc", F.lit(1 - alpha / 2)).alias("high"), F.count("roc_auc").alias("draws"))
+
+
+def weighted_at_k(rows: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Precision by ``weight`` and recall (which weights do not change) at each k; ties by object_id."""
+    best = rows.orderBy(F.desc("score"), "object_id").limit(max(ks))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "object_id")))
+    own = best.select("weight", "y", "rank", F.explode(F.array(*map(F.lit, ks))).alias("k")).filter(F.col("rank") <= F.col("k"))
+    hits = own.groupBy("k").agg(F.sum(F.col("weight") * F.col("y")).alias("hit"), F.sum("weight").alias("all"), F.sum("y").alias("n"))
+    total = rows.agg(F.sum("y").alias("pos"))
+    return hits.join(F.broadcast(total)).select("k", F.when(F.col("all") > 0, F.col("hit") / F.col("all")).alias("precision"), F.when(F.col("pos") > 0, F.col("n") / F.col("pos")).alias("recall"))
+
+
+# K of precision and lift, and of recall.
+PRECISION_K, RECALL_K = (10, 20, 50, 100), (200, 500)
+
+
+def evaluate(rows: DataFrame, by: list[str] = [], precision_k: tuple[int, ...] = PRECISION_K, recall_k: tuple[int, ...] = RECALL_K) -> DataFrame:  # noqa: B006
+    """All ranking metrics in one row for each ``by``: counts, base_rate, roc_auc,
+    average_precision, p_at_<k>, lift_at_<k> and r_at_<k>.
+
+    A k beyond the rows takes all of them. Rows are numbered by ranges of their score."""
+    ranged = ordered.by_ranges(rows, -F.col("score"))
+    placed = ordered.running(ranged, [F.desc("score"), F.col("object_id")], {"_rank": F.lit(1)}, by)
+    n, pos = F.count(F.lit(1)), F.sum("y")
+    hit = lambda k: F.sum(F.when(F.col("_rank") <= k, F.col("y")).otherwise(0))
+    out = [n.alias("n_objects"), pos.alias("n_novel"), (pos / n).alias("base_rate")]
+    for k in precision_k:
+        p = hit(k) / F.least(n, F.lit(k))
+        out += [p.alias(f"p_at_{k}"), F.try_divide(p, pos / n).alias(f"lift_at_{k}")]
+    out += [F.try_divide(hit(k), pos).alias(f"r_at_{k}") for k in recall_k]
+    counts, auc = placed.groupBy(*by).agg(*out), auc_and_ap(rows, by).select(*by, "roc_auc", "average_precision")
+    return counts.join(auc, by) if by else counts.join(auc)

@@ -7,16 +7,22 @@ edges and trees, whose size depends on the number of features and classes only.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.operators import metrics, ordered, protocol
+from tarnfield.operators import evidence, metrics, ordered, protocol
 from tarnfield.schema import clip
 
 SIGMA_LOW, SIGMA_HIGH = 0.158655254, 0.841344746
+#: Range that row weights of a fit are held to.
+WEIGHT_RANGE = (1e-3, 20.0)
 
 
 def standardiser(reference: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -36,15 +42,12 @@ def standardised(rows: DataFrame, fitted: dict[str, tuple[float, float]]) -> Dat
 
 
 def covariance(rows: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and covariance from one aggregation of sums and products."""
-    k = len(features)
-    sums = [F.avg(f).alias(f"m{i}") for i, f in enumerate(features)] + [F.covar_samp(features[i], features[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = rows.agg(*sums).first()
-    cov = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    return np.array([row[f"m{i}"] or 0.0 for i in range(k)]), cov
+    """Mean vector and sample covariance; features by features comes to the driver."""
+    x = VectorAssembler(inputCols=features, outputCol="x").transform(rows).select("x")
+    n, mean = x.agg(F.count(F.lit(1)), Summarizer.mean(F.col("x"))).first()
+    if n < 2:
+        return mean.toArray() if n else np.zeros(len(features)), np.zeros((len(features), len(features)))
+    return mean.toArray(), RowMatrix(MLUtils.convertVectorColumnsFromML(x, "x")).computeCovariance().toArray()
 
 
 class AnomalyEnsemble:
@@ -63,18 +66,18 @@ class AnomalyEnsemble:
         self.axes = vectors[:, ::-1][:, : self.components].T
         return self
 
-    def _centred(self) -> list[Column]:
-        return [F.col(f) - float(m) for f, m in zip(self.features, self.mean)]
-
     def distances(self, rows: DataFrame) -> DataFrame:
-        """Adds mahalanobis and pca_residual."""
-        d = self._centred()
-        k = range(len(d))
-        maha = sum(d[i] * d[j] * float(self.precision[i, j]) for i in k for j in k)
-        own = sum(x * x for x in d)
-        along = sum(p * p for p in (sum(d[i] * float(a[i]) for i in k) for a in self.axes))
-        z = standardised(rows, self.scale)
-        return z.withColumns({"mahalanobis": F.sqrt(F.greatest(maha, F.lit(0.0))), "pca_residual": F.sqrt(F.greatest(own - along, F.lit(0.0)))})
+        """Adds mahalanobis and pca_residual: a batch of rows is one matrix product."""
+        mean, precision, axes = self.mean, self.precision, self.axes
+
+        @F.pandas_udf("struct<mahalanobis: double, pca_residual: double>")
+        def both(x: pd.Series) -> pd.DataFrame:
+            d = (np.stack(x.to_list()) if len(x) else np.zeros((0, len(mean)))) - mean
+            own, along = (d * d).sum(axis=1), ((d @ axes.T) ** 2).sum(axis=1)
+            return pd.DataFrame({"mahalanobis": np.sqrt(np.maximum(((d @ precision) * d).sum(axis=1), 0.0)), "pca_residual": np.sqrt(np.maximum(own - along, 0.0))})
+
+        z = standardised(rows, self.scale).withColumn("_d", both(F.array(*self.features)))
+        return z.withColumns({"mahalanobis": F.col("_d.mahalanobis"), "pca_residual": F.col("_d.pca_residual")}).drop("_d")
 
 
 def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -83,7 +86,9 @@ def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
 
 class Prior:
     """Known-class probabilities: a random forest per fold, balanced by class, with
-    out-of-fold probabilities for the training rows. Classes are label indices."""
+    out-of-fold probabilities for the training rows, and the classes' mean probability
+    vectors and feature statistics. Classes are label indices. With a ``weight``
+    column (held to WEIGHT_RANGE) rows weigh by it on top of the balance."""
 
     def __init__(self, features: list[str], n_folds: int = 3, trees: int = 30, seed: int = 42) -> None:
         self.features, self.n_folds, self.trees, self.seed = features, n_folds, trees, seed
@@ -92,6 +97,8 @@ class Prior:
         weights = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
         weights = weights.withColumn("w", F.sum("_n").over(Window.partitionBy(F.lit(0))) / F.col("_n"))
         rows = assembled(rows, self.features).join(weights.select("label", "w"), "label")
+        if "weight" in rows.columns:
+            rows = rows.withColumn("w", F.col("w") * clip(F.coalesce(F.col("weight"), F.lit(1.0)), *WEIGHT_RANGE))
         return RandomForestClassifier(labelCol="label", featuresCol="x", weightCol="w", numTrees=self.trees, maxDepth=6, seed=self.seed).fit(rows)
 
     def fit(self, rows: DataFrame) -> Prior:
@@ -102,6 +109,8 @@ class Prior:
         self.out_of_fold = parts[0]
         for p in parts[1:]:
             self.out_of_fold = self.out_of_fold.unionByName(p)
+        self.centroids = self.out_of_fold.groupBy("label").agg(Summarizer.mean(array_to_vector("p")).alias("_m")).select("label", vector_to_array("_m").alias("centroid"))
+        self.class_statistics = evidence.class_statistics(rows, self.features)
         return self
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
@@ -176,18 +185,28 @@ def density_ratio_weights(reference: DataFrame, target: DataFrame, covariates: l
     return odds.join(F.broadcast(mean)).select("object_id", clip(F.col("odds") / F.col("mean"), 1 / cap, cap).alias("weight"))
 
 
-def adversarial_validation(reference: DataFrame, target: DataFrame, covariates: list[str], n_folds: int = 3) -> DataFrame:
-    """Out-of-fold AUC of telling the two apart, with a verdict."""
+def adversarial_validation(reference: DataFrame, target: DataFrame, covariates: list[str], n_folds: int = 3, novelty: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold AUC of telling the two apart, with a verdict, and the importances of the covariates."""
     both = reference.select(*covariates, "object_id").withColumn("y", F.lit(0)).unionByName(target.select(*covariates, "object_id").withColumn("y", F.lit(1)))
     z = protocol.folds(standardised(both, standardiser(both, covariates)), "y", n_folds, "adversarial")
-    parts = None
+    parts, weights = None, []
     for k in range(n_folds):
         model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=20, maxDepth=5, seed=k).fit(assembled(z.filter(F.col("fold") != k), covariates))
         p = model.transform(assembled(z.filter(F.col("fold") == k), covariates)).select("object_id", "y", F.round(vector_to_array("probability")[1], 9).alias("score"))
         parts = p if parts is None else parts.unionByName(p)
+        weights.append(model.featureImportances.toArray())
     auc = metrics.auc_and_ap(parts)
-    verdict = F.when(F.col("roc_auc") < 0.6, "indistinguishable").when(F.col("roc_auc") < 0.8, "separable").otherwise("strongly separable")
-    return auc.select("roc_auc", verdict.alias("verdict"))
+    # Separability below which the two are indistinguishable, weakly and clearly separable.
+    verdict = F.when(F.col("roc_auc") < 0.6, "indistinguishable").when(F.col("roc_auc") < 0.75, "weakly separable").when(F.col("roc_auc") < 0.9, "clearly separable").otherwise("trivially separable")
+    by_weight = sorted(zip(covariates, np.mean(weights, axis=0).tolist()), key=lambda c: (-c[1], c[0]))
+    out = auc.select("roc_auc", verdict.alias("verdict"), F.array(*(F.struct(F.lit(c).alias("covariate"), F.lit(w).alias("importance")) for c, w in by_weight)).alias("importances"))
+    if novelty is None:
+        return out
+    # how far the ranking follows likeness to the target: Pearson, and Spearman as that of the ranks
+    own = parts.filter("y = 1").select("object_id", F.col("score").alias("likeness")).join(novelty.select("object_id", "novelty"), "object_id")
+    for c in ("likeness", "novelty"):
+        own = evidence.quantile_map(own, own, c).withColumnRenamed("mapped", f"rank_{c}")
+    return out.join(own.agg(F.corr("likeness", "novelty").alias("pearson"), F.corr("rank_likeness", "rank_novelty").alias("spearman")))
 
 
 def calibration_cells(rows: DataFrame, confidence: str, nuisance: str, error: str, bins: int = 5, least: int = 40) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import detectors, domain, evidence, explain, features, inject, metrics, models, protocol, quality, ranking
-from tarnfield.plans import search
+from tarnfield.operators import detectors, domain, evidence, explain, features, inject, metrics, models, ordered, protocol, quality, ranking
+from tarnfield.plans import search, serve
 from tarnfield.schema import BANDS, IS_GALACTIC, KNOWN, POPULATIONS, taxonomy
 from tarnfield.sources import alerts, views
 from tarnfield.sources.views import METADATA_SQL, PHOTOMETRY_SQL, PROBABILITIES_SQL, SCORED_SQL
@@ -87,15 +87,16 @@ def band_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _band_features_sql = _BAND_SQL + " SELECT " + _i("object_id", "passband", *_COUNTS) + ", " + ", ".join(_r("round(t_centroid, 3)", s) if s == "t_centroid" else _r(s) for s in _SUFFIXES if s not in _COUNTS) + " FROM b"
 
-_WIDE = ("n_obs", "flux_max", "flux_mean", "slope", "flux_skew", "rise_time")
+_WIDE = tuple(_SUFFIXES)
 
 
 def band_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.wide(features.band_statistics(views.photometry(spark, sf_dir)), _WIDE))
+    out = features.wide(features.band_statistics(views.photometry(spark, sf_dir)), _WIDE)
+    return rounded(out.withColumns({f"{b}_t_centroid": F.round(f"{b}_t_centroid", 3) for b in BANDS}))
 
 
 _band_matrix_sql = _BAND_SQL + " SELECT object_id, " + ", ".join(
-    (f"max(n_obs) FILTER (passband = {k})::BIGINT AS {b}_n_obs" if s == "n_obs" else _r(f"coalesce(max({s}) FILTER (passband = {k}), 0.0)" if s in features.SHAPE else f"max({s}) FILTER (passband = {k})", f"{b}_{s}")) for k, b in enumerate(BANDS) for s in _WIDE
+    (f"max({s}) FILTER (passband = {k})::BIGINT AS {b}_{s}" if s in _COUNTS else _r(f"max(round(t_centroid, 3)) FILTER (passband = {k})", f"{b}_{s}") if s == "t_centroid" else _r(f"coalesce(max({s}) FILTER (passband = {k}), 0.0)" if s in features.SHAPE else f"max({s}) FILTER (passband = {k})", f"{b}_{s}")) for k, b in enumerate(BANDS) for s in _WIDE
 ) + " FROM b GROUP BY object_id"
 
 
@@ -145,7 +146,7 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _quality_gate_sql = f"WITH {_QUALITY_SQL} SELECT object_id, " + ", ".join(_r(f"qpen_{k}") for k in _PEN) + ", " + _r("quality") + " FROM qual"
 
 _PEAKS_SQL = f"""{PHOTOMETRY_SQL},
-peaks AS (SELECT object_id, {", ".join(f"max(flux) FILTER (passband = {k}) AS p_{b}, first(mjd ORDER BY flux DESC, mjd) FILTER (passband = {k}) AS t_{b}" for k, b in enumerate(BANDS))} FROM phot GROUP BY object_id),
+peaks AS (SELECT object_id, {", ".join(f"max(flux) FILTER (passband = {k}) AS p_{b}, first(mjd ORDER BY flux DESC, mjd) FILTER (passband = {k}) AS t_{b}, first(mjd ORDER BY flux DESC, mjd) FILTER (passband = {k}) - min(mjd) FILTER (passband = {k}) AS r_{b}, max(mjd) FILTER (passband = {k}) - first(mjd ORDER BY flux DESC, mjd) FILTER (passband = {k}) AS d_{b}" for k, b in enumerate(BANDS))} FROM phot GROUP BY object_id),
 mags AS (SELECT *, {", ".join(f"{_mag(f'p_{b}')} AS m_{b}" for b in BANDS)} FROM peaks)"""
 
 
@@ -160,37 +161,86 @@ def physics_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.physics_features(features.band_peaks(views.photometry(spark, sf_dir)), views.metadata(spark, sf_dir)), 4)
 
 
-def _physics_sql() -> str:
-    step, grid = physics.comoving_grid()
+def host_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = views.metadata(spark, sf_dir)
+    return rounded(features.host_features(meta, meta), 4)
+
+
+def uncertainty_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.uncertainty_features(features.band_peaks(views.photometry(spark, sf_dir)), views.metadata(spark, sf_dir)), 4)
+
+
+def _modulus_sql(z: str) -> str:
+    """Distance modulus of a redshift by interpolation in g.grid."""
+    at = f"(ln(1 + least(greatest({z}, 0.0), {physics.Z_MAX})) / step)"
+    k = f"least(floor({at}), {physics.GRID_STEPS - 1})::INT"
+    return f"(5 * log10((grid[{k} + 1] + (grid[{k} + 2] - grid[{k} + 1]) * ({at} - {k})) * (1 + {z}) * 1e6) - 5)"
+
+
+def _placed_sql() -> str:
+    """CTEs up to ``pl``: peaks and magnitudes, metadata, redshift, modulus, dust, draws and their moduli."""
     from statistics import NormalDist
 
+    step, grid = physics.comoving_grid()
     q = [NormalDist().inv_cdf((k + 0.5) / 24) for k in range(24)]
-    dc = "CASE WHEN TRUE THEN grid[k + 1] + (grid[k + 2] - grid[k + 1]) * (pos - k) END"
-    r4 = lambda x, n: f"round(({x})::DOUBLE + {NUDGE}, 4) + 0.0 AS {n}"
+    return f"""{_PEAKS_SQL}, {METADATA_SQL}, g AS (SELECT {grid}::DOUBLE[] AS grid, {step!r}::DOUBLE AS step, {q}::DOUBLE[] AS q),
+z1 AS (SELECT m.*, coalesce(hostgal_photoz, 0.0) AS zz, coalesce(mwebv, 0.0) AS ebv, CASE WHEN distmod > 0 THEN 1 WHEN coalesce(hostgal_photoz, 0.0) > 1e-4 THEN 0 ELSE -1 END AS flag FROM meta m),
+z2 AS (SELECT z1.*, CASE WHEN flag = 1 THEN distmod WHEN flag = 0 THEN {_modulus_sql("least(greatest(zz, 1e-4), 6.0)")} ELSE 0.0 END AS dm,
+  list_sort(list_transform(list_transform(q, lambda s: least(greatest(zz + greatest(coalesce(hostgal_photoz_err, 0.0), 1e-4) * s, 1e-4), 8.0)), lambda d: {_modulus_sql("d")})) AS dms,
+  exp(-least(coalesce(hostgal_photoz_err, 1.0) / greatest(zz, 1e-4), 5.0) / 0.15) AS base FROM z1, g),
+pl AS (SELECT p.*, z2.* EXCLUDE (object_id), CASE WHEN flag < 0 AND zz <= 1e-3 THEN 1.0 WHEN flag < 0 THEN 0.0 WHEN flag >= 1 THEN greatest(base, 0.9) ELSE base END AS z_rel,
+  greatest({", ".join(f"p_{b}" for b in BANDS)}) AS p_max FROM mags p LEFT JOIN z2 USING (object_id))"""
+
+
+def _r4(x: str, n: str) -> str:
+    return f"round(({x})::DOUBLE + {NUDGE}, 4) + 0.0 AS {n}"
+
+
+def _physics_sql() -> str:
     absmag = {b: f"(m_{b} - dm - ebv * 3.1 * {physics.EXTINCTION[k]})" for k, b in enumerate(BANDS)}
+    own = [_r4("zz", "phys_z"), _r4("coalesce(hostgal_photoz_err, 0.0)", "phys_z_err"), _r4("dm", "phys_distmod"), "flag::BIGINT AS phys_distmod_source", _r4("ebv", "phys_mwebv")]
+    for k, b in enumerate(BANDS):
+        own += [_r4(absmag[b], f"phys_absmag_{b}"), _r4(f"ebv * 3.1 * {physics.EXTINCTION[k]}", f"phys_A_{b}"), _r4(f"r_{b} / greatest(1 + zz, 1.0)", f"phys_rf_rise_{b}"), _r4(f"d_{b} / greatest(1 + zz, 1.0)", f"phys_rf_decline_{b}")]
+    own += [_r4("greatest(" + ", ".join(absmag.values()) + ")", "phys_absmag_max"), _r4("least(" + ", ".join(absmag.values()) + ")", "phys_absmag_min"), _r4(f"{_mag('p_max')} - dm", "phys_peak_luminosity")]
+    return f"WITH {_placed_sql()} SELECT object_id, {', '.join(own)} FROM pl"
+
+
+def _host_sql() -> str:
     pd = f"radians({physics.POLE_DEC})"
-    return f"""WITH {_PEAKS_SQL}, {METADATA_SQL},
-g AS (SELECT {grid}::DOUBLE[] AS grid, {q}::DOUBLE[] AS q),
-z AS (SELECT m.*, coalesce(hostgal_photoz, 0.0) AS zz, coalesce(mwebv, 0.0) AS ebv, ln(1 + least(greatest(coalesce(hostgal_photoz, 0.0), 1e-4), 6.0)) / {step!r} AS pos FROM meta m),
-z2 AS (SELECT *, least(floor(pos), 1023)::INT AS k FROM z),
-d AS (SELECT z2.*, CASE WHEN distmod > 0 THEN 1 WHEN zz > 1e-4 THEN 0 ELSE -1 END AS flag,
-  CASE WHEN distmod > 0 THEN distmod WHEN zz > 1e-4 THEN 5 * log10(({dc}) * (1 + least(greatest(zz, 1e-4), 6.0)) * 1e6) - 5 ELSE 0.0 END AS dm,
-  list_transform(q, lambda s: least(greatest(zz + greatest(coalesce(hostgal_photoz_err, 0.0), 1e-4) * s, 1e-4), 8.0)) AS draws, radians(ra - {physics.POLE_RA}) AS a, radians(decl) AS de FROM z2, g),
-e AS (SELECT *, exp(-least(coalesce(hostgal_photoz_err, 1.0) / greatest(zz, 1e-4), 5.0) / 0.15) AS base,
-  {physics.POLE_L} - degrees(atan2(cos(de) * sin(a), sin(de) * cos({pd}) - cos(de) * sin({pd}) * cos(a))) AS l FROM d)
-SELECT p.object_id, {r4("zz", "phys_z")}, {r4("dm", "phys_distmod")}, flag::BIGINT AS phys_distmod_source, {", ".join(r4(x, f"phys_absmag_{b}") for b, x in absmag.items())},
-  {r4("greatest(" + ", ".join(absmag.values()) + ")", "phys_absmag_max")}, {r4("least(" + ", ".join(absmag.values()) + ")", "phys_absmag_min")}, {r4("l - 360 * floor(l / 360)", "host_gal_l")},
-  {r4(f"degrees(asin(least(greatest(sin(de) * sin({pd}) + cos(de) * cos({pd}) * cos(a), -1.0), 1.0)))", "host_gal_b")}, {r4("list_avg(draws)", "unc_z_mean")}, {r4("list_stddev_pop(draws)", "unc_z_std")},
-  {r4("CASE WHEN flag < 0 AND zz <= 1e-3 THEN 1.0 WHEN flag < 0 THEN 0.0 WHEN flag >= 1 THEN greatest(base, 0.9) ELSE base END", "unc_z_reliability")} FROM mags p LEFT JOIN e USING (object_id)"""
+    return f"""WITH {METADATA_SQL}, a AS (SELECT *, radians(ra - {physics.POLE_RA}) AS a, radians(decl) AS de FROM meta),
+h AS (SELECT *, {physics.POLE_L} - degrees(atan2(cos(de) * sin(a), sin(de) * cos({pd}) - cos(de) * sin({pd}) * cos(a))) AS l, degrees(asin(least(greatest(sin(de) * sin({pd}) + cos(de) * cos({pd}) * cos(a), -1.0), 1.0))) AS b FROM a)
+SELECT object_id, {_r4("ra", "host_ra")}, {_r4("decl", "host_decl")}, {_r4("l - 360 * floor(l / 360)", "host_gal_l")}, {_r4("b", "host_gal_b")}, {_r4("abs(b)", "host_abs_gal_b")}, {_r4("ddf_bool", "host_ddf")}, {_r4("(hostgal_specz IS NOT NULL)::INT", "host_has_specz")}, {_r4("coalesce(hostgal_specz, 0.0)", "host_specz")} FROM h"""
+
+
+def _uncertainty_sql() -> str:
+    q = lambda share: f"{_mag('p_max')} - (dms[{int((1 - share) * 23) + 1}] + (dms[{int((1 - share) * 23) + 2}] - dms[{int((1 - share) * 23) + 1}]) * {(1 - share) * 23 - int((1 - share) * 23)!r})"
+    std = "list_stddev_pop(dms)"
+    own = [_r4(f"CASE WHEN p_max > 0 THEN {std} END", "unc_absmag_std"), _r4(q(0.16), "unc_absmag_q16"), _r4(q(0.84), "unc_absmag_q84"), _r4(f"{_mag('p_max')} - list_avg(dms)", "unc_absmag_mean"), _r4(std, "unc_distmod_std"), _r4("z_rel", "unc_z_reliability"), _r4(f"least(greatest(z_rel * exp(-CASE WHEN p_max > 0 THEN {std} ELSE 3.0 END / 1.5), 0.0), 1.0)", "unc_feature_reliability")]
+    return f"WITH {_placed_sql()} SELECT object_id, {', '.join(own)} FROM pl"
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks of features, one row for each object."""
+    out = features.feature_matrix(views.photometry(spark, sf_dir), views.metadata(spark, sf_dir))
+    four = [c for c in out.columns if c.startswith(("phys_", "host_", "unc_"))]
+    out = out.withColumns({f"{b}_t_centroid": F.round(f"{b}_t_centroid", 3) for b in BANDS})
+    return rounded_by(out, four)
+
+
+def rounded_by(df: DataFrame, four: list[str]) -> DataFrame:
+    """Like rounded, the named columns to four places."""
+    kinds = dict(df.dtypes)
+    return df.select(*((F.round(F.col(c) + NUDGE, 4 if c in four else PLACES) + 0.0).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("long").alias(c) for c in df.columns))
+
+
+def _matrix_sql() -> str:
+    parts = (_band_matrix_sql, _global_sql, _colour_sql, _physics_sql(), _host_sql(), _uncertainty_sql(), _quality_features_sql)
+    return "SELECT * FROM " + " JOIN ".join(f"({sql}) t{k}" + (" USING (object_id)" if k else "") for k, sql in enumerate(parts))
 
 
 def early_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = views.photometry(spark, sf_dir)
-    out = None
-    for days in (7, 15, 30):
-        part = features.early_window(obs, float(days)).groupBy("object_id").agg(F.count(F.lit(1)).alias("n_obs"), F.max("flux").alias("flux_max")).withColumn("days", F.lit(days))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    return rounded(features.views(obs, (7, 15, 30)).groupBy("object_id", F.col("view").cast("int").alias("days")).agg(F.count(F.lit(1)).alias("n_obs"), F.max("flux").alias("flux_max")))
 
 
 _early_sql = f"WITH {PHOTOMETRY_SQL}, f AS (SELECT *, min(mjd) OVER (PARTITION BY object_id) AS m FROM phot) SELECT object_id, count(*)::BIGINT AS n_obs, {_r('max(flux)', 'flux_max')}, days::BIGINT AS days FROM f, (SELECT unnest([7, 15, 30]) AS days) WHERE mjd <= m + days GROUP BY object_id, days"
@@ -267,12 +317,19 @@ _nch_sql = f"WITH {_KNN_SQL}, sh AS (SELECT query_id, label, count(*) AS n, sum(
 
 
 def galactic_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evidence.family_misfit(views.probabilities(spark, sf_dir)))
+    return rounded(evidence.galactic_probability(views.probabilities(spark, sf_dir)))
+
+
+def family_misfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evidence.family_misfit(views.probabilities(spark, sf_dir), _near(spark, sf_dir)))
 
 
 _gal_sql = f"WITH {PROBABILITIES_SQL} SELECT object_id, {_r(' + '.join(f'p[{i + 1}]' for i, c in enumerate(KNOWN) if c in IS_GALACTIC), 'p_galactic')} FROM proba"
 
-_FEATS = [f"f{i}" for i in range(6)]
+_GALACTIC_SQL = " + ".join(f"p[{i + 1}]" for i in evidence.GALACTIC_LABELS)
+_misfit_sql = f"WITH {PROBABILITIES_SQL}, {_KNN_SQL}, sh AS (SELECT query_id AS object_id, avg((label IN {evidence.GALACTIC_LABELS})::INT) AS share FROM near GROUP BY query_id) SELECT object_id, {_r(f'abs({_GALACTIC_SQL} - share)', 'family_misfit')} FROM proba JOIN sh USING (object_id)"
+#: The components of an embedding, all of them.
+_FEATS = [f"f{i}" for i in range(64)]
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,46 +337,109 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("object_id"), F.col("label").cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(_FEATS)))
 
 
-_LONG_SQL = "lf AS (" + " UNION ALL ".join(f"SELECT vec_id AS object_id, label, '{f}' AS feature, embedding[{i + 1}]::DOUBLE AS v FROM embeddings" for i, f in enumerate(_FEATS)) + "), cs AS (SELECT label, feature, avg(v) AS mean, stddev_samp(v) AS sd FROM lf GROUP BY label, feature)"
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as they are, in one array column x."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("object_id"), F.col("label").cast("int").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+_LONG_SQL = f"lf AS (SELECT vec_id AS object_id, label, 'f' || i AS feature, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range({len(_FEATS)})) AS i)), cs AS (SELECT label, feature, avg(v) AS mean, stddev_samp(v) AS sd FROM lf GROUP BY label, feature)"
 
 
 def class_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evidence.class_statistics(_vectors(spark, sf_dir), _FEATS))
+    return rounded(evidence.class_statistics(_packed(spark, sf_dir), _FEATS))
 
 
 _cstat_sql = f"WITH {_LONG_SQL} SELECT label::BIGINT AS label, feature, {_r('mean')}, {_r('sd')} FROM cs"
 
 
+def _physics_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _packed(spark, sf_dir)
+    rows = v.join(views.probabilities(spark, sf_dir).select("object_id", "p"), "object_id")
+    return evidence.physics_channels(rows, evidence.class_statistics(v, _FEATS), _FEATS)
+
+
 def physics_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    return rounded(evidence.physics_gap(v, evidence.class_statistics(v, _FEATS), _FEATS))
+    """The least deviation from any class, and the one expected under the probabilities."""
+    return rounded(_physics_channels(spark, sf_dir))
 
 
-_GAP_SQL = f"{_LONG_SQL}, chi AS (SELECT object_id, cs.label AS class, avg(((v - mean) / sd) * ((v - mean) / sd)) AS chi2 FROM lf JOIN cs ON lf.feature = cs.feature AND sd > 1e-12 GROUP BY object_id, cs.label), gap AS (SELECT object_id, min(chi2) AS physics_gap, first(class ORDER BY chi2, class) AS nearest_class FROM chi GROUP BY object_id)"
-_gap_sql = f"WITH {_GAP_SQL} SELECT object_id, {_r('physics_gap')}, nearest_class::BIGINT AS nearest_class FROM gap"
+_GAP_SQL = f"{_LONG_SQL}, chi AS (SELECT object_id, cs.label AS class, avg(((v - mean) / sd) * ((v - mean) / sd)) AS chi2 FROM lf JOIN cs ON lf.feature = cs.feature AND sd > 1e-12 GROUP BY object_id, cs.label), gap AS (SELECT object_id, min(chi2) AS physics_gap, first(class ORDER BY chi2, class) AS nearest_class, sum(chi2 * p[class + 1]) AS cc_weighted FROM chi JOIN proba USING (object_id) GROUP BY object_id)"
+_gap_sql = f"WITH {PROBABILITIES_SQL}, {_GAP_SQL} SELECT object_id, {_r('physics_gap')}, nearest_class::BIGINT AS nearest_class, {_r('cc_weighted')} FROM gap"
 
 
 def quantile_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw channel mapped to its mid-rank in the reference half of the objects."""
-    v = _vectors(spark, sf_dir)
-    g = evidence.physics_gap(v, evidence.class_statistics(v, _FEATS), _FEATS).withColumn("g", F.round("physics_gap", 2))
-    return rounded(evidence.quantile_map(g.select("object_id", "g"), g.filter("object_id % 2 = 0"), "g"))
+    """A raw channel mapped to its mid-rank in the objects of the first classes."""
+    v = _vectors(spark, sf_dir).select("object_id", "label")
+    g = _physics_channels(spark, sf_dir).withColumn("g", F.round("physics_gap", 2)).join(v, "object_id")
+    return rounded(evidence.quantile_map(g.select("object_id", "g"), g.filter(_REFERENCE), "g"))
+
 
+#: The reference population of fits over embeddings: the first classes.
+_REFERENCE = "label < 5"
+_qmap_sql = f"WITH {PROBABILITIES_SQL}, {_GAP_SQL}, g AS (SELECT object_id, label, round(physics_gap, 2) AS g FROM gap JOIN proba USING (object_id)), r AS (SELECT g AS v FROM g WHERE {_REFERENCE}) SELECT object_id, round(g + {NUDGE}, 5) + 0.0 AS g, {_r('((SELECT count(*) FROM r WHERE v < g.g) + (SELECT count(*) FROM r WHERE v = g.g) / 2) / (SELECT count(*) FROM r)', 'mapped')} FROM g"
 
-_qmap_sql = f"WITH {_GAP_SQL}, g AS (SELECT object_id, round(physics_gap, 2) AS g FROM gap), r AS (SELECT g AS v FROM g WHERE object_id % 2 = 0) SELECT object_id, round(g + {NUDGE}, 5) + 0.0 AS g, {_r('((SELECT count(*) FROM r WHERE v < g.g) + (SELECT count(*) FROM r WHERE v = g.g) / 2) / (SELECT count(*) FROM r)', 'mapped')} FROM g"
+
+def rank01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by length, placed from 0 to 1."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("object_id"), F.col("n_chars").cast("double").alias("n_chars"))
+    return rounded(evidence.rank01(d, "n_chars"))
+
+
+_rank01_sql = f"SELECT doc_id AS object_id, {_r('(row_number() OVER (ORDER BY n_chars NULLS FIRST, doc_id) - 1) / greatest(count(*) OVER () - 1, 1)', 'mapped')} FROM documents"
 
 # ---- ranking -----------------------------------------------------------------
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _simplex(spark, sf_dir)
-    return c.withColumns({"quality": 0.2 + 0.8 * F.pmod(F.col("object_id") * 37, F.lit(101)) / 101.0, "uncertainty": F.col("prior_entropy"), "reliability": F.pmod(F.col("object_id") * 13, F.lit(29)) / 29.0, "y": F.col("label").isin(0, 3, 7).cast("int"), "neighbor_entropy": F.pmod(F.col("object_id") * 17, F.lit(31)) / 31.0, "cc_weighted": F.pmod(F.col("object_id") * 11, F.lit(37)) / 37.0})
+    """All channels of every object: probabilities, neighbours, class statistics, and the
+    quality gate and redshift reliability of the object's observations. An object without
+    observations has quality and reliability 1. Computed once in a session and kept,
+    as many passes and queries follow."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _kept:
+        return _kept[key]
+    p = views.probabilities(spark, sf_dir)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").alias("x"))
+    near = evidence.neighbours(e, e, 25)
+    gap = _physics_channels(spark, sf_dir).select("object_id", F.round(F.col("physics_gap") + NUDGE, 6).alias("gap"), F.round(F.col("cc_weighted") + NUDGE, 6).alias("cc")).persist()
+    out = evidence.simplex_channels(p, evidence.centroids(p))
+    for raw, name in (("gap", "physics_gap"), ("cc", "cc_weighted")):
+        out = out.join(evidence.quantile_map(gap.select("object_id", raw), gap, raw).select("object_id", F.col("mapped").alias(name)), "object_id")
+    out = out.join(evidence.neighbour_channels(near, 10).select("object_id", "neighbor_entropy"), "object_id").join(evidence.family_misfit(p, near), "object_id")
+    gate = quality.quality(features.quality_features(views.photometry(spark, sf_dir))).select("object_id", "quality")
+    meta = views.metadata(spark, sf_dir)
+    z = F.coalesce(F.col("hostgal_photoz"), F.lit(0.0))
+    known = meta.select("object_id", physics.reliability(z, F.col("hostgal_photoz_err"), physics.resolve_distmod(F.col("distmod"), z)[1]).alias("reliability"))
+    out = out.join(gate, "object_id", "left").join(known, "object_id", "left")
+    one = F.lit(1.0)
+    out = out.withColumns({"quality": F.coalesce("quality", one), "reliability": F.coalesce("reliability", one), "uncertainty": F.col("prior_entropy"), "y": F.col("label").isin(0, 3, 7).cast("int")})
+    _kept[key] = out.persist()
+    return _kept[key]
+
+
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def evidence_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_evidence(spark, sf_dir))
 
 
 _W = ranking.normalised(ranking.BASELINE)
 _MEAN = "(taxonomy_gap + simplex_novelty + novelty_gap) / 3"
-_EVIDENCE_SQL = f"""{_SIMPLEX_SQL}, ev AS (SELECT *, 0.2::DOUBLE + 0.8::DOUBLE * ((object_id * 37) % 101) / 101.0::DOUBLE AS quality, prior_entropy AS uncertainty, ((object_id * 13) % 29)::DOUBLE / 29 AS reliability, (label IN (0, 3, 7))::INT AS y,
-  ((object_id * 17) % 31)::DOUBLE / 31 AS neighbor_entropy, ((object_id * 11) % 37)::DOUBLE / 37 AS cc_weighted FROM chan)"""
+_EVIDENCE_SQL = f"""{_SIMPLEX_SQL}, {_GAP_SQL}, {_QUALITY_SQL}, {METADATA_SQL},
+ex AS (SELECT vec_id AS object_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+nn AS (SELECT a.object_id, b.label FROM ex a JOIN ex b ON a.object_id <> b.object_id QUALIFY row_number() OVER (PARTITION BY a.object_id ORDER BY list_distance(a.x, b.x), b.object_id) <= 25),
+ns AS (SELECT object_id, label, count(*) / sum(count(*)) OVER (PARTITION BY object_id) AS share FROM nn GROUP BY object_id, label),
+ne AS (SELECT object_id, -sum(share * ln(share)) / ln(10) AS neighbor_entropy, coalesce(sum(share) FILTER (label IN {evidence.GALACTIC_LABELS}), 0.0) AS galactic FROM ns GROUP BY object_id),
+gm AS (SELECT object_id, round(physics_gap + {NUDGE}, 6) AS g, round(cc_weighted + {NUDGE}, 6) AS c FROM gap),
+gq AS (SELECT object_id, (rank() OVER (ORDER BY g) - 1 + count(*) OVER (PARTITION BY g) / 2) / count(*) OVER () AS physics_gap, (rank() OVER (ORDER BY c) - 1 + count(*) OVER (PARTITION BY c) / 2) / count(*) OVER () AS cc_weighted FROM gm),
+rb AS (SELECT *, coalesce(hostgal_photoz, 0.0) AS zz, exp(-least(coalesce(hostgal_photoz_err, 1.0) / greatest(coalesce(hostgal_photoz, 0.0), 1e-4), 5.0) / 0.15) AS base FROM meta),
+rl AS (SELECT object_id, CASE WHEN distmod > 0 THEN greatest(base, 0.9) WHEN zz > 1e-4 THEN base WHEN zz <= 1e-3 THEN 1.0 ELSE 0.0 END AS reliability FROM rb),
+ev AS (SELECT chan.*, gq.physics_gap, gq.cc_weighted, neighbor_entropy, abs({_GALACTIC_SQL} - galactic) AS family_misfit, coalesce(quality, 1.0) AS quality, coalesce(reliability, 1.0) AS reliability, prior_entropy AS uncertainty, (chan.label IN (0, 3, 7))::INT AS y
+  FROM chan JOIN gq USING (object_id) JOIN ne USING (object_id) JOIN proba USING (object_id) LEFT JOIN qual USING (object_id) LEFT JOIN rl USING (object_id))"""
+_EV_OUT = ("taxonomy_gap", "prior_entropy", "simplex_novelty", "novelty_gap", "best_fit_prob", "runner_up_prob", "physics_gap", "cc_weighted", "neighbor_entropy", "family_misfit", "quality", "reliability", "uncertainty")
+_channels_sql = f"WITH {_EVIDENCE_SQL} SELECT object_id, {_i('label', 'best_fit_code', 'runner_up_code', 'y')}, {', '.join(map(_r, _EV_OUT))} FROM ev"
 _RANK_SQL = f"""{_EVIDENCE_SQL}, s1 AS (SELECT *, {" + ".join(f"{c} * {w!r}::DOUBLE" for c, w in _W.items())} AS raw_evidence, {_MEAN} AS mu, least(greatest((1 - least(greatest(uncertainty, 0.0), 1.0)) * quality, 0.0), 1.0) AS confidence FROM ev),
 s2 AS (SELECT *, least(greatest(1 - sqrt(((taxonomy_gap - mu)**2 + (simplex_novelty - mu)**2 + (novelty_gap - mu)**2) / 3) / greatest(mu + 0.5, 1e-9), 0.0), 1.0) AS agreement FROM s1),
 s3 AS (SELECT *, raw_evidence * least(greatest(quality, 1e-6), 1.0)**0.5 * least(greatest(confidence, 1e-6), 1.0)**0.25 * (1 + 0.15 * agreement) AS score FROM s2),
@@ -420,7 +540,7 @@ def per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _class_sql = f"WITH {_TOP_SQL} SELECT grp, count(*)::BIGINT AS n, count(*) FILTER (rank <= 100)::BIGINT AS in_top, {_r('count(*) FILTER (rank <= 100) / count(*)', 'recall')}, {_r('count(*) FILTER (rank <= 100) / (count(*) / any_value(n) * 100)', 'enrichment')}, count(*) < 30 AS low_n FROM rk, tot GROUP BY grp"
-_CH = ("taxonomy_gap", "prior_entropy", "simplex_novelty", "novelty_gap")
+_CH = ("taxonomy_gap", "prior_entropy", "simplex_novelty", "novelty_gap", "neighbor_entropy", "family_misfit", "physics_gap", "cc_weighted")
 
 
 def channel_power(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,8 +554,8 @@ _power_sql = f"WITH {_EVIDENCE_SQL}, ch AS (" + " UNION ALL ".join(f"SELECT obje
 def uncertainty_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of the most confident shares of the queue."""
     e = _evidence(spark, sf_dir)
-    cuts = e.agg(F.percentile("uncertainty", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("cuts"))
-    kept = e.join(F.broadcast(cuts)).select("object_id", "y", F.round("taxonomy_gap", 9).alias("score"), "uncertainty", F.posexplode("cuts").alias("nth", "cut")).filter("uncertainty <= cut")
+    cuts = ordered.quantiles(e, ["uncertainty"], [0.5, 0.75, 0.9])["uncertainty"]
+    kept = e.select("object_id", "y", F.round("taxonomy_gap", 9).alias("score"), "uncertainty", F.posexplode(F.array(*map(F.lit, cuts))).alias("nth", "cut")).filter("uncertainty <= cut")
     return rounded(metrics.auc_and_ap(kept, ["nth"]))
 
 
@@ -446,6 +566,39 @@ def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.bootstrap(views.scored(spark, sf_dir), 100))
 
 
+_boot_cdf = []
+for _k in range(8):
+    _boot_cdf.append((_boot_cdf[-1] if _k else 0.0) + math.exp(-1) / math.factorial(_k))
+_boot_sql = f"""WITH {SCORED_SQL}, dr AS (SELECT y, score, draw, {_draw_sql("boot-42", "(object_id || '|' || draw)")} AS u FROM scored, (SELECT unnest(range(100)) AS draw)),
+wt AS (SELECT *, {" + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _boot_cdf)} AS w FROM dr), kept AS (SELECT * FROM wt WHERE w > 0), {_auc_sql('kept', 'draw', 'w::DOUBLE')}
+SELECT {_r('quantile_cont(roc_auc, 0.025)', 'low')}, {_r('quantile_cont(roc_auc, 0.975)', 'high')}, count(roc_auc)::BIGINT AS draws FROM auc"""
+
+
+def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ranking metrics by source and over all."""
+    rows = views.scored(spark, sf_dir)
+    both = rows.withColumn("grp", F.lit("all")).unionByName(rows.withColumn("grp", F.coalesce("grp", F.lit("none"))))
+    return rounded(metrics.evaluate(both, ["grp"]))
+
+
+def _bundle_sql() -> str:
+    hit = lambda k: f"sum(CASE WHEN rank <= {k} THEN y ELSE 0 END)"
+    p = lambda k: f"{hit(k)} / least(count(*), {k})"
+    own = [x for k in metrics.PRECISION_K for x in (_r(p(k), f"p_at_{k}"), _r(f"CASE WHEN sum(y) > 0 THEN {p(k)} / (sum(y) / count(*)) END", f"lift_at_{k}"))] + [_r(f"CASE WHEN sum(y) > 0 THEN {hit(k)} / sum(y) END", f"r_at_{k}") for k in metrics.RECALL_K]
+    return f"""WITH {SCORED_SQL}, bth AS (SELECT object_id, score, y, 'all' AS grp FROM scored UNION ALL SELECT object_id, score, y, coalesce(grp, 'none') FROM scored), {_auc_sql('bth', 'grp')},
+rk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, object_id) AS rank FROM bth),
+ct AS (SELECT grp, count(*)::BIGINT AS n_objects, sum(y)::BIGINT AS n_novel, {_r("sum(y) / count(*)", "base_rate")}, {", ".join(own)} FROM rk GROUP BY grp)
+SELECT ct.*, {_r("roc_auc")}, {_r("average_precision")} FROM ct JOIN auc USING (grp)"""
+
+
+def weighted_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.when(F.col("y") == 0, metrics.negative_weight(0.1, 0.01)).otherwise(1.0)
+    return rounded(metrics.weighted_at_k(views.scored(spark, sf_dir).withColumn("weight", w), _KS))
+
+
+_wpk_sql = f"WITH {_TOP_SQL}, w AS (SELECT rk.*, CASE WHEN y = 0 THEN {metrics.negative_weight(0.1, 0.01)!r}::DOUBLE ELSE 1.0 END AS w FROM rk), h AS (SELECT k, sum(w * y) AS hit, sum(w) AS whole, sum(y) AS n FROM w, (SELECT unnest({list(_KS)}) AS k) WHERE rank <= k GROUP BY k) SELECT k::BIGINT AS k, {_r('hit / whole', 'precision')}, {_r('h.n / pos', 'recall')} FROM h, tot"
+
+
 def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.search(_evidence(spark, sf_dir)))
 
@@ -513,19 +666,39 @@ def queue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _audit_sql = f"WITH {_RANK_SQL} SELECT count(*)::BIGINT AS n, {_r('avg(quality)', 'mean_quality')}, {_r('min(quality)', 'min_quality')}, count_if(quality < 0.5)::BIGINT AS n_low_quality, {_r('avg(uncertainty)', 'mean_uncertainty')}, count_if(abstain)::BIGINT AS n_abstained, count_if(y = 0)::BIGINT AS n_false_positives, " + ", ".join(f"count_if(tier = '{t}')::BIGINT AS n_{t}" for t in ("critical", "high", "moderate", "routine")) + " FROM ranked WHERE rank <= 100"
 
 
+_DAYS = (15, 30, 60, 120, 0)
+
+
+def _rescored(obs: DataFrame, side: str) -> DataFrame:
+    """quality and score (quality times the greatest signal-to-noise ratio) of every object in every
+    ``side`` of its observations: both are the key of the feature blocks, which run once."""
+    keyed = obs.withColumn("object_id", F.concat_ws("|", F.col(side), "object_id"))
+    q = quality.quality(features.quality_features(keyed)).select("object_id", "quality")
+    g = features.global_features(keyed).select("object_id", "lc_snr_max")
+    both = g.join(q, "object_id").withColumn("score", F.round(F.col("quality") * F.col("lc_snr_max"), 6))
+    cut = F.split("object_id", "[|]")
+    return both.select(cut[0].alias(side), cut[1].cast("long").alias("object_id"), "quality", "score")
+
+
+def _rescored_sql(rows: str, side: str) -> str:
+    """CTE ``resc`` over rows with ``side`` and the columns of phot."""
+    own = _QUALITY_SQL[len(PHOTOMETRY_SQL) + 2 :].replace(" phot", " keyed")
+    return f"""keyed AS (SELECT {side} || '|' || object_id AS object_id, mjd, passband, flux, flux_err, detected_bool FROM {rows}), {own},
+gl AS (SELECT object_id, max(flux / flux_err) AS snr FROM keyed GROUP BY object_id),
+resc AS (SELECT split_part(object_id, '|', 1) AS {side}, split_part(object_id, '|', 2)::BIGINT AS object_id, quality, round(quality * snr, 6) AS score FROM gl JOIN qual USING (object_id))"""
+
+
 def early_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well the greatest signal-to-noise ratio finds withheld populations in shortened views (0 days: all)."""
-    obs, truth = views.photometry(spark, sf_dir), views.metadata(spark, sf_dir).select("object_id", (~F.col("code").isin(*KNOWN)).cast("int").alias("y"))
-    sides = {}
-    for days in (15, 30, 60, 120, 0):
-        view = features.early_window(obs, float(days)) if days else obs
-        sides[f"{days} days"] = view.groupBy("object_id").agg(F.round(F.max(F.col("flux") / F.col("flux_err")), 6).alias("score")).join(truth, "object_id")
-    return rounded(search.side_by_side(sides))
+    """How well a rescore of shortened views (0 days: all) finds withheld populations."""
+    truth = views.metadata(spark, sf_dir).select("object_id", (~F.col("code").isin(*KNOWN)).cast("int").alias("y"))
+    obs = features.views(views.photometry(spark, sf_dir), _DAYS).withColumn("view", F.col("view").cast("int").cast("string"))
+    scored = _rescored(obs, "view").join(truth, "object_id")
+    return rounded(metrics.auc_and_ap(scored, ["view"]))
 
 
-_detection_sql = f"""WITH {PHOTOMETRY_SQL}, {METADATA_SQL}, f AS (SELECT *, min(mjd) OVER (PARTITION BY object_id) AS m FROM phot),
-v AS (SELECT f.object_id, days || ' days' AS side, round(max(flux / flux_err), 6) AS score, max((NOT (code IN {KNOWN}))::INT) AS y FROM f JOIN meta ON f.object_id = meta.object_id, (SELECT unnest([15, 30, 60, 120, 0]) AS days) WHERE days = 0 OR mjd <= m + days GROUP BY f.object_id, days),
-{_auc_sql('v', 'side')} SELECT side, {_AUC_OUT} FROM auc"""
+_detection_sql = f"""WITH {PHOTOMETRY_SQL}, {METADATA_SQL}, fm AS (SELECT *, min(mjd) OVER (PARTITION BY object_id) AS m FROM phot),
+vw AS (SELECT fm.*, days::VARCHAR AS view FROM fm, (SELECT unnest({list(_DAYS)}) AS days) WHERE days = 0 OR mjd <= m + days), {_rescored_sql('vw', 'view')},
+v AS (SELECT resc.*, (NOT (code IN {KNOWN}))::INT AS y FROM resc JOIN meta USING (object_id)), {_auc_sql('v', 'view')} SELECT view, {_AUC_OUT} FROM auc"""
 
 
 def survey_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,11 +725,12 @@ _COV = ["n_chars", "words"]
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"), F.length("text").cast("double").alias("words"))
-    return d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1 AND lang <> 'en'")
+    """English documents as the reference, all others as the target."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("ref"), F.col("n_chars").cast("double").alias("n_chars"), F.length("text").cast("double").alias("words"))
+    return d.filter("ref"), d.filter("not ref")
 
 
-_SIDES_SQL = "side AS (SELECT doc_id, n_chars::DOUBLE AS n_chars, length(text)::DOUBLE AS words, doc_id % 2 = 0 AS ref FROM documents WHERE doc_id % 2 = 0 OR lang <> 'en'), lng AS (SELECT 'n_chars' AS covariate, n_chars AS v, ref FROM side UNION ALL SELECT 'words', words, ref FROM side)"
+_SIDES_SQL = "side AS (SELECT doc_id, n_chars::DOUBLE AS n_chars, length(text)::DOUBLE AS words, coalesce(lang = 'en', false) AS ref FROM documents), lng AS (SELECT 'n_chars' AS covariate, n_chars AS v, ref FROM side WHERE n_chars IS NOT NULL UNION ALL SELECT 'words', words, ref FROM side WHERE words IS NOT NULL)"
 _PSI_SQL = f"""{_SIDES_SQL}, ed AS (SELECT covariate, list_sort(list_distinct(quantile_cont(v, {[i / 10 for i in range(11)]}))) AS e FROM lng WHERE ref GROUP BY covariate),
 bins AS (SELECT lng.covariate, len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS t FROM lng JOIN ed USING (covariate) GROUP BY ALL),
 pq AS (SELECT covariate, greatest(r / sum(r) OVER (PARTITION BY covariate), 1e-6) AS p, greatest(t / sum(t) OVER (PARTITION BY covariate), 1e-6) AS q FROM bins), ps AS (SELECT covariate, sum((q - p) * ln(q / p)) AS psi FROM pq GROUP BY covariate)"""
@@ -608,6 +782,11 @@ def effective_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(domain.effective_size(domain.stratified_weights(*_sides(spark, sf_dir), ["n_chars"])), 3)
 
 
+_size_sql = f"""WITH {_SIDES_SQL}, e AS (SELECT quantile_cont(n_chars, [0.25, 0.5, 0.75]) AS e FROM side WHERE ref), st AS (SELECT len(list_filter(e, lambda x: x <= n_chars))::VARCHAR AS stratum, ref FROM side, e),
+c AS (SELECT stratum, count(*) FILTER (ref) AS nr, count(*) FILTER (NOT ref) AS nt FROM st GROUP BY stratum), w AS (SELECT nr, least(greatest((nt / sum(nt) OVER ()) / (nr / sum(nr) OVER ()), 0.2), 5.0) AS w FROM c WHERE nr > 0)
+SELECT round((sum(nr * w) * sum(nr * w) / sum(nr * w * w))::DOUBLE + {NUDGE}, 3) + 0.0 AS ess, sum(nr)::BIGINT AS n FROM w"""
+
+
 # ---- protocol ----------------------------------------------------------------
 
 _FRACTIONS = {"fit": 0.6, "validation": 0.2, "test": 0.2}
@@ -705,15 +884,15 @@ _alert_sql = f"WITH {PHOTOMETRY_SQL}, i AS (SELECT *, ('0x' || substr(sha256(obj
 
 def standardised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return rounded(models.standardised(v, models.standardiser(v.filter("object_id % 2 = 0"), _FEATS)))
+    return rounded(models.standardised(v, models.standardiser(v.filter(_REFERENCE), _FEATS)))
 
 
-_standard_sql = "WITH v AS (SELECT vec_id AS object_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {f}" for i, f in enumerate(_FEATS)) + " FROM embeddings), s AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}, quantile_cont({f}, {models.SIGMA_HIGH}) - quantile_cont({f}, {models.SIGMA_LOW}) AS w_{f}" for f in _FEATS) + " FROM v WHERE object_id % 2 = 0) SELECT object_id, label::BIGINT AS label, " + ", ".join(_r(f"({f} - m_{f}) / w_{f}", f) for f in _FEATS) + " FROM v, s"
+_standard_sql = "WITH v AS (SELECT vec_id AS object_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {f}" for i, f in enumerate(_FEATS)) + " FROM embeddings), s AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}, quantile_cont({f}, {models.SIGMA_HIGH}) - quantile_cont({f}, {models.SIGMA_LOW}) AS w_{f}" for f in _FEATS) + f" FROM v WHERE {_REFERENCE}) SELECT object_id, label::BIGINT AS label, " + ", ".join(_r(f"({f} - m_{f}) / w_{f}", f) for f in _FEATS) + " FROM v, s"
 
 
 def anomaly_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return rounded(models.AnomalyEnsemble(_FEATS).fit(v.filter("object_id % 2 = 0")).distances(v).select("object_id", "mahalanobis", "pca_residual"))
+    return rounded(models.AnomalyEnsemble(_FEATS).fit(v.filter(_REFERENCE)).distances(v).select("object_id", "mahalanobis", "pca_residual"))
 
 
 def known_class_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -722,21 +901,32 @@ def known_class_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gated_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of labels that the family-gated prior finds in vectors that it was not fitted on."""
-    v = _vectors(spark, sf_dir)
-    model = models.GatedPrior(_FEATS, (0, 1, 2, 3, 4), n_folds=2, trees=15).fit(v.filter("object_id % 2 = 0"))
-    rest = v.filter("object_id % 2 = 1")
+    v = protocol.split(_vectors(spark, sf_dir), {"fit": 0.5, "rest": 0.5}, "gate")
+    model = models.GatedPrior(_FEATS, (0, 1, 2, 3, 4), n_folds=2, trees=15).fit(v.filter("split = 'fit'"))
+    rest = v.filter("split = 'rest'")
     hit = F.array_position("p", F.array_max("p")) - 1 == F.col("label")
     return model.probabilities(rest).join(rest.select("object_id", "label"), "object_id").agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors of all vectors, fitted on the first classes."""
     v = _vectors(spark, sf_dir)
-    return rounded(detectors.DetectorEnsemble(_FEATS).fit(v.filter("object_id % 2 = 0")).score(v))
+    return rounded(detectors.DetectorEnsemble(_FEATS).fit(v.filter(_REFERENCE)).score(v))
+
+
+def neighbour_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance to the neighbours of the stated queries, and its mid-rank among those of the first classes."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("object_id"), "label")
+    far = _near(spark, sf_dir).groupBy(F.col("query_id").alias("object_id")).agg(F.round(F.avg("distance"), 6).alias("knn_distance"))
+    return rounded(evidence.quantile_map(far, far.join(e.filter(_REFERENCE), "object_id", "left_semi"), "knn_distance"))
+
+
+_novelty_sql = f"WITH {_KNN_SQL}, far AS (SELECT query_id AS object_id, round(avg(distance), 6) AS d FROM near GROUP BY query_id), r AS (SELECT d AS v FROM far JOIN embeddings ON vec_id = object_id WHERE {_REFERENCE}) SELECT object_id, {_r('d', 'knn_distance')}, {_r('((SELECT count(*) FROM r WHERE v < far.d) + (SELECT count(*) FROM r WHERE v = far.d) / 2) / nullif((SELECT count(*) FROM r), 0)', 'mapped')} FROM far"
 
 
 def predictive_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return models.bootstrap_uncertainty(v.filter("object_id % 2 = 0"), v, _FEATS)
+    return models.bootstrap_uncertainty(v.filter(_REFERENCE), v, _FEATS)
 
 
 def density_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -746,7 +936,7 @@ def density_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adversarial_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return models.adversarial_validation(v.filter("label < 5"), v.filter("label >= 5"), _FEATS)
+    return models.adversarial_validation(v.filter("label < 5"), v.filter("label >= 5"), _FEATS).select("roc_auc", "verdict")
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -760,7 +950,7 @@ _calibration_sql = f"WITH {_EVIDENCE_SQL}, e AS (SELECT quantile_cont(best_fit_p
 def feature_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     rows = v.withColumn("best_fit_code", F.pmod(F.col("label") + 1, F.lit(10)))
-    return rounded(explain.feature_deviations(rows, evidence.class_statistics(v, _FEATS), _FEATS, 1.5))
+    return rounded(explain.feature_deviations(rows, evidence.class_statistics(_packed(spark, sf_dir), _FEATS), _FEATS, 1.5))
 
 
 _deviation_sql = f"WITH {_LONG_SQL}, z AS (SELECT object_id, lf.feature, v AS value, (v - mean) / sd AS z FROM lf JOIN cs ON cs.label = (lf.label + 1) % 10 AND cs.feature = lf.feature AND sd > 1e-12), k AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY abs(z) DESC, feature) AS rank FROM z WHERE abs(z) >= 1.5) SELECT object_id, feature, {_r('value')}, {_r('z')}, rank::BIGINT AS rank FROM k WHERE rank <= 5"
@@ -774,10 +964,39 @@ _analogue_sql = f"WITH {_KNN_SQL}, c AS (SELECT query_id, label, count(*) AS n F
 
 
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(explain.contributions(_evidence(spark, sf_dir), ranking.BASELINE).drop("summary"))
+    return rounded(explain.contributions(_evidence(spark, sf_dir), ranking.BASELINE))
+
+
+_explain_sql = f"""WITH {_EVIDENCE_SQL}, {_TAX_SQL}, p AS (SELECT object_id, best_fit_code, best_fit_prob, unnest([{', '.join(repr(c) for c in _W)}]) AS driver, unnest([{', '.join(f'{c} * {w!r}::DOUBLE' for c, w in _W.items())}]) AS share FROM ev),
+d AS (SELECT object_id, any_value(best_fit_code) AS code, any_value(best_fit_prob) AS prob, first(driver ORDER BY share DESC, driver DESC) AS driver, max(share) AS share FROM p GROUP BY object_id)
+SELECT object_id, driver, {_r('share')}, printf('Closest known population %s (probability %.2f); driven by %s.', coalesce(name, 'unknown'), prob::DOUBLE, replace(driver, '_', ' ')) AS summary FROM d LEFT JOIN tax ON tax.code = d.code"""
+
+
+def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue's first hundred as nested documents, read back field by field."""
+    docs = serve.records(_ranked(spark, sf_dir), ranking.BASELINE, limit=100)
+    doc = F.from_json("document", "rank long, object_id long, tier string, best_fit_class string, evidence map<string, double>, weighted_evidence map<string, double>, abstain boolean, is_novel boolean")
+    return docs.select(doc.alias("d")).select("d.object_id", "d.rank", "d.tier", "d.best_fit_class", "d.abstain", "d.is_novel", F.round(F.col("d.evidence")["taxonomy_gap"], 4).alias("taxonomy_gap"), F.round(F.col("d.weighted_evidence")["taxonomy_gap"], 4).alias("weighted_gap"))
+
+
+_records_sql = f"WITH {_RANK_SQL}, {_TAX_SQL} SELECT object_id, rank::BIGINT AS rank, tier, coalesce(name, 'unknown') AS best_fit_class, abstain, y = 1 AS is_novel, round(round(taxonomy_gap, 6), 4) AS taxonomy_gap, round(round(taxonomy_gap * {_W['taxonomy_gap']!r}::DOUBLE, 6), 4) AS weighted_gap FROM ranked LEFT JOIN tax ON code = best_fit_code WHERE rank <= 100"
+
+
+def safety_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every corruption of every object, rescored, against the clean observations."""
+    scored = _rescored(inject.scenarios(views.photometry(spark, sf_dir)), "scenario")
+    ranged = ordered.by_ranges(scored, -F.col("score"))
+    ranked = ordered.running(ranged, [F.desc("score"), F.col("object_id")], {"rank": F.lit(1)}, ["scenario"])
+    return rounded(inject.safety(ranked))
 
 
-_explain_sql = f"WITH {_EVIDENCE_SQL}, p AS (SELECT object_id, unnest([{', '.join(repr(c) for c in _W)}]) AS driver, unnest([{', '.join(f'{c} * {w!r}::DOUBLE' for c, w in _W.items())}]) AS share FROM ev) SELECT object_id, first(driver ORDER BY share DESC, driver DESC) AS driver, {_r('max(share)', 'share')} FROM p GROUP BY object_id"
+def _safety_sql() -> str:
+    head = _scenarios_sql()
+    ctes = head[head.index("WITH ") + 5 : head.rindex("\nSELECT scenario")]
+    return f"""WITH {ctes}, {_rescored_sql('u', 'scenario')},
+rk AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, object_id) AS rank FROM resc),
+j AS (SELECT a.scenario, a.score - c.score AS ds, a.quality - c.quality AS dq, a.rank < c.rank AS up FROM rk a JOIN rk c ON a.object_id = c.object_id AND c.scenario = 'clean' AND a.scenario <> 'clean')
+SELECT scenario, count(*)::BIGINT AS n, count(*) FILTER (up)::BIGINT AS n_promoted, count(*) FILTER (ds > 1e-9)::BIGINT AS n_score_increased, {_r('avg(dq)', 'mean_delta_quality')}, {_r('avg(ds)', 'mean_delta_score')} FROM j GROUP BY scenario"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -792,13 +1011,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _flagship_sql = f"WITH {_QUALITY_SQL}, g AS (SELECT object_id, max(flux / flux_err) AS lc_snr_max, count(*) AS lc_n_obs FROM phot GROUP BY object_id), s AS (SELECT g.*, quality, quality * lc_snr_max AS score FROM g JOIN qual USING (object_id) ORDER BY score DESC, object_id LIMIT 20) SELECT object_id, {_r('lc_snr_max')}, lc_n_obs::BIGINT AS lc_n_obs, {_r('quality')}, {_r('score')} FROM s"
 
 _ALL = {
-    band_features: _band_features_sql, band_matrix: _band_matrix_sql, global_features: _global_sql, quality_features: _quality_features_sql, quality_gate: _quality_gate_sql, colour_features: _colour_sql, physics_features: _physics_sql(), early_window: _early_sql, part_statistics: _part_sql, population_lookup: _lookup_sql,
-    simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
+    band_features: _band_features_sql, band_matrix: _band_matrix_sql, global_features: _global_sql, quality_features: _quality_features_sql, quality_gate: _quality_gate_sql, colour_features: _colour_sql, physics_features: _physics_sql(), host_features: _host_sql(), uncertainty_features: _uncertainty_sql(), feature_matrix: _matrix_sql(), early_window: _early_sql, part_statistics: _part_sql, population_lookup: _lookup_sql,
+    simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, family_misfit: _misfit_sql, rank01: _rank01_sql, evidence_channels: _channels_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
     review_queue: _queue_sql, queue_page: _page_sql, queue_summary: _summary_sql, abstention_policy: _policy_sql,
-    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql, per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: None, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
-    drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: None,
-    object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), alert_round_trip: _alert_sql,
-    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, gated_prior: None, anomaly_scores: None, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql,
+    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql, per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: _boot_sql, evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
+    drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: _size_sql,
+    object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
+    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, gated_prior: None, anomaly_scores: None, neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, candidate_records: _records_sql,
     flagship: _flagship_sql,
 }
 

@@ -11,6 +11,7 @@ _POINT = "jd double, fid int, flux double, fluxerr double, isdiffpos string"
 _ZTF = f"candid string, objectId string, candidate struct<{', '.join(x.replace(' ', ': ', 1) for x in (_POINT + ', ra double, dec double, drb double, rb double').split(', '))}>, prv_candidates array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _POINT.split(', '))}>>"
 _SOURCE = "struct<midPointTai: double, band: string, psfFlux: double, flux: double, psfFluxErr: double>"
 _RUBIN = f"alertId string, diaSource struct<diaSourceId: string, midPointTai: double, band: string, psfFlux: double, flux: double, psfFluxErr: double, ra: double, decl: double, reliability: double>, diaSourceHistory array<{_SOURCE}>, diaObject struct<diaObjectId: string, zphot: double, zphotErr: double>"
+ADAPTER_VERSION = "2"
 POINTS = "array<struct<mjd: double, passband: int, flux: double, flux_err: double, detected_bool: int>>"
 
 
@@ -41,7 +42,16 @@ def packets(lines: DataFrame) -> DataFrame:
     name = F.when(F.col("shape") == "ztf", F.coalesce("z.objectId", "z.candid")).when(F.col("shape") == "rubin", F.coalesce("r.diaObject.diaObjectId", "r.alertId"))
     out = p.select("value", "shape", F.when(F.col("shape") == "ztf", F.col("z.candid")).otherwise(F.col("r.alertId")).alias("alert_id"), alert_id(name).alias("object_id"), F.coalesce("z.candidate.drb", "z.candidate.rb", "r.diaSource.reliability").alias("realbogus"), points.alias("points"), "parsed")
     errors = F.array_compact(F.array(F.when(~F.col("parsed"), "not JSON"), F.when(F.col("parsed") & F.col("shape").isNull(), "unknown shape"), F.when(F.col("shape").isNotNull() & (F.size("points") == 0), "no usable points")))
-    return out.withColumn("errors", errors).drop("parsed")
+    provenance = F.create_map(F.lit("survey"), F.coalesce("shape", F.lit("unknown")), F.lit("alert_id"), F.coalesce("alert_id", F.lit("unknown")), F.lit("adapter_version"), F.lit(ADAPTER_VERSION))
+    return out.withColumn("errors", errors).withColumn("provenance", provenance).drop("parsed")
+
+
+def problems(points: Column) -> Column:
+    """What is wrong with a light curve (array of POINTS), field by field; an empty array if nothing is."""
+    some = lambda test, text: F.when(F.exists(points, test), text)
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    found = F.array_compact(F.array(some(lambda x: F.coalesce(x["flux_err"] <= 0, F.lit(True)), "non-positive flux_err"), some(lambda x: odd(x["flux"]), "non-finite flux"), some(lambda x: odd(x["mjd"]), "non-finite mjd"), some(lambda x: ~F.coalesce(x["passband"].between(0, 5), F.lit(False)), "passband outside 0..5")))
+    return F.when(F.coalesce(F.size(points), F.lit(0)) <= 0, F.array(F.lit("empty light curve"))).otherwise(found)
 
 
 def _struct() -> str:
@@ -49,7 +59,12 @@ def _struct() -> str:
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    return packets(spark.read.text(path))
+    """Packets of JSON lines (blank ones are skipped), or of .json files that hold one packet or a list of them."""
+    if not path.endswith(".json"):
+        return packets(spark.read.text(path).filter(F.trim("value") != ""))
+    whole = spark.read.text(path, wholetext=True)
+    items = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
+    return packets(whole.select(F.explode(F.when(F.ltrim("value").startswith("["), items).otherwise(F.array("value"))).alias("value")))
 
 
 def to_photometry(good: DataFrame) -> DataFrame:
@@ -57,6 +72,12 @@ def to_photometry(good: DataFrame) -> DataFrame:
     return good.filter(F.size("errors") == 0).select("object_id", F.inline("points"))
 
 
+def failures(p: DataFrame, n: int = 20) -> DataFrame:
+    """A sample of the packets that failed: alert_id, survey and the first error."""
+    bad = p.filter(F.size("errors") > 0)
+    return bad.select(F.coalesce("alert_id", F.lit("unknown")).alias("alert_id"), F.coalesce("shape", F.lit("unknown")).alias("survey"), F.col("errors")[0].alias("error")).orderBy("alert_id", "error").limit(n)
+
+
 def replay_report(p: DataFrame) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("errors") == 0).alias("ok"), F.count_if(F.size("errors") > 0).alias("failed"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.operators import ordered
+from tarnfield.operators.features import aligned
 from tarnfield.schema import METADATA, PHOTOMETRY, finite
 
 
@@ -50,6 +51,37 @@ def light_curve(spark: SparkSession, path: str, object_id: int) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("object_id") == object_id).orderBy("mjd")
 
 
+def light_curves(spark: SparkSession, path: str, ids: list[int] | None = None) -> DataFrame:
+    """The observations of the named objects (of all, if none are named); an unknown id raises KeyError."""
+    rows = spark.read.parquet(path)
+    if ids is None:
+        return rows
+    rows = rows.filter(F.col("object_id").isin(*ids))
+    missing = set(ids) - {r[0] for r in rows.select("object_id").distinct().collect()}  # as many as were asked for
+    if missing:
+        raise KeyError(f"unknown objects: {sorted(missing)}")
+    return rows
+
+
+def known_ids(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("object_id").distinct()
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """One row: files and bytes below a path, and rows, of a Parquet table or of CSV text without its header lines."""
+    kind = "parquet" if path.rstrip("/").endswith(".parquet") or not path.endswith((".csv", ".csv.gz")) else "csv"
+    rows = spark.read.option("header", True).format(kind).load(path)
+    files = rows.select("_metadata.file_path", "_metadata.file_size")
+    return files.groupBy("file_path", "file_size").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"), F.sum("n").alias("rows"))
+
+
+def read_features(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """Stored features as doubles; with ``names`` exactly these, missing ones 0."""
+    rows = spark.read.parquet(path)
+    rows = rows.select(*(F.col(c).cast("double").alias(c) if t == "float" else F.col(c) for c, t in rows.dtypes))
+    return rows if names is None else aligned(rows, ["object_id", *names])
+
+
 def write_features(features: DataFrame, out: str) -> None:
     """Doubles as floats."""
     features.select(*(F.col(c).cast("float").alias(c) if t == "double" else F.col(c) for c, t in features.dtypes)).write.mode("overwrite").parquet(out)

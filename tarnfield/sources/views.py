@@ -33,14 +33,14 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.element_at(F.array(*map(F.lit, CODES)), (k % len(CODES)).cast("int") + 1)
     return o.select(
         "object_id", ((k * 7919) % 3600 / 10.0).alias("ra"), ((k * 104729) % 1700 / 10.0 - 85.0).alias("decl"), F.when(k % 5 != 0, z).alias("hostgal_specz"),
-        z.alias("hostgal_photoz"), (0.01 + (k % 17) / 100.0).alias("hostgal_photoz_err"), F.when(k % 3 == 0, 35.0 + z).otherwise(0.0).alias("distmod"), ((k % 11) / 20.0).alias("mwebv"), code.alias("code"),
+        z.alias("hostgal_photoz"), (0.01 + (k % 17) / 100.0).alias("hostgal_photoz_err"), F.when(k % 3 == 0, 35.0 + z).otherwise(0.0).alias("distmod"), ((k % 11) / 20.0).alias("mwebv"), (k % 4 == 0).cast("tinyint").alias("ddf_bool"), code.alias("code"),
     )
 
 
 METADATA_SQL = f"""meta AS (SELECT object_id, ((object_id * 7919) % 3600)::DOUBLE / 10 AS ra, ((object_id * 104729) % 1700)::DOUBLE / 10 - 85.0::DOUBLE AS decl,
   CASE WHEN object_id % 5 <> 0 THEN (object_id % 40)::DOUBLE / 25 END AS hostgal_specz, (object_id % 40)::DOUBLE / 25 AS hostgal_photoz,
   0.01::DOUBLE + (object_id % 17)::DOUBLE / 100 AS hostgal_photoz_err, CASE WHEN object_id % 3 = 0 THEN 35.0::DOUBLE + (object_id % 40)::DOUBLE / 25 ELSE 0.0::DOUBLE END AS distmod,
-  (object_id % 11)::DOUBLE / 20 AS mwebv, ({list(CODES)})[object_id % {len(CODES)} + 1] AS code FROM (SELECT DISTINCT user_id AS object_id FROM events))"""
+  (object_id % 11)::DOUBLE / 20 AS mwebv, (object_id % 4 = 0)::TINYINT AS ddf_bool, ({list(CODES)})[object_id % {len(CODES)} + 1] AS code FROM (SELECT DISTINCT user_id AS object_id FROM events))"""
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:

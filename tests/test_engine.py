@@ -3,13 +3,14 @@
 import json
 import math
 
+import light_curves as simulate
 import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import detectors, domain, evidence, features, inject, metrics, models, protocol, quality, ranking
+from tarnfield.operators import detectors, domain, evidence, features, inject, metrics, models, ordered, protocol, quality, ranking
 from tarnfield.plans import search, serve
-from tarnfield.sources import alerts, simulate, tables
+from tarnfield.sources import alerts, tables
 
 OBS = "object_id long, mjd double, passband int, flux double, flux_err double, detected_bool int"
 
@@ -264,30 +265,143 @@ def test_detectors(spark):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 3))
+    x = rng.normal(size=(400, 3)) @ np.array([[1.0, 0.4, 0.0], [0.0, 1.0, 0.2], [0.0, 0.0, 0.5]])
     rows = [(i, *map(float, v)) for i, v in enumerate(x)]
     v = spark.createDataFrame(rows, "object_id long, a double, b double, c double")
-    fitted = detectors.DetectorEnsemble(["a", "b", "c"], sample_rows=300, k=5).fit(v)
+    fitted = detectors.DetectorEnsemble(["a", "b", "c"], components=2).fit(v)
     odd = spark.createDataFrame([(999, 20.0, -20.0, 20.0), (1000, None, None, None)], v.schema)
     got = {r.object_id: r for r in fitted.score(v.unionByName(odd)).collect()}
     assert len(got) == 402 and all(0 <= r.anomaly_score <= 1 for r in got.values())
     assert max(got.values(), key=lambda r: r.anomaly_score).object_id == 999 and got[1000].anomaly_score < 0.5
     alone = one(fitted.score(v.filter("object_id = 7")))  # a row's score does not depend on its batch
-    assert abs(alone.anomaly_score - got[7].anomaly_score) < 1e-9
-    z = fitted.sample
-    brute = np.sort(np.sqrt(((z[:1] - z) ** 2).sum(axis=1)))[:5].mean()
-    assert abs(detectors.neighbour_distance(z[:1], z, 5)[0] - brute) < 1e-6
-    net = detectors.Autoencoder(hidden=(4,), epochs=0).fit(z[:20])
-    slopes, step = net._slopes(z[:20]), 1e-6
-    for k, (i, j) in ((0, (1, 2)), (1, (0, 1)), (1, (4, 0))):  # against differences
-        loss = []
-        for sign in (1, -1):
-            net.layers[k][i, j] += sign * step
-            loss.append(((net._through(z[:20])[1] - z[:20]) ** 2).sum() / 20)
-            net.layers[k][i, j] -= sign * step
-        assert abs((loss[0] - loss[1]) / (2 * step) - slopes[k][i, j]) < 1e-4
+    assert alone == got[7]
+    # by plain matrices
+    centre, width = np.quantile(x, 0.5, axis=0), np.quantile(x, models.SIGMA_HIGH, axis=0) - np.quantile(x, models.SIGMA_LOW, axis=0)
+    z = (x - centre) / width
+    cov = np.cov(z.T)
+    d = z - z.mean(axis=0)
+    far = np.sqrt(np.einsum("ni,ij,nj->n", d, np.linalg.pinv(cov + 1e-6 * np.eye(3)), d))
+    _, axes = np.linalg.eigh(cov)
+    left = np.abs(d @ axes[:, 0])
+    for i in (0, 7, 399):
+        assert abs(got[i].mahalanobis - far[i]) < 1e-6 and abs(got[i].pca_residual - left[i]) < 1e-6
+        rank = np.mean([((m < m[i]).sum() + 0.5) / 400 for m in (far, left)])
+        assert abs(got[i].anomaly_score - rank) < 1e-9
+    packed = v.selectExpr("object_id", "0 AS label", "array(a, b, c) AS x")
+    near = evidence.neighbours(packed, packed, 5)
+    third = fitted.score(v, near, near).filter("object_id = 7").first()
+    brute = np.sort(np.sqrt(((x - x[7]) ** 2).sum(axis=1)))[1:6].mean()
+    assert abs(third.knn_distance - brute) < 1e-6
     with pytest.raises(ValueError):
-        detectors.DetectorEnsemble(["a"]).fit(v.filter("false"))
+        detectors.DetectorEnsemble(["a", "b"]).fit(v.filter("false"))
+
+
+def test_ordered_scans(spark):
+    """Ranks, running totals and quantiles over ranges equal those of one list, with ties, skew and nulls."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    rows = [(i, r.choice("ab"), r.choice([0.0, 1.0, r.gauss(0, 1), r.gauss(0, 1)])) for i in range(3000)]
+    df = spark.createDataFrame([*rows, (5000, "c", 2.0)], "object_id long, g string, v double")
+    got = {x.object_id: x.n for x in ordered.numbered(df, F.col("v"), [F.col("v"), F.col("object_id")], "n").collect()}
+    assert got == {o[0]: k + 1 for k, o in enumerate(sorted([*rows, (5000, "c", 2.0)], key=lambda o: (o[2], o[0])))}
+    ranged = ordered.by_ranges(df, F.col("v"), "g")
+    assert ranged.select("_range").distinct().count() > 200
+    run = ordered.running(ranged, [F.col("v"), F.col("object_id")], {"s": F.col("object_id")}, ["g"], totals=True).collect()
+    for g in "abc":
+        own, total = sorted((x.v, x.object_id, x.s, x.all_s) for x in run if x.g == g), 0
+        for v, i, s, whole in own:
+            total += i
+            assert s == total
+        assert {o[3] for o in own} == {total}
+    q = ordered.quantiles(df.withColumn("w", F.lit(None).cast("double")), ["v", "w"], [0.0, 0.1, 0.5, 0.97, 1.0])
+    assert np.allclose(q["v"], np.quantile([*(o[2] for o in rows), 2.0], [0.0, 0.1, 0.5, 0.97, 1.0])) and "w" not in q
+    assert ordered.quantiles(df.filter("false"), ["v"], [0.5]) == {} and ordered.numbered(df.filter("false"), F.col("v"), [F.col("v")], "n").count() == 0
+
+
+def test_neighbours_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    x[50:60] = x[40]
+    df = spark.createDataFrame([(i, i % 3, list(map(float, v))) for i, v in enumerate(x)], "object_id long, label int, x array<double>")
+    got = {}
+    for r in evidence.neighbours(df.filter("object_id % 7 = 0"), df, 6).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.object_id, r.label)
+    for q in range(0, 300, 7):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = sorted((d[i], i) for i in range(300) if i != q)[:6]
+        assert [got[q][k + 1] for k in range(6)] == [(i, i % 3) for _, i in best]
+
+
+def test_channels_and_blocks(spark):
+    rows = spark.createDataFrame([(1, 0.0, 2.0, [0.5, 0.5]), (2, 4.0, None, [0.1, 0.9])], "object_id long, a double, b double, p array<double>")
+    stats = spark.createDataFrame([(0, "a", 0.0, 1.0), (0, "b", 0.0, 2.0), (1, "a", 4.0, 2.0), (1, "b", 1.0, 0.0)], "label int, feature string, mean double, sd double")
+    got = {r.object_id: r for r in evidence.physics_channels(rows, stats, ["a", "b"]).collect()}
+    assert (got[1].physics_gap, got[1].nearest_class, got[1].cc_weighted) == (0.5, 0, 0.5 * 0.5 + 0.5 * 2.0)
+    assert (got[2].physics_gap, got[2].nearest_class) == (0.0, 1) and abs(got[2].cc_weighted - 0.1 * 8.0) < 1e-12
+    assert [r.mapped for r in evidence.rank01(spark.createDataFrame([(1, 5.0), (2, None), (3, 7.0)], "object_id long, v double"), "v").orderBy("object_id").collect()] == [0.5, 0.0, 1.0]
+    a = features.aligned(rows, ["b", "z"])
+    assert a.columns == ["b", "z"] and a.first().z == 0.0
+    assert rows.select(features.reliability_of(rows).alias("r")).first().r == 1.0
+    flux = spark.range(1).select(physics.magnitude_error(F.lit(100.0), F.lit(10.0)).alias("e"), physics.luminosity_proxy(F.lit(1.0), F.lit(40.0)).alias("l"), physics.feature_reliability(F.lit(None).cast("double"), F.lit(1.0)).alias("r")).first()
+    assert abs(flux.e - 0.108574) < 1e-5 and flux.l == -12.5 and abs(flux.r - 0.135335) < 1e-5
+
+
+def test_packets_of_json_files_and_problems(spark, tmp_path):
+    packet = '{"candid": 1, "objectId": "x", "candidate": {"jd": 2460000.5, "fid": 1, "flux": 5.0, "fluxerr": 1.0, "isdiffpos": "t"}}'
+    (tmp_path / "many.json").write_text("[" + packet + ", " + packet.replace('"x"', '"y"') + "]")
+    (tmp_path / "one.json").write_text(packet)
+    (tmp_path / "lines.jsonl").write_text(packet + "\n\n{not json\n")
+    assert alerts.read_packets(spark, str(tmp_path / "many.json")).filter("size(errors) = 0").count() == 2
+    only = alerts.read_packets(spark, str(tmp_path / "one.json")).collect()
+    assert len(only) == 1 and only[0].provenance["survey"] == "ztf" and only[0].provenance["alert_id"] == "1"
+    lines = alerts.read_packets(spark, str(tmp_path / "lines.jsonl"))
+    assert one(alerts.replay_report(lines)) == (2, 1, 1) and one(alerts.failures(lines)).error == "not JSON"
+    point = "array(named_struct('mjd', {m}, 'passband', {b}, 'flux', {f}, 'flux_err', {e}))"
+    for values, text in ((dict(m=1.0, b=9, f=1.0, e=1.0), "passband outside 0..5"), (dict(m=1.0, b=1, f="double('NaN')", e=1.0), "non-finite flux"), (dict(m=1.0, b=1, f=1.0, e=0.0), "non-positive flux_err"), (dict(m="double('Infinity')", b=1, f=1.0, e=1.0), "non-finite mjd")):
+        df = spark.range(1).selectExpr(point.format(**values) + " AS points")
+        assert df.select(alerts.problems(F.col("points")).alias("p")).first().p == [text]
+
+
+def test_serving_and_stores(spark, tmp_path):
+    obs = spark.createDataFrame([(1, 2.0, 0, 5.0, 1.0, 1), (1, 1.0, 1, 6.0, 1.0, 0), (2, 3.0, 0, 7.0, 1.0, 1)], "object_id int, mjd double, passband int, flux double, flux_err double, detected_bool int")
+    curve = one(serve.light_curve(obs, 1))
+    assert (curve.n_points, curve.n_detections, curve.mjd_range) == (2, 1, [1.0, 2.0]) and curve.points[0].mjd == 1.0
+    path = str(tmp_path / "curves")
+    tables.write_light_curves(obs, path)
+    assert tables.light_curves(spark, path, [2]).count() == 1 and tables.known_ids(spark, path).count() == 2
+    with pytest.raises(KeyError):
+        tables.light_curves(spark, path, [2, 9])
+    kept = one(tables.stored(spark, path))
+    assert kept.rows == 3 and kept.bytes > 0
+    feats = spark.createDataFrame([(1, 0.5, 2.0)], "object_id long, a double, b double")
+    tables.write_features(feats, str(tmp_path / "f"))
+    assert one(tables.read_features(spark, str(tmp_path / "f"), ["b", "z"])) == (1, 2.0, 0.0)
+    with pytest.raises(LookupError):
+        serve.evaluation(None)
+    state = one(serve.health(spark, feats, None, obs))
+    assert (state.status, state.candidates, state.metrics, state.light_curves) == ("ok", 1, False, True)
+    protocol.write_manifest("{}", str(tmp_path / "m.json"))
+    with pytest.raises(FileExistsError):
+        protocol.write_manifest("{}", str(tmp_path / "m.json"))
+    doc = serve.documents(spark.createDataFrame([(1, float("nan"))], "object_id long, v double")).first().document
+    assert "NaN" not in doc
+    ref = spark.createDataFrame([(float(i),) for i in range(300)], "a double")
+    assert one(domain.ShiftMonitor(["a"]).fit(ref).health(ref)).status == "matched"
+    assert one(domain.ShiftMonitor(["a"]).fit(ref).health(ref.selectExpr("a + 1000 AS a"))).status == "abstain"
+
+
+def test_report_is_one_document(spark):
+    import json
+
+    rows = [(i, (i * 37 % 101) / 101, i % 5 == 0, "ab"[i % 2], 0.9, 0.1, i % 7 == 0, "high" if i % 3 else "routine", (i % 11) / 11) for i in range(200)]
+    df = spark.createDataFrame([(i, s, int(y), g, q, u, a, t, c) for i, s, y, g, q, u, a, t, c in rows], "object_id long, score double, y int, grp string, quality double, uncertainty double, abstain boolean, tier string, gap double")
+    doc = json.loads(serve.report(df, "test", ["gap"]).first().document)
+    assert doc["metrics"][0]["n_objects"] == 200 and {t["tier"] for t in doc["tiers"]} == {"high", "routine"} and doc["channels"][0]["channel"] == "gap"
 
 
 def test_gated_prior(spark):
