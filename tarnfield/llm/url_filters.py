@@ -6,12 +6,15 @@ carry between words, keep the bits whose glob position accepts the byte, and let
 wildcard positions keep themselves. A batch of URLs is advanced together, so a
 step is a few array operations.
 
-Globs read a canonical URL ``host + path``: ``*`` in a rule's host part matches
-any bytes but ``/``, in its path part any bytes. A rule's path is a prefix.
+Domain rules read host and path as the URL has them. Globs read the canonical form:
+without user name, port and trailing dots, escapes of unreserved characters decoded,
+dot segments resolved. ``*`` in a glob's host part matches any bytes but ``/``, in its
+path part any bytes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,24 +48,30 @@ DOMAIN_RULES = (
     domain_rule("allow", "com", "/fr/"),
     domain_rule("block", "com", "/de/"),
 )
-#: What is blocked where no domain rule fits: adult and gambling hosts, and pages without prose.
-GLOB_RULES = tuple(
-    Rule(f"{h}{p}", "block", ((h, p),), fixed=False)
-    for h, p in (
-        ("*casino*", "*"),
-        ("*porn*", "*"),
-        ("*xxx*", "*"),
-        ("*betting*", "*"),
-        ("ads.*", "*"),
-        ("*.ads.*", "*"),
-        ("*", "/login*"),
-        ("*", "/cart*"),
-        ("*", "*/wp-admin/*"),
-        ("*", "*.jpg"),
-        ("*", "*.png"),
-        ("*", "*.zip"),
-    )
+# Words of adult and gambling hosts, prefixes of advertising hosts, first
+# path segments and inner ones of pages without prose, and endings of files that are none.
+HOST_WORDS = ("casino", "porn", "xxx", "betting", "poker", "jackpot", "escort", "hentai", "sexcam", "sexchat", "adultchat", "nudes", "camgirl", "onlyslots", "roulette", "bookmaker")
+AD_HOSTS = ("ads", "ad", "adserver", "adservice", "banner", "banners", "tracking", "tracker", "pixel", "beacon", "doubleclick")
+FIRST_SEGMENTS = ("login", "logout", "signin", "signup", "register", "cart", "checkout", "basket", "wishlist", "cgi-bin", "xmlrpc.php")
+INNER_SEGMENTS = ("wp-admin", "wp-login.php", "wp-json", "oauth", "phpmyadmin", "ajax")
+ENDINGS = ("jpg", "jpeg", "png", "gif", "bmp", "ico", "svg", "webp", "tiff", "zip", "gz", "bz2", "xz", "7z", "rar", "tar", "tgz", "iso", "dmg", "exe", "msi", "apk", "deb", "rpm", "jar", "bin", "dll", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "ogg", "webm", "woff", "woff2", "ttf", "css", "js")
+
+
+def glob_rule(host: str, path: str, verdict: str = "block") -> Rule:
+    return Rule(f"{host}{path}", verdict, ((host, path),), fixed=False)
+
+
+#: What is blocked where no domain rule fits, in order.
+GLOB_RULES = (
+    *(glob_rule(f"*{w}*", "*") for w in HOST_WORDS),
+    *(glob_rule(h, "*") for w in AD_HOSTS for h in (f"{w}.*", f"*.{w}.*")),
+    *(glob_rule("*", p) for w in FIRST_SEGMENTS for p in (f"/{w}", f"/{w}/*")),
+    *(glob_rule("*", p) for w in INNER_SEGMENTS for p in (f"*/{w}", f"*/{w}/*")),
+    *(glob_rule("*", f"*.{w}") for w in ENDINGS),
 )
+#: Characters whose escapes mean nothing else.
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+_ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})")
 DEFAULT_VERDICT = "allow"
 
 
@@ -135,22 +144,56 @@ def split_url(raw: bytes | None) -> tuple[bytes, bytes]:
     return host.translate(ASCII_LOWER), slash + path
 
 
+def rules_of(table: DataFrame) -> tuple[Rule, ...]:
+    """Glob rules of a table (host, path, verdict), by host and path: the rules are a
+    parameter that every executor holds, so the table must be one that fits there."""
+    rows = table.select("host", "path", "verdict").orderBy("host", "path", "verdict").collect()
+    return tuple(glob_rule(r["host"], r["path"], r["verdict"]) for r in rows)
+
+
+def canonical(host: bytes, path: bytes) -> bytes:
+    """Host without user name, port and trailing dots, and the path with plain escapes
+    decoded and dot segments resolved."""
+    host = host.rpartition(b"@")[2]
+    name, colon, port = host.rpartition(b":")
+    if colon and not port.strip(b"0123456789"):
+        host = name
+    host = host.rstrip(b".")
+    if b"%" in path:
+        path = _ESCAPE.sub(lambda m: bytes([int(m[1], 16)]) if chr(int(m[1], 16)) in UNRESERVED else m[0], path)
+    if b"/." in path:
+        out: list[bytes] = []
+        segments = path.split(b"/")[1:]
+        for x in segments:
+            if x == b"..":
+                del out[-1:]
+            elif x != b".":
+                out.append(x)
+        path = b"".join(b"/" + x for x in out) + (b"/" if segments[-1] in (b".", b"..") else b"")
+    return host + path
+
+
 def judge(urls: list[bytes | None], rules: tuple[Rule, ...], automaton: WildcardAutomaton) -> list[tuple]:
     """(host, path, rule, verdict, glob rule) of each url. The longest fixed rule
-    that fits wins (of equal lengths the first listed), then the first glob rule."""
+    that fits wins (of equal lengths the first listed), then the first glob rule.
+    One automaton serves both; globs see the canonical form, fixed rules the plain one."""
     owner = [k for k, r in enumerate(rules) for _ in r.globs]
     rank = sorted(range(len(rules)), key=lambda k: (not rules[k].fixed, -len(rules[k].name) if rules[k].fixed else 0, k))
     parts = [split_url(u) for u in urls]
-    distinct = list(dict.fromkeys(h + p for h, p in parts))
-    hits = automaton.match(distinct)
+    distinct = list(dict.fromkeys(parts))
+    plain = [h + p for h, p in distinct]
+    clean = [canonical(h, p) for h, p in distinct]
+    forms = list(dict.fromkeys([*plain, *clean]))
+    hits, at = automaton.match(forms), {f: k for k, f in enumerate(forms)}
+    own, other = hits[[at[f] for f in plain]], hits[[at[f] for f in clean]]
     fits = np.zeros((len(distinct), len(rules) + 1), bool)
     for g, k in enumerate(owner):
-        fits[:, k] |= hits[:, g]
+        fits[:, k] |= own[:, g] if rules[k].fixed else other[:, g]
     fits[:, -1] = True
     winner = dict(zip(distinct, np.array([*rank, len(rules)])[np.argmax(fits[:, [*rank, len(rules)]], axis=1)].tolist()))
     out = []
     for host, path in parts:
-        k = winner[host + path]
+        k = winner[host, path]
         rule = rules[k] if k < len(rules) else None
         fixed = rule is not None and rule.fixed
         out.append((host, path, rule.name if fixed else None, rule.verdict if rule else DEFAULT_VERDICT, rule.name if rule and not fixed else None))
@@ -160,10 +203,12 @@ def judge(urls: list[bytes | None], rules: tuple[Rule, ...], automaton: Wildcard
 def filter_urls(pages: DataFrame, domain_rules: tuple[Rule, ...] = DOMAIN_RULES, glob_rules: tuple[Rule, ...] = GLOB_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, glob_rule.
 
-    ``rule`` is the domain rule that decided, ``glob`` the glob rule that did
+    ``rule`` is the domain rule that decided, ``glob_rule`` the glob rule that did
     where no domain rule fits; with neither the verdict is DEFAULT_VERDICT. Null
     urls and urls without ``://`` have empty host and path and fit no domain rule.
-    Repeated rows are judged each; only the url column is read; no shuffle.
+    Repeated rows are judged each; an empty table gives an empty result; only the url
+    column is read, whatever the names of others; no shuffle. A very long url costs a
+    step for each of its bytes.
     """
     rules = (*domain_rules, *glob_rules)
 
@@ -191,10 +236,11 @@ def oracle_sql() -> str:
     base = sorted(DOMAIN_RULES, key=lambda r: -len(r.name))
     # an empty host and path can meet only globs that are all stars
     globs = []
+    decoded = "list_reduce(list_prepend(path, [" + ", ".join(f"'{x}'" for x in dict.fromkeys(f for c in UNRESERVED for f in (f"%{ord(c):02X}", f"%{ord(c):02x}"))) + "]), lambda a, x: replace(a, x, chr(('0x' || substr(x, 2))::INT)))"
     for r in GLOB_RULES:
         h, p = r.globs[0]
         pattern = "".join("[^/]*" if c == "*" else c.replace(".", "[.]") for c in h) + "".join("(.|\\n)*" if c == "*" else c.replace(".", "[.]") for c in p)
-        globs.append(f"WHEN regexp_full_match(host || path, '{pattern}') THEN '{r.name}'")
+        globs.append(f"WHEN regexp_full_match(clean, '{pattern}') THEN '{r.name}'")
     rule = "CASE " + " ".join(f"WHEN {_fits_sql(r)} THEN '{r.name}'" for r in base) + " END"
     verdict = "CASE " + " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in base) + f" WHEN glob_rule IS NOT NULL THEN 'block' ELSE '{DEFAULT_VERDICT}' END"
     return f"""
@@ -203,5 +249,9 @@ cut AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS raw_host FROM rest),
 parts AS (SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   CASE WHEN substr(r, length(raw_host) + 1, 1) = '/' THEN regexp_extract(substr(r, length(raw_host) + 1), '^[^?#]*') ELSE '' END AS path FROM cut),
 ruled AS (SELECT page_id, host, path, {rule} AS rule FROM parts),
-globbed AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {' '.join(globs)} END END AS glob_rule FROM ruled)
+plain AS (SELECT *, {decoded} AS p, regexp_replace(regexp_replace(regexp_replace(host, '^(.|\\n)*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS h FROM ruled),
+segments AS (SELECT *, str_split(p, '/')[2:] AS s FROM plain),
+resolved AS (SELECT *, h || CASE WHEN contains(p, '/.') THEN list_reduce(list_prepend('', s), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END)
+  || CASE WHEN s[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE p END AS clean FROM segments),
+globbed AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {' '.join(globs)} END END AS glob_rule FROM resolved)
 SELECT page_id, host, path, rule, {verdict} AS verdict, glob_rule FROM globbed"""

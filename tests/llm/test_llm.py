@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import posixpath
 import random
 import re
 from collections import defaultdict
@@ -359,6 +360,8 @@ def test_urls_against_plain_matching(spark):
 
     hosts = ["a.org", "example.org", "x.example.org", "EXAMPLE.com", "mycasino.net", "ads.site.io", "org", "", "notorg"]
     paths = ["", "/", "/es/", "/es/1?x=/en/1", "/en/1", "/en/12#top", "/fr/a", "/de/", "/login", "/a/b.jpg", "/a/wp-admin/c", "/é" * 40]
+    hosts += ["user@mycasino.net:8080", "ads.site.io.", "plain.net:80"]
+    paths += ["/%6cogin/x", "/a/../login", "/a/./b.jp%67", "/x/..", "/%2flogin", "/img/photo.jpg.html"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme/de/", "://", "ftp://a.org/x?http://example.org/es/", "http://a.com?x", "x" * 3000 + "://a.org/" + "y" * 3000]
     got = url_filters.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
     rules = [("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("org", "/", "allow")]
@@ -372,10 +375,29 @@ def test_urls_against_plain_matching(spark):
         if hit:
             assert (r.rule, r.verdict) == (hit[0] + hit[1], hit[2])
         else:
-            glob = next((g for g in url_filters.GLOB_RULES if fnmatch.fnmatchcase(host, g.globs[0][0]) and fnmatch.fnmatchcase(path, g.globs[0][1])), None)
+            bare = re.sub(r"[.]+$", "", re.sub(r":[0-9]*$", "", host.split("@")[-1]))
+            plain = re.sub(r"%([0-9A-Fa-f]{2})", lambda e: chr(int(e[1], 16)) if chr(int(e[1], 16)) in url_filters.UNRESERVED else e[0], path)
+            if "/." in plain:
+                plain = posixpath.normpath(plain).lstrip("/").join(["/", "/" if plain.endswith(("/", "/.", "/..")) else ""]).replace("//", "/")
+            glob = next((g for g in url_filters.GLOB_RULES if fnmatch.fnmatchcase(bare, g.globs[0][0]) and fnmatch.fnmatchcase(plain, g.globs[0][1])), None)
             assert (r.rule, r.verdict, r.glob_rule) == (None, "block" if glob else "allow", glob and glob.name)
 
 
+def test_urls_of_empty_repeated_and_clashing_tables(spark):
+    rows = [(1, "http://a.org/x", "h"), (1, "http://a.org/x", "h"), (2, "http://b.net/l.png", "h")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string").selectExpr("*", "host AS verdict", "host AS glob_rule")
+    got = sorted((r.page_id, r.host, r.verdict, r.glob_rule) for r in url_filters.filter_urls(df).collect())
+    assert got == [(1, "a.org", "allow", None)] * 2 + [(2, "b.net", "block", "**.png")]
+    assert url_filters.filter_urls(df.filter("false")).count() == 0
+
+
+def test_thousands_of_globs_from_a_table(spark):
+    rules = spark.range(3000).selectExpr("concat('*.host', id, '.net') AS host", "'/p*' AS path", "'block' AS verdict")
+    df = spark.createDataFrame([(1, "http://a.host77.net/page"), (2, "http://a.host77.net/q"), (3, "http://host5.net/p")], "page_id long, url string")
+    got = {r.page_id: r.glob_rule for r in url_filters.filter_urls(df, glob_rules=url_filters.rules_of(rules)).collect()}
+    assert got == {1: "*.host77.net/p*", 2: None, 3: None}
+
+
 # ---- top-k
 
 
