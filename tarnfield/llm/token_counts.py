@@ -20,8 +20,22 @@ from tarnfield.llm.text import as_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPACE_MARK = b" "
-#: Distinct words whose counts one worker remembers before it starts afresh.
-MEMO_WORDS = 400_000
+#: Bytes of distinct words whose counts one worker remembers before it starts afresh,
+#: and what a word takes besides its own bytes. Longer words are counted each time.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 1 << 26, 120, 256
+
+
+class Memo(dict):
+    """Counts of words, with the bytes that they take."""
+
+    held = 0
+
+    def learn(self, word: bytes, count: int) -> None:
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        self[word] = count
+        self.held += len(word) + ENTRY_BYTES
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -124,31 +138,35 @@ class LongestMatch:
         return tokens
 
 
-_automata: dict[str, tuple[LongestMatch, dict[bytes, int]]] = {}
+_automata: dict[str, tuple[LongestMatch, Memo]] = {}
 
 
-def _automaton(path: str) -> tuple[LongestMatch, dict[bytes, int]]:
+def _automaton(path: str) -> tuple[LongestMatch, Memo]:
     if path not in _automata:
-        _automata[path] = (LongestMatch(load_vocabulary(path)), {})
+        _automata[path] = (LongestMatch(load_vocabulary(path)), Memo())
     return _automata[path]
 
 
-def count_tokens(raw: bytes | None, automaton: LongestMatch, memo: dict[bytes, int]) -> tuple[int, int]:
+def count_tokens(raw: bytes | None, automaton: LongestMatch, memo: Memo) -> tuple[int, int]:
     """Words and tokens of a text; a word is looked up once per worker."""
     words = (raw or b"").split()
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for word in set(words):
-        if word not in memo:
-            memo[word] = automaton.count(SPACE_MARK + word)
-    return len(words), sum(map(memo.__getitem__, words))
+    tokens = 0
+    for word in words:
+        n = memo.get(word)
+        if n is None:
+            n = automaton.count(SPACE_MARK + word)
+            if len(word) <= LONGEST:
+                memo.learn(word, n)
+        tokens += n
+    return len(words), tokens
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_tokens``.
 
     No shuffle. A null or empty text has 0 words and 0 tokens; repeated rows are
-    counted each; other columns are ignored, whatever their names. ``vocabulary``
+    counted each; other columns are ignored, whatever their names; a very long text or
+    word costs its length, and is not remembered. ``vocabulary``
     is a path that every executor can open (an installed file).
     """
 

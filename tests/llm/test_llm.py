@@ -84,6 +84,17 @@ def test_token_counts(frame, odd, empty, clashing):
     assert token_counts.token_counts(clashing).count() == len(odd)
 
 
+def test_token_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO_BYTES", 1 << 14)
+    r, memo = random.Random(3), token_counts.Memo()
+    auto = token_counts.LongestMatch({bytes([b]) for b in range(256)} | {b"ab", b"abc"})
+    for _ in range(60):
+        words = [bytes(r.choice(b"abc") for _ in range(r.choice([4, 200, 5000]))) for _ in range(20)]
+        n, tokens = token_counts.count_tokens(b" ".join(words), auto, memo)
+        assert (n, tokens) == (20, sum(auto.count(b" " + w) for w in words))
+        assert sum(map(len, memo)) <= (1 << 14) + 200 and max(map(len, memo)) <= 200
+
+
 # ---- quality rules
 
 
@@ -734,3 +745,20 @@ def test_pipeline_runs_all_stages(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, clashing):
+    """Nulls in every column, repeated rows, long texts and clashing columns through all stages; then no rows."""
+    import corpus_pipeline
+
+    clashing.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert out.columns[:-1] == clashing.columns and out.columns[-1] == "_piece_ids"
+    rows = out.collect()
+    codec = sentencepiece_codec.PieceCodec()
+    assert rows and {r.doc_id for r in rows} <= {4, 5, 6, 7, 8, 11, None}
+    import array as arrays
+
+    assert all(codec.decode(arrays.array("i", r["_piece_ids"])) == r.text.encode() for r in rows)
+    clashing.filter("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
