@@ -150,15 +150,17 @@ def _automaton(path: str) -> tuple[LongestMatch, Memo]:
 def count_tokens(raw: bytes | None, automaton: LongestMatch, memo: Memo) -> tuple[int, int]:
     """Words and tokens of a text; a word is looked up once per worker."""
     words = (raw or b"").split()
-    tokens = 0
-    for word in words:
-        n = memo.get(word)
-        if n is None:
-            n = automaton.count(SPACE_MARK + word)
-            if len(word) <= LONGEST:
-                memo.learn(word, n)
-        tokens += n
-    return len(words), tokens
+    counts = list(map(memo.get, words))
+    if None in counts:
+        for k, word in enumerate(words):
+            if counts[k] is None:
+                n = memo.get(word)
+                if n is None:
+                    n = automaton.count(SPACE_MARK + word)
+                    if len(word) <= LONGEST:
+                        memo.learn(word, n)
+                counts[k] = n
+    return len(words), sum(counts)
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
