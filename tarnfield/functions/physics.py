@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -36,10 +37,16 @@ def comoving_grid(omega_m: float = OMEGA_M, h0: float = H0, steps: int = GRID_ST
     return step, out
 
 
+@functools.cache
+def _grid_literal() -> tuple[float, str]:
+    step, grid = comoving_grid()
+    return step, f"array({', '.join(f'{d!r}D' for d in grid)})"
+
+
 def comoving_distance(z: Column) -> Column:
     """Linear interpolation on the grid: a lookup in a literal array, no UDF."""
-    step, grid = comoving_grid()
-    table = F.array(*map(F.lit, grid))
+    step, grid = _grid_literal()
+    table = F.expr(grid)
     z = clip(z, 0.0, Z_MAX)
     at = F.log1p(z) / step
     k = F.least(F.floor(at), F.lit(GRID_STEPS - 1)).cast("int")

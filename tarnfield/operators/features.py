@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.schema import BANDS, clip, safe_div
+from tarnfield.schema import BANDS, METADATA, clip, safe_div
 
 # Names of the statistics.
 #: Columns of band_statistics besides the keys; a row's suffixes are these.
@@ -77,32 +77,59 @@ def wide(bands: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     cols = []
     for k, b in enumerate(BANDS):
         for s in suffixes:
-            x = F.col(f"{k}_{s}" if len(suffixes) > 1 else str(k))
-            cols.append((F.coalesce(x, F.lit(0.0)) if s in SHAPE else x).alias(f"{b}_{s}"))
-    return out.select("object_id", *cols)
+            x = f"`{k}_{s}`" if len(suffixes) > 1 else f"`{k}`"
+            cols.append((f"coalesce({x}, 0D)" if s in SHAPE else x) + f" AS `{b}_{s}`")
+    return out.selectExpr("object_id", *cols)
+
+
+def _overall_inputs() -> dict[str, Column]:
+    c = F.col
+    return {"snr": F.when(c("flux_err") > 0, c("flux") / c("flux_err")), "dflux": F.when(c("detected_bool") == 1, c("flux"))}
+
+
+def _overall() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_obs"), F.sum("detected_bool").alias("n_det"), F.max("flux").alias("flux_max"), F.avg("flux").alias("flux_mean"), F.stddev_samp("flux").alias("flux_std"), F.max("snr").alias("snr_max"), F.percentile("snr", F.lit(0.5)).alias("snr_median"), F.avg("flux_err").alias("err_mean"), F.min("mjd").alias("t_min"), F.max("mjd").alias("t_max"), F.max("dflux").alias("dflux_max")]
+
+
+def _overall_columns() -> list[Column]:
+    c = F.col
+    plain = [c(x) for x in ("n_obs", "n_det", "flux_max", "flux_mean", "flux_std", "snr_max", "snr_median", "err_mean", "t_min", "t_max", "dflux_max")]
+    span = c("t_max") - c("t_min")
+    more = {"t_span": span, "det_frac": safe_div(c("n_det"), c("n_obs")), "peak_mag": physics.masked_magnitude(c("flux_max"), c("snr_max")), "det_peak_mag": physics.masked_magnitude(c("dflux_max"), c("snr_max")), "variability": safe_div(c("flux_std"), F.abs(c("flux_mean"))), "points_per_day": c("n_obs") / F.greatest(span, F.lit(0.5))}
+    names = ("n_obs", "n_det", "flux_max", "flux_mean", "flux_std", "snr_max", "snr_median", "err_mean", "t_min", "t_max", "dflux_max", *more)
+    return [x.alias(f"lc_{n}") for n, x in zip(names, (*plain, *more.values()))]
 
 
 def global_features(obs: DataFrame) -> DataFrame:
     """The features over all bands of an object."""
+    return obs.withColumns(_overall_inputs()).groupBy("object_id").agg(*_overall()).select("object_id", *_overall_columns())
+
+
+def _quality_inputs() -> dict[str, Column]:
     c = F.col
-    obs = obs.withColumns({"snr": F.when(c("flux_err") > 0, c("flux") / c("flux_err")), "dflux": F.when(c("detected_bool") == 1, c("flux"))})
-    a = obs.groupBy("object_id").agg(F.count(F.lit(1)).alias("n_obs"), F.sum("detected_bool").alias("n_det"), F.max("flux").alias("flux_max"), F.avg("flux").alias("flux_mean"), F.stddev_samp("flux").alias("flux_std"), F.max("snr").alias("snr_max"), F.percentile("snr", F.lit(0.5)).alias("snr_median"), F.avg("flux_err").alias("err_mean"), F.min("mjd").alias("t_min"), F.max("mjd").alias("t_max"), F.max("dflux").alias("dflux_max"))
-    a = a.withColumns({"t_span": c("t_max") - c("t_min"), "det_frac": safe_div(c("n_det"), c("n_obs")), "peak_mag": physics.masked_magnitude(c("flux_max"), c("snr_max")), "det_peak_mag": physics.masked_magnitude(c("dflux_max"), c("snr_max")), "variability": safe_div(c("flux_std"), F.abs(c("flux_mean")))})
-    a = a.withColumn("points_per_day", c("n_obs") / F.greatest(c("t_span"), F.lit(0.5)))
-    return a.select("object_id", *(c(x).alias(f"lc_{x}") for x in a.columns if x != "object_id"))
+    det = c("detected_bool") == 1
+    return {"er": F.when(det & (F.abs(c("flux")) > 1e-9), c("flux_err") / F.abs(c("flux"))), "ds": F.when(det & (c("flux_err") > 0), c("flux") / c("flux_err")), "same": F.count(F.lit(1)).over(Window.partitionBy("object_id", "passband", "mjd"))}
 
 
-def quality_features(obs: DataFrame) -> DataFrame:
-    """Data-quality statistics of detections, coverage and duplicates. ``q_obs_b`` counts
-    a band's observations, ``q_det_b`` its detections."""
+def _quality() -> list[Column]:
     c = F.col
     det = c("detected_bool") == 1
-    obs = obs.withColumns({"er": F.when(det & (F.abs(c("flux")) > 1e-9), c("flux_err") / F.abs(c("flux"))), "ds": F.when(det & (c("flux_err") > 0), c("flux") / c("flux_err")), "same": F.count(F.lit(1)).over(Window.partitionBy("object_id", "passband", "mjd"))})
     per_band = [F.count_if(c("passband") == k).alias(f"q_obs_{b}") for k, b in enumerate(BANDS)] + [F.count_if((c("passband") == k) & det).alias(f"q_det_{b}") for k, b in enumerate(BANDS)]
-    a = obs.groupBy("object_id").agg(F.count(F.lit(1)).alias("q_n_obs"), F.sum("detected_bool").alias("q_n_det"), F.count_if(det & (c("flux") < 0)).alias("neg"), F.avg("er").alias("q_err_ratio_mean"), F.percentile("er", F.lit(0.5)).alias("q_err_ratio_median"), F.max("er").alias("q_err_ratio_max"), F.percentile("ds", F.lit(0.5)).alias("q_det_snr_median"), F.min("ds").alias("q_det_snr_min"), F.min("flux_err").alias("q_err_min"), (F.max("mjd") - F.min("mjd")).alias("q_t_span"), F.count_if(c("same") > 1).alias("q_duplicate_epochs"), *per_band)
+    return [F.count(F.lit(1)).alias("q_n_obs"), F.sum("detected_bool").alias("q_n_det"), F.count_if(det & (c("flux") < 0)).alias("neg"), F.avg("er").alias("q_err_ratio_mean"), F.percentile("er", F.lit(0.5)).alias("q_err_ratio_median"), F.max("er").alias("q_err_ratio_max"), F.percentile("ds", F.lit(0.5)).alias("q_det_snr_median"), F.min("ds").alias("q_det_snr_min"), F.min("flux_err").alias("q_err_min"), (F.max("mjd") - F.min("mjd")).alias("q_t_span"), F.count_if(c("same") > 1).alias("q_duplicate_epochs"), *per_band]
+
+
+def _quality_columns() -> list[Column]:
+    c = F.col
     o, d = [c(f"q_obs_{b}") for b in BANDS], [c(f"q_det_{b}") for b in BANDS]
-    a = a.withColumns({"q_neg_flux_frac": c("neg") / F.greatest(c("q_n_det"), F.lit(1)), "q_single_band_frac": safe_div(F.greatest(*o), c("q_n_obs")), "q_dominant_band_det_frac": safe_div(F.greatest(*d), c("q_n_det")), "q_n_bands": sum((x > 0).cast("int") for x in o), "q_n_bands_detected": sum((x > 0).cast("int") for x in d), "q_det_frac": safe_div(c("q_n_det"), c("q_n_obs"))})
-    return a.drop("neg")
+    plain = [c(x) for x in ("q_n_obs", "q_n_det", "q_err_ratio_mean", "q_err_ratio_median", "q_err_ratio_max", "q_det_snr_median", "q_det_snr_min", "q_err_min", "q_t_span", "q_duplicate_epochs")]
+    more = {"q_neg_flux_frac": c("neg") / F.greatest(c("q_n_det"), F.lit(1)), "q_single_band_frac": safe_div(F.greatest(*o), c("q_n_obs")), "q_dominant_band_det_frac": safe_div(F.greatest(*d), c("q_n_det")), "q_n_bands": sum((x > 0).cast("int") for x in o), "q_n_bands_detected": sum((x > 0).cast("int") for x in d), "q_det_frac": safe_div(c("q_n_det"), c("q_n_obs"))}
+    return [*plain, *o, *d, *(x.alias(n) for n, x in more.items())]
+
+
+def quality_features(obs: DataFrame) -> DataFrame:
+    """Data-quality statistics of detections, coverage and duplicates. ``q_obs_b`` counts
+    a band's observations, ``q_det_b`` its detections."""
+    return obs.withColumns(_quality_inputs()).groupBy("object_id").agg(*_quality()).select("object_id", *_quality_columns())
 
 
 def band_peaks(obs: DataFrame) -> DataFrame:
@@ -117,13 +144,17 @@ def band_peaks(obs: DataFrame) -> DataFrame:
 COLOURS, LAGS = ("ug", "gr", "ri", "iz", "zy", "gi", "rz", "ur", "gz"), ("gr", "ri", "ug", "iz")
 
 
-def colour_features(peaks: DataFrame) -> DataFrame:
+def _colours() -> list[Column]:
     mag = {b: physics.magnitude(F.col(f"p_{b}")) for b in BANDS}
     out = [clip(mag[a] - mag[b], -12.0, 12.0).alias(f"col_{a}m{b}") for a, b in COLOURS]
     out += [(F.col(f"t_{a}") - F.col(f"t_{b}")).alias(f"col_dt_{a}m{b}") for a, b in LAGS]
     out.append((1.0 / (0.2 + F.abs(mag["g"] - mag["r"]))).alias("col_temp_proxy"))
     out.append(sum(F.coalesce((F.col(f"p_{b}") > 0).cast("int"), F.lit(0)) for b in BANDS).alias("col_n_bands_positive"))
-    return peaks.select("object_id", *out)
+    return out
+
+
+def colour_features(peaks: DataFrame) -> DataFrame:
+    return peaks.select("object_id", *_colours())
 
 
 def _placed(peaks: DataFrame, meta: DataFrame) -> DataFrame:
@@ -138,39 +169,50 @@ def _brightest() -> Column:
     return F.greatest(*(F.col(f"p_{b}") for b in BANDS))
 
 
-def physics_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
-    """Distances, dust, absolute magnitudes and rest-frame times of every band (32 columns)."""
-    c, j = F.col, _placed(peaks, meta)
+def _physics() -> list[Column]:
+    c = F.col
     dust = {b: physics.extinction(c("ebv"), k) for k, b in enumerate(BANDS)}
     absmag = {b: physics.magnitude(c(f"p_{b}")) - c("dm") - dust[b] for b in BANDS}
     stretch = F.greatest(1.0 + c("z"), F.lit(1.0))
     per_band = [x for b in BANDS for x in (absmag[b].alias(f"phys_absmag_{b}"), dust[b].alias(f"phys_A_{b}"), (c(f"r_{b}") / stretch).alias(f"phys_rf_rise_{b}"), (c(f"d_{b}") / stretch).alias(f"phys_rf_decline_{b}"))]
     own = [c("z").alias("phys_z"), F.coalesce(c("hostgal_photoz_err"), F.lit(0.0)).alias("phys_z_err"), c("dm").alias("phys_distmod"), c("flag").alias("phys_distmod_source"), c("ebv").alias("phys_mwebv")]
     ends = [F.greatest(*absmag.values()).alias("phys_absmag_max"), F.least(*absmag.values()).alias("phys_absmag_min"), physics.luminosity_proxy(_brightest(), c("dm")).alias("phys_peak_luminosity")]
-    return j.select("object_id", *own, *per_band, *ends)
+    return [*own, *per_band, *ends]
 
 
-def host_features(objects: DataFrame, meta: DataFrame) -> DataFrame:
-    """Position and spectroscopic redshift of the host (8 columns); missing values count as 0."""
+def physics_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
+    """Distances, dust, absolute magnitudes and rest-frame times of every band (32 columns)."""
+    return _placed(peaks, meta).select("object_id", *_physics())
+
+
+def _host() -> list[Column]:
     c = F.col
     zero = lambda x: F.coalesce(c(x).cast("double"), F.lit(0.0))
     l, b = physics.galactic(zero("ra"), zero("decl"))
-    j = objects.select("object_id").join(meta, "object_id", "left")
-    return j.select("object_id", zero("ra").alias("host_ra"), zero("decl").alias("host_decl"), l.alias("host_gal_l"), b.alias("host_gal_b"), F.abs(b).alias("host_abs_gal_b"), zero("ddf_bool").alias("host_ddf"), c("hostgal_specz").isNotNull().cast("double").alias("host_has_specz"), zero("hostgal_specz").alias("host_specz"))
+    return [zero("ra").alias("host_ra"), zero("decl").alias("host_decl"), l.alias("host_gal_l"), b.alias("host_gal_b"), F.abs(b).alias("host_abs_gal_b"), zero("ddf_bool").alias("host_ddf"), c("hostgal_specz").isNotNull().cast("double").alias("host_has_specz"), zero("hostgal_specz").alias("host_specz")]
 
 
-def uncertainty_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
-    """What the redshift's error does to the absolute magnitude, over fixed draws (7 columns)."""
-    c, j = F.col, _placed(peaks, meta)
+def host_features(objects: DataFrame, meta: DataFrame) -> DataFrame:
+    """Position and spectroscopic redshift of the host (8 columns); missing values count as 0."""
+    return objects.select("object_id").join(meta, "object_id", "left").select("object_id", *_host())
+
+
+def _drawn(placed: DataFrame) -> DataFrame:
+    """Adds the distance moduli of the redshift's draws (dms), their mean and deviation, and the brightest magnitude."""
+    c = F.col
     draws = physics.redshift_draws(c("z"), F.coalesce(c("hostgal_photoz_err"), F.lit(0.0)))
-    j = j.withColumn("dms", F.array_sort(F.transform(draws, physics.distance_modulus))).withColumn("mag", physics.magnitude(_brightest()))
+    j = placed.withColumn("dms", F.array_sort(F.transform(draws, physics.distance_modulus))).withColumn("mag", physics.magnitude(_brightest()))
     n = float(physics.DRAWS)
 
     def mean(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda a, v: a + v) / n
 
     j = j.withColumn("dm_mean", mean(c("dms")))
-    j = j.withColumn("dm_std", F.sqrt(F.aggregate("dms", F.lit(0.0), lambda a, v: a + (v - c("dm_mean")) * (v - c("dm_mean"))) / n))
+    return j.withColumn("dm_std", F.sqrt(F.aggregate("dms", F.lit(0.0), lambda a, v: a + (v - c("dm_mean")) * (v - c("dm_mean"))) / n))
+
+
+def _uncertainty() -> list[Column]:
+    c = F.col
 
     def quantile(share: float) -> Column:  # of the magnitudes, which fall as the moduli rise
         at = (1 - share) * (physics.DRAWS - 1)
@@ -179,18 +221,31 @@ def uncertainty_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
 
     spread = F.when(c("mag").isNotNull(), c("dm_std"))
     known = physics.reliability(c("z"), c("hostgal_photoz_err"), c("flag"))
-    return j.select("object_id", spread.alias("unc_absmag_std"), quantile(0.16).alias("unc_absmag_q16"), quantile(0.84).alias("unc_absmag_q84"), (c("mag") - c("dm_mean")).alias("unc_absmag_mean"), c("dm_std").alias("unc_distmod_std"), known.alias("unc_z_reliability"), physics.feature_reliability(spread, known).alias("unc_feature_reliability"))
+    return [spread.alias("unc_absmag_std"), quantile(0.16).alias("unc_absmag_q16"), quantile(0.84).alias("unc_absmag_q84"), (c("mag") - c("dm_mean")).alias("unc_absmag_mean"), c("dm_std").alias("unc_distmod_std"), known.alias("unc_z_reliability"), physics.feature_reliability(spread, known).alias("unc_feature_reliability")]
+
+
+def uncertainty_features(peaks: DataFrame, meta: DataFrame) -> DataFrame:
+    """What the redshift's error does to the absolute magnitude, over fixed draws (7 columns)."""
+    return _drawn(_placed(peaks, meta)).select("object_id", *_uncertainty())
+
+
+#: Columns that the blocks read, and where band_peaks' values stand in the wide rows.
+_OBSERVED = ("object_id", "mjd", "passband", "flux", "flux_err", "detected_bool")
+_PEAK_OF = {"p": "flux_max", "t": "t_peak", "r": "rise_time", "d": "decline_time"}
 
 
 def feature_matrix(obs: DataFrame, meta: DataFrame) -> DataFrame:
     """All blocks beside each other, a row for each object. Observations are dealt by
-    object once; every block's windows and aggregates keep that dealing."""
-    obs = obs.repartition("object_id")
-    peaks = band_peaks(obs)
-    out = wide(band_statistics(obs), (*PLAIN, *ORDERED, *DETECTED, *SHAPE, *DERIVED))
-    for block in (global_features(obs), colour_features(peaks), physics_features(peaks, meta), host_features(peaks, meta), uncertainty_features(peaks, meta), quality_features(obs)):
-        out = out.join(block, "object_id")
-    return out
+    object once: both aggregations read every column, so that they share the exchange,
+    and the blocks of peaks and metadata are columns over the wide rows. Metadata has
+    a row for each object."""
+    obs = obs.select(*_OBSERVED).repartition("object_id")
+    bands = wide(band_statistics(obs), (*PLAIN, *ORDERED, *DETECTED, *SHAPE, *DERIVED))
+    peaks = bands.withColumns({f"{x}_{b}": F.col(f"{b}_{s}") for b in BANDS for x, s in _PEAK_OF.items()})
+    meta = meta.select(*(f.name for f in METADATA.fields if f.name in meta.columns))
+    left = _drawn(_placed(peaks, meta)).select(*bands.columns, *_colours(), *_physics(), *_host(), *_uncertainty())
+    whole = obs.withColumns({**_overall_inputs(), **_quality_inputs()}).groupBy("object_id").agg(*_overall(), *_quality())
+    return left.join(whole.select("object_id", *_overall_columns(), *_quality_columns()), "object_id")
 
 
 def aligned(rows: DataFrame, names: list[str]) -> DataFrame:

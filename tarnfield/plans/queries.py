@@ -23,8 +23,15 @@ PLACES = 5
 NUDGE = 3.7e-8
 
 
-def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
-    return df.select(*((F.round(F.col(c) + NUDGE, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c).cast("long").alias(c) if t in ("int", "tinyint", "smallint", "bigint") else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, places: int = PLACES, other: dict[str, int] | None = None) -> DataFrame:
+    """Doubles rounded to ``places`` (``other``: those of single columns), integers as longs."""
+
+    def one(c: str, t: str) -> str:
+        if t in ("double", "float"):
+            return f"round(`{c}` + {NUDGE!r}D, {(other or {}).get(c, places)}) + 0D AS `{c}`"
+        return f"CAST(`{c}` AS BIGINT) AS `{c}`" if t in ("int", "tinyint", "smallint", "bigint") else f"`{c}`"
+
+    return df.selectExpr(*(one(c, t) for c, t in df.dtypes))  # text: hundreds of columns are one call
 
 
 def _draw_sql(seed: str, key: str) -> str:
@@ -222,15 +229,9 @@ def _uncertainty_sql() -> str:
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All blocks of features, one row for each object."""
     out = features.feature_matrix(views.photometry(spark, sf_dir), views.metadata(spark, sf_dir))
-    four = [c for c in out.columns if c.startswith(("phys_", "host_", "unc_"))]
+    four = {c: 4 for c in out.columns if c.startswith(("phys_", "host_", "unc_"))}
     out = out.withColumns({f"{b}_t_centroid": F.round(f"{b}_t_centroid", 3) for b in BANDS})
-    return rounded_by(out, four)
-
-
-def rounded_by(df: DataFrame, four: list[str]) -> DataFrame:
-    """Like rounded, the named columns to four places."""
-    kinds = dict(df.dtypes)
-    return df.select(*((F.round(F.col(c) + NUDGE, 4 if c in four else PLACES) + 0.0).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("long").alias(c) for c in df.columns))
+    return rounded(out, other=four)
 
 
 def _matrix_sql() -> str:
