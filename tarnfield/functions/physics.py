@@ -37,16 +37,16 @@ def comoving_grid(omega_m: float = OMEGA_M, h0: float = H0, steps: int = GRID_ST
     return step, out
 
 
-@functools.cache
-def _grid_literal() -> tuple[float, str]:
-    step, grid = comoving_grid()
-    return step, f"array({', '.join(f'{d!r}D' for d in grid)})"
+_grid = functools.cache(comoving_grid)
 
 
 def comoving_distance(z: Column) -> Column:
-    """Linear interpolation on the grid: a lookup in a literal array, no UDF."""
-    step, grid = _grid_literal()
-    table = F.expr(grid)
+    """Linear interpolation on the grid: a lookup in a constant array, no UDF.
+
+    The array is written as one text, which the optimizer folds: a plan of a thousand
+    literals would be slow to analyse."""
+    step, grid = _grid()
+    table = F.split(F.lit(",".join(map(repr, grid))), ",").cast("array<double>")
     z = clip(z, 0.0, Z_MAX)
     at = F.log1p(z) / step
     k = F.least(F.floor(at), F.lit(GRID_STEPS - 1)).cast("int")
