@@ -4,8 +4,13 @@ Nothing else in the library imports this subpackage.
 """
 
 from tarnfield.llm.license_scans import op8_license_scans
+from tarnfield.llm.merkle_manifest import op12_merkle_manifest
+from tarnfield.llm.merkle_manifest import oracle_sql as _merkle_sql
+from tarnfield.llm.minhash_dedup import op13_minhash_dedup
 from tarnfield.llm.mixing import op7_mixing
 from tarnfield.llm.mixing import oracle_sql as _mixing_sql
+from tarnfield.llm.prefix_trie import op11_prefix_trie
+from tarnfield.llm.prefix_trie import oracle_sql as _trie_sql
 from tarnfield.llm.quality_rules import op2_quality_rules
 from tarnfield.llm.sentencepiece_codec import op9_sentencepiece
 from tarnfield.llm.sharding import op4_sharding
@@ -20,10 +25,10 @@ from tarnfield.llm.url_filters import oracle_sql as _url_sql
 
 
 def queries() -> dict:
-    own = (op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_url_filters, op6_topk_search, op7_mixing, op8_license_scans, op9_sentencepiece, op10_simhash_dedup)
+    own = (op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_url_filters, op6_topk_search, op7_mixing, op8_license_scans, op9_sentencepiece, op10_simhash_dedup, op11_prefix_trie, op12_merkle_manifest, op13_minhash_dedup)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the query; the others are tested against brute force."""
-    return {"op4_sharding": _sharding_sql(), "op5_url_filters": _url_sql(), "op6_topk_search": _topk_sql(), "op7_mixing": _mixing_sql()}
+    return {"op4_sharding": _sharding_sql(), "op5_url_filters": _url_sql(), "op6_topk_search": _topk_sql(), "op7_mixing": _mixing_sql(), "op11_prefix_trie": _trie_sql(), "op12_merkle_manifest": _merkle_sql()}
