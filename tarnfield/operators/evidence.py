@@ -13,9 +13,8 @@ from tarnfield.operators import ordered
 from tarnfield.schema import IS_GALACTIC, KNOWN
 
 
-def centroids(proba: DataFrame) -> DataFrame:
-    """(label, centroid): the mean probability vector of each label; K sums per label."""
-    k = len(KNOWN)
+def centroids(proba: DataFrame, k: int = len(KNOWN)) -> DataFrame:
+    """(label, centroid): the mean probability vector (of k classes) of each label; k sums per label."""
     return proba.groupBy("label").agg(F.array(*(F.avg(F.col("p")[i]) for i in range(k))).alias("centroid"))
 
 
