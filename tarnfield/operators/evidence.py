@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.operators import ordered
+from tarnfield.operators.neighbours import PivotIndex
 from tarnfield.schema import IS_GALACTIC, KNOWN
 
 
@@ -34,50 +33,12 @@ def simplex_channels(proba: DataFrame, cents: DataFrame) -> DataFrame:
     return j.select("object_id", "label", (1 - first["p"]).alias("taxonomy_gap"), entropy.alias("prior_entropy"), (0.5 * F.array_min(l1)).alias("simplex_novelty"), (1 - (first["p"] - second["p"])).alias("novelty_gap"), (-first["c"]).alias("best_fit_code"), first["p"].alias("best_fit_prob"), (-second["c"]).alias("runner_up_code"), second["p"].alias("runner_up_prob"))
 
 
-#: Vectors that a block holds, queries that are compared with a block at once, and
-#: neighbours that are looked at beyond k: the product's last bits may misplace those at the edge.
-BLOCK, ROWS, SPARE = 4096, 256, 8
-
-
 def neighbours(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """Exact Euclidean kNN of a stated query set: query_id, rank, object_id, label, distance.
-
-    Reference and queries are packed into blocks that meet over block numbers; each
-    pair keeps its k nearest, a window the k nearest of all. Own rows are no neighbours."""
-
-    def pack(rows: DataFrame, out: str) -> DataFrame:
-        n = max(1, -(-rows.count() // BLOCK))
-        b = rows.select(F.col("object_id").cast("long").alias("object_id"), F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"), F.transform("x", lambda v: v.cast("double")).alias("x"), F.pmod(F.xxhash64("object_id"), F.lit(n)).alias(out))
-        lists = b.groupBy(out).agg(F.collect_list(F.struct("object_id", "label", "x")).alias("e"))
-        return lists.select(out, F.col("e.object_id").alias(f"ids_{out}"), F.col("e.label").alias(f"labels_{out}"), F.flatten("e.x").alias(f"x_{out}")), n
-
-    q, n_q = pack(queries, "qb")
-    r, n_r = pack(reference, "rb")
-    q = q.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))))
-    pairs = q.join(r, F.col("to") == F.col("rb")).select("ids_qb", "x_qb", "ids_rb", "labels_rb", "x_rb")
-
-    def nearest(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                asked, a, ids, labels, b = (c[at].values.to_numpy(zero_copy_only=False) for c in batch.columns)
-                a, b = a.reshape(len(asked), -1), b.reshape(len(ids), -1)
-                for p in range(0, len(asked), ROWS):
-                    own, mine = a[p : p + ROWS], asked[p : p + ROWS]
-                    # a matrix product finds the k + SPARE nearest, plain differences give their distances
-                    square = (own * own).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * own @ b.T
-                    square[mine[:, None] == ids[None, :]] = np.inf
-                    some = min(k + SPARE, len(ids))
-                    near = np.argpartition(square, some - 1, axis=1)[:, :some]
-                    d = np.sqrt(((b[near] - own[:, None, :]) ** 2).sum(axis=2))
-                    d[np.take_along_axis(square, near, 1) == np.inf] = np.inf
-                    order = np.lexsort((ids[near], d), axis=1)[:, :k]
-                    near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
-                    real = np.isfinite(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, real.sum(axis=1)), pa.int64()), pa.array(ids[near][real], pa.int64()), pa.array(labels[near][real], pa.int32()), pa.array(d[real])], names=["query_id", "object_id", "label", "distance"])
-
-    found = pairs.mapInArrow(nearest, "query_id long, object_id long, label int, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "object_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """Exact Euclidean kNN of a query set: query_id, rank, object_id, label, distance.
+
+    Own rows are no neighbours; vectors that are null, hold null or non-finite components,
+    or differ in size from most of the reference take no part."""
+    return PivotIndex().fit(reference).query(queries, k)
 
 
 def neighbour_channels(near: DataFrame, n_classes: int) -> DataFrame:
