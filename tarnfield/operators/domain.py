@@ -19,9 +19,7 @@ def long_form(rows: DataFrame, covariates: list[str], side: str) -> DataFrame:
 
 def psi(long: DataFrame, bins: int = 10) -> DataFrame:
     """Per covariate, over bins at the reference's quantiles; 0 with fewer than 3 distinct edges."""
-    covariates = [r[0] for r in long.select("covariate").distinct().collect()]  # a few names
-    reference = long.filter("side = 'reference'").select(*(F.when(F.col("covariate") == c, F.col("v")).alias(c) for c in covariates))
-    found = ordered.quantiles(reference, covariates, [i / bins for i in range(bins + 1)])
+    found = ordered.quantiles_of(long.filter("side = 'reference'").select(F.col("covariate").alias("name"), "v"), [i / bins for i in range(bins + 1)])
     edges = long.sparkSession.createDataFrame([(c, list(dict.fromkeys(e))) for c, e in found.items()], "covariate string, edges array<double>")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     j = long.join(edges.withColumn("inner", inner), "covariate").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("v"))))
@@ -35,8 +33,8 @@ def psi(long: DataFrame, bins: int = 10) -> DataFrame:
 
 def ks(long: DataFrame) -> DataFrame:
     """Greatest distance of the two distribution functions per covariate, over distinct values."""
-    c = ordered.by_ranges(long, F.col("v"), "covariate").groupBy("covariate", "_range", "v").agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "target").alias("t"))
-    c = ordered.running(c, [F.col("v")], {"upto_r": F.col("r"), "upto_t": F.col("t")}, ["covariate"], totals=True)
+    c = long.groupBy("covariate", "v").agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "target").alias("t"))
+    c = ordered.running(ordered.by_ranges(c, F.col("v")), [F.col("v")], {"upto_r": F.col("r"), "upto_t": F.col("t")}, ["covariate"], totals=True)
     d = F.abs(F.col("upto_r") / F.col("all_upto_r") - F.col("upto_t") / F.col("all_upto_t"))
     return c.groupBy("covariate").agg(F.max(d).alias("ks"))
 

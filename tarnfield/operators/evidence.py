@@ -105,7 +105,7 @@ def rank01(rows: DataFrame, col: str) -> DataFrame:
     """object_id and ``mapped``: the place in the order of ``col`` from 0 to 1, missing
     values lowest, ties by object_id."""
     value = F.coalesce(F.col(col), F.lit(float("-inf")))
-    placed = ordered.numbered(rows.select("object_id", value.alias("v")), F.col("v"), [F.col("v"), F.col("object_id")], "nth")
+    placed = ordered.numbered(rows.select("object_id", value.alias("v")), F.col("v"), [F.col("v"), F.col("object_id")], "nth", tie=F.col("object_id"))
     n = rows.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("n"))
     return placed.join(F.broadcast(n)).select("object_id", ((F.col("nth") - 1) / F.col("n")).alias("mapped"))
 

@@ -2,39 +2,58 @@
 
 Rows are cut into ranges of their order; the ranges' sums give each range's offset,
 and only then rows are summed within their range. A range is a task's window, the
-ranges' sums (SIDE * SIDE for each group at most) are the only thing that is ordered
-as a whole. Boundaries come from a mergeable quantile sketch and only spread the work:
-the totals are exact wherever they lie.
+ranges' sums are the only thing that is ordered as a whole. Boundaries come from a
+mergeable quantile sketch and only spread the work: the totals are exact wherever
+they lie. A value that several boundaries fall on (a score that most rows have) is
+split further by ranges of the column that breaks its ties.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Boundaries are looked up in two steps of this many.
-SIDE = 32
-_STEPS = [i / (SIDE * SIDE) for i in range(1, SIDE * SIDE)]
+from tarnfield.sources import stages
 
+#: Ranges of values, and ranges of the tie-breaker within a value that is split.
+RANGES, TIE_RANGES = 1024, 64
+#: Ranges of a uniform draw.
+DRAWN = 1024
 
-def by_ranges(rows: DataFrame, value: Column, by: str | None = None) -> DataFrame:
-    """Adds _range, which rises with ``value``; with ``by`` (a column of few values)
-    each of its groups has boundaries of its own.
 
-    The boundaries are read once, so that every use of the result has the same ones."""
-    keys = [by] if by else []
-    found = rows.groupBy(*keys).agg(F.percentile_approx(value, _STEPS, 20_000).alias("b")).collect()  # a row for each group
-    kind = (f"`_by` {rows.schema[by].dataType.simpleString()}, " if by else "") + "_coarse array<double>, _fine array<array<double>>"
-    cut = []
-    for r in found:
-        b = [float(x) for x in r["b"] or []]
-        cut.append((*([r[by]] if by else []), b[SIDE - 1 :: SIDE], [b[k * SIDE : (k + 1) * SIDE - 1] for k in range(SIDE)]))
-    bounds = F.broadcast(rows.sparkSession.createDataFrame(cut, kind))
-    out = rows.join(bounds, F.col(by).eqNullSafe(F.col("_by")), "left") if by else rows.join(bounds, F.lit(True), "left")
-    first = F.size(F.filter("_coarse", lambda b: b <= value))
-    second = F.size(F.filter(F.element_at("_fine", F.col("_first") + 1), lambda b: b <= value))
-    out = out.withColumn("_first", F.coalesce(first, F.lit(0))).withColumn("_range", F.col("_first") * SIDE + F.coalesce(second, F.lit(0)))
-    return out.drop("_coarse", "_fine", "_first", "_by")
+def _bounds(found: list[float] | None) -> list[float]:
+    return sorted({float(b) for b in found or [] if abs(b) != float("inf") and b == b})
+
+
+def _bucket(rows: DataFrame, col: str, bounds: list[float], out: str) -> DataFrame:
+    """The number of boundaries at or below the value, by binary search; null is 0, NaN above all."""
+    if not bounds:
+        return rows.withColumn(out, F.lit(0))
+    inf = float("inf")
+    rows = Bucketizer(splits=[-inf, *bounds, inf], inputCol=col, outputCol=out, handleInvalid="keep").transform(rows)
+    return rows.withColumn(out, F.when(F.col(col).isNull(), 0).when(F.isnan(col), len(bounds)).otherwise(F.col(out)).cast("int"))
+
+
+def by_ranges(rows: DataFrame, value: Column, tie: Column | None = None) -> DataFrame:
+    """``rows``, written, with _range, which rises with ``value`` and, within a value that
+    several boundaries fall on, with the numeric ``tie``.
+
+    Groups share the boundaries: no range of a group is larger than that of all rows."""
+    rows = rows.withColumn("_v", value.cast("double"))
+    rows = stages.written(rows if tie is None else rows.withColumn("_tie", tie.cast("double")))
+    sketch = [F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 20_000).alias("v")]
+    if tie is not None:
+        sketch.append(F.percentile_approx("_tie", [i / TIE_RANGES for i in range(1, TIE_RANGES)], 2_000).alias("tie"))
+    found = rows.agg(*sketch).first()
+    bounds = _bounds(found["v"])
+    out = _bucket(rows, "_v", bounds, "_range")
+    hot = sorted({b for a, b in zip(found["v"] or [], (found["v"] or [])[1:]) if a == b}) if tie is not None else []
+    if hot:
+        out = _bucket(out, "_tie", _bounds(found["tie"]), "_sub")
+        own = F.col("_v").isin(hot)  # such a value is itself a boundary: it stands first in its range
+        out = out.withColumn("_range", F.col("_range") * (TIE_RANGES + 1) + F.when(own, F.col("_sub")).otherwise(TIE_RANGES)).drop("_sub")
+    return out.drop("_v", "_tie")
 
 
 def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] = [], totals: bool = False) -> DataFrame:  # noqa: B006
@@ -56,15 +75,16 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], by: l
     return out.drop("_range", *(f"_k_{c}" for c in (*by, "_range")), *(f"_{x}_{n}" for n in sums for x in "ow"))
 
 
-def numbered(rows: DataFrame, value: Column, order: list[Column], out: str) -> DataFrame:
-    """Adds the row number from 1 in ``order``, which begins with ``value``."""
-    return running(by_ranges(rows, value), order, {out: F.lit(1)})
+def numbered(rows: DataFrame, value: Column, order: list[Column], out: str, by: list[str] = [], tie: Column | None = None) -> DataFrame:  # noqa: B006
+    """Adds the row number from 1 in ``order`` (which begins with ``value``) within ``by``.
+    With ``tie``, the numeric column that ``order`` goes on with, ties are split as well."""
+    return running(by_ranges(rows, value, tie), order, {out: F.lit(1)}, by)
 
 
 def dealt(rows: DataFrame, draw: Column, order: list[Column], by: list[str], out: str) -> DataFrame:
     """Adds the row number from 1 within ``by``, in the order of a uniform ``draw`` from
     0 to 1 and then ``order``: ranges of the draw need no boundaries."""
-    ranged = rows.withColumn("_draw", draw).withColumn("_range", F.floor(F.col("_draw") * SIDE * SIDE).cast("int"))
+    ranged = rows.withColumn("_draw", draw).withColumn("_range", F.floor(F.col("_draw") * DRAWN).cast("int"))
     return running(ranged, [F.col("_draw"), *order], {out: F.lit(1)}, by).drop("_draw")
 
 
@@ -75,11 +95,16 @@ def long_form(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float]]:
-    """Exact linearly interpolated quantiles of columns; those without values are left out.
+    """Exact linearly interpolated quantiles of columns; those without values are left out."""
+    return quantiles_of(long_form(rows, columns), shares)
+
+
+def quantiles_of(long: DataFrame, shares: list[float]) -> dict[str, list[float]]:
+    """The same for long rows (name, v).
 
     Equal values are counted first, and what comes to the driver is the few values
     that the quantiles lie between."""
-    counts = by_ranges(long_form(rows, columns), F.col("v"), "name").groupBy("name", "_range", "v").agg(F.count(F.lit(1)).alias("same"))
+    counts = by_ranges(long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("same")), F.col("v"))
     cum = running(counts, [F.col("v")], {"upto": F.col("same")}, ["name"], totals=True)
     at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), ((F.col("all_upto") - 1) * s).alias("pos")) for k, s in enumerate(shares))))
     cum = cum.select("name", "v", "same", "upto", at.alias("at"))
@@ -88,6 +113,6 @@ def quantiles(rows: DataFrame, columns: list[str], shares: list[float]) -> dict[
     cum = cum.filter((first <= high) & (F.col("upto") > low))
     row = cum.groupBy("name", "at.k").agg(F.min(F.when(F.col("upto") > low, F.col("v"))).alias("low"), F.max(F.when(first <= high, F.col("v"))).alias("high"), F.max(F.col("at.pos") - low).alias("part"))
     out: dict[str, dict[int, float]] = {}
-    for r in row.collect():  # one row for each column and share
+    for r in row.collect():  # one row for each name and share
         out.setdefault(r["name"], {})[r["k"]] = r["low"] + (r["high"] - r["low"]) * r["part"]
-    return {c: [out[c][k] for k in range(len(shares))] for c in columns if c in out}
+    return {c: [own[k] for k in range(len(shares))] for c, own in out.items()}

@@ -69,7 +69,7 @@ def rank(scored: DataFrame, reference_max: float | None = None, uncertainty_cut:
     reason = F.when(F.col("quality") < ABSTAIN_QUALITY, "low data quality").when(F.col("uncertainty") > cut, "high predictive uncertainty").when(F.col("reliability") < ABSTAIN_RELIABILITY, "no reliable distance information")
     s = s.withColumns({"tier": tier, "reason": reason})
     s = s.withColumns({"abstain": F.col("reason").isNotNull(), "abstain_reason": F.when(F.col("reason").isNull(), "").when(F.col("normalised_score") > 0.5, F.concat("reason", F.lit(" (would otherwise rank highly)"))).otherwise(F.col("reason"))})
-    return ordered.numbered(s.drop("reason"), -F.col("score"), [F.desc("score"), F.col("object_id")], "rank")
+    return ordered.numbered(s.drop("reason"), -F.col("score"), [F.desc("score"), F.col("object_id")], "rank", tie=F.col("object_id"))
 
 
 def top(scored: DataFrame, n: int, offset: int = 0) -> DataFrame:
@@ -77,7 +77,27 @@ def top(scored: DataFrame, n: int, offset: int = 0) -> DataFrame:
     return scored.orderBy(F.desc("score"), "object_id").limit(offset + n).offset(offset)
 
 
-def decisions(rows: DataFrame, uncertainty_limit: float = 0.9) -> DataFrame:
-    """Per-row abstention with an absolute uncertainty limit and the domain's status."""
-    reason = F.when(F.col("domain_status") == "abstain", "domain shift").when(F.col("quality") < ABSTAIN_QUALITY, "low data quality").when(F.col("uncertainty") > uncertainty_limit, "high predictive uncertainty").when(F.col("reliability") < ABSTAIN_RELIABILITY, "no reliable distance information")
-    return rows.withColumns({"abstain": reason.isNotNull(), "reason": F.coalesce(reason, F.lit(""))})
+#: What the decisions say.
+LOW_QUALITY, UNCERTAIN, UNPLACED = "low data quality", "high predictive uncertainty", "no reliable distance information"
+FOREIGN, DEGRADED = "reference domain does not represent this stream", "degraded domain match: treat ranking as indicative"
+
+
+def decisions(rows: DataFrame, uncertainty_limit: float = 0.9, enabled: bool = True) -> DataFrame:
+    """Adds confidence, abstain and reason: quality is asked first, then uncertainty (against an
+    absolute limit), reliability and the domain. A degraded domain is a reason to be careful,
+    not to abstain. Not ``enabled``: nothing abstains."""
+    sure = confidence(F.col("quality"), F.col("uncertainty"))
+    why = F.when(F.col("quality") < ABSTAIN_QUALITY, LOW_QUALITY).when(F.col("uncertainty") > uncertainty_limit, UNCERTAIN).when(F.col("reliability") < ABSTAIN_RELIABILITY, UNPLACED).when(F.col("domain_status") == "abstain", FOREIGN)
+    care = F.when(F.col("domain_status") == "degraded", DEGRADED)
+    if not enabled:
+        why, care = F.lit(None).cast("string"), F.lit(None).cast("string")
+    return rows.withColumns({"confidence": sure, "abstain": why.isNotNull(), "reason": F.coalesce(why, care, F.lit(""))})
+
+
+def abstentions(decided: DataFrame) -> DataFrame:
+    """The decisions in one row: n, n_abstained, abstention_rate, mean_confidence_kept, and the
+    number of abstentions for each reason (reasons, a map)."""
+    by_reason = decided.filter("abstain").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
+    n = F.count(F.lit(1))
+    whole = decided.agg(n.alias("n"), F.count_if("abstain").alias("n_abstained"), (F.count_if("abstain") / F.greatest(n, F.lit(1))).alias("abstention_rate"), F.avg(F.when(~F.col("abstain"), F.col("confidence"))).alias("mean_confidence_kept"))
+    return whole.join(by_reason)

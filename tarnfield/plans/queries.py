@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import detectors, domain, evidence, explain, features, inject, metrics, models, ordered, protocol, quality, ranking
+from tarnfield.operators import detectors, domain, evidence, explain, features, inject, metrics, models, ordered, protocol, quality, ranking, resampling
 from tarnfield.plans import search, serve
 from tarnfield.schema import BANDS, IS_GALACTIC, KNOWN, POPULATIONS, taxonomy
-from tarnfield.sources import alerts, views
+from tarnfield.sources import alerts, stages, views
 from tarnfield.sources.views import METADATA_SQL, PHOTOMETRY_SQL, PROBABILITIES_SQL, SCORED_SQL
 
 PLACES = 5
@@ -480,11 +480,13 @@ _summary_sql = f"WITH {_RANK_SQL} SELECT tier, count(*)::BIGINT AS n, count(*) F
 
 
 def abstention_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _evidence(spark, sf_dir).withColumn("domain_status", F.when(F.col("object_id") % 23 == 0, "abstain").otherwise("matched"))
-    return ranking.decisions(e).groupBy("abstain", "reason").agg(F.count(F.lit(1)).alias("n"))
+    e = _evidence(spark, sf_dir).withColumn("domain_status", F.when(F.col("object_id") % 23 == 0, "abstain").when(F.col("object_id") % 5 == 0, "degraded").otherwise("matched"))
+    return rounded(ranking.decisions(e).groupBy("abstain", "reason").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence")))
 
 
-_policy_sql = f"WITH {_EVIDENCE_SQL}, d AS (SELECT CASE WHEN object_id % 23 = 0 THEN 'domain shift' WHEN quality < 0.3 THEN 'low data quality' WHEN uncertainty > 0.9 THEN 'high predictive uncertainty' WHEN reliability < 0.05 THEN 'no reliable distance information' END AS r FROM ev) SELECT r IS NOT NULL AS abstain, coalesce(r, '') AS reason, count(*)::BIGINT AS n FROM d GROUP BY r"
+_policy_sql = f"""WITH {_EVIDENCE_SQL}, d AS (SELECT least(greatest((1 - least(greatest(uncertainty, 0.0), 1.0)) * least(greatest(quality, 0.0), 1.0), 0.0), 1.0) AS confidence, object_id % 23 <> 0 AND object_id % 5 = 0 AS careful,
+  CASE WHEN quality < 0.3 THEN '{ranking.LOW_QUALITY}' WHEN uncertainty > 0.9 THEN '{ranking.UNCERTAIN}' WHEN reliability < 0.05 THEN '{ranking.UNPLACED}' WHEN object_id % 23 = 0 THEN '{ranking.FOREIGN}' END AS r FROM ev)
+SELECT r IS NOT NULL AS abstain, coalesce(r, CASE WHEN careful THEN '{ranking.DEGRADED}' ELSE '' END) AS reason, count(*)::BIGINT AS n, {_r('avg(confidence)', 'mean_confidence')} FROM d GROUP BY ALL"""
 
 # ---- metrics -----------------------------------------------------------------
 
@@ -528,12 +530,22 @@ _TARGETS = (0.05, 0.01, 0.001)
 
 
 def base_rate_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.stress(views.scored(spark, sf_dir), _TARGETS, _KS))
+    """The whole stress table, with the interval of each target's average precision over 100 draws."""
+    return rounded(metrics.stress(views.scored(spark, sf_dir), _TARGETS, _KS, draws=100))
 
 
-_stress_sql = f"""WITH {_TOP_SQL}, h AS (SELECT k, sum(y) AS pos, sum(1 - y) AS neg FROM rk, (SELECT unnest({list(_KS)}) AS k) WHERE rank <= k GROUP BY k),
-w AS (SELECT target, k, h.pos, neg, (base / (1 - base)) * ((1 - target) / target) AS nw FROM h, tot, (SELECT unnest({list(_TARGETS)}::DOUBLE[]) AS target) WHERE target < base)
-SELECT round(target + {NUDGE}, 5) + 0.0 AS target, k::BIGINT AS k, {_r('nw', 'negative_weight')}, {_r('pos / (pos + nw * neg)', 'precision')} FROM w"""
+def _stress_sql() -> str:
+    own = ", ".join(f"{_r(f'sum(y) FILTER (rank <= {k}) / (sum(y) FILTER (rank <= {k}) + any_value(nw) * sum(1 - y) FILTER (rank <= {k}))', f'p_at_{k}')}, {_r(f'sum(y) FILTER (rank <= {k}) / (sum(y) FILTER (rank <= {k}) + any_value(nw) * sum(1 - y) FILTER (rank <= {k})) / t.target', f'lift_at_{k}')}" for k in _KS)
+    recall = ", ".join(_r(f"sum(y) FILTER (rank <= {k}) / sum(y)", f"r_at_{k}") for k in metrics.STRESS_RECALL_K)
+    return f"""WITH {_TOP_SQL}, t AS (SELECT target, (base / (1 - base)) * ((1 - target) / target) AS nw FROM tot, (SELECT unnest({list(_TARGETS)}::DOUBLE[]) AS target) WHERE target < base),
+wr AS (SELECT target, score, y, nw FROM scored, t), {_auc_sql('wr', 'target', 'CASE WHEN y = 0 THEN nw ELSE 1.0::DOUBLE END')},
+{_drawn_sql(100).replace("dr AS", "dr0 AS", 1).replace("FROM dr)", "FROM dr0)")}, wd AS (SELECT target, draw, score, y, w * CASE WHEN y = 0 THEN nw ELSE 1.0::DOUBLE END AS w FROM kept, t),
+db AS (SELECT target, draw, score, sum(w) FILTER (y = 1) AS pos, sum(w) FILTER (y = 0) AS neg FROM wd GROUP BY ALL),
+dc AS (SELECT target, draw, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, sum(coalesce(pos, 0)) OVER v AS tp, sum(coalesce(neg, 0)) OVER v AS fp FROM db WINDOW v AS (PARTITION BY target, draw ORDER BY score DESC)),
+da AS (SELECT target, draw, sum(pos * tp / (tp + fp)) FILTER (pos > 0) / sum(pos) AS ap FROM dc GROUP BY target, draw HAVING sum(pos) > 0 AND sum(neg) > 0),
+ci AS (SELECT target, quantile_cont(ap, 0.025) AS lo, quantile_cont(ap, 0.975) AS hi FROM da GROUP BY target)
+SELECT round(t.target + {NUDGE}, 5) + 0.0 AS target, {_r('any_value(nw)', 'negative_weight')}, {_r('any_value(roc_auc)', 'roc_auc')}, {_r('any_value(average_precision)', 'average_precision')}, {_r('any_value(lo)', 'ap_low')}, {_r('any_value(hi)', 'ap_high')}, {own}, {recall}
+FROM t JOIN auc USING (target) JOIN ci USING (target), rk GROUP BY t.target"""
 
 
 def per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,15 +576,36 @@ _unc_sql = f"WITH {_EVIDENCE_SQL}, cu AS (SELECT unnest([0, 1, 2]) AS nth, unnes
 
 
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.bootstrap(views.scored(spark, sf_dir), 100))
+    own = resampling.draw_metrics(views.scored(spark, sf_dir), 100, ks=())["roc_auc"]
+    return rounded(spark.createDataFrame([resampling.interval(own)], "low double, high double, draws long"))
 
 
-_boot_cdf = []
-for _k in range(8):
-    _boot_cdf.append((_boot_cdf[-1] if _k else 0.0) + math.exp(-1) / math.factorial(_k))
-_boot_sql = f"""WITH {SCORED_SQL}, dr AS (SELECT y, score, draw, {_draw_sql("boot-42", "(object_id || '|' || draw)")} AS u FROM scored, (SELECT unnest(range(100)) AS draw)),
-wt AS (SELECT *, {" + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _boot_cdf)} AS w FROM dr), kept AS (SELECT * FROM wt WHERE w > 0), {_auc_sql('kept', 'draw', 'w::DOUBLE')}
-SELECT {_r('quantile_cont(roc_auc, 0.025)', 'low')}, {_r('quantile_cont(roc_auc, 0.975)', 'high')}, count(roc_auc)::BIGINT AS draws FROM auc"""
+def _drawn_sql(draws: int) -> str:
+    """CTE ``kept``: rows with y, score, draw and the weight w that the draw gives them."""
+    v = f"('0x' || substr(md5('boot-42:' || object_id || '|' || (draw // {resampling.PER_DIGEST})), (1 + 4 * (draw % {resampling.PER_DIGEST}))::BIGINT, 4))::BIGINT"
+    return f"""dr AS (SELECT object_id, y, score, draw, {v} AS v FROM scored, (SELECT unnest(range({draws})) AS draw)),
+kept AS (SELECT * FROM (SELECT *, {" + ".join(f"(v >= {t})::INT" for t in resampling.THRESHOLDS)} AS w FROM dr) WHERE w > 0)"""
+
+
+_boot_sql = f"WITH {SCORED_SQL}, {_drawn_sql(100)}, {_auc_sql('kept', 'draw', 'w::DOUBLE')} SELECT {_r('quantile_cont(roc_auc, 0.025)', 'low')}, {_r('quantile_cont(roc_auc, 0.975)', 'high')}, count(roc_auc)::BIGINT AS draws FROM auc"
+
+
+def metric_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC, average precision and precision at k, each with its interval over a thousand draws."""
+    return rounded(resampling.intervals(views.scored(spark, sf_dir)))
+
+
+def _intervals_sql() -> str:
+    ks = list(resampling.PRECISION_K)
+    return f"""WITH {_TOP_SQL}, {_drawn_sql(1000)}, {_auc_sql('kept', 'draw', 'w::DOUBLE')},
+cw AS (SELECT draw, y, w, sum(w) OVER (PARTITION BY draw ORDER BY score DESC, object_id ROWS UNBOUNDED PRECEDING) - w AS before FROM kept),
+pk AS (SELECT draw, k, sum(y * greatest(least(w, k - before), 0)) / sum(greatest(least(w, k - before), 0)) AS v FROM cw, (SELECT unnest({ks}) AS k) GROUP BY draw, k),
+ok AS (SELECT draw FROM auc WHERE roc_auc IS NOT NULL),
+vs AS (SELECT 'roc_auc' AS metric, roc_auc AS v FROM auc WHERE roc_auc IS NOT NULL UNION ALL SELECT 'average_precision', average_precision FROM auc WHERE roc_auc IS NOT NULL UNION ALL SELECT 'p_at_' || k, v FROM pk JOIN ok USING (draw)),
+b0 AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY score), b1 AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM b0),
+pt AS (SELECT 'roc_auc' AS metric, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS point FROM b1 UNION ALL SELECT 'average_precision', sum(pos * tp / (tp + fp)) FILTER (pos > 0) / sum(pos) FROM b1
+  UNION ALL SELECT 'p_at_' || k, sum(y) / count(*) FROM rk, (SELECT unnest({ks}) AS k) WHERE rank <= k GROUP BY k)
+SELECT metric, {_r('any_value(point)', 'point')}, {_r('quantile_cont(v, 0.025)', 'low')}, {_r('quantile_cont(v, 0.975)', 'high')}, count(*)::BIGINT AS draws, (SELECT least(sum(y), sum(1 - y)) < {resampling.SMALL} FROM scored) AS small_n FROM vs JOIN pt USING (metric) GROUP BY metric"""
 
 
 def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -841,10 +874,10 @@ _leak_sql = f"WITH {_MEMBERS_SQL} SELECT 'select' AS stage, count(*)::BIGINT AS
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protocol.content_hash(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id", "lang", "n_chars"])
+    return protocol.content_hash(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id", "source", "lang", "n_chars", "text"])
 
 
-_hash_sql = "SELECT sum(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(lang, 'null') || '|' || coalesce(n_chars::VARCHAR, 'null')), 1, 12))::BIGINT::HUGEINT)::VARCHAR AS hash, count(*)::BIGINT AS n FROM documents"
+_hash_sql = "SELECT sum(('0x' || substr(md5(" + " || '|' || ".join(f"coalesce({c}::VARCHAR, 'null')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + "), 1, 12))::BIGINT::HUGEINT)::VARCHAR AS hash, count(*)::BIGINT AS n FROM documents"
 
 # ---- artifacts and alerts ----------------------------------------------------
 
@@ -986,8 +1019,7 @@ _records_sql = f"WITH {_RANK_SQL}, {_TAX_SQL} SELECT object_id, rank::BIGINT AS
 def safety_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every corruption of every object, rescored, against the clean observations."""
     scored = _rescored(inject.scenarios(views.photometry(spark, sf_dir)), "scenario")
-    ranged = ordered.by_ranges(scored, -F.col("score"))
-    ranked = ordered.running(ranged, [F.desc("score"), F.col("object_id")], {"rank": F.lit(1)}, ["scenario"])
+    ranked = stages.written(ordered.numbered(scored, -F.col("score"), [F.desc("score"), F.col("object_id")], "rank", ["scenario"], F.col("object_id")))
     return rounded(inject.safety(ranked))
 
 
@@ -1015,7 +1047,7 @@ _ALL = {
     band_features: _band_features_sql, band_matrix: _band_matrix_sql, global_features: _global_sql, quality_features: _quality_features_sql, quality_gate: _quality_gate_sql, colour_features: _colour_sql, physics_features: _physics_sql(), host_features: _host_sql(), uncertainty_features: _uncertainty_sql(), feature_matrix: _matrix_sql(), early_window: _early_sql, part_statistics: _part_sql, population_lookup: _lookup_sql,
     simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, family_misfit: _misfit_sql, rank01: _rank01_sql, evidence_channels: _channels_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
     review_queue: _queue_sql, queue_page: _page_sql, queue_summary: _summary_sql, abstention_policy: _policy_sql,
-    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql, per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: _boot_sql, evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
+    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
     drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: _size_sql,
     object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
     standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, gated_prior: None, anomaly_scores: None, neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, candidate_records: _records_sql,

@@ -44,15 +44,17 @@ METADATA_SQL = f"""meta AS (SELECT object_id, ((object_id * 7919) % 3600)::DOUBL
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """object_id, label, p: a softmax over the known classes (by rising code), from embeddings."""
+    """object_id, label, p: a softmax over the known classes (by rising code) of sums over
+    the embedding, each class taking every K-th component from its own place on."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    x = F.transform(F.slice("embedding", 1, len(KNOWN)), lambda v: F.exp(v.cast("double")))
-    e = e.select(F.col("vec_id").alias("object_id"), F.col("label").cast("int").alias("label"), x.alias("x"))
+    k = len(KNOWN)
+    own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.exp(F.aggregate(F.filter("embedding", lambda v, i: i % k == j), F.lit(0.0), lambda a, v: a + v.cast("double"))))
+    e = e.select(F.col("vec_id").alias("object_id"), F.col("label").cast("int").alias("label"), own.alias("x"))
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
     return e.withColumn("total", total).select("object_id", "label", F.transform("x", lambda v: F.greatest(v / F.col("total"), F.lit(1e-12))).alias("p"))
 
 
-PROBABILITIES_SQL = f"""proba_x AS (SELECT vec_id AS object_id, label::INTEGER AS label, list_transform(embedding[1:{len(KNOWN)}], lambda v: exp(v::DOUBLE)) AS x FROM embeddings),
+PROBABILITIES_SQL = f"""proba_x AS (SELECT vec_id AS object_id, label::INTEGER AS label, list_transform(range({len(KNOWN)}), lambda j: exp(list_sum(list_transform(list_filter(embedding, lambda v, i: (i - 1) % {len(KNOWN)} = j), lambda v: v::DOUBLE)))) AS x FROM embeddings),
 proba AS (SELECT object_id, label, list_transform(x, lambda v: greatest(v / list_sum(x), 1e-12::DOUBLE)) AS p FROM proba_x)"""
 
 
@@ -60,7 +62,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as a ranked list: id, score (n_chars, so it ties) and truth."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "source")
     lab = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic", "quality")
-    return d.join(lab, "doc_id").select(F.col("doc_id").alias("object_id"), F.floor(F.col("n_chars") / 50).cast("double").alias("score"), F.col("toxic").cast("int").alias("y"), F.substring("source", 1, 4).alias("grp"))
+    return d.join(lab, "doc_id").select(F.col("doc_id").alias("object_id"), F.floor(F.col("n_chars") / 50).cast("double").alias("score"), F.col("toxic").cast("int").alias("y"), F.col("source").alias("grp"))
 
 
-SCORED_SQL = """scored AS (SELECT d.doc_id AS object_id, floor(n_chars / 50)::DOUBLE AS score, toxic::INTEGER AS y, substr(source, 1, 4) AS grp FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+SCORED_SQL = """scored AS (SELECT d.doc_id AS object_id, floor(n_chars / 50)::DOUBLE AS score, toxic::INTEGER AS y, source AS grp FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""

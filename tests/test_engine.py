@@ -113,7 +113,7 @@ def test_base_rate_weight_moves_the_share_to_the_target(spark):
         assert math.isclose(base / (base + w * (1 - base)), target)
         assert math.isclose(metrics.negative_weight(base, target, inverted=True), 1 / w)
     rows = spark.createDataFrame([(i, int(i % 3 == 0), float(100 - i)) for i in range(100)], "object_id long, y int, score double")
-    p = {r.target: r.precision for r in metrics.stress(rows, (0.3, 0.1, 0.01, 0.9), (30,)).collect()}
+    p = {r.target: r.p_at_30 for r in metrics.stress(rows, (0.3, 0.1, 0.01, 0.9), (30,), draws=20).collect()}
     assert set(p) == {0.3, 0.1, 0.01} and p[0.3] > p[0.1] > p[0.01]  # mixed top: it falls with the base rate
 
 
@@ -307,7 +307,7 @@ def test_ordered_scans(spark):
     df = spark.createDataFrame([*rows, (5000, "c", 2.0)], "object_id long, g string, v double")
     got = {x.object_id: x.n for x in ordered.numbered(df, F.col("v"), [F.col("v"), F.col("object_id")], "n").collect()}
     assert got == {o[0]: k + 1 for k, o in enumerate(sorted([*rows, (5000, "c", 2.0)], key=lambda o: (o[2], o[0])))}
-    ranged = ordered.by_ranges(df, F.col("v"), "g")
+    ranged = ordered.by_ranges(df, F.col("v"))
     assert ranged.select("_range").distinct().count() > 200
     run = ordered.running(ranged, [F.col("v"), F.col("object_id")], {"s": F.col("object_id")}, ["g"], totals=True).collect()
     for g in "abc":
@@ -321,6 +321,61 @@ def test_ordered_scans(spark):
     assert ordered.quantiles(df.filter("false"), ["v"], [0.5]) == {} and ordered.numbered(df.filter("false"), F.col("v"), [F.col("v")], "n").count() == 0
 
 
+def test_ties_are_split(spark):
+    """A value that most rows have goes over many ranges of the tie-breaker."""
+    df = spark.range(20_000).select(F.col("id").alias("object_id"), F.when(F.col("id") % 10 == 0, F.rand(1)).otherwise(0.0).alias("v"))
+    ranged = ordered.by_ranges(df, -F.col("v"), F.col("object_id"))
+    assert ranged.groupBy("_range").count().agg(F.max("count")).first()[0] < 700
+    got = ordered.numbered(df, -F.col("v"), [F.desc("v"), F.col("object_id")], "n", tie=F.col("object_id")).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 20_001))
+    assert [(-r.v, r.object_id) for r in got] == sorted((-r.v, r.object_id) for r in got)
+
+
+def test_abstention_policy(spark):
+    rows = [(0.2, 0.95, 0.0, "abstain"), (0.9, 0.95, 0.0, "abstain"), (0.9, 0.1, 0.0, "abstain"), (0.9, 0.1, 0.5, "abstain"), (0.9, 0.1, 0.5, "degraded"), (0.9, 0.1, 0.5, "matched")]
+    df = spark.createDataFrame(rows, "quality double, uncertainty double, reliability double, domain_status string")
+    got = ranking.decisions(df)
+    assert [(r.abstain, r.reason) for r in got.collect()] == [(True, ranking.LOW_QUALITY), (True, ranking.UNCERTAIN), (True, ranking.UNPLACED), (True, ranking.FOREIGN), (False, ranking.DEGRADED), (False, "")]
+    whole = ranking.abstentions(got).first()
+    assert (whole.n, whole.n_abstained, round(whole.mean_confidence_kept, 9)) == (6, 4, 0.81) and whole.reasons == dict.fromkeys((ranking.LOW_QUALITY, ranking.UNCERTAIN, ranking.UNPLACED, ranking.FOREIGN), 1)
+    assert not any(r.abstain for r in ranking.decisions(df, enabled=False).collect())
+    empty = ranking.abstentions(ranking.decisions(df.filter("false"))).first()
+    assert (empty.n, empty.abstention_rate, empty.mean_confidence_kept, empty.reasons) == (0, 0.0, None, {})
+
+
+@pytest.mark.parametrize("kind", ["distinct", "ties", "one class", "empty"])
+def test_bootstrap_equals_the_exploded_form(spark, kind):
+    import numpy as np
+
+    from tarnfield.operators import resampling
+
+    r = np.random.default_rng(7)
+    n = 0 if kind == "empty" else 400
+    score = r.normal(size=n) if kind == "distinct" else r.integers(0, 4, n).astype(float)
+    y = np.zeros(n, int) if kind == "one class" else (r.random(n) < 0.2).astype(int)
+    df = spark.createDataFrame([(k, int(y[k]), float(score[k])) for k in range(n)], "object_id long, y int, score double").repartition(3)
+    draws = 40
+    w = resampling.weights([str(k) for k in range(n)], draws, 42)
+    assert n == 0 or (abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1)
+    got = resampling.draw_metrics(df, draws, ks=(10, 50), scales=(1.0, 9.0))
+    order = np.lexsort((np.arange(n), -score))
+    for d in range(draws):
+        full = np.repeat(order, w[order, d]) if n else np.zeros(0, int)  # the resample, best first
+        pos, s = y[full] == 1, score[full]
+        if not pos.any() or pos.all():
+            assert all(np.isnan(v[d]) for v in got.values())
+            continue
+        diff = s[pos][:, None] - s[~pos][None, :]
+        assert np.isclose(got["roc_auc"][d], ((diff > 0) + 0.5 * (diff == 0)).mean())
+        for scale in (1.0, 9.0):
+            tp, fp = (np.array([((s >= v) & m).sum() for v in s[pos]]) for m in (pos, ~pos))
+            assert np.isclose(got[f"average_precision_{scale!r}"][d], (tp / (tp + scale * fp)).mean())
+        for k in (10, 50):
+            assert np.isclose(got[f"p_at_{k}"][d], pos[:k].mean())
+    table = resampling.intervals(df, 30, ks=(10,)).collect()
+    assert [t.metric for t in table] == ["roc_auc", "average_precision", "p_at_10"] and all(t.small_n == (kind in ("one class", "empty")) for t in table)
+
+
 def test_neighbours_against_brute_force(spark):
     import numpy as np
 
