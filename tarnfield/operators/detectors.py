@@ -9,30 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.operators import evidence, models
+from tarnfield.operators import evidence, isolation, models
 
 #: Places at which detector values are compared: last bits may differ with the batch.
 PLACES = 9
 
 
 class DetectorEnsemble:
-    """Mahalanobis distance and principal-component residual of all rows, and with
-    ``near`` the mean distance to a stated query set's neighbours."""
+    """Mahalanobis distance, principal-component residual and isolation of all rows, and
+    with ``near`` the mean distance to a stated query set's neighbours."""
 
-    def __init__(self, features: list[str], components: int = 24) -> None:
-        self.features, self.components = features, max(1, min(components, len(features) - 1))
+    def __init__(self, features: list[str], components: int = 24, trees: int = 100) -> None:
+        self.features, self.components, self.trees = features, max(1, min(components, len(features) - 1)), trees
 
     def fit(self, reference: DataFrame) -> DetectorEnsemble:
         """An empty reference raises ValueError."""
         if reference.limit(1).count() == 0:
             raise ValueError("no reference rows")
         self.moments = models.AnomalyEnsemble(self.features, self.components).fit(reference)
+        self.forest = isolation.IsolationForest(self.features, self.trees).fit(reference)
         self.reference = reference
         return self
 
     def _values(self, rows: DataFrame, near: DataFrame | None) -> tuple[DataFrame, list[str]]:
-        names = ["mahalanobis", "pca_residual"]
-        out = self.moments.distances(rows).select("object_id", *(F.round(n, PLACES).alias(n) for n in names))
+        names = ["mahalanobis", "pca_residual", "isolation"]
+        out = self.moments.distances(rows).join(self.forest.score(rows), "object_id").select("object_id", *(F.round(n, PLACES).alias(n) for n in names))
         if near is not None:
             far = near.groupBy(F.col("query_id").alias("object_id")).agg(F.round(F.avg("distance"), PLACES).alias("knn_distance"))
             out, names = out.join(far, "object_id"), [*names, "knn_distance"]

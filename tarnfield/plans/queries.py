@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import detectors, domain, evidence, explain, features, inject, metrics, models, ordered, protocol, quality, ranking, resampling
+from tarnfield.operators import boosting, detectors, domain, evidence, explain, features, inject, isolation, metrics, models, ordered, protocol, quality, ranking, resampling
 from tarnfield.plans import search, serve
 from tarnfield.schema import BANDS, IS_GALACTIC, KNOWN, POPULATIONS, taxonomy
 from tarnfield.sources import alerts, stages, views
@@ -945,7 +945,41 @@ def gated_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detectors of all vectors, fitted on the first classes."""
     v = _vectors(spark, sf_dir)
-    return rounded(detectors.DetectorEnsemble(_FEATS).fit(v.filter(_REFERENCE)).score(v))
+    return rounded(detectors.DetectorEnsemble(_FEATS, trees=50).fit(v.filter(_REFERENCE)).score(v))
+
+
+_TREES = 20
+
+
+def isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How easily a forest over the first classes parts each vector from them."""
+    v = _vectors(spark, sf_dir)
+    return rounded(isolation.IsolationForest(_FEATS, _TREES).fit(v.filter(_REFERENCE)).score(v))
+
+
+def _isolation_sql() -> str:
+    """The forest level by level: each node's ends, the cut of the least hash, and both sides."""
+    levels = 8
+    draw = lambda key: _draw_sql("iso-42", f"({key})")
+    c = f"CASE WHEN size <= 1 THEN 0.0 WHEN size = 2 THEN 1.0 ELSE 2 * (ln(size - 1) + {isolation.EULER!r}::DOUBLE) - 2 * (size - 1) / size END"
+    parts = [f"""v AS (SELECT vec_id AS object_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings),
+ref AS (SELECT * FROM v WHERE {_REFERENCE}), dim AS (SELECT least(256, count(*)) AS size, least(1.0::DOUBLE, least(256, count(*))::DOUBLE / count(*)) AS share FROM ref),
+lim AS (SELECT *, ceil(log2(greatest(size, 2)))::BIGINT AS depth, least(1.0::DOUBLE, {isolation.SPARE * _TREES} * share) AS loose FROM dim),
+s0 AS (SELECT tree, 0 AS node, x FROM ref, lim, (SELECT unnest(range({_TREES})) AS tree) WHERE {draw("object_id")} < loose AND {draw("object_id || '|' || tree")} < share / loose),
+w0 AS (SELECT object_id, tree, 0 AS node, x FROM v, (SELECT DISTINCT tree FROM s0))"""]
+    for k in range(levels + 1):
+        parts.append(f"n{k} AS (SELECT tree, node, count(*) AS size FROM s{k} GROUP BY tree, node)")
+        if k < levels:
+            parts += [
+                f"e{k} AS (SELECT s.tree, s.node, f, min(x[f + 1]) AS lo, max(x[f + 1]) AS hi FROM s{k} s, (SELECT unnest(range({len(_FEATS)})) AS f), lim WHERE {k} < depth GROUP BY ALL HAVING min(x[f + 1]) < max(x[f + 1]))",
+                f"c{k} AS (SELECT tree, node, f, lo + {draw("tree || '|' || node")} * (hi - lo) AS cut FROM e{k} QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY md5('iso-42:' || tree || '|' || node || '|' || f)) = 1)",
+                f"s{k + 1} AS (SELECT s.tree, 2 * s.node + 1 + (x[f + 1] >= cut)::INT AS node, x FROM s{k} s JOIN c{k} c ON s.tree = c.tree AND s.node = c.node)",
+                f"w{k + 1} AS (SELECT object_id, w.tree, 2 * w.node + 1 + (x[f + 1] >= cut)::INT AS node, x FROM w{k} w JOIN c{k} c ON w.tree = c.tree AND w.node = c.node)",
+                f"l{k} AS (SELECT w.object_id, w.tree, {k} + {c} AS length FROM w{k} w LEFT JOIN n{k} n ON w.tree = n.tree AND w.node = n.node WHERE NOT EXISTS (FROM c{k} c WHERE w.tree = c.tree AND w.node = c.node))",
+            ]
+    parts.append(f"l{levels} AS (SELECT w.object_id, w.tree, {levels} + {c} AS length FROM w{levels} w LEFT JOIN n{levels} n ON w.tree = n.tree AND w.node = n.node)")
+    every = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(levels + 1))
+    return f"WITH {', '.join(parts)}, p AS (SELECT object_id, avg(length) AS length FROM ({every}) GROUP BY object_id) SELECT object_id, {_r(f'pow(2.0, -length / (SELECT {c} FROM lim))', 'isolation')} FROM p"
 
 
 def neighbour_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1050,7 +1084,7 @@ _ALL = {
     auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
     drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: _size_sql,
     object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
-    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, gated_prior: None, anomaly_scores: None, neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, candidate_records: _records_sql,
+    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, gated_prior: None, anomaly_scores: None, isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, candidate_records: _records_sql,
     flagship: _flagship_sql,
 }
 
