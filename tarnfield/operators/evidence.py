@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnfield.operators import ordered
 from tarnfield.operators.neighbours import PivotIndex
 from tarnfield.schema import IS_GALACTIC, KNOWN
+from tarnfield.sources import stages
 
 
 def centroids(proba: DataFrame, k: int = len(KNOWN)) -> DataFrame:
@@ -111,12 +112,32 @@ def rank01(rows: DataFrame, col: str) -> DataFrame:
 
 
 def quantile_map(values: DataFrame, reference: DataFrame, col: str) -> DataFrame:
-    """Mid-rank of ``col`` in the reference: (below + ties/2) / N.
+    """``values`` with ``mapped``: the mid-rank of ``col`` in the reference, (below + ties/2) / N."""
+    own = stages.written(values)
+    return own.join(mid_ranks(own, reference, [col]).select(F.col("v").alias("_v"), "mapped"), F.col(col) == F.col("_v")).drop("_v")
+
+
+def quantile_maps(values: DataFrame, reference: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """object_id and, under the given names, the mid-ranks of several columns: one order for all."""
+    own = stages.written(values.select("object_id", *columns))
+    ranks = stages.written(mid_ranks(own, reference, list(columns)))
+    out = own
+    for c, name in columns.items():
+        mapped = ranks.filter(F.col("name") == c).select(F.col("v").alias("_v"), F.col("mapped").alias(name))
+        out = out.join(mapped, F.col(c) == F.col("_v")).drop("_v")
+    return out.select("object_id", *columns.values())
+
+
+def mid_ranks(values: DataFrame, reference: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, v, mapped): the mid-rank in the reference of every value of the columns.
 
     Reference and values are united; equal values are counted, and their counts are
     summed along the order by ranges."""
-    ref = reference.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("same"))
-    both = ref.unionByName(values.select(F.col(col).alias("v")).distinct().withColumn("same", F.lit(0))).groupBy("v").agg(F.sum("same").alias("same"))
-    cum = ordered.running(ordered.by_ranges(both, F.col("v")), [F.col("v")], {"upto": F.col("same")}, totals=True)
-    mapped = cum.select("v", ((F.col("upto") - F.col("same") / 2) / F.col("all_upto")).alias("mapped"))
-    return values.join(mapped, F.col(col) == F.col("v")).drop("v")
+
+    def long(rows: DataFrame, one: int) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("e")
+        return rows.select(each).select("e.name", "e.v", F.lit(one).alias("one"))
+
+    both = long(reference, 1).unionByName(long(values, 0)).groupBy("name", "v").agg(F.sum("one").alias("same"))
+    cum = ordered.running(ordered.by_ranges(both, F.col("v")), [F.col("v")], {"upto": F.col("same")}, ["name"], totals=True)
+    return cum.select("name", "v", F.try_divide(F.col("upto") - F.col("same") / 2, F.col("all_upto")).alias("mapped"))

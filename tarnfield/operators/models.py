@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.operators import evidence, metrics, ordered, protocol
 from tarnfield.schema import clip
+from tarnfield.sources import stages
 
 SIGMA_LOW, SIGMA_HIGH = 0.158655254, 0.841344746
 #: Range that row weights of a fit are held to.
@@ -103,7 +104,7 @@ class Prior:
 
     def fit(self, rows: DataFrame) -> Prior:
         """``rows`` has object_id, label (0..K-1) and the features."""
-        dealt = protocol.folds(rows, "label", self.n_folds, f"prior-{self.seed}").persist()  # read by every fold's fit
+        dealt = stages.written(protocol.folds(rows, "label", self.n_folds, f"prior-{self.seed}"))  # read by every fold's fit
         self.models = [self._fit(dealt.filter(F.col("fold") != k)) for k in range(self.n_folds)]
         parts = [m.transform(assembled(dealt.filter(F.col("fold") == k), self.features)).select("object_id", "label", vector_to_array("probability").alias("p")) for k, m in enumerate(self.models)]
         self.out_of_fold = parts[0]
@@ -171,7 +172,7 @@ def bootstrap_uncertainty(train: DataFrame, rows: DataFrame, features: list[str]
 
 def _domain_model(reference: DataFrame, target: DataFrame, covariates: list[str]):
     both = reference.select(*covariates, "object_id").withColumn("is_target", F.lit(0.0)).unionByName(target.select(*covariates, "object_id").withColumn("is_target", F.lit(1.0)))
-    z = assembled(standardised(both, standardiser(both, covariates)), covariates).persist()  # read by every step of the fit
+    z = stages.written(assembled(standardised(both, standardiser(both, covariates)), covariates))  # read by every step of the fit
     n = z.count()
     return z, LogisticRegression(labelCol="is_target", featuresCol="x", regParam=1.0 / max(n, 1)).fit(z)
 
@@ -188,7 +189,7 @@ def density_ratio_weights(reference: DataFrame, target: DataFrame, covariates: l
 def adversarial_validation(reference: DataFrame, target: DataFrame, covariates: list[str], n_folds: int = 3, novelty: DataFrame | None = None) -> DataFrame:
     """Out-of-fold AUC of telling the two apart, with a verdict, and the importances of the covariates."""
     both = reference.select(*covariates, "object_id").withColumn("y", F.lit(0)).unionByName(target.select(*covariates, "object_id").withColumn("y", F.lit(1)))
-    z = protocol.folds(standardised(both, standardiser(both, covariates)), "y", n_folds, "adversarial").persist()  # read by every fold's fit
+    z = stages.written(protocol.folds(standardised(both, standardiser(both, covariates)), "y", n_folds, "adversarial"))  # read by every fold's fit
     parts, weights = None, []
     for k in range(n_folds):
         model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=20, maxDepth=5, seed=k).fit(assembled(z.filter(F.col("fold") != k), covariates))

@@ -26,8 +26,14 @@ def penalties() -> dict[str, Column]:
 
 def quality(stats: DataFrame) -> DataFrame:
     """object_id, quality and the penalties as qpen_*. A missing statistic has a neutral default."""
-    out = stats.select("object_id", *(x.alias(f"qpen_{k}") for k, x in penalties().items()))
-    names = [x for x in out.columns if x.startswith("qpen_")]
+    out = with_quality(stats)
+    return out.select("object_id", *(f"qpen_{k}" for k in penalties()), "quality")
+
+
+def with_quality(stats: DataFrame) -> DataFrame:
+    """``stats`` with the penalties and quality beside what is there."""
+    out = stats.withColumns({f"qpen_{k}": x for k, x in penalties().items()})
+    names = [f"qpen_{k}" for k in penalties()]
     worst = F.greatest(*names)
     others = (sum(F.col(x) for x in names) - worst) / (len(names) - 1)
     q = 1.0 - clip(0.8 * worst + 0.2 * others, 0.0, 1.0)

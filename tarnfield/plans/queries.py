@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import boosting, detectors, domain, evidence, explain, features, inject, isolation, metrics, models, ordered, protocol, quality, ranking, resampling
-from tarnfield.plans import search, serve
+from tarnfield.operators import boosting, detectors, domain, engine, evidence, explain, features, inject, isolation, metrics, models, neighbours, ordered, protocol, quality, ranking, resampling
+from tarnfield.plans import chain, search, serve
 from tarnfield.schema import BANDS, IS_GALACTIC, KNOWN, POPULATIONS, taxonomy
 from tarnfield.sources import alerts, stages, views
 from tarnfield.sources.views import METADATA_SQL, PHOTOMETRY_SQL, PROBABILITIES_SQL, SCORED_SQL
@@ -310,6 +310,12 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 _knn_sql = f"WITH {_KNN_SQL} SELECT query_id, object_id, label::BIGINT AS label, {_r('distance')}, rank::BIGINT AS rank FROM near"
 
 
+def neighbour_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells the exact search of each stated query visits, of all."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").alias("x"))
+    return neighbours.PivotIndex(cell_rows=128).fit(e).visited(e.filter("object_id % 20 = 0"), 25)
+
+
 def neighbour_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evidence.neighbour_channels(_near(spark, sf_dir), 10))
 
@@ -395,18 +401,14 @@ _rank01_sql = f"SELECT doc_id AS object_id, {_r('(row_number() OVER (ORDER BY n_
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All channels of every object: probabilities, neighbours, class statistics, and the
     quality gate and redshift reliability of the object's observations. An object without
-    observations has quality and reliability 1. Computed once in a session and kept,
-    as many passes and queries follow."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _kept:
-        return _kept[key]
-    p = views.probabilities(spark, sf_dir)
+    observations has quality and reliability 1. Inputs of several channels are written
+    once, and so is the result, which is read by several passes."""
+    p = stages.written(views.probabilities(spark, sf_dir))
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("object_id"), "label", F.col("embedding").alias("x"))
-    near = evidence.neighbours(e, e, 25)
-    gap = _physics_channels(spark, sf_dir).select("object_id", F.round(F.col("physics_gap") + NUDGE, 6).alias("gap"), F.round(F.col("cc_weighted") + NUDGE, 6).alias("cc")).persist()
-    out = evidence.simplex_channels(p, evidence.centroids(p))
-    for raw, name in (("gap", "physics_gap"), ("cc", "cc_weighted")):
-        out = out.join(evidence.quantile_map(gap.select("object_id", raw), gap, raw).select("object_id", F.col("mapped").alias(name)), "object_id")
+    near = stages.written(evidence.neighbours(e, e, 25))
+    gap = _physics_channels(spark, sf_dir).select("object_id", F.round(F.col("physics_gap") + NUDGE, 6).alias("gap"), F.round(F.col("cc_weighted") + NUDGE, 6).alias("cc"))
+    gap = stages.written(gap)
+    out = evidence.simplex_channels(p, evidence.centroids(p)).join(evidence.quantile_maps(gap, gap, {"gap": "physics_gap", "cc": "cc_weighted"}), "object_id")
     out = out.join(evidence.neighbour_channels(near, 10).select("object_id", "neighbor_entropy"), "object_id").join(evidence.family_misfit(p, near), "object_id")
     gate = quality.quality(features.quality_features(views.photometry(spark, sf_dir))).select("object_id", "quality")
     meta = views.metadata(spark, sf_dir)
@@ -414,12 +416,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = meta.select("object_id", physics.reliability(z, F.col("hostgal_photoz_err"), physics.resolve_distmod(F.col("distmod"), z)[1]).alias("reliability"))
     out = out.join(gate, "object_id", "left").join(known, "object_id", "left")
     one = F.lit(1.0)
-    out = out.withColumns({"quality": F.coalesce("quality", one), "reliability": F.coalesce("reliability", one), "uncertainty": F.col("prior_entropy"), "y": F.col("label").isin(0, 3, 7).cast("int")})
-    _kept[key] = out.persist()
-    return _kept[key]
-
-
-_kept: dict[tuple[str, str], DataFrame] = {}
+    return stages.written(out.withColumns({"quality": F.coalesce("quality", one), "reliability": F.coalesce("reliability", one), "uncertainty": F.col("prior_entropy"), "y": F.col("label").isin(0, 3, 7).cast("int")}))
 
 
 def evidence_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -700,39 +697,111 @@ def queue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _audit_sql = f"WITH {_RANK_SQL} SELECT count(*)::BIGINT AS n, {_r('avg(quality)', 'mean_quality')}, {_r('min(quality)', 'min_quality')}, count_if(quality < 0.5)::BIGINT AS n_low_quality, {_r('avg(uncertainty)', 'mean_uncertainty')}, count_if(abstain)::BIGINT AS n_abstained, count_if(y = 0)::BIGINT AS n_false_positives, " + ", ".join(f"count_if(tier = '{t}')::BIGINT AS n_{t}" for t in ("critical", "high", "moderate", "routine")) + " FROM ranked WHERE rank <= 100"
 
 
-_DAYS = (15, 30, 60, 120, 0)
+# ---- the whole chain ---------------------------------------------------------
+
+
+def _chain_features_sql(name: str, photometry: str) -> str:
+    """CTE of the chain's features and the quality of the observations that ``photometry`` (a CTE phot) has."""
+    g, c = (x.replace(PHOTOMETRY_SQL, photometry) for x in (_global_sql, _colour_sql))
+    q = f"WITH {_QUALITY_SQL.replace(PHOTOMETRY_SQL, photometry)} SELECT object_id, quality FROM qual"
+    own = ", ".join(f"coalesce({x}::DOUBLE, NULL) AS {x}" for x in chain.NAMES)
+    return f"{name} AS (SELECT object_id, {own}, quality FROM ({g}) JOIN ({c}) USING (object_id) JOIN ({q}) USING (object_id))"
+
+
+def _chain_sql(keyed: str | None = None) -> str:
+    """CTEs up to ``ev``: the channels of the unseen objects, or of the sides of their
+    observations that ``keyed`` (CTEs that end with keyed, in the columns of phot) has."""
+    names, k = chain.NAMES, len(KNOWN)
+    long = lambda rows, keep: f"SELECT {keep}, unnest({names}) AS feature, unnest([{', '.join(names)}]) AS v FROM {rows}"
+    own_id = "object_id" if keyed is None else f"((-object_id - 1) // {chain.SIDES})"
+    scored = "cf" if keyed is None else "ck"
+    more = "" if keyed is None else f", {keyed}, {_chain_features_sql('ck', 'phot AS (SELECT * FROM keyed)')}"
+    probability = f"coalesce(exp(-0.5 * chi), 0.0)"
+    return f"""{METADATA_SQL}, {_chain_features_sql("cf", PHOTOMETRY_SQL)}{more},
+lab AS (SELECT object_id, CASE WHEN list_position({list(KNOWN)}, code) > 0 THEN list_position({list(KNOWN)}, code) - 1 END AS label, {_draw_sql("chain", "object_id")} < {chain.FIT_SHARE}::DOUBLE AS fits, ({_draw_sql("chain-fold", "object_id")} < 0.5)::INT AS fold FROM meta),
+rf AS (SELECT cf.*, label, fold FROM cf JOIN lab USING (object_id) WHERE fits AND label IS NOT NULL),
+ts AS (SELECT c.* FROM {scored} c JOIN lab ON lab.object_id = {own_id.replace('object_id', 'c.object_id')} WHERE NOT fits),
+lr AS ({long("rf", "object_id, label, fold")}), lt AS ({long("ts", "object_id")}),
+lm AS (SELECT m, lr.* FROM lr, (SELECT unnest([0, 1, 2]) AS m) WHERE fold <> m AND v IS NOT NULL),
+va AS (SELECT m, feature, var_samp(v) AS va FROM lm GROUP BY ALL), cl AS (SELECT m, label, feature, count(v) AS n, avg(v) AS mean, var_samp(v) AS vc FROM lm GROUP BY ALL),
+st AS (SELECT m, label, feature, mean, sqrt(((n - 1) * coalesce(vc, 0) + {engine.PSEUDO_ROWS} * va) / (n - 1 + {engine.PSEUDO_ROWS})) AS sd FROM cl JOIN va USING (m, feature) WHERE va > 1e-24),
+every AS (SELECT object_id, feature, v FROM lr UNION ALL SELECT object_id, feature, v FROM lt),
+ch AS (SELECT object_id, m, label, sum(coalesce(((v - mean) / sd) * ((v - mean) / sd), 0.0)) / {len(names)} AS chi FROM every JOIN st USING (feature) GROUP BY ALL),
+grid AS (SELECT object_id, m, l AS label FROM (SELECT DISTINCT object_id FROM every), (SELECT unnest([0, 1]) AS m), (SELECT unnest(range({k})) AS l)),
+pe AS (SELECT object_id, m, label, {probability} AS e, sum({probability}) OVER (PARTITION BY object_id, m) AS t FROM grid LEFT JOIN ch USING (object_id, m, label)),
+pm AS (SELECT object_id, m, label, greatest(CASE WHEN t > 0 THEN e / t ELSE {1 / k!r}::DOUBLE END, {engine.FLOOR}::DOUBLE) AS v FROM pe),
+oof AS (SELECT rf.object_id, any_value(rf.label) AS label, list(v ORDER BY pm.label) AS p FROM pm JOIN rf ON rf.object_id = pm.object_id AND rf.fold = pm.m GROUP BY rf.object_id),
+pa AS (SELECT object_id, label, avg(v) AS v FROM pm JOIN (SELECT DISTINCT object_id FROM lt) USING (object_id) GROUP BY object_id, label),
+proba AS (SELECT object_id, list(v ORDER BY label) AS p FROM pa GROUP BY object_id),
+cent AS (SELECT label, [{", ".join(f"avg(p[{i + 1}])" for i in range(k))}] AS c FROM oof GROUP BY label), cents AS (SELECT list(c) AS cs FROM cent),
+pn AS (SELECT object_id, list_transform(p, lambda v: v / list_sum(p)) AS p, cs FROM proba, cents), ps AS (SELECT *, list_sort(p, 'DESC') AS s FROM pn),
+sx AS (SELECT object_id, 1 - s[1] AS taxonomy_gap, list_sum(list_transform(p, lambda v: -v * ln(v))) / ln({k}) AS prior_entropy,
+  0.5 * list_min(list_transform(cs, lambda c: list_sum(list_transform(list_zip(p, c), lambda z: abs(z[1] - z[2]))))) AS simplex_novelty, 1 - (s[1] - s[2]) AS novelty_gap, ({list(KNOWN)})[list_position(p, s[1])] AS best_fit_code, s[1] AS best_fit_prob FROM ps),
+both_p AS (SELECT object_id, p FROM proba UNION ALL SELECT object_id, p FROM oof),
+gp AS (SELECT object_id, round(coalesce(min(chi), 0.0) + {engine.NUDGE}, 6) AS g, round(coalesce(sum(chi * p[label + 1]), 0.0) + {engine.NUDGE}, 6) AS c FROM both_p LEFT JOIN (SELECT * FROM ch WHERE m = 2) w USING (object_id) GROUP BY object_id),
+gr AS (SELECT gp.* FROM gp JOIN oof USING (object_id)),
+gq AS (SELECT object_id, ((SELECT count(*) FROM gr WHERE gr.g < gp.g) + (SELECT count(*) FROM gr WHERE gr.g = gp.g) / 2) / (SELECT count(*) FROM gr) AS physics_gap, ((SELECT count(*) FROM gr WHERE gr.c < gp.c) + (SELECT count(*) FROM gr WHERE gr.c = gp.c) / 2) / (SELECT count(*) FROM gr) AS cc_weighted FROM gp JOIN proba USING (object_id)),
+sc AS (SELECT feature, quantile_cont(v, 0.5) AS mid, quantile_cont(v, {models.SIGMA_HIGH}) - quantile_cont(v, {models.SIGMA_LOW}) AS w, stddev_samp(v) AS s FROM lr GROUP BY feature),
+z AS (SELECT object_id, list(coalesce((v - coalesce(mid, 0.0)) / CASE WHEN w > 1e-9 THEN w WHEN s > 1e-9 THEN s ELSE 1.0 END, 0.0) ORDER BY feature) AS x FROM every JOIN sc USING (feature) GROUP BY object_id),
+nn AS (SELECT a.object_id, oof.label FROM z a JOIN proba USING (object_id), z b JOIN oof ON oof.object_id = b.object_id WHERE a.object_id <> b.object_id QUALIFY row_number() OVER (PARTITION BY a.object_id ORDER BY list_distance(a.x, b.x), b.object_id) <= 25),
+sh AS (SELECT object_id, label, count(*) / sum(count(*)) OVER (PARTITION BY object_id) AS share FROM nn GROUP BY object_id, label),
+ne AS (SELECT object_id, -sum(share * ln(share)) / ln({k}) AS neighbor_entropy, coalesce(sum(share) FILTER (label IN {evidence.GALACTIC_LABELS}), 0.0) AS galactic FROM sh GROUP BY object_id),
+rb AS (SELECT *, coalesce(hostgal_photoz, 0.0) AS zz, exp(-least(coalesce(hostgal_photoz_err, 1.0) / greatest(coalesce(hostgal_photoz, 0.0), 1e-4), 5.0) / 0.15) AS base FROM meta),
+rl AS (SELECT object_id, CASE WHEN distmod > 0 THEN greatest(base, 0.9) WHEN zz > 1e-4 THEN base WHEN zz <= 1e-3 THEN 1.0 ELSE 0.0 END AS reliability FROM rb),
+ev AS (SELECT sx.*, physics_gap, cc_weighted, neighbor_entropy, abs({_GALACTIC_SQL} - galactic) AS family_misfit, quality, reliability, prior_entropy AS uncertainty, (lab.label IS NULL)::INT AS y
+  FROM sx JOIN gq USING (object_id) JOIN ne USING (object_id) JOIN proba USING (object_id) JOIN ts USING (object_id) JOIN lab ON lab.object_id = {own_id.replace('object_id', 'sx.object_id')} JOIN rl ON rl.object_id = {own_id.replace('object_id', 'sx.object_id')})"""
+
+
+#: What follows the channels: s1 to s3 give the score, the rest the queue.
+_SCORE_STEPS = _RANK_SQL[len(_EVIDENCE_SQL) :]
+_CHAIN_CHANNELS = ("taxonomy_gap", "prior_entropy", "simplex_novelty", "novelty_gap", "best_fit_prob", "physics_gap", "cc_weighted", "neighbor_entropy", "family_misfit", "quality", "reliability")
+
+
+def chain_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations to ranked queue: features, prior, every channel, gate, score, rank and tier of all unseen objects."""
+    out = chain.queue(spark, sf_dir).select("object_id", "rank", "y", "best_fit_code", *_CHAIN_CHANNELS, *_RANK_OUT, "tier", "abstain", "abstain_reason")
+    return rounded(out)
 
 
-def _rescored(obs: DataFrame, side: str) -> DataFrame:
-    """quality and score (quality times the greatest signal-to-noise ratio) of every object in every
-    ``side`` of its observations: both are the key of the feature blocks, which run once."""
-    keyed = obs.withColumn("object_id", F.concat_ws("|", F.col(side), "object_id"))
-    q = quality.quality(features.quality_features(keyed)).select("object_id", "quality")
-    g = features.global_features(keyed).select("object_id", "lc_snr_max")
-    both = g.join(q, "object_id").withColumn("score", F.round(F.col("quality") * F.col("lc_snr_max"), 6))
-    cut = F.split("object_id", "[|]")
-    return both.select(cut[0].alias(side), cut[1].cast("long").alias("object_id"), "quality", "score")
+_chain_ranked_sql = _chain_sql() + _SCORE_STEPS.replace("s3 AS (SELECT *, raw_evidence", "s3 AS (SELECT *, round(raw_evidence").replace("(1 + 0.15 * agreement) AS score", "(1 + 0.15 * agreement), 9) AS score")
+_chain_queue_sql = f"WITH {_chain_ranked_sql} SELECT object_id, rank::BIGINT AS rank, y::BIGINT AS y, best_fit_code::BIGINT AS best_fit_code, " + ", ".join(map(_r, (*_CHAIN_CHANNELS, *_RANK_OUT))) + ", tier, abstain, abstain_reason FROM ranked"
 
 
-def _rescored_sql(rows: str, side: str) -> str:
-    """CTE ``resc`` over rows with ``side`` and the columns of phot."""
-    own = _QUALITY_SQL[len(PHOTOMETRY_SQL) + 2 :].replace(" phot", " keyed")
-    return f"""keyed AS (SELECT {side} || '|' || object_id AS object_id, mjd, passband, flux, flux_err, detected_bool FROM {rows}), {own},
-gl AS (SELECT object_id, max(flux / flux_err) AS snr FROM keyed GROUP BY object_id),
-resc AS (SELECT split_part(object_id, '|', 1) AS {side}, split_part(object_id, '|', 2)::BIGINT AS object_id, quality, round(quality * snr, 6) AS score FROM gl JOIN qual USING (object_id))"""
+def chain_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the chain's queue finds the withheld populations."""
+    return rounded(metrics.evaluate(chain.queue(spark, sf_dir).select("object_id", "y", "score"), precision_k=(10, 20, 50), recall_k=(200,)))
+
+
+def _evaluated_sql(rows: str, by: str, ks: tuple[int, ...], recall_ks: tuple[int, ...]) -> str:
+    """CTEs blk to rk over ``rows`` (object_id, y, score[, by]) and the metrics of metrics.evaluate."""
+    hit = lambda k: f"sum(CASE WHEN rank <= {k} THEN y ELSE 0 END)"
+    p = lambda k: f"{hit(k)} / least(count(*), {k})"
+    own = [x for k in ks for x in (_r(p(k), f"p_at_{k}"), _r(f"CASE WHEN sum(y) > 0 THEN {p(k)} / (sum(y) / count(*)) END", f"lift_at_{k}"))] + [_r(f"CASE WHEN sum(y) > 0 THEN {hit(k)} / sum(y) END", f"r_at_{k}") for k in recall_ks]
+    g, group, part = (f"{by}, ", f"GROUP BY {by}", f"PARTITION BY {by} ") if by else ("", "", "")
+    return f"""{_auc_sql(rows, by)}, erk AS (SELECT *, row_number() OVER ({part}ORDER BY score DESC, object_id) AS rank FROM {rows}),
+ect AS (SELECT {g}count(*)::BIGINT AS n_objects, sum(y)::BIGINT AS n_novel, {_r("sum(y) / count(*)", "base_rate")}, {", ".join(own)} FROM erk {group})
+SELECT ect.*, {_r("roc_auc")}, {_r("average_precision")} FROM ect {f"JOIN auc USING ({by})" if by else ", auc"}"""
+
+
+_chain_metrics_sql = f"WITH {_chain_ranked_sql}, cq AS (SELECT object_id, y, score FROM ranked), " + _evaluated_sql("cq", "", (10, 20, 50), (200,))
+
+_VIEWS_KEYED = f"""{PHOTOMETRY_SQL}, fm AS (SELECT *, min(mjd) OVER (PARTITION BY object_id) AS first_mjd FROM phot),
+keyed AS (SELECT fm.* EXCLUDE (object_id, first_mjd), -(fm.object_id * {chain.SIDES} + list_position({list(chain.DAYS)}, days) - 1) - 1 AS object_id FROM fm, (SELECT unnest({list(chain.DAYS)}) AS days) WHERE days = 0 OR mjd <= first_mjd + days)"""
+
+
+def _sides_sql(keyed: str, names: tuple, side: str) -> str:
+    """CTE ``sd``: object_id, side, score, quality, y of every side."""
+    value = lambda n: f"'{n}'" if isinstance(n, str) else str(n)
+    steps = _SCORE_STEPS[: _SCORE_STEPS.index("s4 AS")].rstrip().rstrip(",")
+    return f"{_chain_sql(keyed)}{steps}, sd AS (SELECT (-object_id - 1) // {chain.SIDES} AS object_id, ([{', '.join(map(value, names))}])[(-object_id - 1) % {chain.SIDES} + 1] AS {side}, round(score, 6) AS score, quality, y FROM s3)"
 
 
 def early_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well a rescore of shortened views (0 days: all) finds withheld populations."""
-    truth = views.metadata(spark, sf_dir).select("object_id", (~F.col("code").isin(*KNOWN)).cast("int").alias("y"))
-    obs = features.views(views.photometry(spark, sf_dir), _DAYS).withColumn("view", F.col("view").cast("int").cast("string"))
-    scored = _rescored(obs, "view").join(truth, "object_id")
-    return rounded(metrics.auc_and_ap(scored, ["view"]))
+    """How well the chain, fitted on whole observations, finds withheld populations in shortened views (0 days: all)."""
+    return rounded(chain.early(spark, sf_dir))
 
 
-_detection_sql = f"""WITH {PHOTOMETRY_SQL}, {METADATA_SQL}, fm AS (SELECT *, min(mjd) OVER (PARTITION BY object_id) AS m FROM phot),
-vw AS (SELECT fm.*, days::VARCHAR AS view FROM fm, (SELECT unnest({list(_DAYS)}) AS days) WHERE days = 0 OR mjd <= m + days), {_rescored_sql('vw', 'view')},
-v AS (SELECT resc.*, (NOT (code IN {KNOWN}))::INT AS y FROM resc JOIN meta USING (object_id)), {_auc_sql('v', 'view')} SELECT view, {_AUC_OUT} FROM auc"""
+_detection_sql = f"WITH {_sides_sql(_VIEWS_KEYED, chain.DAYS, 'days')}, sdl AS (SELECT * REPLACE (days::BIGINT AS days) FROM sd), " + _evaluated_sql("sdl", "days", (50,), (200,))
 
 
 def survey_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -948,6 +1017,15 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detectors.DetectorEnsemble(_FEATS, trees=50).fit(v.filter(_REFERENCE)).score(v))
 
 
+def boosted_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold quality of boosted trees over the whole feature matrix of the known objects."""
+    code = F.array_position(F.array(*map(F.lit, KNOWN)), F.col("code")).cast("int") - 1
+    known = views.metadata(spark, sf_dir).select("object_id", code.alias("label")).filter("label >= 0")
+    rows = stages.written(features.feature_matrix(views.photometry(spark, sf_dir), views.metadata(spark, sf_dir)).join(known, "object_id"))
+    names = [c for c in rows.columns if c not in ("object_id", "label")]
+    return boosting.BoostedPrior(names, rounds=8, bins=16, columns=0.3).fit(rows).report()
+
+
 _TREES = 20
 
 
@@ -1051,17 +1129,16 @@ _records_sql = f"WITH {_RANK_SQL}, {_TAX_SQL} SELECT object_id, rank::BIGINT AS
 
 
 def safety_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every corruption of every object, rescored, against the clean observations."""
-    scored = _rescored(inject.scenarios(views.photometry(spark, sf_dir)), "scenario")
-    ranked = stages.written(ordered.numbered(scored, -F.col("score"), [F.desc("score"), F.col("object_id")], "rank", ["scenario"], F.col("object_id")))
-    return rounded(inject.safety(ranked))
+    """Every corruption of every unseen object, scored by the chain, against the clean observations."""
+    return rounded(inject.safety(chain.corrupted(spark, sf_dir)))
 
 
 def _safety_sql() -> str:
     head = _scenarios_sql()
     ctes = head[head.index("WITH ") + 5 : head.rindex("\nSELECT scenario")]
-    return f"""WITH {ctes}, {_rescored_sql('u', 'scenario')},
-rk AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, object_id) AS rank FROM resc),
+    keyed = f"{ctes}, keyed AS (SELECT -(object_id * {chain.SIDES} + list_position({list(chain.SCENARIOS)}, scenario) - 1) - 1 AS object_id, mjd, passband, flux, flux_err, detected_bool FROM u)"
+    return f"""WITH {_sides_sql(keyed, chain.SCENARIOS, 'scenario')},
+rk AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, object_id) AS rank FROM sd),
 j AS (SELECT a.scenario, a.score - c.score AS ds, a.quality - c.quality AS dq, a.rank < c.rank AS up FROM rk a JOIN rk c ON a.object_id = c.object_id AND c.scenario = 'clean' AND a.scenario <> 'clean')
 SELECT scenario, count(*)::BIGINT AS n, count(*) FILTER (up)::BIGINT AS n_promoted, count(*) FILTER (ds > 1e-9)::BIGINT AS n_score_increased, {_r('avg(dq)', 'mean_delta_quality')}, {_r('avg(ds)', 'mean_delta_score')} FROM j GROUP BY scenario"""
 
@@ -1079,12 +1156,12 @@ _flagship_sql = f"WITH {_QUALITY_SQL}, g AS (SELECT object_id, max(flux / flux_e
 
 _ALL = {
     band_features: _band_features_sql, band_matrix: _band_matrix_sql, global_features: _global_sql, quality_features: _quality_features_sql, quality_gate: _quality_gate_sql, colour_features: _colour_sql, physics_features: _physics_sql(), host_features: _host_sql(), uncertainty_features: _uncertainty_sql(), feature_matrix: _matrix_sql(), early_window: _early_sql, part_statistics: _part_sql, population_lookup: _lookup_sql,
-    simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, family_misfit: _misfit_sql, rank01: _rank01_sql, evidence_channels: _channels_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
+    simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_cells: None, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, family_misfit: _misfit_sql, rank01: _rank01_sql, evidence_channels: _channels_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
     review_queue: _queue_sql, queue_page: _page_sql, queue_summary: _summary_sql, abstention_policy: _policy_sql,
-    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
+    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, chain_queue: _chain_queue_sql, chain_metrics: _chain_metrics_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
     drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: _size_sql,
     object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
-    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, gated_prior: None, anomaly_scores: None, isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, candidate_records: _records_sql,
+    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, boosted_prior: None, gated_prior: None, anomaly_scores: None, isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, candidate_records: _records_sql,
     flagship: _flagship_sql,
 }
 
