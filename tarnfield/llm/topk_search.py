@@ -26,6 +26,7 @@ STEP_BITS, QUERY_BLOCK, ROW_BLOCK = 6, 256, 4096
 BINS = 1 << STEP_BITS
 #: Added to a score, it gives an unsigned number in the same order.
 _SIGN = np.uint64(1 << 63)
+_LEAST, _GREATEST = -(1 << 63), (1 << 63) - 1
 #: What a block's components are kept as: the first that holds all of them exactly.
 _KINDS = ("<i1", "<i2", "<i4", "<f8")
 
@@ -70,16 +71,24 @@ def _matrix(ids: bytes, vs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products: exact in floating point while sums stay below its
-    mantissa, in Python's integers beyond. One that no long holds raises OverflowError."""
+    mantissa, in Python's integers beyond, held to the ends of a long."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if top < 2**24:
         return (q.astype(np.float32) @ x.T.astype(np.float32)).astype(np.int64)
     if top < 2**53:
         return (q @ x.T).astype(np.int64)
     exact = np.array([[int(c) for c in r] for r in q], object) @ np.array([[int(c) for c in r] for r in x], object).T
-    if exact.size and not -(1 << 63) <= exact.min() <= exact.max() < 1 << 63:
-        raise OverflowError("an inner product does not fit a 64-bit integer")
-    return exact.astype(np.int64)
+    return np.clip(exact, _LEAST, _GREATEST).astype(np.int64)
+
+
+def beyond(q: np.ndarray, x: np.ndarray, score: int) -> int | None:
+    """The whole inner product where ``score`` is an end of the longs, else None."""
+    return sum(int(a) * int(b) for a, b in zip(q, x)) if score in (_LEAST, _GREATEST) else None
+
+
+def _key(exact: int | None) -> bytes | None:
+    """Bytes that sort as the integers do: products of doubles stay far below 2 ** 2300."""
+    return None if exact is None else (exact + (1 << 2300)).to_bytes(288, "big")
 
 
 def _pairs(queries: DataFrame, candidates: DataFrame, n_blocks: int) -> DataFrame:
@@ -103,8 +112,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     candidate; ties go to the smaller id. Vectors that are null, empty or hold null
     or non-finite components take no part; vectors of different lengths have no
     score with each other. Fewer candidates than k: all. Repeated rows count each;
-    other columns are ignored, whatever their names. Every score that a long holds is
-    found; one beyond it raises. A vector's cost is its length times the queries, and
+    other columns are ignored, whatever their names. Scores are ranked as
+    whole integers; one that no long holds is returned as the nearest long. A vector's cost is its length times the queries, and
     a block holds ROW_BLOCK vectors, so very long ones need memory for that many.
     """
     cand = materialise(blocks(quantised(rows, id_col, vector_col), ROW_BLOCK))
@@ -122,7 +131,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
                 ids, q = _matrix(out.at[r, "ids"], out.at[r, "vs"], out.at[r, "dim"])
                 with np.errstate(over="ignore"):
                     bound = np.ceil(np.sqrt((q**2).sum(axis=1)) * longest[int(out.at[r, "dim"])] * (1 + 1e-9)) + 1
-                bound = np.minimum(bound, 2.0**63).astype(np.uint64)
+                bound = np.where(np.isnan(bound), 1.0, np.minimum(bound, 2.0**63)).astype(np.uint64)  # 0 times infinity: all scores are 0
                 out.at[r, "lo"] = (_SIGN - bound).astype("<u8").tobytes()
                 shift = np.zeros(len(ids), np.int64)
                 for _ in range(64 // STEP_BITS):  # until BINS bins hold 2 * bound + 1 values
@@ -204,14 +213,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
                 i, j = np.nonzero((s > kth[:, None]) & other)
                 ti, tj = np.nonzero((s == kth[:, None]) & other)
                 order = np.lexsort((c_ids[tj], ti))  # of a block's ties the k least ids are enough
+                if np.isin(kth, (_LEAST, _GREATEST)).any():  # at the ends of the longs the whole products decide
+                    order = np.array(sorted(range(len(ti)), key=lambda n: (ti[n], -(beyond(q[ti[n]], x[tj[n]], kth[ti[n]]) or 0), c_ids[tj[n]])), np.int64)
                 ti, tj = ti[order], tj[order]
                 nth = np.arange(len(ti)) - np.searchsorted(ti, ti, side="left")
                 ti, tj = ti[nth < k], tj[nth < k]
                 i, j = np.concatenate((i, ti)), np.concatenate((j, tj))
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": c_ids[j], "score": s[i, j]})
+                far = [_key(beyond(q[a], x[b], v)) for a, b, v in zip(i, j, s[i, j])] if np.isin(s[i, j], (_LEAST, _GREATEST)).any() else [None] * len(i)
+                yield pd.DataFrame({"query_id": ids[i], "vec_id": c_ids[j], "score": s[i, j], "far": far})
 
-    found = _pairs(state, cand, n_blocks).mapInPandas(emit, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = _pairs(state, cand, n_blocks).mapInPandas(emit, "query_id long, vec_id long, score long, far binary")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("far"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -439,9 +439,19 @@ def test_topk_finds_every_score_that_a_long_holds(spark):
     assert sorted(got) == [(k + 1, i, -s) for k, (s, i) in enumerate(expect)]
     edge = spark.createDataFrame([(0, [2.0**25, 0.0]), (1, [-(2.0**26), 0.0]), (2, [2.0**25, 0.0])], df.schema)  # 2^31 times -2^32 is the least long
     assert [(x.vec_id, x.score) for x in topk_search.search(edge, edge.filter("vec_id = 0"), 5).orderBy("rank").collect()] == [(2, 1 << 62), (1, -(1 << 63))]
-    far = spark.createDataFrame([(0, [1e18]), (1, [1e18])], df.schema)
-    with pytest.raises(Exception, match="does not fit"):
-        topk_search.search(far, far, 5).collect()
+
+
+def test_topk_ranks_what_no_long_holds_and_keeps_the_other_queries(spark):
+    rows = [(0, [1e300, 0.0]), (1, [1.0, 2.0]), (2, [3e299, 1.0]), (3, [-1e300, 5.0]), (4, [2e299, 0.0]), (5, [4e299, 0.0]), (6, [-2e299, 0.0]), (7, [0.0, 0.0]), (8, [4e299, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    for k in (2, 3, 8):
+        got = defaultdict(list)
+        for x in topk_search.search(df, df, k).collect():
+            got[x.query_id].append((x.rank, x.vec_id, x.score))
+        for q in whole:
+            exact = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]
+            assert sorted(got[q]) == [(n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(exact)], q
 
 
 def test_topk_counts_repeated_rows_and_ignores_other_columns(spark):
