@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfield.operators import ordered
+from tarnfield.sources import stages, store
 
 EPSILON = 1e-6
 # PSI at which a domain is matched, and at which it abstains.
@@ -79,18 +80,71 @@ def effective_size(weights: DataFrame) -> DataFrame:
 
 
 class ShiftMonitor:
-    """A reference whose drift to later batches is reported in one row."""
+    """A reference as exact tables of its values, to which later batches are compared.
+
+    The state is (covariate, v, n), how often each value is there; states of several batches
+    are added up. It can be published as a version and read back. Missing values and NaN
+    count as 0. Drift below WARN matches, above FAIL abstains (the worst covariate counts)."""
+
+    #: Shares of the range that was seen, of the bins' edges, and the median.
+    SHARES = (0.005, 0.5, 0.995, *(i / 10 for i in range(11)))
 
     def __init__(self, covariates: list[str]) -> None:
-        self.covariates = covariates
+        self.covariates = list(covariates)
+
+    def counts(self, rows: DataFrame) -> DataFrame:
+        value = lambda c: F.when(F.isnan(F.col(c).cast("double")), 0.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        own = [c for c in self.covariates if c in rows.columns]
+        if not own:
+            return rows.sparkSession.createDataFrame([], "covariate string, v double, n long")
+        each = F.explode(F.array(*(F.struct(F.lit(c).alias("covariate"), value(c).alias("v")) for c in own))).alias("e")
+        return rows.select(each).groupBy("e.covariate", "e.v").agg(F.count(F.lit(1)).alias("n"))
+
+    def _with(self, state: DataFrame) -> ShiftMonitor:
+        self.state = stages.written(state)
+        found = ordered.quantiles_of_counts(self.state.select(F.col("covariate").alias("name"), "v", F.col("n").alias("same")), list(self.SHARES))
+        self.fitted = {c: {"low": q[0], "median": q[1], "high": q[2], "edges": sorted(set(q[3:]))} for c, q in found.items()}
+        return self
 
     def fit(self, reference: DataFrame) -> ShiftMonitor:
-        self.reference = reference.select(*self.covariates)
-        return self
+        return self._with(self.counts(reference))
+
+    def merge(self, batch: DataFrame) -> ShiftMonitor:
+        """Adds a batch to the reference; its rows are read once, the reference's are not."""
+        return self._with(self.state.unionByName(self.counts(batch)).groupBy("covariate", "v").agg(F.sum("n").alias("n")))
+
+    def save(self, path: str) -> int:
+        return store.Snapshots(self.state.sparkSession, path).publish(self.state, {"covariates": self.covariates})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> ShiftMonitor:
+        versions = store.Snapshots(spark, path)
+        return cls(versions.note(version)["covariates"])._with(versions.read(version))
 
     def health(self, target: DataFrame) -> DataFrame:
-        """mean_psi, worst_psi, match_score and status (matched, degraded, abstain), and the
-        greatest KS distance and share outside the reference's range over the covariates."""
-        long = long_form(self.reference, self.covariates, "reference").unionByName(long_form(target, self.covariates, "target"))
-        far = outside_range(self.reference, target, self.covariates).agg(F.max("outside_fraction").alias("worst_outside"))
-        return match(psi(long)).join(ks(long).agg(F.max("ks").alias("worst_ks"))).join(far)
+        """A row for each covariate of both sides: covariate, psi, ks, outside (the share beyond
+        the reference's 0.5 to 99.5 %), low, high, target_median, reference_median."""
+        spark = target.sparkSession
+        kinds = "covariate string, low double, high double, reference_median double, edges array<double>"
+        fitted = spark.createDataFrame([(c, f["low"], f["high"], f["median"], f["edges"]) for c, f in self.fitted.items()], kinds)
+        mine = stages.written(self.counts(target))
+        medians = ordered.quantiles_of_counts(mine.select(F.col("covariate").alias("name"), "v", F.col("n").alias("same")), [0.5])
+        medians = spark.createDataFrame([(c, q[0]) for c, q in medians.items()], "covariate string, target_median double")
+        both = self.state.select("covariate", "v", F.col("n").alias("r"), F.lit(0).cast("long").alias("t")).unionByName(mine.select("covariate", "v", F.lit(0).cast("long").alias("r"), F.col("n").alias("t")))
+        both = both.groupBy("covariate", "v").agg(F.sum("r").alias("r"), F.sum("t").alias("t")).join(F.broadcast(fitted), "covariate")
+        inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+        both = both.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("v"))))
+        cum = stages.written(ordered.running(ordered.by_ranges(both, F.col("v")), [F.col("v")], {"upto_r": F.col("r"), "upto_t": F.col("t")}, ["covariate"], totals=True))
+        cum = cum.filter("all_upto_r > 0 AND all_upto_t > 0")
+        bins = cum.groupBy("covariate", "bin").agg(F.greatest(F.sum("r") / F.first("all_upto_r"), F.lit(EPSILON)).alias("p"), F.greatest(F.sum("t") / F.first("all_upto_t"), F.lit(EPSILON)).alias("q"), F.first(F.size("edges")).alias("n_edges"))
+        psis = bins.groupBy("covariate").agg(F.when(F.first("n_edges") < 3, 0.0).otherwise(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p")))).alias("psi"))
+        far = F.sum(F.when((F.col("v") < F.col("low")) | (F.col("v") > F.col("high")), F.col("t")).otherwise(0)) / F.first("all_upto_t")
+        rest = cum.groupBy("covariate").agg(F.max(F.abs(F.col("upto_r") / F.col("all_upto_r") - F.col("upto_t") / F.col("all_upto_t"))).alias("ks"), far.alias("outside"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("reference_median").alias("reference_median"))
+        return psis.join(rest, "covariate").join(F.broadcast(medians), "covariate").select("covariate", "psi", "ks", "outside", "low", "high", "target_median", "reference_median")
+
+    @staticmethod
+    def status(health: DataFrame) -> DataFrame:
+        """One row: score (1 less the worst PSI over ABSTAIN, 0 to 1), status, worst_psi, mean_psi. Without covariates: matched, score null."""
+        worst = F.col("worst_psi")
+        state = F.when(worst.isNull() | (worst < MATCHED), "matched").when(worst > ABSTAIN, "abstain").otherwise("degraded")
+        return health.agg(F.max("psi").alias("worst_psi"), F.avg("psi").alias("mean_psi")).select(F.when(worst.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - worst / ABSTAIN))).alias("score"), state.alias("status"), "worst_psi", "mean_psi")

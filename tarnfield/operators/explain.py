@@ -20,11 +20,15 @@ def feature_deviations(rows: DataFrame, stats: DataFrame, features: list[str], l
 
 
 def analogues(near: DataFrame, max_distance: float = 12.0, min_reliable: int = 3) -> DataFrame:
-    """Per query: neighbours in reach, whether they suffice, the leading class and its share."""
-    counts = near.filter(F.col("distance") <= max_distance).groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    """Per query with a neighbour in reach: how many there are, the leading class and its share,
+    whether they suffice, their mean distance, the classes' shares (a map), and why they do not suffice."""
+    counts = near.filter(F.col("distance") <= max_distance).groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("d"))
     lead = F.max_by("label", F.struct(F.col("n"), -F.col("label")))
-    out = counts.groupBy(F.col("query_id").alias("object_id")).agg(F.sum("n").alias("n_analogues"), lead.alias("dominant"), (F.max("n") / F.sum("n")).alias("purity"))
-    return out.withColumn("reliable", F.col("n_analogues") >= min_reliable)
+    out = counts.groupBy(F.col("query_id").alias("object_id")).agg(F.sum("n").alias("n_analogues"), lead.alias("dominant"), (F.max("n") / F.sum("n")).alias("purity"), (F.sum("d") / F.sum("n")).alias("mean_distance"), F.array_sort(F.collect_list(F.struct("label", "n"))).alias("_each"))
+    shares = F.map_from_entries(F.transform("_each", lambda e: F.struct(e["label"].cast("string"), e["n"] / F.col("n_analogues"))))
+    enough = F.col("n_analogues") >= min_reliable
+    why = F.when(enough, "").otherwise(F.format_string("only %d analogues within reach, %d are needed", F.col("n_analogues"), F.lit(min_reliable)))
+    return out.withColumns({"reliable": enough, "class_shares": shares, "reason": why}).drop("_each")
 
 
 def contributions(evidence: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -35,3 +39,22 @@ def contributions(evidence: DataFrame, weights: dict[str, float]) -> DataFrame:
     e = evidence.withColumn("driver", F.sort_array(parts, asc=False)[0]).join(F.broadcast(tax), "best_fit_code", "left")
     text = F.format_string("Closest known population %s (probability %.2f); driven by %s.", F.coalesce("best_fit", F.lit("unknown")), F.col("best_fit_prob"), F.translate("driver.channel", "_", " "))
     return e.select("object_id", F.col("driver.channel").alias("driver"), F.col("driver.share").alias("share"), text.alias("summary"))
+
+
+def payload(evidence: DataFrame, weights: dict[str, float], deviations: DataFrame, analogue_rows: DataFrame, near: DataFrame, n_near: int = 5) -> DataFrame:
+    """object_id and one document with all that explains it: channels with value, weight and
+    contribution (largest first), the deviating features, the analogues with their nearest
+    members, the driver and the sentence.
+
+    ``evidence`` is the page of the queue that is explained; the other tables (of
+    feature_deviations, analogues and neighbours) may hold more objects. What an object lacks is null."""
+    total = sum(weights.values())
+    each = [F.struct((F.col(c) * (w / total)).alias("contribution"), F.lit(c).alias("channel"), F.col(c).alias("value"), F.lit(w / total).alias("weight")) for c, w in weights.items() if w > 0]
+    page = evidence.select("object_id")
+    channels = evidence.select("object_id", F.sort_array(F.array(*each), asc=False).alias("channels"))
+    odd = deviations.join(page, "object_id", "left_semi").groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "value", "z"))).alias("deviations"))
+    members = near.filter(F.col("rank") <= n_near).groupBy(F.col("query_id").alias("object_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("object_id").alias("analogue"), "label", "distance"))).alias("nearest"))
+    like = analogue_rows.join(members, "object_id", "left").join(page, "object_id", "left_semi")
+    like = like.select("object_id", F.struct(*(c for c in [*analogue_rows.columns, "nearest"] if c != "object_id")).alias("analogues"))
+    out = channels.join(contributions(evidence, weights), "object_id").join(odd, "object_id", "left").join(like, "object_id", "left")
+    return out.select("object_id", "driver", F.to_json(F.struct("driver", "summary", "channels", "deviations", "analogues")).alias("document"))

@@ -234,12 +234,14 @@ _OBSERVED = ("object_id", "mjd", "passband", "flux", "flux_err", "detected_bool"
 _PEAK_OF = {"p": "flux_max", "t": "t_peak", "r": "rise_time", "d": "decline_time"}
 
 
-def feature_matrix(obs: DataFrame, meta: DataFrame) -> DataFrame:
+def feature_matrix(obs: DataFrame, meta: DataFrame, dealt: bool = False) -> DataFrame:
     """All blocks beside each other, a row for each object. Observations are dealt by
     object once: both aggregations read every column, so that they share the exchange,
     and the blocks of peaks and metadata are columns over the wide rows. Metadata has
-    a row for each object."""
-    obs = obs.select(*_OBSERVED).repartition("object_id")
+    a row for each object. ``dealt`` observations (of a store in buckets of object_id)
+    are not dealt again."""
+    obs = obs.select(*_OBSERVED)
+    obs = obs if dealt else obs.repartition("object_id")
     bands = wide(band_statistics(obs), (*PLAIN, *ORDERED, *DETECTED, *SHAPE, *DERIVED))
     peaks = bands.withColumns({f"{x}_{b}": F.col(f"{b}_{s}") for b in BANDS for x, s in _PEAK_OF.items()})
     meta = meta.select(*(f.name for f in METADATA.fields if f.name in meta.columns))

@@ -142,9 +142,20 @@ class GatedPrior(Prior):
         if gated.select("label").distinct().count() < 2:
             raise ValueError("both families need rows")
         self.gate = self._fit(gated)
+        self.branches: dict[bool, Prior] = {}  # a model for each family's own classes
+        for first in (True, False):
+            side = rows.filter(F.col("label").isin(*self.first_family) == F.lit(first))
+            if side.select("label").distinct().count() > 1:
+                self.branches[first] = Prior(self.features, self.n_folds, self.trees, self.seed).fit(side)
         super().fit(rows)
         return self
 
+    def within(self, rows: DataFrame, first: bool) -> DataFrame:
+        """object_id and p of the family's own model, over all classes; those of the other family are 0."""
+        if first not in self.branches:
+            raise LookupError("the family has one class only")
+        return self.branches[first].probabilities(rows)
+
     def probabilities(self, rows: DataFrame) -> DataFrame:
         gate = self.gate.transform(assembled(rows, self.features)).select("object_id", vector_to_array("probability")[1].alias("g"))
         both = super().probabilities(rows).join(gate, "object_id")
@@ -219,3 +230,50 @@ def calibration_cells(rows: DataFrame, confidence: str, nuisance: str, error: st
 
     j = rows.withColumns({"c_bin": bin_of(confidence), "n_bin": bin_of(nuisance)})
     return j.groupBy("c_bin", "n_bin").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_error")).withColumn("thin", F.col("n") < least)
+
+
+class Calibrator:
+    """Expected error by confidence and nuisance: the cells of ``calibration_cells`` as a fitted state.
+
+    ``transform`` looks a row's cell up; a thin or absent cell takes the mean over its
+    confidence bin's cells that are not thin, and where there is none the overall mean.
+    ``degenerate`` says that no cell has enough rows, so that all rows get the overall mean."""
+
+    def __init__(self, confidence: str, nuisance: str, error: str, bins: int = 5, least: int = 40) -> None:
+        self.confidence, self.nuisance, self.error, self.bins, self.least = confidence, nuisance, error, bins, least
+
+    def fit(self, rows: DataFrame) -> Calibrator:
+        rows = stages.written(rows.select(self.confidence, self.nuisance, self.error))
+        found = ordered.quantiles(rows, [self.confidence, self.nuisance], [i / self.bins for i in range(1, self.bins)])
+        self.edges = {c: found.get(c, []) for c in (self.confidence, self.nuisance)}
+        cells = self._binned(rows).groupBy("c_bin", "n_bin").agg(F.count(F.lit(1)).alias("n"), F.avg(self.error).alias("error")).collect()  # bins squared
+        known = [c for c in cells if c["error"] is not None]
+        total = sum(c["n"] for c in known)
+        self.overall = sum(c["n"] * c["error"] for c in known) / total if total else 0.0
+        self.cells = {(c["c_bin"], c["n_bin"]): (c["n"], c["error"]) for c in known}
+        fat = {k: v for k, v in self.cells.items() if v[0] >= self.least}
+        self.degenerate = not fat
+        self.table = {}
+        for c in range(self.bins):
+            row = [v for k, v in fat.items() if k[0] == c]
+            fallback = sum(n * e for n, e in row) / sum(n for n, _ in row) if row else self.overall
+            for n in range(self.bins):
+                self.table[c, n] = fat[c, n][1] if (c, n) in fat else fallback
+        return self
+
+    def _binned(self, rows: DataFrame) -> DataFrame:
+        place = lambda c: sum(((F.coalesce(F.col(c) >= e, F.lit(False))).cast("int") for e in self.edges[c]), F.lit(0))
+        return rows.withColumns({"c_bin": place(self.confidence), "n_bin": place(self.nuisance)})
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Adds expected_error and from_cell (whether the row's own cell was full enough)."""
+        fat = [k for k, v in self.cells.items() if v[0] >= self.least]
+        key = F.col("c_bin") * self.bins + F.col("n_bin")
+        value = F.element_at(F.array(*(F.lit(float(self.table[c, n])) for c in range(self.bins) for n in range(self.bins))), key + 1)
+        own = key.isin([c * self.bins + n for c, n in fat]) if fat else F.lit(False)
+        return self._binned(rows).withColumns({"expected_error": value, "from_cell": own}).drop("c_bin", "n_bin")
+
+    def coverage(self, rows: DataFrame) -> DataFrame:
+        """One row: n, the share of rows whose own cell is full enough, mean expected and true error, degenerate."""
+        t = self.transform(rows)
+        return t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("from_cell").cast("double")).alias("coverage"), F.avg("expected_error").alias("mean_expected"), F.avg(self.error).alias("mean_error")).withColumn("degenerate", F.lit(self.degenerate))

@@ -100,12 +100,14 @@ def quantiles(rows: DataFrame, columns: list[str], shares: list[float]) -> dict[
 
 
 def quantiles_of(long: DataFrame, shares: list[float]) -> dict[str, list[float]]:
-    """The same for long rows (name, v).
+    """The same for long rows (name, v)."""
+    return quantiles_of_counts(long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("same")), shares)
 
-    Equal values are counted first, and what comes to the driver is the few values
-    that the quantiles lie between."""
-    counts = by_ranges(long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("same")), F.col("v"))
-    cum = running(counts, [F.col("v")], {"upto": F.col("same")}, ["name"], totals=True)
+
+def quantiles_of_counts(counts: DataFrame, shares: list[float]) -> dict[str, list[float]]:
+    """The same for values and how often each is there (name, v, same). What comes to the
+    driver is the few values that the quantiles lie between."""
+    cum = running(by_ranges(counts, F.col("v")), [F.col("v")], {"upto": F.col("same")}, ["name"], totals=True)
     at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), ((F.col("all_upto") - 1) * s).alias("pos")) for k, s in enumerate(shares))))
     cum = cum.select("name", "v", "same", "upto", at.alias("at"))
     first = F.col("upto") - F.col("same")

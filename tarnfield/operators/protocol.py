@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,35 @@ def split(objects: DataFrame, fractions: dict[str, float], seed: str, key: str =
     return objects.withColumn("split", name)
 
 
+def exact_split(objects: DataFrame, fractions: dict[str, float], seed: int, key: str = "object_id") -> DataFrame:
+    """(key, u, split) of the distinct ids as one generator would deal them in ascending order.
+
+    Ids are numbered by ranges; a task moves the generator ahead to the first number of
+    each run of ids it holds, so the draws are those of NumPy's default generator over all
+    ids at once. Null ids take no part; the last split takes the rest."""
+    numbered = ordered.numbered(objects.select(F.col(key).cast("long").alias(key)).filter(F.col(key).isNotNull()).distinct(), F.col(key), [F.col(key)], "_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            u = np.zeros(len(n))
+            for part in np.split(np.arange(len(n)), np.nonzero(np.diff(n) != 1)[0] + 1) if len(n) else []:
+                bits = np.random.default_rng(seed).bit_generator
+                bits.advance(int(n[part[0]]) - 1)
+                u[part] = np.random.Generator(bits).random(len(part))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(u)], names=[key, "u"])
+
+    drawn = numbered.select(key, F.col("_n").cast("long")).mapInArrow(run, f"`{key}` long, u double")
+    upto, bounds = 0.0, []
+    for name, share in list(fractions.items())[:-1]:
+        bounds.append((name, upto, upto + float(share)))
+        upto += float(share)
+    own = F.lit(list(fractions)[-1])
+    for name, low, high in reversed(bounds):
+        own = F.when((F.col("u") >= low) & (F.col("u") < high), name).otherwise(own)
+    return drawn.withColumn("split", own)
+
+
 def folds(rows: DataFrame, label: str, n: int, seed: str, key: str = "object_id") -> DataFrame:
     """Adds ``fold``: each label's rows dealt in turn, in hash order."""
     dealt = ordered.dealt(rows, draw(F.col(key), seed), [F.col(key)], [label], "_nth")
@@ -80,6 +112,10 @@ def verify(members: DataFrame, text: str) -> bool:
     return json.loads(manifest(members, body["name"], body["seed"], body["locked"]))["splits"] == body["splits"]
 
 
+class LeakageError(RuntimeError):
+    """A stage has read what it must not."""
+
+
 class LeakageGuard:
     """Collects what each stage reads; reads of the locked split are violations."""
 
@@ -89,6 +125,12 @@ class LeakageGuard:
     def saw(self, stage: str, ids: DataFrame) -> None:
         self.reads.append(ids.select(F.lit(stage).alias("stage"), "object_id"))
 
+    def assert_clean(self) -> None:
+        """Raises LeakageError, naming the stages, if any has read the locked split."""
+        bad = {r["stage"]: r["n"] for r in self.violations().collect()}  # a row for each stage
+        if bad:
+            raise LeakageError(f"stages read the locked split {self.locked!r}: {bad}")
+
     def violations(self) -> DataFrame:
         if not self.reads:
             raise ValueError("no stage has reported its reads")

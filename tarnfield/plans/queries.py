@@ -546,10 +546,11 @@ FROM t JOIN auc USING (target) JOIN ci USING (target), rk GROUP BY t.target"""
 
 
 def per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.per_class(views.scored(spark, sf_dir), 100))
+    names = spark.createDataFrame([(f"src{k}", f"source {k}", k % 3 == 0) for k in range(20)], "grp string, name string, held_out boolean")
+    return rounded(metrics.per_class(views.scored(spark, sf_dir), 100, names=names))
 
 
-_class_sql = f"WITH {_TOP_SQL} SELECT grp, count(*)::BIGINT AS n, count(*) FILTER (rank <= 100)::BIGINT AS in_top, {_r('count(*) FILTER (rank <= 100) / count(*)', 'recall')}, {_r('count(*) FILTER (rank <= 100) / (count(*) / any_value(n) * 100)', 'enrichment')}, count(*) < 30 AS low_n FROM rk, tot GROUP BY grp"
+_class_sql = f"WITH {_TOP_SQL} SELECT grp, count(*)::BIGINT AS n, count(*) FILTER (rank <= 100)::BIGINT AS in_top, {_r('count(*) FILTER (rank <= 100) / count(*)', 'recall')}, {_r('count(*) FILTER (rank <= 100) / (count(*) / any_value(n) * 100)', 'enrichment')}, count(*) < 30 AS low_n, replace(grp, 'src', 'source ') AS name, replace(grp, 'src', '')::INT % 3 = 0 AS held_out FROM rk, tot GROUP BY grp"
 _CH = ("taxonomy_gap", "prior_entropy", "simplex_novelty", "novelty_gap", "neighbor_entropy", "family_misfit", "physics_gap", "cc_weighted")
 
 
@@ -562,14 +563,15 @@ _power_sql = f"WITH {_EVIDENCE_SQL}, ch AS (" + " UNION ALL ".join(f"SELECT obje
 
 
 def uncertainty_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC of the most confident shares of the queue."""
+    """AUC and purity of the queue among its most confident shares (half, three quarters, nine tenths)."""
     e = _evidence(spark, sf_dir)
     cuts = ordered.quantiles(e, ["uncertainty"], [0.5, 0.75, 0.9])["uncertainty"]
     kept = e.select("object_id", "y", F.round("taxonomy_gap", 9).alias("score"), "uncertainty", F.posexplode(F.array(*map(F.lit, cuts))).alias("nth", "cut")).filter("uncertainty <= cut")
-    return rounded(metrics.auc_and_ap(kept, ["nth"]))
+    return rounded(metrics.evaluate(kept.withColumn("nth", F.col("nth").cast("long")), ["nth"], (20, 50, 100), (200,)))
 
 
-_unc_sql = f"WITH {_EVIDENCE_SQL}, cu AS (SELECT unnest([0, 1, 2]) AS nth, unnest([quantile_cont(uncertainty, 0.5), quantile_cont(uncertainty, 0.75), quantile_cont(uncertainty, 0.9)]) AS cut FROM ev), kept AS (SELECT nth, y, round(taxonomy_gap, 9) AS score FROM ev, cu WHERE uncertainty <= cut), {_auc_sql('kept', 'nth')} SELECT nth::BIGINT AS nth, {_AUC_OUT} FROM auc"
+def _uncertainty_value_sql() -> str:
+    return f"WITH {_EVIDENCE_SQL}, cu AS (SELECT unnest([0, 1, 2]::BIGINT[]) AS nth, unnest([quantile_cont(uncertainty, 0.5), quantile_cont(uncertainty, 0.75), quantile_cont(uncertainty, 0.9)]) AS cut FROM ev), kept AS (SELECT nth, object_id, y, round(taxonomy_gap, 9) AS score FROM ev, cu WHERE uncertainty <= cut), " + _evaluated_sql("kept", "nth", (20, 50, 100), (200,))
 
 
 def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -872,6 +874,21 @@ def outside_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 _outside_sql = f"WITH {_SIDES_SQL}, r AS (SELECT covariate, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM lng WHERE ref GROUP BY covariate) SELECT covariate, {_r('avg((v < lo OR v > hi)::INT)', 'outside_fraction')} FROM lng JOIN r USING (covariate) WHERE NOT ref GROUP BY covariate"
 
 
+def shift_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each covariate's drift against the stored state of the reference; missing values count as 0."""
+    reference, target = _sides(spark, sf_dir)
+    return rounded(domain.ShiftMonitor(_COV).fit(reference).health(target))
+
+
+_health_sql = f"""WITH {_SIDES_SQL.split(", lng AS")[0]}, lz AS (SELECT 'n_chars' AS covariate, coalesce(n_chars, 0.0) AS v, ref FROM side UNION ALL SELECT 'words', coalesce(words, 0.0), ref FROM side),
+ft AS (SELECT covariate, quantile_cont(v, 0.005) AS low, quantile_cont(v, 0.5) AS reference_median, quantile_cont(v, 0.995) AS high, list_sort(list_distinct(quantile_cont(v, {[i / 10 for i in range(11)]}))) AS e FROM lz WHERE ref GROUP BY covariate),
+bn AS (SELECT covariate, len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS t FROM lz JOIN ft USING (covariate) GROUP BY ALL),
+pq AS (SELECT covariate, greatest(r / sum(r) OVER (PARTITION BY covariate), 1e-6) AS p, greatest(t / sum(t) OVER (PARTITION BY covariate), 1e-6) AS q FROM bn), ps AS (SELECT covariate, sum((q - p) * ln(q / p)) AS psi FROM pq GROUP BY covariate),
+cc AS (SELECT covariate, v, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS t FROM lz GROUP BY covariate, v), dd AS (SELECT covariate, abs(sum(r) OVER w / sum(r) OVER (PARTITION BY covariate) - sum(t) OVER w / sum(t) OVER (PARTITION BY covariate)) AS d FROM cc WINDOW w AS (PARTITION BY covariate ORDER BY v)),
+ks AS (SELECT covariate, max(d) AS ks FROM dd GROUP BY covariate), ou AS (SELECT covariate, avg((v < low OR v > high)::INT) AS outside, quantile_cont(v, 0.5) AS target_median FROM lz JOIN ft USING (covariate) WHERE NOT ref GROUP BY covariate)
+SELECT covariate, {", ".join(map(_r, ("psi", "ks", "outside", "low", "high", "target_median", "reference_median")))} FROM ps JOIN ks USING (covariate) JOIN ou USING (covariate) JOIN ft USING (covariate)"""
+
+
 def reference_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = domain.stratified_weights(*_sides(spark, sf_dir), ["n_chars"])
     return rounded(w.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight")))
@@ -907,6 +924,12 @@ _MEMBERS_SQL = f"mem AS (SELECT vec_id AS object_id, label, CASE WHEN u < 0.6 TH
 _split_sql = f"WITH {_MEMBERS_SQL} SELECT object_id, label::BIGINT AS label, split FROM mem"
 
 
+def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split as one seeded generator deals their ascending ids."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("object_id"))
+    return protocol.exact_split(d, _FRACTIONS, 42)
+
+
 def split_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protocol.fingerprints(_members(spark, sf_dir))
 
@@ -1082,7 +1105,8 @@ def density_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adversarial_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return models.adversarial_validation(v.filter("label < 5"), v.filter("label >= 5"), _FEATS).select("roc_auc", "verdict")
+    novelty = v.select("object_id", F.col("f0").alias("novelty"))
+    return models.adversarial_validation(v.filter("label < 5"), v.filter("label >= 5"), _FEATS, novelty=novelty)
 
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1103,10 +1127,11 @@ _deviation_sql = f"WITH {_LONG_SQL}, z AS (SELECT object_id, lf.feature, v AS va
 
 
 def analogue_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(explain.analogues(_near(spark, sf_dir)))
+    out = explain.analogues(_near(spark, sf_dir))
+    return rounded(out.withColumn("leading_share", F.col("class_shares")[F.col("dominant").cast("string")]).drop("class_shares"))
 
 
-_analogue_sql = f"WITH {_KNN_SQL}, c AS (SELECT query_id, label, count(*) AS n FROM near WHERE distance <= 12 GROUP BY ALL) SELECT query_id AS object_id, sum(n)::BIGINT AS n_analogues, first(label ORDER BY n DESC, label)::BIGINT AS dominant, {_r('max(n) / sum(n)', 'purity')}, sum(n) >= 3 AS reliable FROM c GROUP BY query_id"
+_analogue_sql = f"WITH {_KNN_SQL}, c AS (SELECT query_id, label, count(*) AS n, sum(distance) AS d FROM near WHERE distance <= 12 GROUP BY ALL) SELECT query_id AS object_id, sum(n)::BIGINT AS n_analogues, first(label ORDER BY n DESC, label)::BIGINT AS dominant, {_r('max(n) / sum(n)', 'purity')}, {_r('sum(d) / sum(n)', 'mean_distance')}, sum(n) >= 3 AS reliable, CASE WHEN sum(n) >= 3 THEN '' ELSE 'only ' || sum(n)::BIGINT || ' analogues within reach, 3 are needed' END AS reason, {_r('max(n) / sum(n)', 'leading_share')} FROM c GROUP BY query_id"
 
 
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1118,6 +1143,41 @@ d AS (SELECT object_id, any_value(best_fit_code) AS code, any_value(best_fit_pro
 SELECT object_id, driver, {_r('share')}, printf('Closest known population %s (probability %.2f); driven by %s.', coalesce(name, 'unknown'), prob::DOUBLE, replace(driver, '_', ' ')) AS summary FROM d LEFT JOIN tax ON tax.code = d.code"""
 
 
+def explanation_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole explanation of the stated queries' objects, read back field by field."""
+    e = _evidence(spark, sf_dir).filter("object_id % 20 = 0")
+    near = stages.written(_near(spark, sf_dir))
+    v = _vectors(spark, sf_dir).withColumn("best_fit_code", F.pmod(F.col("label") + 1, F.lit(10)))
+    odd = explain.feature_deviations(v, evidence.class_statistics(_packed(spark, sf_dir), _FEATS), _FEATS, 1.5)
+    docs = explain.payload(e, ranking.BASELINE, odd, explain.analogues(near), near)
+    d = F.from_json("document", "summary string, channels array<struct<contribution: double, channel: string, value: double, weight: double>>, deviations array<struct<rank: int, feature: string, z: double>>, analogues struct<n_analogues: long, mean_distance: double, class_shares: map<string, double>, nearest: array<struct<rank: int, analogue: long>>>")
+    rows = docs.select("object_id", "driver", d.alias("d"))
+    first = lambda x: F.try_element_at(x, F.lit(1))
+    return rounded(rows.select("object_id", "driver", first(F.col("d.channels"))["contribution"].alias("share"), F.size("d.channels").alias("n_channels"), first(F.col("d.deviations"))["feature"].alias("odd_feature"), first(F.col("d.deviations"))["z"].alias("odd_z"), "d.analogues.n_analogues", "d.analogues.mean_distance", F.size("d.analogues.class_shares").alias("n_classes"), first(F.col("d.analogues.nearest"))["analogue"].alias("nearest")))
+
+
+_payload_sql = f"""WITH {_EVIDENCE_SQL}, {_KNN_SQL}, zz AS (SELECT object_id, lf.feature, (v - mean) / sd AS z FROM lf JOIN cs ON cs.label = (lf.label + 1) % 10 AND cs.feature = lf.feature AND sd > 1e-12),
+zk AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY abs(z) DESC, feature) AS rank FROM zz WHERE abs(z) >= 1.5),
+an AS (SELECT query_id, count(*) AS n_analogues, avg(distance) AS mean_distance, count(DISTINCT label) AS n_classes, min(object_id) FILTER (rank = 1) AS nearest FROM near WHERE distance <= 12 GROUP BY query_id),
+pc AS (SELECT object_id, unnest([{', '.join(repr(c) for c in _W)}]) AS driver, unnest([{', '.join(f'{c} * {w!r}::DOUBLE' for c, w in _W.items())}]) AS share FROM ev),
+dv AS (SELECT object_id, first(driver ORDER BY share DESC, driver DESC) AS driver, max(share) AS share FROM pc GROUP BY object_id)
+SELECT ev.object_id, driver, {_r('share')}, {len(_W)}::BIGINT AS n_channels, zk.feature AS odd_feature, {_r('z', 'odd_z')}, n_analogues::BIGINT AS n_analogues, {_r('mean_distance')}, coalesce(n_classes, -1)::BIGINT AS n_classes, nearest
+FROM ev JOIN dv USING (object_id) LEFT JOIN zk ON zk.object_id = ev.object_id AND zk.rank = 1 LEFT JOIN an ON an.query_id = ev.object_id WHERE ev.object_id % 20 = 0"""
+
+
+def calibrated_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object's expected error by the calibrator's cells, fitted on one half and applied to the other."""
+    e = _evidence(spark, sf_dir).withColumn("error", F.col("y").cast("double"))
+    model = models.Calibrator("best_fit_prob", "quality", "error").fit(e.filter("object_id % 2 = 0"))
+    return rounded(model.transform(e.filter("object_id % 2 = 1")).select("object_id", "expected_error", "from_cell"))
+
+
+_calibrated_sql = f"""WITH {_EVIDENCE_SQL}, h AS (SELECT * FROM ev WHERE object_id % 2 = 0), ed AS (SELECT quantile_cont(best_fit_prob, [0.2, 0.4, 0.6, 0.8]) AS a, quantile_cont(quality, [0.2, 0.4, 0.6, 0.8]) AS b FROM h),
+bi AS (SELECT object_id, y, len(list_filter(a, lambda x: x <= best_fit_prob)) AS c_bin, len(list_filter(b, lambda x: x <= quality)) AS n_bin FROM ev, ed),
+ce AS (SELECT c_bin, n_bin, count(*) AS n, avg(y) AS error FROM bi WHERE object_id % 2 = 0 GROUP BY ALL HAVING count(*) >= 40), ro AS (SELECT c_bin, sum(n * error) / sum(n) AS error FROM ce GROUP BY c_bin)
+SELECT object_id, {_r('coalesce(ce.error, ro.error, (SELECT avg(y) FROM h))', 'expected_error')}, ce.error IS NOT NULL AS from_cell FROM bi LEFT JOIN ce USING (c_bin, n_bin) LEFT JOIN ro ON ro.c_bin = bi.c_bin WHERE object_id % 2 = 1"""
+
+
 def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue's first hundred as nested documents, read back field by field."""
     docs = serve.records(_ranked(spark, sf_dir), ranking.BASELINE, limit=100)
@@ -1158,10 +1218,10 @@ _ALL = {
     band_features: _band_features_sql, band_matrix: _band_matrix_sql, global_features: _global_sql, quality_features: _quality_features_sql, quality_gate: _quality_gate_sql, colour_features: _colour_sql, physics_features: _physics_sql(), host_features: _host_sql(), uncertainty_features: _uncertainty_sql(), feature_matrix: _matrix_sql(), early_window: _early_sql, part_statistics: _part_sql, population_lookup: _lookup_sql,
     simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_cells: None, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, family_misfit: _misfit_sql, rank01: _rank01_sql, evidence_channels: _channels_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
     review_queue: _queue_sql, queue_page: _page_sql, queue_summary: _summary_sql, abstention_policy: _policy_sql,
-    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _unc_sql, bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, chain_queue: _chain_queue_sql, chain_metrics: _chain_metrics_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
-    drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, reference_weights: _weights_sql, effective_size: _size_sql,
-    object_split: _split_sql, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
-    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, boosted_prior: None, gated_prior: None, anomaly_scores: None, isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, candidate_records: _records_sql,
+    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _uncertainty_value_sql(), bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, chain_queue: _chain_queue_sql, chain_metrics: _chain_metrics_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
+    drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, shift_health: _health_sql, reference_weights: _weights_sql, effective_size: _size_sql,
+    object_split: _split_sql, exact_split: None, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
+    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, boosted_prior: None, gated_prior: None, anomaly_scores: None, isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, explanation_payload: _payload_sql, calibrated_error: _calibrated_sql, candidate_records: _records_sql,
     flagship: _flagship_sql,
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfield.operators import ordered
 from tarnfield.operators.features import aligned
 from tarnfield.schema import METADATA, PHOTOMETRY, finite
+from tarnfield.sources import store
 
 
 def _nulls(df: DataFrame) -> DataFrame:
@@ -34,17 +35,22 @@ def read_metadata(spark: SparkSession, path: str, ids: DataFrame | None = None,
 
 
 def harvest(obs: DataFrame, ids: DataFrame, out: str) -> DataFrame:
-    """Filtered copy to Parquet, sorted for lookups; returns its counts, raises if nothing was selected."""
-    write_light_curves(obs.join(ids, "object_id", "left_semi"), out)
-    counts = obs.sparkSession.read.parquet(out).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("object_id").alias("objects"))
-    if not counts.first()["rows"]:
+    """Filtered copy to Parquet, sorted for lookups; returns its counts (rows, objects), which
+    are taken while it is written, and raises if nothing was selected. The old copy stays
+    until the new one stands."""
+    first = F.row_number().over(Window.partitionBy("object_id").orderBy("mjd")) == 1
+    seen = Observation()
+    rows = obs.join(ids, "object_id", "left_semi").repartitionByRange("object_id").withColumn("_first", first).sortWithinPartitions("object_id", "mjd")
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("_first").cast("long")), F.lit(0)).alias("objects"))
+    store.replace(rows.drop("_first"), out)
+    if not seen.get["rows"]:
         raise ValueError("no observations of these objects")
-    return counts
+    return obs.sparkSession.createDataFrame([(seen.get["rows"], seen.get["objects"])], "rows long, objects long")
 
 
-def write_light_curves(obs: DataFrame, out: str, mode: str = "overwrite") -> None:
+def write_light_curves(obs: DataFrame, out: str) -> None:
     """Ranges of objects, each file sorted by object and time, so that statistics prune lookups."""
-    obs.repartitionByRange("object_id").sortWithinPartitions("object_id", "mjd").write.mode(mode).parquet(out)
+    store.replace(obs.repartitionByRange("object_id").sortWithinPartitions("object_id", "mjd"), out)
 
 
 def light_curve(spark: SparkSession, path: str, object_id: int) -> DataFrame:
@@ -83,8 +89,8 @@ def read_features(spark: SparkSession, path: str, names: list[str] | None = None
 
 
 def write_features(features: DataFrame, out: str) -> None:
-    """Doubles as floats."""
-    features.select(*(F.col(c).cast("float").alias(c) if t == "double" else F.col(c) for c, t in features.dtypes)).write.mode("overwrite").parquet(out)
+    """Doubles as floats; the old table stays until the new one stands."""
+    store.replace(features.select(*(F.col(c).cast("float").alias(c) if t == "double" else F.col(c) for c, t in features.dtypes)), out)
 
 
 def learn_fill(reference: DataFrame) -> dict[str, float]:
@@ -99,11 +105,8 @@ def fill(features: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 
 def append_feedback(spark: SparkSession, path: str, object_id: int, verdict: str, note: str = "", reviewer: str = "") -> None:
-    if verdict not in ("novel", "known", "artifact", "unclear"):
-        raise ValueError(verdict)
-    row = spark.createDataFrame([(object_id, verdict, note[:2000], reviewer[:80])], "object_id long, verdict string, note string, reviewer string")
-    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+    store.FeedbackLog(spark, path).append(object_id, verdict, note, reviewer)
 
 
 def feedback_tail(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
-    return spark.read.parquet(path).orderBy(F.desc("at")).limit(n)
+    return store.FeedbackLog(spark, path).tail(n)

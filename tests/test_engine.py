@@ -447,8 +447,9 @@ def test_serving_and_stores(spark, tmp_path):
     doc = serve.documents(spark.createDataFrame([(1, float("nan"))], "object_id long, v double")).first().document
     assert "NaN" not in doc
     ref = spark.createDataFrame([(float(i),) for i in range(300)], "a double")
-    assert one(domain.ShiftMonitor(["a"]).fit(ref).health(ref)).status == "matched"
-    assert one(domain.ShiftMonitor(["a"]).fit(ref).health(ref.selectExpr("a + 1000 AS a"))).status == "abstain"
+    monitor = domain.ShiftMonitor(["a"]).fit(ref)
+    assert one(monitor.status(monitor.health(ref))).status == "matched"
+    assert one(monitor.status(monitor.health(ref.selectExpr("a + 1000 AS a")))).status == "abstain"
 
 
 def test_report_is_one_document(spark):
