@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.schema import taxonomy
@@ -12,11 +12,14 @@ def feature_deviations(rows: DataFrame, stats: DataFrame, features: list[str], l
     """The features furthest from the best-fitting class: object_id, feature, value, z, rank.
 
     ``rows`` has object_id, best_fit_code and the features; ``stats`` label, feature, mean, sd."""
-    long = rows.select("object_id", "best_fit_code", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features))).alias("e")).select("object_id", "best_fit_code", "e.*")
-    j = long.join(stats.withColumnRenamed("feature", "_f"), (F.col("best_fit_code") == F.col("label")) & (F.col("feature") == F.col("_f")))
-    z = j.withColumn("z", F.when(F.col("sd") > 1e-12, (F.col("value") - F.col("mean")) / F.col("sd"))).filter(F.abs("z") >= least)
-    w = Window.partitionBy("object_id").orderBy(F.desc(F.abs("z")), "feature")
-    return z.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("object_id", "feature", "value", "z", "rank")
+    place = F.create_map(*(F.lit(x) for kv in ((f, k) for k, f in enumerate(features)) for x in kv))[F.col("feature")]
+    own = stats.filter(F.col("sd") > 1e-12).groupBy(F.col("label").alias("_label")).agg(F.collect_list(F.struct(place.alias("k"), "mean", "sd")).alias("_stats"))
+    # a row for each class, with all its features: objects meet their class, not their features one by one
+    j = rows.select("object_id", "best_fit_code", F.array(*(F.col(f).cast("double") for f in features)).alias("x")).join(F.broadcast(own), F.col("best_fit_code") == F.col("_label"))
+    names = F.array(*map(F.lit, features))
+    each = F.transform("_stats", lambda s: F.struct((-F.abs((F.col("x")[s["k"]] - s["mean"]) / s["sd"])).alias("far"), names[s["k"]].alias("feature"), F.col("x")[s["k"]].alias("value"), ((F.col("x")[s["k"]] - s["mean"]) / s["sd"]).alias("z")))
+    best = F.slice(F.array_sort(F.filter(each, lambda e: e["far"] <= -least)), 1, n)
+    return j.select("object_id", F.posexplode(best).alias("at", "e")).select("object_id", "e.feature", "e.value", "e.z", (F.col("at") + 1).alias("rank"))
 
 
 def analogues(near: DataFrame, max_distance: float = 12.0, min_reliable: int = 3) -> DataFrame:

@@ -8,54 +8,20 @@ from pyspark.sql import functions as F
 from tarnfield.operators.protocol import draw
 
 
-def _nth(seed: str) -> Column:
-    key = F.concat_ws("|", F.col("object_id"), F.col("passband"), F.col("mjd").cast("decimal(20,6)"))
-    return F.row_number().over(Window.partitionBy("object_id").orderBy(draw(key, seed), "mjd", "passband"))
+# Share of detections that change sign, factors of a spike and of the error
+# bars, observations that are doubled, share of observations before a gap.
+FLIPPED, SPIKE, ERRORS, DOUBLED, KEPT = 0.6, 60.0, 25.0, 6, 0.35
+INJECTORS = ("negative_flux_heavy", "single_epoch_spike", "error_bar_corruption", "duplicate_timestamps", "long_cadence_gap", "incomplete_band_coverage")
 
 
-def negative_flux(obs: DataFrame, fraction: float = 0.6, seed: str = "neg") -> DataFrame:
-    """Flips the sign of a share of each object's detections (one at least)."""
-    det = obs.filter("detected_bool = 1").withColumns({"_n": _nth(seed), "_all": F.count(F.lit(1)).over(Window.partitionBy("object_id"))})
-    hit = F.col("_n") <= F.greatest(F.lit(1), F.floor(F.col("_all") * fraction))
-    det = det.withColumn("flux", F.when(hit, -F.abs("flux")).otherwise(F.col("flux"))).drop("_n", "_all")
-    return obs.filter("detected_bool <> 1").unionByName(det)
+def scenarios(obs: DataFrame, names: tuple[str, ...] = ("clean", *INJECTORS)) -> DataFrame:
+    """The named corruptions of all objects under a ``scenario`` of each (clean: as they are),
+    to be scored at once: one pass over the observations, all windows by object.
 
-
-def spike(obs: DataFrame, factor: float = 60.0, seed: str = "spike") -> DataFrame:
-    """One observation of each object is multiplied."""
-    return obs.withColumn("_n", _nth(seed)).withColumn("flux", F.when(F.col("_n") == 1, F.col("flux") * factor).otherwise(F.col("flux"))).drop("_n")
-
-
-def error_bars(obs: DataFrame, factor: float = 25.0) -> DataFrame:
-    return obs.withColumn("flux_err", F.col("flux_err") * factor)
-
-
-def duplicates(obs: DataFrame, n: int = 6, seed: str = "dup") -> DataFrame:
-    """Some observations of each object are there twice."""
-    return obs.unionByName(obs.withColumn("_n", _nth(seed)).filter(F.col("_n") <= n).drop("_n"))
-
-
-def cadence_gap(obs: DataFrame, keep: float = 0.35) -> DataFrame:
-    """Only the first share of each object's observations in time stays, if there are four."""
-    w = Window.partitionBy("object_id")
-    o = obs.withColumns({"_n": F.row_number().over(w.orderBy("mjd", "passband")), "_all": F.count(F.lit(1)).over(w)})
-    return o.filter((F.col("_all") < 4) | (F.col("_n") <= F.greatest(F.lit(1), F.floor(F.col("_all") * keep)))).drop("_n", "_all")
-
-
-def one_band(obs: DataFrame, seed: str = "band") -> DataFrame:
-    """Only one of each object's own bands stays."""
-    bands = obs.select("object_id", "passband").distinct()
-    key = F.concat_ws("|", "object_id", "passband")
-    kept = bands.groupBy("object_id").agg(F.min_by("passband", F.struct(draw(key, seed), "passband")).alias("passband"))
-    return obs.join(kept, ["object_id", "passband"], "left_semi")
-
-
-INJECTORS = {"negative_flux_heavy": negative_flux, "single_epoch_spike": spike, "error_bar_corruption": error_bars, "duplicate_timestamps": duplicates, "long_cadence_gap": cadence_gap, "incomplete_band_coverage": one_band}
-
-
-def scenarios(obs: DataFrame) -> DataFrame:
-    """All corruptions of all objects under a ``scenario`` of each, beside the clean one,
-    to be scored at once: one pass over the observations, all windows by object."""
+    negative_flux_heavy flips a share of each object's detections (one at least),
+    single_epoch_spike multiplies one observation, duplicate_timestamps has some twice,
+    long_cadence_gap keeps the first share in time where there are four, and
+    incomplete_band_coverage keeps one of the object's own bands."""
     c, by = F.col, Window.partitionBy("object_id")
     n = lambda order: F.row_number().over(by.orderBy(*order))
     key = F.concat_ws("|", "object_id", "passband", c("mjd").cast("decimal(20,6)"))
@@ -66,20 +32,28 @@ def scenarios(obs: DataFrame) -> DataFrame:
         "_neg": F.row_number().over(among.orderBy(draw(key, "neg"), "mjd", "passband")), "_det": F.count(F.lit(1)).over(among), "_spike": nth("spike"), "_dup": nth("dup"), "_time": n(("mjd", "passband")), "_all": F.count(F.lit(1)).over(by),
         "_band": F.min(F.struct(draw(F.concat_ws("|", "object_id", "passband"), "band").alias("d"), c("passband").alias("b"))).over(by)["b"],
     })
-    flipped = detected & (c("_neg") <= F.greatest(F.lit(1), F.floor(c("_det") * 0.6)))
-    early = (c("_all") < 4) | (c("_time") <= F.greatest(F.lit(1), F.floor(c("_all") * 0.35)))
-
-    def variant(name: str, flux: Column = c("flux"), err: Column = c("flux_err"), copies: Column = F.lit(1)) -> Column:
-        return F.struct(F.lit(name).alias("scenario"), flux.alias("flux"), err.alias("flux_err"), copies.cast("int").alias("copies"))
-
-    each = F.array(
-        variant("clean"), variant("negative_flux_heavy", F.when(flipped, -F.abs("flux")).otherwise(c("flux"))), variant("single_epoch_spike", F.when(c("_spike") == 1, c("flux") * 60.0).otherwise(c("flux"))), variant("error_bar_corruption", err=c("flux_err") * 25.0),
-        variant("duplicate_timestamps", copies=1 + (c("_dup") <= 6).cast("int")), variant("long_cadence_gap", copies=early.cast("int")), variant("incomplete_band_coverage", copies=(c("passband") == c("_band")).cast("int")),
-    )
+    flipped = detected & (c("_neg") <= F.greatest(F.lit(1), F.floor(c("_det") * FLIPPED)))
+    early = (c("_all") < 4) | (c("_time") <= F.greatest(F.lit(1), F.floor(c("_all") * KEPT)))
+    same = {"flux": c("flux"), "err": c("flux_err"), "copies": F.lit(1)}
+    changed = {
+        "clean": {}, "negative_flux_heavy": {"flux": F.when(flipped, -F.abs("flux")).otherwise(c("flux"))}, "single_epoch_spike": {"flux": F.when(c("_spike") == 1, c("flux") * SPIKE).otherwise(c("flux"))}, "error_bar_corruption": {"err": c("flux_err") * ERRORS},
+        "duplicate_timestamps": {"copies": 1 + (c("_dup") <= DOUBLED).cast("int")}, "long_cadence_gap": {"copies": early.cast("int")}, "incomplete_band_coverage": {"copies": (c("passband") == c("_band")).cast("int")},
+    }
+
+    def variant(name: str) -> Column:
+        own = same | changed[name]
+        return F.struct(F.lit(name).alias("scenario"), own["flux"].alias("flux"), own["err"].alias("flux_err"), own["copies"].cast("int").alias("copies"))
+
+    each = F.array(*map(variant, names))
     out = o.withColumn("_v", F.explode(F.flatten(F.transform(each, lambda v: F.array_repeat(v, v["copies"])))))
     return out.select(*("_v." + x if x in ("flux", "flux_err") else x for x in obs.columns), "_v.scenario")
 
 
+def corrupted(obs: DataFrame, name: str) -> DataFrame:
+    """The observations with one corruption."""
+    return scenarios(obs, (name,)).drop("scenario")
+
+
 def safety(scored: DataFrame) -> DataFrame:
     """Per corruption: cases, how many rose in rank or score against the clean scenario, and
     the mean changes. ``scored`` has scenario, object_id, score (null: not scorable), quality and rank."""

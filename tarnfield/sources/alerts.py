@@ -15,13 +15,24 @@ ADAPTER_VERSION = "2"
 POINTS = "array<struct<mjd: double, passband: int, flux: double, flux_err: double, detected_bool: int>>"
 
 
+_BOTH = f"{_ZTF}, {_RUBIN}, _bad string"
+
+
 def packets(lines: DataFrame) -> DataFrame:
-    """From a column ``value`` of JSON lines: shape, alert_id, object_id, points, errors (array of messages)."""
+    """From a column ``value`` of JSON lines: shape, alert_id, object_id, points, errors (array of messages).
+
+    Each line is parsed once, by a schema that holds the fields of both shapes; a field
+    whose value does not fit its type is null and the others stay."""
     v = F.col("value")
-    ztf = F.get_json_object(v, "$.candidate").isNotNull() | F.get_json_object(v, "$.candid").isNotNull()
-    rubin = F.get_json_object(v, "$.alertId").isNotNull() | F.get_json_object(v, "$.diaSource").isNotNull()
-    parsed = F.try_parse_json(v).isNotNull()
-    p = lines.select(v, F.when(~parsed, None).when(ztf, "ztf").when(rubin, "rubin").alias("shape"), parsed.alias("parsed"), F.from_json(v, _ZTF).alias("z"), F.from_json(v, _RUBIN).alias("r"))
+    both = F.from_json(v, _BOTH, {"columnNameOfCorruptRecord": "_bad"})
+    # a generator of one row: the optimiser would copy the parsing into every field that is read
+    p = lines.select(v, F.explode(F.array(both)).alias("z")).select("value", "z", F.col("z").alias("r"))
+    # a line that did not fit the schema in some place is looked at again, which few are
+    whole = F.col("z._bad").isNull()
+    parsed = F.when(whole, v.isNotNull() & (F.trim(v) != "")).otherwise(F.try_parse_json(v).isNotNull())
+    there = lambda field: F.when(whole, F.col(f"z.{field}").isNotNull()).otherwise(F.get_json_object(v, f"$.{field}").isNotNull())
+    ztf, rubin = there("candidate") | there("candid"), there("alertId") | there("diaSource")
+    p = p.select("value", F.when(~parsed, None).when(ztf, "ztf").when(rubin, "rubin").alias("shape"), F.coalesce(parsed, F.lit(False)).alias("parsed"), "z", "r")
 
     def ztf_point(x: Column) -> Column:
         up = F.coalesce(F.lower(x["isdiffpos"]), F.lit("1")).isin("1", "t", "true")
@@ -40,7 +51,7 @@ def packets(lines: DataFrame) -> DataFrame:
     r_points = F.transform(F.concat(F.array(own), F.coalesce("r.diaSourceHistory", F.array().cast(f"array<{_SOURCE}>"))), rubin_point)
     points = F.filter(F.when(F.col("shape") == "ztf", z_points).when(F.col("shape") == "rubin", r_points), usable)
     name = F.when(F.col("shape") == "ztf", F.coalesce("z.objectId", "z.candid")).when(F.col("shape") == "rubin", F.coalesce("r.diaObject.diaObjectId", "r.alertId"))
-    out = p.select("value", "shape", F.when(F.col("shape") == "ztf", F.col("z.candid")).otherwise(F.col("r.alertId")).alias("alert_id"), alert_id(name).alias("object_id"), F.coalesce("z.candidate.drb", "z.candidate.rb", "r.diaSource.reliability").alias("realbogus"), points.alias("points"), "parsed")
+    out = p.select("value", "shape", F.when(F.col("shape") == "ztf", F.col("z.candid")).otherwise(F.col("r.alertId")).alias("alert_id"), alert_id(name).alias("object_id"), F.coalesce("z.candidate.drb", "z.candidate.rb", "r.diaSource.reliability").alias("realbogus"), F.explode(F.array(F.struct(points.alias("points")))).alias("_p"), "parsed").withColumn("points", F.col("_p.points")).drop("_p")
     errors = F.array_compact(F.array(F.when(~F.col("parsed"), "not JSON"), F.when(F.col("parsed") & F.col("shape").isNull(), "unknown shape"), F.when(F.col("shape").isNotNull() & (F.size("points") == 0), "no usable points")))
     provenance = F.create_map(F.lit("survey"), F.coalesce("shape", F.lit("unknown")), F.lit("alert_id"), F.coalesce("alert_id", F.lit("unknown")), F.lit("adapter_version"), F.lit(ADAPTER_VERSION))
     return out.withColumn("errors", errors).withColumn("provenance", provenance).drop("parsed")
