@@ -128,12 +128,29 @@ def keys_stand(words: list[bytes], keys: list[list[bytes]], lo: int, hi: int) ->
 
 def share_at(words: list[bytes], notice: list[bytes], weight: list[float], start: int) -> float:
     """Greatest weight of notice words that stand in order, each within DRIFT of its
-    place from ``start`` on, over the whole weight."""
-    chains: list[tuple[int, float]] = []  # where a chain of words in order ends, and its weight
+    place from ``start`` on, over the whole weight.
+
+    A Fenwick tree over the places keeps the heaviest chain that ends before each."""
+    first = max(start - DRIFT, 0)
+    size = min(start + len(notice) + DRIFT, len(words)) - first
+    heaviest = [0.0] * (max(size, 0) + 1)
+    best = 0.0
     for p, (word, x) in enumerate(zip(notice, weight)):
-        band = range(max(start + p - DRIFT, 0), min(start + p + DRIFT + 1, len(words)))
-        chains += [(i, x + max((v for j, v in chains if j < i), default=0.0)) for i in band if words[i] == word]
-    return max((v for _, v in chains), default=0.0) / sum(weight)
+        found = []
+        for i in range(max(start + p - DRIFT, 0), min(start + p + DRIFT + 1, len(words))):
+            if words[i] == word:
+                k, before = i - first, 0.0
+                while k > 0:
+                    before = max(before, heaviest[k])
+                    k &= k - 1
+                found.append((i, x + before))
+        for i, v in found:  # chains that end with this word do not go on with it
+            best = max(best, v)
+            k = i - first + 1
+            while k <= size and heaviest[k] < v:
+                heaviest[k] = v
+                k += k & -k
+    return best / sum(weight)
 
 
 class RareTokenIndex:
@@ -204,6 +221,8 @@ class RareTokenIndex:
             for s in self.starts(e, own, where):
                 if keys_stand(words, keys, s - DRIFT, s + len(notice) + DRIFT):
                     best = max(best, share_at(words, notice, self.weights[e], s))
+                    if best >= 1.0 - 1e-9:  # no other place can weigh more
+                        break
             if best >= LEAST_SHARE:
                 more.add(label)
                 score = max(score, best)
