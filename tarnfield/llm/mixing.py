@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.llm.merkle_manifest import indexed
 from tarnfield.llm.tables import drop, fresh, materialise
 
 WEIGHTS = (3, 1, 2)
@@ -43,20 +44,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share:
     Sources by code point, null last, take ``weights`` in turn. The budget is
     dealt by weight; a source stops at ``most`` times its size and what is over is
     dealt again, which ends at the water level where the sources with the least
-    size per weight are full. The windows run over one row per source.
+    size per weight are full. Sources are ordered by ranges: however many there
+    are (domains, say), no task holds all of them.
     """
-    all_rows = Window.partitionBy(F.lit(0))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.col("source"))
-    level = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("double"))
-    weighed = weighed.withColumn("cap", (F.col("source_size") * most).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    weighed = weighed.withColumn("budget", F.sum("source_size").over(all_rows).cast("double") * budget_share)
-    left = F.col("budget") - F.coalesce(F.sum("cap").over(level), F.lit(0.0))
-    open_weight = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(level), F.lit(0.0))
-    weighed = weighed.withColumn("share", left / open_weight)
+    none = F.col("source").isNull()
+    named = indexed(sizes.select("source", "source_size", none.alias("none")), None, ["none", "source"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("idx"), F.lit(len(weights))).cast("int") + 1).cast("double")
+    cap = (F.col("source_size") * most).cast("double")
+    weighed = materialise(named.select("source", "source_size", "none", weight.alias("weight"), cap.alias("cap")).withColumn("ratio", F.col("cap") / F.col("weight")))
+    whole = weighed.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    level = indexed(weighed, None, ["ratio", "none", "source"]).withColumn("span", F.floor(F.col("idx") / RANGE_ROWS).cast("long")).drop("n")
+    level = running_total(level, [], "span", [F.col("idx")], "cap", "upto_cap")
+    level = running_total(level, [], "span", [F.col("idx")], "weight", "upto_weight")
+    level = level.join(F.broadcast(whole)).withColumn("budget", F.col("all_size").cast("double") * budget_share)
+    left = F.col("budget") - (F.col("upto_cap") - F.col("cap"))
+    open_weight = F.col("all_weight") - (F.col("upto_weight") - F.col("weight"))
+    level = materialise(level.select("source", "source_size", "weight", "cap", "ratio", "budget", (left / open_weight).alias("share")))
     # the first source that its share does not fill fixes the level for all behind it
-    water = F.max(F.when(F.col("ratio") > F.col("share"), F.col("share"))).over(all_rows)
-    return weighed.select("source", "source_size", F.coalesce(F.least(F.col("cap"), water * F.col("weight")), F.col("cap")).alias("target"), F.round(F.col("budget")).cast("long").alias("budget"))
+    water = level.agg(F.max(F.when(F.col("ratio") > F.col("share"), F.col("share"))).alias("water"))
+    level = level.join(F.broadcast(water))
+    return level.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("water") * F.col("weight")), F.col("cap")).alias("target"), F.round(F.col("budget")).cast("long").alias("budget"))
 
 
 def running_total(rows: DataFrame, groups: list[str], range_col: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -94,7 +101,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), text_md5(F.col("text")).alias("text_md5"))
     slim = materialise(slim.withColumn("shuffle", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_md5")))))
     ranges = max(1, min(1 << 20, slim.count() // RANGE_ROWS))
-    # one row per source: all windows of targets() run over these
     share = materialise(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget_share))
     budget = (share.agg(F.max("budget")).first() or [None])[0] or 0
     rows = slim.withColumn("span", F.floor(F.conv(F.substring("shuffle", 1, 7), 16, 10).cast("long") * ranges / F.lit(16**7)).cast("int"))

@@ -772,3 +772,61 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, clashing):
     assert all(codec.decode(arrays.array("i", r["_piece_ids"])) == r.text.encode() for r in rows)
     clashing.filter("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+# ---- many sources, many notices
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Water filling source by source gives the same levels, however the sources fall into ranges."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    r = random.Random(8)
+    sizes = {None: 500, "": 7, **{f"s{k:03}é": r.choice([0, 1, 10, 1000, 90_000]) for k in range(200)}}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {x.source: x for x in mixing.targets(frame, (3, 1, 2), 1.5, 2).collect()}
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    budget, full = 1.5 * sum(sizes.values()), set()
+    while True:
+        left = budget - sum(2 * sizes[s] for s in full)
+        share = left / (sum(weight[s] for s in names if s not in full) or 1)
+        more = {s for s in names if s not in full and 2 * sizes[s] <= share * weight[s]}
+        if not more:
+            break
+        full |= more
+    assert set(got) == set(sizes) and 0 < len(full) < len(names)
+    for s in names:
+        assert math.isclose(got[s].target, 2 * sizes[s] if s in full else share * weight[s]), s
+        assert got[s].budget == math.floor(budget + 0.5)
+
+
+def test_share_of_a_notice_equals_all_chains():
+    def brute(words, notice, weight, start):
+        chains = []
+        for p, (word, x) in enumerate(zip(notice, weight)):
+            band = range(max(start + p - license_scans.DRIFT, 0), min(start + p + license_scans.DRIFT + 1, len(words)))
+            chains += [(i, x + max((v for j, v in chains if j < i), default=0.0)) for i in band if words[i] == word]
+        return max((v for _, v in chains), default=0.0) / sum(weight)
+
+    r = random.Random(6)
+    for _ in range(300):
+        notice = [r.choice(b"abcde") for _ in range(r.randint(1, 25))]
+        words = [r.choice(b"abcde") for _ in range(r.randint(0, 60))]
+        weight = [r.random() + 0.1 for _ in notice]
+        start = r.randint(-3, 60)
+        assert math.isclose(license_scans.share_at(words, notice, weight, start), brute(words, notice, weight, start), abs_tol=1e-12)
+
+
+def test_a_file_of_many_notices_takes_its_length():
+    import time
+
+    notice = next(t for t in license_scans.TEMPLATES if t.label == "mit").notice
+    index = license_scans.RareTokenIndex({}, 10)
+    took = []
+    for n in (100, 1600):
+        words = license_scans.fold((notice + " ").encode() * n)
+        began = time.perf_counter()
+        found = index.scan(words)
+        took.append(time.perf_counter() - began)
+        assert "mit" in found[4] and found[5] == 1.0
+    assert took[1] < 60 * max(took[0], 0.01)
