@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -51,6 +52,14 @@ def covariance(rows: DataFrame, features: list[str]) -> tuple[np.ndarray, np.nda
     return mean.toArray(), RowMatrix(MLUtils.convertVectorColumnsFromML(x, "x")).computeCovariance().toArray()
 
 
+def bare(model):
+    """A fitted model without its training summary. The summary holds the session, and a
+    session that has observed metrics (as harvests and replays do) cannot be sent to tasks."""
+    if model.hasSummary:
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 class AnomalyEnsemble:
     """Mahalanobis distance and principal-component residual of standardised
     features, each mapped to its mid-rank in the reference and averaged."""
@@ -100,7 +109,7 @@ class Prior:
         rows = assembled(rows, self.features).join(weights.select("label", "w"), "label")
         if "weight" in rows.columns:
             rows = rows.withColumn("w", F.col("w") * clip(F.coalesce(F.col("weight"), F.lit(1.0)), *WEIGHT_RANGE))
-        return RandomForestClassifier(labelCol="label", featuresCol="x", weightCol="w", numTrees=self.trees, maxDepth=6, seed=self.seed).fit(rows)
+        return bare(RandomForestClassifier(labelCol="label", featuresCol="x", weightCol="w", numTrees=self.trees, maxDepth=6, seed=self.seed).fit(rows))
 
     def fit(self, rows: DataFrame) -> Prior:
         """``rows`` has object_id, label (0..K-1) and the features."""
@@ -171,7 +180,7 @@ def bootstrap_uncertainty(train: DataFrame, rows: DataFrame, features: list[str]
     out = assembled(rows, features).select("object_id", "x")
     for k in range(models):
         part = train.filter(protocol.draw(F.col("object_id"), f"boot-{seed}-{k}") < share)
-        model = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=15, maxDepth=5, seed=seed + k).fit(assembled(part, features))
+        model = bare(RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=15, maxDepth=5, seed=seed + k).fit(assembled(part, features)))
         out = model.transform(out).select("object_id", "x", *(f"p{i}" for i in range(k)), vector_to_array("probability").alias(f"p{k}"))
     total = F.col("p0")
     for k in range(1, models):
@@ -185,7 +194,7 @@ def _domain_model(reference: DataFrame, target: DataFrame, covariates: list[str]
     both = reference.select(*covariates, "object_id").withColumn("is_target", F.lit(0.0)).unionByName(target.select(*covariates, "object_id").withColumn("is_target", F.lit(1.0)))
     z = stages.written(assembled(standardised(both, standardiser(both, covariates)), covariates))  # read by every step of the fit
     n = z.count()
-    return z, LogisticRegression(labelCol="is_target", featuresCol="x", regParam=1.0 / max(n, 1)).fit(z)
+    return z, bare(LogisticRegression(labelCol="is_target", featuresCol="x", regParam=1.0 / max(n, 1)).fit(z))
 
 
 def density_ratio_weights(reference: DataFrame, target: DataFrame, covariates: list[str], cap: float = 5.0) -> DataFrame:
@@ -203,7 +212,7 @@ def adversarial_validation(reference: DataFrame, target: DataFrame, covariates:
     z = stages.written(protocol.folds(standardised(both, standardiser(both, covariates)), "y", n_folds, "adversarial"))  # read by every fold's fit
     parts, weights = None, []
     for k in range(n_folds):
-        model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=20, maxDepth=5, seed=k).fit(assembled(z.filter(F.col("fold") != k), covariates))
+        model = bare(RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=20, maxDepth=5, seed=k).fit(assembled(z.filter(F.col("fold") != k), covariates)))
         p = model.transform(assembled(z.filter(F.col("fold") == k), covariates)).select("object_id", "y", F.round(vector_to_array("probability")[1], 9).alias("score"))
         parts = p if parts is None else parts.unionByName(p)
         weights.append(model.featureImportances.toArray())

@@ -23,12 +23,12 @@ def test_outliers_come_first_and_samples_are_bounded(spark):
     r = np.random.default_rng(2)
     x = np.vstack([r.normal(size=(1500, 2)), [[9.0, -9.0], [0.0, 12.0]]])
     frame = spark.createDataFrame([(k, float(a), None if k == 3 else float(b)) for k, (a, b) in enumerate(x)], "object_id long, a double, b double").repartition(3)
-    forest = isolation.IsolationForest(["a", "b"], trees=40, sample=64).fit(frame)
+    forest = isolation.IsolationForest(["a", "b"], trees=100).fit(frame)
     got = forest.score(frame).orderBy(F.desc("isolation")).collect()
-    assert len(got) == 1502 and {1500, 1501} <= {g.object_id for g in got[:30]} and all(0 < g.isolation < 1 for g in got)
+    assert len(got) == 1502 and {1500, 1501} <= {g.object_id for g in got[:10]} and all(0 < g.isolation < 1 for g in got)
     sizes = forest.nodes.filter("node = 0").select("size").collect()
-    assert len(sizes) == 40 and max(s["size"] for s in sizes) < 120
-    again = {g.object_id: g.isolation for g in isolation.IsolationForest(["a", "b"], trees=40, sample=64).fit(frame.repartition(7)).score(frame).collect()}
+    assert len(sizes) == 100 and max(s["size"] for s in sizes) < 340
+    again = {g.object_id: g.isolation for g in isolation.IsolationForest(["a", "b"], trees=100).fit(frame.repartition(7)).score(frame).collect()}
     assert again == {g.object_id: g.isolation for g in got}
 
 
