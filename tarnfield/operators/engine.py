@@ -20,7 +20,7 @@ from tarnfield.sources import stages
 
 #: Rows that the overall variance counts for in a class's own; places at which raw channels are compared.
 PSEUDO_ROWS, PLACES = 5.0, 6
-#: Added before rounding: ties at the sixth place are rare otherwise too, but not in SQL's arithmetic.
+#: Added before rounding: a value on a tie of the last place would otherwise fall either way.
 NUDGE = 3.7e-8
 FLOOR = 1e-12
 

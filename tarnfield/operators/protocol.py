@@ -97,9 +97,9 @@ def manifest(members: DataFrame, name: str, seed: str, locked: str) -> str:
     return json.dumps(body | {"digest": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:16]}, sort_keys=True)
 
 
-def write_manifest(text: str, path: str) -> None:
-    """Write a manifest once: a file that is there already raises FileExistsError."""
-    with open(path, "x", encoding="utf-8") as f:
+def write_manifest(text: str, path: str, force: bool = False) -> None:
+    """Write a manifest once: a file that is there already raises FileExistsError, unless ``force`` replaces it."""
+    with open(path, "w" if force else "x", encoding="utf-8") as f:
         f.write(text)
 
 

@@ -14,6 +14,9 @@ BASELINE = {"taxonomy_gap": 1.0, "simplex_novelty": 0.2, "novelty_gap": 0.05}
 QUALITY_EXPONENT, CONFIDENCE_EXPONENT, AGREEMENT_BONUS = 0.5, 0.25, 0.15
 TIERS = (("critical", 0.95), ("high", 0.85), ("moderate", 0.60))
 ABSTAIN_QUALITY, ABSTAIN_QUANTILE, ABSTAIN_RELIABILITY = 0.30, 0.97, 0.05
+# What the decisions say.
+LOW_QUALITY, UNCERTAIN, UNPLACED = "low data quality", "high predictive uncertainty", "no reliable distance information"
+FOREIGN, DEGRADED = "reference domain does not represent this stream", "degraded domain match: treat ranking as indicative"
 
 
 def normalised(weights: dict[str, float]) -> dict[str, float]:
@@ -66,7 +69,7 @@ def rank(scored: DataFrame, reference_max: float | None = None, uncertainty_cut:
     tier = F.lit("routine")
     for name, least in reversed(TIERS):
         tier = F.when(F.col("normalised_score") >= least, name).otherwise(tier)
-    reason = F.when(F.col("quality") < ABSTAIN_QUALITY, "low data quality").when(F.col("uncertainty") > cut, "high predictive uncertainty").when(F.col("reliability") < ABSTAIN_RELIABILITY, "no reliable distance information")
+    reason = F.when(F.col("quality") < ABSTAIN_QUALITY, LOW_QUALITY).when(F.col("uncertainty") > cut, UNCERTAIN).when(F.col("reliability") < ABSTAIN_RELIABILITY, UNPLACED)
     s = s.withColumns({"tier": tier, "reason": reason})
     s = s.withColumns({"abstain": F.col("reason").isNotNull(), "abstain_reason": F.when(F.col("reason").isNull(), "").when(F.col("normalised_score") > 0.5, F.concat("reason", F.lit(" (would otherwise rank highly)"))).otherwise(F.col("reason"))})
     return ordered.numbered(s.drop("reason"), -F.col("score"), [F.desc("score"), F.col("object_id")], "rank", tie=F.col("object_id"))
@@ -77,11 +80,6 @@ def top(scored: DataFrame, n: int, offset: int = 0) -> DataFrame:
     return scored.orderBy(F.desc("score"), "object_id").limit(offset + n).offset(offset)
 
 
-#: What the decisions say.
-LOW_QUALITY, UNCERTAIN, UNPLACED = "low data quality", "high predictive uncertainty", "no reliable distance information"
-FOREIGN, DEGRADED = "reference domain does not represent this stream", "degraded domain match: treat ranking as indicative"
-
-
 def decisions(rows: DataFrame, uncertainty_limit: float = 0.9, enabled: bool = True) -> DataFrame:
     """Adds confidence, abstain and reason: quality is asked first, then uncertainty (against an
     absolute limit), reliability and the domain. A degraded domain is a reason to be careful,

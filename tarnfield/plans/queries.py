@@ -822,7 +822,7 @@ def k_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(views.metadata(spark, sf_dir).select("object_id", "hostgal_photoz", bands.alias("band")).select("object_id", "band", physics.k_correction(F.col("hostgal_photoz"), F.col("band")).alias("k")))
 
 
-_kcorr_sql = f"WITH {METADATA_SQL} SELECT object_id, band::BIGINT AS band, {_r(f'hostgal_photoz * 640.0::DOUBLE / ({list(physics.WAVELENGTH_NM)}::DOUBLE[])[band + 1]', 'k')} FROM meta, (SELECT unnest(range({len(BANDS)})) AS band)"
+_kcorr_sql = f"WITH {METADATA_SQL} SELECT object_id, band::BIGINT AS band, {_r(f'hostgal_photoz * {physics.K_SLOPE!r}::DOUBLE * {physics.K_NM!r}::DOUBLE / ({list(physics.WAVELENGTH_NM)}::DOUBLE[])[band + 1]', 'k')} FROM meta, (SELECT unnest(range({len(BANDS)})) AS band)"
 
 # ---- drift -------------------------------------------------------------------
 
