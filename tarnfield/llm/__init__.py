@@ -1,34 +1,27 @@
 """Operators of a training-data pipeline, and the queries that apply them to whole tables.
 
-Nothing else in the library imports this subpackage.
+Nothing else in the library imports this subpackage. Its modules are imported when a
+query is asked for: a task that runs one operator does not load the others.
 """
 
-from tarnfield.llm.license_scans import op8_license_scans
-from tarnfield.llm.merkle_manifest import op12_merkle_manifest
-from tarnfield.llm.merkle_manifest import oracle_sql as _merkle_sql
-from tarnfield.llm.minhash_dedup import op13_minhash_dedup
-from tarnfield.llm.mixing import op7_mixing
-from tarnfield.llm.mixing import oracle_sql as _mixing_sql
-from tarnfield.llm.prefix_trie import op11_prefix_trie
-from tarnfield.llm.prefix_trie import oracle_sql as _trie_sql
-from tarnfield.llm.quality_rules import op2_quality_rules
-from tarnfield.llm.sentencepiece_codec import op9_sentencepiece
-from tarnfield.llm.sharding import op4_sharding
-from tarnfield.llm.sharding import oracle_sql as _sharding_sql
-from tarnfield.llm.simhash_dedup import op10_simhash_dedup
-from tarnfield.llm.suffix_dedup import op3_suffix_dedup
-from tarnfield.llm.token_counts import op1_token_counts
-from tarnfield.llm.topk_search import op6_topk_search
-from tarnfield.llm.topk_search import oracle_sql as _topk_sql
-from tarnfield.llm.url_filters import op5_url_filters
-from tarnfield.llm.url_filters import oracle_sql as _url_sql
+from importlib import import_module
+
+#: Module and query of each operator, in order; those whose module has SQL for the query.
+_QUERIES = {
+    "op1_token_counts": "token_counts", "op2_quality_rules": "quality_rules", "op3_suffix_dedup": "suffix_dedup", "op4_sharding": "sharding", "op5_url_filters": "url_filters", "op6_topk_search": "topk_search", "op7_mixing": "mixing", "op8_license_scans": "license_scans",
+    "op9_sentencepiece": "sentencepiece_codec", "op10_simhash_dedup": "simhash_dedup", "op11_prefix_trie": "prefix_trie", "op12_merkle_manifest": "merkle_manifest", "op13_minhash_dedup": "minhash_dedup",
+}
+_WITH_SQL = ("op4_sharding", "op5_url_filters", "op6_topk_search", "op7_mixing", "op11_prefix_trie", "op12_merkle_manifest")
+
+
+def _module(query: str):
+    return import_module(f"{__name__}.{_QUERIES[query]}")
 
 
 def queries() -> dict:
-    own = (op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_url_filters, op6_topk_search, op7_mixing, op8_license_scans, op9_sentencepiece, op10_simhash_dedup, op11_prefix_trie, op12_merkle_manifest, op13_minhash_dedup)
-    return {f.__name__: f for f in own}
+    return {name: getattr(_module(name), name) for name in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the query; the others are tested against brute force."""
-    return {"op4_sharding": _sharding_sql(), "op5_url_filters": _url_sql(), "op6_topk_search": _topk_sql(), "op7_mixing": _mixing_sql(), "op11_prefix_trie": _trie_sql(), "op12_merkle_manifest": _merkle_sql()}
+    return {name: _module(name).oracle_sql() for name in _WITH_SQL}
