@@ -262,8 +262,9 @@ def test_quality_salted_join_gives_the_same(frame, monkeypatch):
 # ---- suffix dedup
 
 
-def cut_by_force(rows):
-    seen, out = set(), {}
+def removed_by_force(rows):
+    """(key, bytes, marks of the bytes that go) of each distinct text."""
+    seen = set()
     for key, text in sorted({(-(1 << 63) if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], suffix_dedup.xxhash.xxh64_intdigest(r[1].encode()))):
         b = text.encode()
         gone = bytearray(len(b))
@@ -271,6 +272,12 @@ def cut_by_force(rows):
             if b[k : k + 100] in seen:
                 gone[k : k + 100] = b"\1" * 100
             seen.add(b[k : k + 100])
+        yield key, b, gone
+
+
+def cut_by_force(rows):
+    out = {}
+    for key, b, gone in removed_by_force(rows):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[key, hashlib.sha256(b).hexdigest()] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
@@ -757,6 +764,81 @@ def test_pipeline_runs_all_stages(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
 
 
+def corpus():
+    """Prose of two sources and none, and among it what each stage is to find. Returns rows and the ids that quality rejects."""
+    r = random.Random(31)
+    source = lambda i: "s0" if i % 3 == 0 else ("s1", None)[i % 2]
+    texts = {i: prose(r.randint(80, 300), 2000 + i) for i in range(240)}
+    for i in range(40):  # exact copies, and copies with other capitals, which link but do not cut
+        texts[1000 + i] = texts[3 * i] if i % 2 else texts[3 * i].upper()
+    for i in range(20):  # long texts in which a word has changed
+        long = prose(2500, 3000 + i)
+        texts[1100 + i], texts[1200 + i] = long, long.replace(" ", " altered ", 1)
+    shared = [prose(60, 4000 + i) for i in range(3)]
+    for i in range(30):  # passages that documents share, at the start or in the middle, and shorter ones that one has twice
+        again = prose(25, 4300 + i) if i % 5 == 0 else ""
+        texts[1300 + i] = "\n".join((prose(r.randint(0, 1) * 90, 4100 + i), shared[i % 3], again, prose(900 if again else 120, 4200 + i), again))
+    good = len(texts)
+    for i in range(6):
+        texts[1400 + i] = prose(49, 5000 + i)
+        texts[1410 + i] = " ".join(["one two three"] * 40) + prose(50, 5100 + i)
+        texts[1420 + i] = " | ".join(prose(3, 5200 + 80 * i + k) for k in range(80))
+    texts |= {1430: None, 1431: "", 1432: " \n"}
+    rows = [(i, t, "en", source(i), None if t is None else len(t)) for i, t in texts.items()]
+    return rows, {r[0] for r in rows[good:]}
+
+
+def groups_by_force(fps):
+    """The least id of each id's component, over all pairs of fingerprints."""
+    label = {i: i for i in fps}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    ids = sorted(fps)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_pipeline_rows_equal_the_stages_one_after_the_other(spark, tmp_path):
+    """Every row of run(): planted rejects, all pairs of fingerprints, all 100-byte strings, the mix's SQL, the library's pieces."""
+    import duckdb
+    import pyarrow as pa
+    import sentencepiece
+
+    import corpus_pipeline
+
+    rows, rejected = corpus()
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = {r[0]: r for r in rows if r[0] not in rejected}
+    for i, t, *_ in rows:
+        n, _, _, _, repeat = base_statistics(t)
+        assert i in rejected or (n >= 50 and 100 * (repeat or 0) <= 50 * n)
+    first = groups_by_force({i: simhash_dedup.fingerprint(r[1].encode()) for i, r in docs.items()})
+    singles = {i: r for i, r in docs.items() if first[i] == i}
+    assert len(docs) - len(singles) >= 40
+    cut = {}
+    for i, b, gone in removed_by_force([(i, r[1]) for i, r in singles.items()]):
+        if not gone or not all(gone):
+            cut[i] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+    assert sum(cut[i] != singles[i][1] for i in cut) >= 25
+    left = [(i, t, *singles[i][2:]) for i, t in cut.items()]
+    con = duckdb.connect()
+    con.register("documents", pa.table(dict(zip(("doc_id", "text", "lang", "source", "n_chars"), map(list, zip(*left))))))
+    copies = {r[0]: r[-1] for r in con.execute(mixing.oracle_sql()).fetchall()}
+    assert {0, 2} <= set(copies.values())
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    expect = [(*r, tuple(model.encode(r[1]))) for r in left for _ in range(copies[r[0]])]
+    got = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, tuple(r.piece_ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted(expect, key=lambda r: r[0])
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, clashing):
     """Nulls in every column, repeated rows, long texts and clashing columns through all stages; then no rows."""
     import corpus_pipeline
