@@ -7,6 +7,7 @@ sums in different orders differ in their last bits.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1021,6 +1022,34 @@ def anomaly_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.AnomalyEnsemble(_FEATS).fit(v.filter(_REFERENCE)).distances(v).select("object_id", "mahalanobis", "pca_residual"))
 
 
+def _anomaly_sql(components: int = 2, column: Callable[[str, str], str] = _r) -> str:
+    """The covariance is inverted by sweeping one variable after the other; each main axis is
+    what repeated squaring leaves of it, those found before having been taken off."""
+    n = len(_FEATS)
+    z = ", ".join(f"(embedding[{i + 1}]::DOUBLE - m_{f}) / w_{f}" for i, f in enumerate(_FEATS))
+    square = "list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s)))"
+
+    def axis(k: int) -> str:
+        diagonal = f"list_transform(range(1, {n + 1}), lambda i: m[i][i])"
+        return f"""p{k} AS (SELECT 0 AS k, m FROM c{k} UNION ALL SELECT k + 1, list_transform(q, lambda r: list_transform(r, lambda e: e / t)) FROM (SELECT k, {square} AS q, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS t FROM p{k} WHERE k < 40)),
+l{k} AS (SELECT m[list_position({diagonal}, list_max({diagonal}))] AS r FROM p{k} WHERE k = 40),
+a{k} AS (SELECT a, list_dot_product(a, list_transform(m, lambda r: list_dot_product(r, a))) AS l, m FROM (SELECT list_transform(r, lambda e: e / sqrt(list_dot_product(r, r))) AS a FROM l{k}), c{k}),
+c{k + 1} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda e, j: e - l * a[i] * a[j])) AS m FROM a{k})"""
+
+    scale = ", ".join(f"quantile_cont(embedding[{i + 1}]::DOUBLE, 0.5) AS m_{f}, quantile_cont(embedding[{i + 1}]::DOUBLE, {models.SIGMA_HIGH}) - quantile_cont(embedding[{i + 1}]::DOUBLE, {models.SIGMA_LOW}) AS w_{f}" for i, f in enumerate(_FEATS))
+    return f"""WITH RECURSIVE s AS (SELECT {scale} FROM embeddings WHERE {_REFERENCE}), z AS (SELECT vec_id AS object_id, label, [{z}] AS z FROM embeddings, s),
+e AS (SELECT object_id, unnest(range(1, {n + 1})) AS i, unnest(z) AS v FROM z WHERE {_REFERENCE}),
+mu AS (SELECT list(mean ORDER BY i) AS mean FROM (SELECT i, avg(v) AS mean FROM e GROUP BY i)),
+c1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS v FROM e a JOIN e b USING (object_id) GROUP BY a.i, b.i) GROUP BY i)),
+w AS (SELECT 1 AS k, list_transform(range(1, {n + 1}), lambda i: list_transform(m[i], lambda e, j: e + CASE WHEN i = j THEN 1e-6::DOUBLE ELSE 0.0::DOUBLE END)) AS m FROM c1
+UNION ALL SELECT k + 1, list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = k THEN list_transform(p, lambda e, j: CASE WHEN j = k THEN -1 / d ELSE e / d END) ELSE list_transform(m[i], lambda e, j: CASE WHEN j = k THEN e / d ELSE e - m[i][k] * p[j] / d END) END) FROM (SELECT k, m, m[k] AS p, m[k][k] AS d FROM w WHERE k <= {n})),
+{", ".join(map(axis, range(1, components + 1)))},
+axes AS ({" UNION ALL ".join(f"SELECT a FROM a{k}" for k in range(1, components + 1))}), ax AS (SELECT list(a) AS axes FROM axes),
+d AS (SELECT object_id, label, list_transform(z, lambda e, i: e - mean[i]) AS d FROM z, mu),
+g AS (SELECT object_id, label, -list_dot_product(d, list_transform(w.m, lambda r: list_dot_product(r, d))) AS far, list_dot_product(d, d) - list_sum(list_transform(axes, lambda a: pow(list_dot_product(a, d), 2))) AS rest FROM d, (SELECT m FROM w WHERE k = {n + 1}) w, ax)
+SELECT object_id, {column("sqrt(greatest(far, 0.0))", "mahalanobis")}, {column("sqrt(greatest(rest, 0.0))", "pca_residual")} FROM g"""
+
+
 def known_class_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.Prior(_FEATS).fit(_vectors(spark, sf_dir)).accuracy()
 
@@ -1058,15 +1087,15 @@ def isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(isolation.IsolationForest(_FEATS, _TREES).fit(v.filter(_REFERENCE)).score(v))
 
 
-def _isolation_sql() -> str:
+def _isolation_sql(trees: int = _TREES, column: Callable[[str, str], str] = _r) -> str:
     """The forest level by level: each node's ends, the cut of the least hash, and both sides."""
     levels = 8
     draw = lambda key: _draw_sql("iso-42", f"({key})")
     c = f"CASE WHEN size <= 1 THEN 0.0 WHEN size = 2 THEN 1.0 ELSE 2 * (ln(size - 1) + {isolation.EULER!r}::DOUBLE) - 2 * (size - 1) / size END"
     parts = [f"""v AS (SELECT vec_id AS object_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings),
 ref AS (SELECT * FROM v WHERE {_REFERENCE}), dim AS (SELECT least(256, count(*)) AS size, least(1.0::DOUBLE, least(256, count(*))::DOUBLE / count(*)) AS share FROM ref),
-lim AS (SELECT *, ceil(log2(greatest(size, 2)))::BIGINT AS depth, least(1.0::DOUBLE, {isolation.SPARE * _TREES} * share) AS loose FROM dim),
-s0 AS (SELECT tree, 0 AS node, x FROM ref, lim, (SELECT unnest(range({_TREES})) AS tree) WHERE {draw("object_id")} < loose AND {draw("object_id || '|' || tree")} < share / loose),
+lim AS (SELECT *, ceil(log2(greatest(size, 2)))::BIGINT AS depth, least(1.0::DOUBLE, {isolation.SPARE * trees} * share) AS loose FROM dim),
+s0 AS (SELECT tree, 0 AS node, x FROM ref, lim, (SELECT unnest(range({trees})) AS tree) WHERE {draw("object_id")} < loose AND {draw("object_id || '|' || tree")} < share / loose),
 w0 AS (SELECT object_id, tree, 0 AS node, x FROM v, (SELECT DISTINCT tree FROM s0))"""]
     for k in range(levels + 1):
         parts.append(f"n{k} AS (SELECT tree, node, count(*) AS size FROM s{k} GROUP BY tree, node)")
@@ -1080,7 +1109,18 @@ w0 AS (SELECT object_id, tree, 0 AS node, x FROM v, (SELECT DISTINCT tree FROM s
             ]
     parts.append(f"l{levels} AS (SELECT w.object_id, w.tree, {levels} + {c} AS length FROM w{levels} w LEFT JOIN n{levels} n ON w.tree = n.tree AND w.node = n.node)")
     every = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(levels + 1))
-    return f"WITH {', '.join(parts)}, p AS (SELECT object_id, avg(length) AS length FROM ({every}) GROUP BY object_id) SELECT object_id, {_r(f'pow(2.0, -length / (SELECT {c} FROM lim))', 'isolation')} FROM p"
+    return f"WITH {', '.join(parts)}, p AS (SELECT object_id, avg(length) AS length FROM ({every}) GROUP BY object_id) SELECT object_id, {column(f'pow(2.0, -length / (SELECT {c} FROM lim))', 'isolation')} FROM p"
+
+
+def _detector_sql() -> str:
+    """All detectors at the places at which they are compared, each value's place among the first classes."""
+    at = lambda x, name: f"round({x}, {detectors.PLACES}) AS {name}"
+    names = ("mahalanobis", "pca_residual", "isolation")
+    reference = ", ".join(f"list_sort(list({n}) FILTER ({_REFERENCE})) AS r_{n}" for n in names)
+    below = lambda n, less: f"len(list_filter(r_{n}, lambda e: e {less} {n}))"
+    ranks = " + ".join(f"({below(n, '<')} + {below(n, '=')} / 2) / len(r_{n})" for n in names)
+    return f"""WITH v AS (SELECT m.*, i.isolation, label FROM ({_anomaly_sql(24, at)}) m JOIN ({_isolation_sql(50, at)}) i USING (object_id) JOIN embeddings ON vec_id = object_id), r AS (SELECT {reference} FROM v)
+SELECT object_id, {", ".join(_r(n) for n in names)}, {_r(f"({ranks}) / {len(names)}", "anomaly_score")} FROM v, r"""
 
 
 def neighbour_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1221,7 +1261,7 @@ _ALL = {
     auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _uncertainty_value_sql(), bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, chain_queue: _chain_queue_sql, chain_metrics: _chain_metrics_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
     drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, shift_health: _health_sql, reference_weights: _weights_sql, effective_size: _size_sql,
     object_split: _split_sql, exact_split: None, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
-    standardised_vectors: _standard_sql, anomaly_distances: None, known_class_prior: None, boosted_prior: None, gated_prior: None, anomaly_scores: None, isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, explanation_payload: _payload_sql, calibrated_error: _calibrated_sql, candidate_records: _records_sql,
+    standardised_vectors: _standard_sql, anomaly_distances: _anomaly_sql(), known_class_prior: None, boosted_prior: None, gated_prior: None, anomaly_scores: _detector_sql(), isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, explanation_payload: _payload_sql, calibrated_error: _calibrated_sql, candidate_records: _records_sql,
     flagship: _flagship_sql,
 }
 
