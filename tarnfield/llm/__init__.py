@@ -11,7 +11,7 @@ _QUERIES = {
     "op1_token_counts": "token_counts", "op2_quality_rules": "quality_rules", "op3_suffix_dedup": "suffix_dedup", "op4_sharding": "sharding", "op5_url_filters": "url_filters", "op6_topk_search": "topk_search", "op7_mixing": "mixing", "op8_license_scans": "license_scans",
     "op9_sentencepiece": "sentencepiece_codec", "op10_simhash_dedup": "simhash_dedup", "op11_prefix_trie": "prefix_trie", "op12_merkle_manifest": "merkle_manifest", "op13_minhash_dedup": "minhash_dedup",
 }
-_WITH_SQL = ("op4_sharding", "op5_url_filters", "op6_topk_search", "op7_mixing", "op11_prefix_trie", "op12_merkle_manifest")
+_WITH_SQL = ("op3_suffix_dedup", "op4_sharding", "op5_url_filters", "op6_topk_search", "op7_mixing", "op11_prefix_trie", "op12_merkle_manifest", "op13_minhash_dedup")
 
 
 def _module(query: str):

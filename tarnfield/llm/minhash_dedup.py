@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -305,3 +306,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op13_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle_sql() -> str:
+    """Sets of shingles, equal ones once; pairs by shared shingles; what can be reached over them."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {SHINGLE_WORDS} THEN list_transform(range(1, len(w) - {SHINGLE_WORDS - 2}), lambda i: array_to_string(w[i : i + {SHINGLE_WORDS - 1}], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM t),
+c AS (SELECT min(doc_id) AS rep, g FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM c),
+linked AS (SELECT a.rep AS u, b.rep AS v FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS u, rep AS v FROM c UNION SELECT r.u, l.v FROM reach r JOIN linked l ON r.v = l.u),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN least ON u = rep"""

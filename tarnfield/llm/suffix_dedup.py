@@ -596,3 +596,18 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out, _ = remove_repeats(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def oracle_sql() -> str:
+    """Every window of every text by its first place; the later ones' bytes in runs; what stands between these."""
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, k, array_slice(b, k, k + {WINDOW - 1}) AS w FROM (SELECT doc_id, b, unnest(range(1, n - {WINDOW - 2})) AS k FROM d)),
+again AS (SELECT doc_id, k FROM w QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, k) > 1),
+begun AS (SELECT doc_id, k, coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {WINDOW}, true)::INT AS one FROM again),
+runs AS (SELECT doc_id, min(k) AS a, max(k) + {WINDOW - 1} AS z FROM (SELECT doc_id, k, sum(one) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM begun) GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, z, true AS cut FROM runs UNION ALL SELECT doc_id, n + 1, n + 1, false FROM d),
+parts AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM ends),
+kept AS (SELECT doc_id, n, coalesce(sum(z - a + 1) FILTER (cut), 0) AS n_removed, count(*) FILTER (cut) AS n_spans,
+  string_agg(CASE WHEN a > upto + 1 THEN hex(array_slice(b, upto + 1, a - 1)) ELSE '' END, '' ORDER BY a) AS bytes FROM parts JOIN d USING (doc_id) GROUP BY doc_id, n)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(bytes)) AS kept_sha256 FROM kept"""
