@@ -253,6 +253,11 @@ def test_quality_stage_keeps_columns(clashing):
     assert {r.doc_id for r in out.collect()} <= {4, 5, 6, 7, 8, 11, None}
 
 
+def test_quality_table_ignores_other_columns(frame, clashing):
+    rows = lambda docs: sorted(map(str, quality_rules.quality_table(docs).collect()))
+    assert rows(clashing) == rows(frame)
+
+
 def test_quality_salted_join_gives_the_same(frame, monkeypatch):
     a = sorted(map(str, quality_rules.quality_table(frame).collect()))
     monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", -1)
@@ -657,6 +662,19 @@ def test_fingerprint_equals_definition():
         assert simhash_dedup.fingerprint(None if t is None else t.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprint_of_a_text_of_several_pieces():
+    """Words of ever other numbers, so that the pieces differ; one more and one less than full pieces."""
+    import xxhash
+
+    for n in (simhash_dedup.PIECE + 1, simhash_dedup.PIECE + 3, 2 * simhash_dedup.PIECE + 5):
+        w = [f"w{k * k % (n // 3 + k // 1000)}" for k in range(n)]
+        ones = np.zeros(64, int)
+        for k in range(n - 2):
+            h = xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42)
+            ones += np.array([h >> b & 1 for b in range(64)])
+        assert simhash_dedup.fingerprint(" ".join(w).upper().encode()) == sum(1 << b for b in range(64) if 2 * ones[b] > n - 2)
+
+
 def test_masks_cover_every_pair_within_the_radius():
     from itertools import combinations
 
@@ -912,3 +930,18 @@ def test_a_file_of_many_notices_takes_its_length():
         took.append(time.perf_counter() - began)
         assert "mit" in found[4] and found[5] == 1.0
     assert took[1] < 60 * max(took[0], 0.01)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the generated tables are not here")
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op13_minhash_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tarnfield import llm
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
+    result = con.execute(llm.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    got = llm.queries()[name](spark, "/root/testdata/sf0.001").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(result.fetchall())
