@@ -196,3 +196,14 @@ def intervals(rows: DataFrame, draws: int = 1000, seed: int = 42, alpha: float =
     small = auc is None or min(auc["n_pos"] or 0, auc["n_neg"] or 0) < SMALL
     out = [(name, points.get(name), *interval(v, alpha), small) for name, v in draw_metrics(rows, draws, seed, ks).items()]
     return rows.sparkSession.createDataFrame(out, "metric string, point double, low double, high double, draws long, small_n boolean")
+
+
+def report(rows: DataFrame, draws: int = 1000, seed: int = 42, alpha: float = 0.05, precision_k: tuple[int, ...] = PRECISION_K, recall_k: tuple[int, ...] = metrics.RECALL_K) -> DataFrame:
+    """One row: metrics.evaluate of all rows, beside roc_auc, average_precision and each
+    p_at_<k> the ends of its interval (<metric>_low, <metric>_high), draws (those of
+    roc_auc) and small_n. Without rows counts are 0 and metrics and ends null."""
+    rows = ordered.stages.written(rows.select("object_id", "y", "score"))
+    found = {r["metric"]: r for r in intervals(rows, draws, seed, alpha, precision_k).collect()}
+    ends = {f"{m}_{end}": F.lit(r[end]).cast("double") for m, r in found.items() for end in ("low", "high")}
+    whole = metrics.evaluate(rows, precision_k=precision_k, recall_k=recall_k)
+    return whole.withColumns({**ends, "draws": F.lit(found["roc_auc"]["draws"]), "small_n": F.lit(found["roc_auc"]["small_n"])})

@@ -595,9 +595,10 @@ def metric_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.intervals(views.scored(spark, sf_dir)))
 
 
-def _intervals_sql() -> str:
-    ks = list(resampling.PRECISION_K)
-    return f"""WITH {_TOP_SQL}, {_drawn_sql(1000)}, {_auc_sql('kept', 'draw', 'w::DOUBLE')},
+def _intervals_sql(start: str = _TOP_SQL, ks: tuple[int, ...] = resampling.PRECISION_K) -> str:
+    """``start`` has the CTEs scored (object_id, y, score) and rk (the same with rank)."""
+    ks = list(ks)
+    return f"""WITH {start}, {_drawn_sql(1000)}, {_auc_sql('kept', 'draw', 'w::DOUBLE')},
 cw AS (SELECT draw, y, w, sum(w) OVER (PARTITION BY draw ORDER BY score DESC, object_id ROWS UNBOUNDED PRECEDING) - w AS before FROM kept),
 pk AS (SELECT draw, k, sum(y * greatest(least(w, k - before), 0)) / sum(greatest(least(w, k - before), 0)) AS v FROM cw, (SELECT unnest({ks}) AS k) GROUP BY draw, k),
 ok AS (SELECT draw FROM auc WHERE roc_auc IS NOT NULL),
@@ -788,6 +789,23 @@ SELECT ect.*, {_r("roc_auc")}, {_r("average_precision")} FROM ect {f"JOIN auc US
 
 _chain_metrics_sql = f"WITH {_chain_ranked_sql}, cq AS (SELECT object_id, y, score FROM ranked), " + _evaluated_sql("cq", "", (10, 20, 50), (200,))
 
+_REPORT_K = ((10, 20, 50), (200,))
+
+
+def chain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's metrics with their intervals over a thousand draws of its objects."""
+    return rounded(resampling.report(chain.queue(spark, sf_dir), precision_k=_REPORT_K[0], recall_k=_REPORT_K[1]))
+
+
+def _chain_report_sql() -> str:
+    scored = f"scored AS MATERIALIZED (WITH {_chain_ranked_sql} SELECT object_id, y, score FROM ranked)"
+    start = f"{scored}, rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, object_id) AS rank FROM scored)"
+    names = ("roc_auc", "average_precision", *(f"p_at_{k}" for k in _REPORT_K[0]))
+    ends = ", ".join(f"any_value({end}) FILTER (metric = '{m}') AS {m}_{end}" for m in names for end in ("low", "high"))
+    return f"""SELECT * FROM (WITH {scored}, {_evaluated_sql("scored", "", *_REPORT_K)}),
+(SELECT {ends}, any_value(draws) FILTER (metric = 'roc_auc') AS draws, any_value(small_n) AS small_n FROM ({_intervals_sql(start, _REPORT_K[0])}))"""
+
+
 _VIEWS_KEYED = f"""{PHOTOMETRY_SQL}, fm AS (SELECT *, min(mjd) OVER (PARTITION BY object_id) AS first_mjd FROM phot),
 keyed AS (SELECT fm.* EXCLUDE (object_id, first_mjd), -(fm.object_id * {chain.SIDES} + list_position({list(chain.DAYS)}, days) - 1) - 1 AS object_id FROM fm, (SELECT unnest({list(chain.DAYS)}) AS days) WHERE days = 0 OR mjd <= first_mjd + days)"""
 
@@ -1258,7 +1276,7 @@ _ALL = {
     band_features: _band_features_sql, band_matrix: _band_matrix_sql, global_features: _global_sql, quality_features: _quality_features_sql, quality_gate: _quality_gate_sql, colour_features: _colour_sql, physics_features: _physics_sql(), host_features: _host_sql(), uncertainty_features: _uncertainty_sql(), feature_matrix: _matrix_sql(), early_window: _early_sql, part_statistics: _part_sql, population_lookup: _lookup_sql,
     simplex_channels: _simplex_sql, nearest_neighbours: _knn_sql, neighbour_cells: None, neighbour_channels: _nch_sql, galactic_probability: _gal_sql, family_misfit: _misfit_sql, rank01: _rank01_sql, evidence_channels: _channels_sql, class_statistics: _cstat_sql, physics_gap: _gap_sql, quantile_channel: _qmap_sql,
     review_queue: _queue_sql, queue_page: _page_sql, queue_summary: _summary_sql, abstention_policy: _policy_sql,
-    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _uncertainty_value_sql(), bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, chain_queue: _chain_queue_sql, chain_metrics: _chain_metrics_sql, early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
+    auc_and_ap: _auc_query_sql, weighted_auc: _wauc_sql, precision_at_k: _pk_sql, base_rate_stress: _stress_sql(), per_class: _class_sql, channel_power: _power_sql, uncertainty_value: _uncertainty_value_sql(), bootstrap_auc: _boot_sql, metric_intervals: _intervals_sql(), evaluation_bundle: _bundle_sql(), weighted_precision: _wpk_sql, weight_search: _search_sql(), ablation: _ablation_sql(), weight_variants: _variants_sql, weight_optimism: _optimism_sql(), review_budget: _budget_sql, queue_audit: _audit_sql, chain_queue: _chain_queue_sql, chain_metrics: _chain_metrics_sql, chain_report: _chain_report_sql(), early_detection: _detection_sql, survey_quality: _survey_sql, k_correction: _kcorr_sql,
     drift_psi: _psi_sql, drift_ks: _ks_sql, domain_match: _match_sql, outside_range: _outside_sql, shift_health: _health_sql, reference_weights: _weights_sql, effective_size: _size_sql,
     object_split: _split_sql, exact_split: None, split_fingerprints: _finger_sql, stratified_folds: _folds_sql, rare_subsample: _rare_sql, leakage_report: _leak_sql, content_hash: _hash_sql, artifact_scenarios: _scenarios_sql(), safety_suite: _safety_sql(), alert_round_trip: _alert_sql,
     standardised_vectors: _standard_sql, anomaly_distances: _anomaly_sql(), known_class_prior: None, boosted_prior: None, gated_prior: None, anomaly_scores: _detector_sql(), isolation_scores: _isolation_sql(), neighbour_novelty: _novelty_sql, predictive_uncertainty: None, density_weights: None, adversarial_check: None, calibration: _calibration_sql, feature_deviations: _deviation_sql, analogue_block: _analogue_sql, explanations: _explain_sql, explanation_payload: _payload_sql, calibrated_error: _calibrated_sql, candidate_records: _records_sql,

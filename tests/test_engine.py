@@ -2,13 +2,14 @@
 
 import json
 import math
+import random
 
 import light_curves as simulate
 import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
-from tarnfield.operators import detectors, domain, evidence, features, inject, metrics, models, ordered, protocol, quality, ranking
+from tarnfield.operators import detectors, domain, evidence, features, inject, metrics, models, ordered, protocol, quality, ranking, resampling
 from tarnfield.plans import search, serve
 from tarnfield.sources import alerts, tables
 
@@ -494,3 +495,20 @@ def test_k_correction(spark):
     assert abs(r[0].k - 0.5 * 640 / 367) < 1e-12 and r[1].k < r[0].k and r[2].k == 0
     m = physics.absolute_magnitude(F.lit(20.0), F.lit(15.0), F.lit(0.5), F.lit(0.25))
     assert one(spark.range(1).select(m.alias("m"))).m == 4.25
+
+
+def test_report_has_points_within_their_intervals(spark):
+    """One row of metrics and ends; few rows are flagged; one class or no rows leave nulls."""
+    r = random.Random(12)
+    rows = [(i, int(r.random() < 0.3), round(r.random(), 1)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "object_id long, y int, score double")
+    one = resampling.report(frame, draws=200, precision_k=(10, 20), recall_k=(50,)).first()
+    many = {x.metric: x for x in resampling.intervals(frame, draws=200, ks=(10, 20)).collect()}
+    for m, x in many.items():
+        assert (one[m], one[f"{m}_low"], one[f"{m}_high"]) == (x.point, x.low, x.high)
+        assert x.low <= x.point <= x.high
+    assert one.n_objects == 200 and one.n_novel == sum(y for _, y, _ in rows) and one.draws == 200 and not one.small_n
+    single = resampling.report(frame.filter("y = 0"), draws=20).first()
+    assert single.small_n and single.draws == 0 and single.roc_auc is None and single.p_at_10_low is None
+    none = resampling.report(frame.filter("false"), draws=20).first()
+    assert none.n_objects == 0 and none.small_n and none.roc_auc is None and none.roc_auc_high is None
