@@ -22,8 +22,9 @@ DERIVED = ("det_frac", "flux_range", "flux_iqr", "rise_time", "decline_time", "t
 
 
 def _first_at(value: Column, order: Column) -> Column:
-    """The value at the greatest ``order``, the earliest mjd of ties; null where order is null throughout."""
-    return F.max_by(value, F.when(order.isNotNull(), F.struct(order, -F.col("mjd"))))
+    """The value at the greatest ``order``, the earliest mjd of ties and of those the greatest
+    value, in whatever order rows come; null where order is null throughout."""
+    return F.max_by(value, F.when(order.isNotNull(), F.struct(order, -F.col("mjd"), value)))
 
 
 def band_statistics(obs: DataFrame) -> DataFrame:

@@ -45,6 +45,17 @@ def test_reliability(spark):
     assert got[0] == 1 and got[1] < 0.05 and got[2] >= 0.9 and got[3] == 0
 
 
+def same_time(spark, seed):
+    """Thirty observations of one band, time and flux, and a fainter one, in an order by the seed."""
+    rows = [(1, 5.0, 2, 9.0, float(e), int(e % 2)) for e in range(1, 31)] + [(1, 7.0, 2, 1.0, 1.0, 1)]
+    random.Random(seed).shuffle(rows)
+    return spark.createDataFrame(rows, OBS).coalesce(1)
+
+
+def test_peaks_of_one_time_in_any_order(spark):
+    assert {one(features.band_statistics(same_time(spark, seed))).peak_snr for seed in range(4)} == {9.0}
+
+
 def test_shape_statistics(spark):
     b = one(features.band_statistics(obs(spark, [3 + 2 * x - 0.5 * x * x for x in range(6)])))
     assert abs(b.curvature + 0.5) < 1e-9
