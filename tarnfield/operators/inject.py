@@ -21,15 +21,17 @@ def scenarios(obs: DataFrame, names: tuple[str, ...] = ("clean", *INJECTORS)) ->
     negative_flux_heavy flips a share of each object's detections (one at least),
     single_epoch_spike multiplies one observation, duplicate_timestamps has some twice,
     long_cadence_gap keeps the first share in time where there are four, and
-    incomplete_band_coverage keeps one of the object's own bands."""
+    incomplete_band_coverage keeps one of the object's own bands. Observations of one time and
+    band are told apart by their values, so that the order of rows decides nothing."""
     c, by = F.col, Window.partitionBy("object_id")
     n = lambda order: F.row_number().over(by.orderBy(*order))
     key = F.concat_ws("|", "object_id", "passband", c("mjd").cast("decimal(20,6)"))
-    nth = lambda seed: n((draw(key, seed), "mjd", "passband"))
+    place = ("mjd", "passband", "flux", "flux_err", "detected_bool")
+    nth = lambda seed: n((draw(key, seed), *place))
     detected = c("detected_bool") == 1
     among = Window.partitionBy("object_id", "detected_bool")
     o = obs.withColumns({
-        "_neg": F.row_number().over(among.orderBy(draw(key, "neg"), "mjd", "passband")), "_det": F.count(F.lit(1)).over(among), "_spike": nth("spike"), "_dup": nth("dup"), "_time": n(("mjd", "passband")), "_all": F.count(F.lit(1)).over(by),
+        "_neg": F.row_number().over(among.orderBy(draw(key, "neg"), *place)), "_det": F.count(F.lit(1)).over(among), "_spike": nth("spike"), "_dup": nth("dup"), "_time": n(place), "_all": F.count(F.lit(1)).over(by),
         "_band": F.min(F.struct(draw(F.concat_ws("|", "object_id", "passband"), "band").alias("d"), c("passband").alias("b"))).over(by)["b"],
     })
     flipped = detected & (c("_neg") <= F.greatest(F.lit(1), F.floor(c("_det") * FLIPPED)))

@@ -56,6 +56,14 @@ def test_peaks_of_one_time_in_any_order(spark):
     assert {one(features.band_statistics(same_time(spark, seed))).peak_snr for seed in range(4)} == {9.0}
 
 
+def test_corruptions_of_one_time_in_any_order(spark):
+    found = {n: set() for n in inject.INJECTORS}
+    for seed in range(4):
+        for r in inject.scenarios(same_time(spark, seed), inject.INJECTORS).groupBy("scenario").agg(F.sum("flux"), F.sum("flux_err"), F.sum(F.col("flux") * F.col("flux_err"))).collect():
+            found[r[0]].add(tuple(r)[1:])
+    assert all(len(v) == 1 for v in found.values())
+
+
 def test_shape_statistics(spark):
     b = one(features.band_statistics(obs(spark, [3 + 2 * x - 0.5 * x * x for x in range(6)])))
     assert abs(b.curvature + 0.5) < 1e-9
