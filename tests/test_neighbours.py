@@ -62,3 +62,21 @@ def test_nothing_to_find(spark):
     assert evidence.neighbours(one, empty, 3).collect() == [] == evidence.neighbours(empty, one, 3).collect()
     assert evidence.neighbours(one, one, 3).collect() == []
     assert neighbours.PivotIndex().fit(empty).visited(one, 3).collect() == []
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_what_is_shuffled_grows_with_the_rows(spark):
+    r, sent = np.random.default_rng(5), []
+    for n in (400, 1600):  # four times the rows in four times the cells, nearly all of which are visited
+        frame = table(spark, dict(enumerate(r.normal(size=(n, 24))))).cache()
+        index = neighbours.PivotIndex(cell_rows=8).fit(frame)
+        before = shuffled_rows(spark)
+        assert index.query(frame, 3).count() == 3 * n
+        sent.append(shuffled_rows(spark) - before)
+    assert sent[1] < 5 * sent[0]
