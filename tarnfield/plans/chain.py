@@ -7,6 +7,8 @@ engine of the clean ones; their ids are below zero, so that they clash with no o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,13 @@ def side_id(number: Column) -> Column:
     return -(F.col("object_id") * SIDES + number) - 1
 
 
-def sides(spark: SparkSession, sf_dir: str, obs: DataFrame, side: str, order: tuple) -> DataFrame:
-    """object_id, side, score, quality and y of the unseen objects in every side of their observations."""
+def sides(spark: SparkSession, sf_dir: str, vary: Callable[[DataFrame], DataFrame], side: str, order: tuple) -> DataFrame:
+    """object_id, side, score, quality and y of the unseen objects in every side of their
+    observations. ``vary`` makes the sides, object by object, of what the unseen ones have."""
     model, _, truth = fitted(spark, sf_dir)
     number = F.array_position(F.array(*map(F.lit, order)), F.col(side)) - 1
-    keyed = obs.join(truth.filter("NOT fits").select("object_id"), "object_id", "left_semi").withColumn("object_id", side_id(number))
+    unseen = views.photometry(spark, sf_dir).join(truth.filter("NOT fits").select("object_id"), "object_id", "left_semi")
+    keyed = vary(unseen).withColumn("object_id", side_id(number))
     meta = views.metadata(spark, sf_dir).withColumn("object_id", F.explode(F.array(*(side_id(F.lit(k)) for k in range(len(order))))))
     own = -F.col("object_id") - 1
     scored = model.score(_rows(keyed, meta)).select(F.floor(own / SIDES).cast("long").alias("object_id"), F.element_at(F.array(*map(F.lit, order)), (own % SIDES).cast("int") + 1).alias(side), F.round("score", 6).alias("score"), "quality")
@@ -65,12 +69,11 @@ def sides(spark: SparkSession, sf_dir: str, obs: DataFrame, side: str, order: tu
 
 
 def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = features.views(views.photometry(spark, sf_dir), DAYS).withColumn("days", F.col("view").cast("int"))
-    return sides(spark, sf_dir, obs, "days", DAYS)
+    return sides(spark, sf_dir, lambda obs: features.views(obs, DAYS).withColumn("days", F.col("view").cast("int")), "days", DAYS)
 
 
 def corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = sides(spark, sf_dir, inject.scenarios(views.photometry(spark, sf_dir)), "scenario", SCENARIOS)
+    scored = sides(spark, sf_dir, inject.scenarios, "scenario", SCENARIOS)
     return stages.written(ordered.numbered(scored, -F.col("score"), [F.desc("score"), F.col("object_id")], "rank", ["scenario"], F.col("object_id")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.functions import physics
 from tarnfield.operators import detectors, domain, evidence, features, inject, metrics, models, ordered, protocol, quality, ranking, resampling
-from tarnfield.plans import search, serve
+from tarnfield.plans import chain, search, serve
 from tarnfield.sources import alerts, tables
 
 OBS = "object_id long, mjd double, passband int, flux double, flux_err double, detected_bool int"
@@ -64,6 +64,19 @@ def test_corruptions_of_one_time_in_any_order(spark):
     assert all(len(v) == 1 for v in found.values())
 
 
+def test_only_unseen_objects_are_varied(spark):
+    given = []
+
+    def vary(rows):
+        given.extend(r[0] for r in rows.select("object_id").distinct().collect())
+        return rows.withColumn("days", F.lit(0))
+
+    sf_dir = "/root/testdata/sf0.001"
+    chain.sides(spark, sf_dir, vary, "days", (0,))
+    unseen = chain._truth(spark, sf_dir).filter("NOT fits").select("object_id").collect()
+    assert given and sorted(given) == sorted(r[0] for r in unseen)
+
+
 def test_shape_statistics(spark):
     b = one(features.band_statistics(obs(spark, [3 + 2 * x - 0.5 * x * x for x in range(6)])))
     assert abs(b.curvature + 0.5) < 1e-9
