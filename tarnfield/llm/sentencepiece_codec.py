@@ -35,9 +35,10 @@ from tarnfield.llm.text import as_bytes, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581".encode()
-#: Bytes of text that are chunked at once, bytes of chunks that one suffix array
-#: indexes, and bytes of chunks and ids that a worker remembers.
-TEXT_BYTES, INDEX_BYTES, MEMO_BYTES = 1 << 22, 1 << 17, 1 << 26
+#: Bytes of text that are chunked at once (each chunk is an object of some ten times its
+#: size), bytes of chunks that one suffix array indexes, and bytes of chunks and ids that a
+#: worker remembers, which it holds on to while it runs other operators.
+TEXT_BYTES, INDEX_BYTES, MEMO_BYTES = 1 << 19, 1 << 17, 5 << 23
 #: What an entry of the memo takes besides its contents.
 ENTRY_BYTES = 150
 #: Longest chunk, in bytes, that is relaxed side by side with others; pairs of

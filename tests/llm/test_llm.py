@@ -621,6 +621,19 @@ def test_pieces_are_the_models_own_and_decode(odd, frame, clashing):
     assert sentencepiece_codec.encode(clashing).columns[-1] == "_piece_ids"
 
 
+def test_encoding_a_batch_holds_little_beside_its_texts():
+    import tracemalloc
+
+    c = sentencepiece_codec.PieceCodec()
+    texts = [prose(2000, k % 20).encode() for k in range(400)]  # some 4 MB, few distinct chunks
+    c.encode_batch(texts[:20])
+    tracemalloc.start()
+    found = c.encode_batch(texts)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(found) == 400 and most - held < 16 << 20  # chunks of all texts at once took more
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the generated tables are not here")
 def test_pieces_of_the_generated_documents_are_the_models_own(spark):
     import sentencepiece
