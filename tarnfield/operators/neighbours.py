@@ -13,7 +13,9 @@ rows nor one with most queries meets a single task. The second compares blocks o
 parts of the queries: a query goes once to a block, whatever number of the block's cells it
 visits, and takes its distance along, so that what is shuffled grows with the rows and not
 with rows times cells, while the comparisons still go by cells. Only where a block or a part
-would hold more than PART rows there are more of them.
+would hold more than PART rows there are more of them. Its comparisons, which grow with the
+square where little is left out, go by single precision first: that leaves out rows that are
+further away whatever was rounded, and only what remains is measured, in double precision.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ CELL_ROWS, PIVOTS, PART, ROWS, SLICE = 1024, 1024, 1 << 17, 256, 8192
 DEALT, BLOCK_SHARE = 128, 0.43
 #: Pairs whose distances are taken at once.
 PAIRS = 1 << 16
+#: Squares that single precision holds with room for their products, four times the rounding of
+#: one of its operations, and candidates for k neighbours beyond which a slice goes by double precision.
+HELD, ROUNDING, LOOSE = 1e30, 2.0**-22, 8
 
 
 def usable(x: Column, size: int | None = None) -> Column:
@@ -47,20 +52,41 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
 
 
-def nearest_of(asked: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rough(b: np.ndarray) -> np.ndarray | None:
+    """Rows for products in single precision: -2 b, the own square less the most that rounding
+    adds to a squared distance, and 1. None where single precision does not hold the squares."""
+    own = (b * b).sum(axis=1)
+    if not own.max(initial=0.0) < HELD:
+        return None
+    return np.column_stack([-2 * b, own * (1 - (b.shape[1] + 8) * ROUNDING), np.ones(len(b))]).astype(np.float32)
+
+
+def nearest_of(asked: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int, bound: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in asked, place in ids, distance) of the k nearest rows of each query that are
     no further than its ``bound``, ties by id; a row of the query's own id is none. All that
-    ties with the k-th is looked at, and rows further than the k-th so far are not."""
+    ties with the k-th is looked at, and rows further than the k-th so far are not. With
+    ``single`` (``rough`` of b) single precision leaves out what is further away for certain;
+    distances are always taken in double precision."""
     own, limit = (a * a).sum(axis=1), bound * bound
     q, r, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    mine = None
+    if single is not None and own.max(initial=0.0) < HELD:
+        mine = np.column_stack([a, np.ones(len(a)), own * (1 - (a.shape[1] + 8) * ROUNDING)]).astype(np.float32)
     for s in range(0, len(b), SLICE):
-        part = b[s : s + SLICE]
-        square = squares(a, part)
-        slack = 1e-9 * (1.0 + own + (part * part).sum(axis=1).max(initial=0.0))  # of the matrix product
-        if k < len(part) and np.isinf(limit).any():  # one more than k: the query's own row
-            limit = np.minimum(limit, np.partition(square, k, axis=1)[:, k])
-        i, j = np.nonzero(square <= (limit + slack)[:, None])
-        fine = (asked[i] != ids[s + j]) & np.isfinite(square[i, j])
+        part, near = b[s : s + SLICE], None
+        if mine is not None and np.isfinite(limit).all():
+            most = (np.minimum(limit, 4 * HELD) * (1 + 1e-6) + 1e-9 * (1.0 + own)).astype(np.float32)
+            near = np.flatnonzero(mine @ single[s : s + SLICE].T <= most[:, None])
+        if near is not None and len(near) <= LOOSE * (k + 1) * len(a):
+            i, j = np.divmod(near, len(part))
+            fine = asked[i] != ids[s + j]
+        else:
+            square = squares(a, part)
+            slack = 1e-9 * (1.0 + own + (part * part).sum(axis=1).max(initial=0.0))  # of the matrix product
+            if k < len(part) and (near is not None or np.isinf(limit).any()):  # one more than k: the query's own row
+                limit = np.minimum(limit, np.partition(square, k, axis=1)[:, k])
+            i, j = np.nonzero(square <= (limit + slack)[:, None])
+            fine = (asked[i] != ids[s + j]) & np.isfinite(square[i, j])
         i, j = i[fine], j[fine]
         far = [np.sqrt(((part[j[p : p + PAIRS]] - a[i[p : p + PAIRS]]) ** 2).sum(axis=1)) for p in range(0, len(i), PAIRS)]
         q, r, d = np.concatenate([q, i]), np.concatenate([r, s + j]), np.concatenate([d, *far])
@@ -227,14 +253,14 @@ class PivotIndex:
                 by = cell.argsort(kind="stable")
                 cell, ids, labels, b = cell[by], rs["object_id"].to_numpy()[by], rs["label"].to_numpy()[by], _matrix(rs["x"], rs.num_rows)[by]
                 query, bound, a = qs["query_id"].to_numpy(), qs["bound"].to_numpy(), _matrix(qs["qx"], qs.num_rows)
-                own = np.concatenate([squares(a[p : p + ROWS], pivots).argmin(axis=1) for p in range(0, len(a), ROWS)])
+                own, single = np.concatenate([squares(a[p : p + ROWS], pivots).argmin(axis=1) for p in range(0, len(a), ROWS)]), rough(b)
                 near = own.argsort(kind="stable")  # queries of one cell visit the same ones
                 for p in range(0, len(near), ROWS):
                     at = near[p : p + ROWS]
                     visit = reach(np.sqrt(np.maximum(squares(a[at], pivots), 0.0)), bound[at]).any(axis=0)
                     rows = np.nonzero(visit[cell])[0]
                     some = slice(None) if len(rows) == len(cell) else rows
-                    q, r, d = nearest_of(query[at], a[at], ids[some], b[some], k, bound[at])
+                    q, r, d = nearest_of(query[at], a[at], ids[some], b[some], k, bound[at], None if single is None else single[some])
                     for o, v in zip(out, (query[at][q], ids[some][r], labels[some][r], d)):
                         o.append(v)
             return pa.table(dict(zip(("query_id", "object_id", "label", "distance"), map(np.concatenate, out))))

@@ -50,6 +50,42 @@ def test_equal_to_brute_force(spark, kind, monkeypatch):
         assert len(seen) == len(asked) and all(v["visited"] < v["cells"] / 2 for v in seen)
 
 
+@pytest.mark.parametrize("kind", ["normal", "grid", "copies", "far", "scales", "huge"])
+def test_single_precision_leaves_nothing_out(kind, monkeypatch):
+    monkeypatch.setattr(neighbours, "SLICE", 128)
+    r, n, k = np.random.default_rng(7), 600, 5
+    x = r.normal(size=(n, 16))
+    if kind == "grid":
+        x = r.integers(0, 3, (n, 4)).astype(float)
+    elif kind == "copies":
+        x[::3] = 1.0
+    elif kind == "far":  # single precision can't tell these apart
+        x = 1e4 + 1e-3 * x
+    elif kind == "scales":
+        x *= 10.0 ** r.integers(-8, 13, (n, 1))
+    elif kind == "huge":  # beyond single precision
+        x *= 1e30
+    single, ids, asked = neighbours.rough(x), r.permutation(n), np.arange(0, n, 5)
+    assert (single is None) == (kind == "huge")
+    apart = np.sqrt(((x[asked][:, None] - x[None]) ** 2).sum(axis=2))
+    apart[np.arange(len(asked)), asked] = np.inf
+    bound = np.sort(apart, axis=1)[:, 2 * k]
+    q, at, d = neighbours.nearest_of(ids[asked], x[asked], ids, x, k, bound, single)
+    want = [np.lexsort((ids, row))[:k] for row in apart]
+    assert np.array_equal(q, np.repeat(np.arange(len(asked)), k)) and np.array_equal(at, np.concatenate(want))
+    assert np.allclose(d, [apart[i, j] for i, own in enumerate(want) for j in own], rtol=1e-12)
+
+
+def test_slices_go_by_single_precision(monkeypatch):
+    r, calls = np.random.default_rng(8), []
+    x, ids = r.normal(size=(4096, 16)), np.arange(4096)
+    bound = np.sqrt(np.sort(neighbours.squares(x[:64], x), axis=1)[:, 9])
+    own = neighbours.squares
+    monkeypatch.setattr(neighbours, "squares", lambda a, b: calls.append(len(b)) or own(a, b))
+    assert len(neighbours.nearest_of(ids[:64], x[:64], ids, x, 5, bound, neighbours.rough(x))[0]) == 64 * 5
+    assert not calls  # no pair's square was taken in double precision
+
+
 def test_odd_vectors_take_no_part(spark):
     rows = [(1, 0, [0.0, 0.0]), (2, None, [1.0, 0.0]), (3, 1, None), (4, 1, [1.0]), (5, 1, [float("nan"), 0.0]), (6, 1, [None, 0.0]), (7, 2, [0.0, 3.0]), (8, 1, []), (9, 1, [float("inf"), 1.0])]
     frame = spark.createDataFrame(rows, KIND)
