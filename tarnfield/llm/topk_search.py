@@ -95,11 +95,13 @@ def _pairs(queries: DataFrame, candidates: DataFrame, n_blocks: int) -> DataFram
     """Every query block beside every candidate block of its dimension.
 
     The query set is the stated one; blocks, not rows, are paired. Each query block
-    is sent to every block number, so that a candidate block is a key of its own."""
+    is sent to every block number, so that a candidate block is a key of its own. The
+    hint keeps the copies away from the driver: Spark takes them to be as small as the
+    query blocks, and would broadcast them."""
     numbers = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     sent = queries.withColumn("c_block", F.explode(numbers))
     right = candidates.select(F.col("dim").alias("c_dim"), F.col("block").alias("c_no"), F.col("ids").alias("c_ids"), F.col("vs").alias("c_vs"))
-    return sent.join(right, (F.col("dim") == F.col("c_dim")) & (F.col("c_block") == F.col("c_no")))
+    return sent.hint("merge").join(right, (F.col("dim") == F.col("c_dim")) & (F.col("c_block") == F.col("c_no")))
 
 
 _STATE = "dim int, block int, ids binary, vs binary, lo binary, shift binary, above binary, found boolean"

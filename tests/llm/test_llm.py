@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from tarnfield.llm import license_scans, mixing, quality_rules, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_counts, topk_search, url_filters
+from tarnfield.llm.tables import drop, materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -473,6 +474,15 @@ def test_topk_counts_repeated_rows_and_ignores_other_columns(spark):
     assert got == [(1, 5, 3 * 4096), (2, 5, 3 * 4096), (3, 7, 3 * 4096)]
 
 
+def test_topk_sends_no_copies_of_the_queries_through_the_driver(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "vec_id long, embedding array<double>")
+    packed = materialise(topk_search.blocks(topk_search.quantised(df, "vec_id", "embedding"), 8))
+    pairs = topk_search._pairs(packed, packed, 5)  # of a few KB, by Spark's estimate as well, however many blocks there are
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == packed.count() ** 2
+    drop(packed)
+
+
 # ---- mixing
 
 
